@@ -11,6 +11,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.storagelevel import StorageLevel
 
 from groundwell.functions.text import Tokenizer, tokenize
 from groundwell.session import fits_broadcast
@@ -25,66 +26,89 @@ POSTINGS_PER_TASK = 2_000_000
 
 @dataclass(frozen=True)
 class LexicalIndex:
-    """postings(workspace_id, chunk_id, dl, term, tf), terms(workspace_id, term, df, idf),
-    corpus(workspace_id, n, avgdl)."""
+    """postings(workspace_id, chunk_id, dl, term, tf), terms(workspace_id, term, df),
+    corpus(workspace_id, n, avgdl, floor)."""
 
     postings: DataFrame
     terms: DataFrame
     corpus: DataFrame
 
     def save(self, path: str) -> None:
-        self.postings.write.mode("overwrite").partitionBy("workspace_id").parquet(f"{path}/postings")
-        self.terms.write.mode("overwrite").partitionBy("workspace_id").parquet(f"{path}/terms")
+        self.postings.write.mode("overwrite").parquet(f"{path}/postings")
+        self.terms.write.mode("overwrite").parquet(f"{path}/terms")
         self.corpus.write.mode("overwrite").parquet(f"{path}/corpus")
 
     @staticmethod
     def load(spark: SparkSession, path: str) -> "LexicalIndex":
-        return LexicalIndex(*(spark.read.parquet(f"{path}/{t}") for t in ("postings", "terms", "corpus")))
+        return LexicalIndex(
+            spark.read.parquet(f"{path}/postings").repartition("chunk_id"),
+            spark.read.parquet(f"{path}/terms"),
+            spark.read.parquet(f"{path}/corpus"),
+        )
 
+    def release(self) -> None:
+        self.postings.unpersist()
 
-def chunk_tokens(
-    chunks: DataFrame, tokenizer: Tokenizer = tokenize, context: str | None = None
-) -> DataFrame:
-    """(workspace_id, chunk_id, tokens) of every chunk that has tokens. With `context`,
-    the generated context of a chunk is indexed in front of its text."""
+
+def build_index(
+    chunks: DataFrame,
+    tokenizer: Tokenizer = tokenize,
+    context: str | None = None,
+    level: StorageLevel | None = StorageLevel.MEMORY_AND_DISK,
+) -> LexicalIndex:
+    """Index the chunks that have tokens. With `context`, the generated context of a chunk
+    is indexed in front of its text.
+
+    The text is shuffled once, before it is tokenized. Postings are read three times
+    (term counts, lengths, scores) and are persisted in that partitioning; lost blocks
+    are recomputed from the shuffle. Pass level=None to leave them lazy, for `save`.
+    """
     text: Column = F.col("content")
     if context is not None:
         text = F.when(
             F.coalesce(F.col(context), F.lit("")) != "", F.concat(F.col(context), F.lit("\n"), text)
         ).otherwise(text)
-    return chunks.select("workspace_id", "chunk_id", tokenizer(text).alias("tokens")).where(
-        F.size("tokens") > 0
-    )
-
-
-def build_index(
-    chunks: DataFrame, tokenizer: Tokenizer = tokenize, context: str | None = None
-) -> LexicalIndex:
-    by_chunk = chunk_tokens(chunks, tokenizer, context).repartition("chunk_id")
     postings = (
-        by_chunk.select("workspace_id", "chunk_id", F.size("tokens").alias("dl"), F.explode("tokens").alias("term"))
+        chunks.select("workspace_id", "chunk_id", text.alias("content"))
+        .repartition("chunk_id")
+        .select("workspace_id", "chunk_id", tokenizer(F.col("content")).alias("tokens"))
+        .select("workspace_id", "chunk_id", F.size("tokens").alias("dl"), F.explode_outer("tokens").alias("term"))
+        # Not explode(): it would infer a filter that tokenizes every text a second time.
+        .where(F.col("term").isNotNull())
         .groupBy("workspace_id", "chunk_id", "dl", "term")
         .agg(F.count(F.lit(1)).alias("tf"))
     )
-    corpus = by_chunk.groupBy("workspace_id").agg(
-        F.count(F.lit(1)).alias("n"), F.avg(F.size("tokens")).alias("avgdl")
-    )
-    counts = postings.groupBy("workspace_id", "term").agg(F.count(F.lit(1)).alias("df"))
-    raw = counts.join(corpus.select("workspace_id", "n"), "workspace_id").withColumn(
-        "raw", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)
+    if level is not None:
+        postings = postings.persist(level)
+    terms = postings.groupBy("workspace_id", "term").agg(F.count(F.lit(1)).alias("df"))
+    sizes = (
+        postings.groupBy("workspace_id", "chunk_id")
+        .agg(F.max("dl").alias("dl"))
+        .groupBy("workspace_id")
+        .agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))
     )
-    floors = raw.groupBy("workspace_id").agg((F.avg("raw") * EPSILON).alias("floor"))
-    terms = raw.join(floors, "workspace_id").select(
-        "workspace_id", "term", "df",
-        F.when(F.col("raw") < 0, F.col("floor")).otherwise(F.col("raw")).alias("idf"),
+    # The mean idf of a workspace comes from its histogram of df values: the term table,
+    # which may lie in one workspace for the most part, is never moved by workspace.
+    spread = terms.groupBy("workspace_id", "df").agg(F.count(F.lit(1)).alias("m")).join(sizes, "workspace_id")
+    corpus = spread.groupBy("workspace_id", "n", "avgdl").agg(
+        (F.sum(F.col("m") * raw_idf()) / F.sum("m") * EPSILON).alias("floor")
     )
     return LexicalIndex(postings, terms, corpus)
 
 
+def raw_idf() -> Column:
+    return F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)
+
+
+def idf() -> Column:
+    """idf over the columns n, df and floor: a negative value becomes the floor."""
+    return F.when(raw_idf() < 0, F.col("floor")).otherwise(raw_idf())
+
+
 def query_terms(queries: DataFrame, tokenizer: Tokenizer = tokenize) -> DataFrame:
     """(query_id, workspace_id, term, qtf): repeated query tokens count each time."""
     return (
-        queries.select("query_id", "workspace_id", F.explode(tokenizer(F.col("query"))).alias("term"))
+        queries.select("query_id", "workspace_id", F.explode_outer(tokenizer(F.col("query"))).alias("term"))
         .groupBy("query_id", "workspace_id", "term")
         .agg(F.count(F.lit(1)).alias("qtf"))
     )
@@ -107,8 +131,8 @@ def score(
     wanted = (
         query_terms(queries, tokenizer)
         .join(index.terms, ["workspace_id", "term"])
-        .join(index.corpus.select("workspace_id", "avgdl"), "workspace_id")
-        .select("query_id", "workspace_id", "term", "avgdl", "df", (F.col("qtf") * F.col("idf")).alias("weight"))
+        .join(index.corpus, "workspace_id")
+        .select("query_id", "workspace_id", "term", "avgdl", "df", (F.col("qtf") * idf()).alias("weight"))
     )
     if small_queries:
         hits = index.postings.join(F.broadcast(wanted.drop("df")), ["workspace_id", "term"])

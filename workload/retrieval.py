@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from groundwell.functions.text import tokenize
 from groundwell.operators import fusion, lexical, vectors
 from groundwell.operators.access import allowed
+from groundwell.session import fits_broadcast
 from workload import bindings as b
 
 # Depth of the candidate lists: five results, first page times three, wide page times six.
@@ -113,8 +114,10 @@ def bm25_topk(spark: SparkSession, sf: str) -> DataFrame:
 
 def bm25_corpus_stats(spark: SparkSession, sf: str) -> DataFrame:
     index = lexical.build_index(b.chunks(spark, sf))
-    return index.terms.join(index.corpus, "workspace_id").select(
-        "workspace_id", "term", "df", "n", F.round("avgdl", 6).alias("avgdl"), F.round("idf", 6).alias("idf")
+    corpus = F.broadcast(index.corpus) if fits_broadcast(index.corpus) else index.corpus
+    return index.terms.join(corpus, "workspace_id").select(
+        "workspace_id", "term", "df", "n",
+        F.round("avgdl", 6).alias("avgdl"), F.round(lexical.idf(), 6).alias("idf"),
     )
 
 
@@ -122,7 +125,7 @@ def tokenize_terms(spark: SparkSession, sf: str) -> DataFrame:
     text = b.table(spark, sf, "documents").select("text").unionAll(
         b.table(spark, sf, "conversations").select("text")
     )
-    return text.select(F.explode(tokenize(F.col("text"))).alias("term")).groupBy("term").agg(
+    return text.select(F.explode_outer(tokenize(F.col("text"))).alias("term")).where("term is not null").groupBy("term").agg(
         F.count(F.lit(1)).alias("n")
     )
 
