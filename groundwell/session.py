@@ -46,6 +46,12 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
         spark.sparkContext.setCheckpointDir(scratch_dir(spark, "checkpoints"))
 
 
+def materialize(df: DataFrame) -> DataFrame:
+    """Reliable checkpoint of a result that several later steps read."""
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint()
+
+
 def fits_broadcast(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> bool:
     """Count at most `max_rows + 1` rows to decide whether `df` may be broadcast."""
     return df.select(F.lit(1)).limit(max_rows + 1).count() <= max_rows

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from workload import retrieval
+from workload import evaluation, retrieval, texts
 
-MODULES = [retrieval]
+MODULES = [retrieval, evaluation, texts]
 QUERIES = {name: fn for module in MODULES for name, fn in module.QUERIES.items()}
 ORACLE = {name: sql for module in MODULES for name, sql in module.ORACLE.items()}
