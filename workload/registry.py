@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from workload import evaluation, retrieval, texts
+from workload import evaluation, ingestion, retrieval, texts
 
-MODULES = [retrieval, evaluation, texts]
+MODULES = [retrieval, evaluation, texts, ingestion]
 QUERIES = {name: fn for module in MODULES for name, fn in module.QUERIES.items()}
 ORACLE = {name: sql for module in MODULES for name, sql in module.ORACLE.items()}

@@ -138,8 +138,18 @@ SQL_PARTS = (
 DIFF_PARTS = FULL.format("string_split(regexp_replace(doc, '(?m)^diff --git ', chr(1) || 'diff --git ', 'g'), chr(1))")
 BLANK = FULL.format(r"regexp_split_to_array(doc, '\n{2,}')")
 PY_PARTS = FULL.format("string_split(regexp_replace(doc, '(?m)^(def |class |async def )', chr(1) || '\\1', 'g'), chr(1))")
-# A zero-width split point before white space and a definition moves nothing but the
-# white space, which the brace-style pattern lets a piece begin with.
+# RE2 has no look-ahead: the definition is matched and put back. Split points in the blank
+# lines before it only cut off blank pieces, so those lines go.
+_W = r"[\p{L}\p{N}_]"
+_START = (
+    r"(?m)^(\s*(?:(?:public|private|protected|static|async|export|function|const|let|var)\s+)*"
+    rf"(?:(?:fun|func|fn|def|class|interface|enum|struct|impl)\s|{_W}+\s+{_W}+\s*\())"
+)
+C_PARTS = (
+    "list_transform("
+    + FULL.format(f"string_split(regexp_replace(doc, '{_START}', chr(1) || '\\1', 'g'), chr(1))")
+    + r", lambda s: regexp_replace(s, '^\s*\n', ''))"
+)
 
 
 # ---------------------------------------------------------------- ingest texts
@@ -453,6 +463,12 @@ ORACLE = {
     "chunk_markdown": _chunk_sql("'# ' || source || chr(10) || replace(text, '.' || chr(10), '.' || chr(10) || chr(10) || '## ')", 1500, MD_SEGMENTS),
     "chunk_sql": _chunk_sql("replace(text, '.' || chr(10), ';' || chr(10))", 800, _several(SQL_PARTS, "[doc]")),
     "chunk_diff": _chunk_sql("'diff --git a b' || chr(10) || replace(text, '.' || chr(10), '.' || chr(10) || 'diff --git a b' || chr(10))", 800, _several(DIFF_PARTS, "[doc]")),
+    "chunk_code": _chunk_sql(
+        "replace(text, '.' || chr(10), CASE WHEN doc_id % 2 = 0 THEN '.' || chr(10) || 'def part(x):' || chr(10) || '    ' "
+        "ELSE '.' || chr(10) || chr(10) || 'public void part() {' || chr(10) || '    ' END)",
+        800,
+        f"CASE WHEN doc_id % 2 = 0 THEN {_several(PY_PARTS, BLANK)} ELSE {_several(C_PARTS, BLANK)} END",
+    ),
     "embedding_input_usage": """WITH w AS (
         SELECT doc_id, w, length(substring(text, w * 1300 + 1, 1500)) + CASE WHEN doc_id % 2 = 0 THEN length('ctx ' || doc_id) + 2 ELSE 0 END AS n
         FROM (SELECT doc_id, text, unnest(range(0, CASE WHEN length(text) = 0 THEN 0 WHEN length(text) <= 1500 THEN 1
