@@ -197,7 +197,7 @@ def scan_eval_records(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def scan_cases_strict(spark: SparkSession, sf: str) -> DataFrame:
-    """Benchmark items as retrieval cases, question pairs and a manifest, written and read strictly."""
+    """Benchmark items as retrieval cases and question pairs, written and read strictly."""
     root = scratch_dir(spark, "cases")
     i = F.col("item_id")
     cat = F.get(F.array(*map(F.lit, jsonl.CASE_CATEGORIES)), (i % 6).cast("int"))
@@ -210,12 +210,6 @@ def scan_cases_strict(spark: SparkSession, sf: str) -> DataFrame:
     jsonl.save_records(cases, f"{root}/cases")
     pairs = b.table(spark, sf, "benchmark").select(i.cast("string").alias("id"), F.when(i % 2 == 0, "same_intent").otherwise("different_intent").alias("kind"), F.col("text").alias("q1"), F.reverse("text").alias("q2"))
     jsonl.save_records(pairs, f"{root}/pairs")
-    manifest = b.table(spark, sf, "benchmark").select(
-        F.to_json(F.array(F.struct(F.concat(F.lit("doc-"), i).alias("doc_key"), F.lit("f.md").alias("file"), F.col("text").alias("title"), F.lit("md").alias("document_type"),
-                                   F.when(i % 3 == 0, "task-1").alias("task_id"), F.when(i % 7 == 0, "restricted").otherwise("normal").alias("sensitivity_level"), F.lit("t").alias("topic"))), {"ignoreNullFields": "false"}).alias("value")
-    )
-    # One array per file.
-    manifest.repartition(4).write.mode("overwrite").option("lineSep", "\n").text(f"{root}/manifest")
     read = jsonl.scan_cases(spark, f"{root}/cases").select(
         F.lit("case").alias("kind"), "id", F.col("category").alias("label"), F.size("expected_substrings").alias("n"), F.size("access.accessible_task_ids").alias("m"), F.col("access.can_view_restricted").alias("flag"),
     )
@@ -223,6 +217,22 @@ def scan_cases_strict(spark: SparkSession, sf: str) -> DataFrame:
     return read.unionByName(pair)
 
 
+def scan_manifest(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents as manifests of fifty entries, each one JSON array in a file of its own."""
+    path = scratch_dir(spark, "manifest")
+    i = F.col("doc_id")
+    entry = F.struct(
+        F.concat(F.lit("doc-"), i).alias("doc_key"), F.lit("f.md").alias("file"), F.concat(F.lit("Doc "), F.col("source")).alias("title"),
+        F.lit("md").alias("document_type"), F.when(i % 3 == 0, "task-1").alias("task_id"),
+        F.when(i % 7 == 0, "restricted").otherwise("normal").alias("sensitivity_level"), F.col("lang").alias("topic"),
+    )
+    arrays = b.table(spark, sf, "documents").groupBy(F.floor(i / 50).alias("block")).agg(
+        F.to_json(F.collect_list(entry), {"ignoreNullFields": "false"}).alias("value")
+    )
+    arrays.repartition("block").write.mode("overwrite").partitionBy("block").text(path)
+    return jsonl.scan_manifest(spark, f"{path}/block=*").select("doc_key", "title", "task_id", "sensitivity_level", "topic", "note")
+
+
 def _training(spark: SparkSession, sf: str) -> DataFrame:
     """A user message and the assistant message after it as one record."""
     c = b.table(spark, sf, "conversations").groupBy("conv_id", "turn").agg(F.min_by(F.struct("role", "text"), "text").alias("m"))
@@ -263,7 +273,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         chunk_replace, vector_upsert, context_reuse, index_skip, commit_merge, analysis_upsert, git_batch_summary, llm_budget_selection,
-        verify_daily_budget, ingest_requests, scan_text_files, scan_events_jsonl, scan_eval_records, scan_cases_strict, training_export, safe_names,
+        verify_daily_budget, ingest_requests, scan_text_files, scan_events_jsonl, scan_eval_records, scan_cases_strict, scan_manifest, training_export, safe_names,
     )
 }
 
@@ -338,6 +348,8 @@ ORACLE = {
     "scan_cases_strict": """SELECT 'case' AS kind, item_id::VARCHAR AS id, ['single_doc', 'cross_doc', 'distractor', 'acl_task', 'acl_restricted', 'out_of_corpus'][item_id % 6 + 1] AS label,
         CASE WHEN item_id % 4 = 0 THEN 1 ELSE 0 END AS n, CASE WHEN item_id % 2 = 0 THEN 1 END AS m, item_id % 3 = 0 AS flag FROM benchmark
       UNION ALL SELECT 'pair', item_id::VARCHAR, CASE WHEN item_id % 2 = 0 THEN 'same_intent' ELSE 'different_intent' END, length(text), length(text), true FROM benchmark""",
+    "scan_manifest": """SELECT 'doc-' || doc_id AS doc_key, 'Doc ' || source AS title, CASE WHEN doc_id % 3 = 0 THEN 'task-1' END AS task_id,
+      CASE WHEN doc_id % 7 = 0 THEN 'restricted' ELSE 'normal' END AS sensitivity_level, lang AS topic, '' AS note FROM documents""",
     "training_export": f"""WITH c AS (SELECT conv_id, turn, arg_min(role, text) AS role, min(text) AS text FROM conversations GROUP BY 1, 2),
       p AS (SELECT a.conv_id, a.text AS q0, b.text AS a0, {_scrub_sql('a.text')} AS q, {_scrub_sql('b.text')} AS a FROM c a JOIN c b ON b.conv_id = a.conv_id AND b.turn = a.turn + 1 WHERE a.role = 'user' AND b.role = 'assistant'),
       t AS (SELECT *, {TOKEN_COUNT.format('q')} - {TOKEN_COUNT.format('q0')} + {TOKEN_COUNT.format('a')} - {TOKEN_COUNT.format('a0')} AS hits FROM p)
