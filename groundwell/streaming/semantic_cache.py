@@ -1,0 +1,99 @@
+"""The semantic cache as keyed state, one state per workspace.
+
+Use order runs across all namespaces of a workspace and every lookup may change it, so
+the requests of one workspace are processed in order. What a task holds is bounded: the
+state by `max_entries`, the rows by the size of a micro-batch (`maxFilesPerTrigger` or
+`maxBytesPerTrigger` of the source).
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from groundwell.operators.cache import CANDIDATE, DIRECT, MAX_ENTRIES, TTL_SECONDS
+
+OUTPUT = "workspace_id string, query_id long, outcome string, entry_id long, similarity double, generation long"
+# Entries in order of use, the least recently used first; then answers not yet stored.
+STATE = (
+    "ids array<long>, spaces array<string>, created array<double>, vectors array<double>, "
+    "waiting_ids array<long>, waiting_spaces array<string>, waiting_at array<double>, waiting_vectors array<double>, "
+    "generation long"
+)
+
+
+def replay(
+    events: DataFrame,
+    *,
+    direct: float = DIRECT,
+    floor: float = CANDIDATE,
+    ttl: float = TTL_SECONDS,
+    max_entries: int = MAX_ENTRIES,
+) -> DataFrame:
+    """Outcome of every request: direct, verified, rejected (the verifier said no), revoked
+    (a cited chunk is no longer allowed) or miss; all but the first two end in an answer.
+
+    events: workspace_id, kind (`ask` or `invalidate`), query_id, at, answered_at (seconds),
+    namespace, vector, storable, verified, allowed. An answer is stored when it is complete;
+    an invalidation in between drops it together with all entries.
+    """
+
+    def run(key: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        if state.exists:
+            ids, spaces, created, flat, w_ids, w_spaces, w_at, w_flat, generation = state.get
+        else:
+            ids, spaces, created, flat, w_ids, w_spaces, w_at, w_flat, generation = [], [], [], [], [], [], [], [], 0
+        split = lambda f, n: list(np.asarray(f, dtype=float).reshape(n, -1)) if n else []
+        live = [list(e) for e in zip(ids, spaces, created, split(flat, len(ids)))]
+        waiting = [list(e) for e in zip(w_ids, w_spaces, w_at, split(w_flat, len(w_ids)))]
+        rows = pd.concat(list(frames), ignore_index=True).sort_values(["at", "query_id"], kind="stable")
+        out = []
+        for r in rows.itertuples(index=False):
+            ready = sorted((e for e in waiting if e[2] <= r.at), key=lambda e: (e[2], e[0]))
+            waiting = [e for e in waiting if e[2] > r.at]
+            live = (live + ready)[-max_entries:] if ready else live
+            if r.kind == "invalidate":
+                live, waiting, generation = [], [], generation + 1
+                continue
+            live = [e for e in live if e[1] != r.namespace or r.at - e[2] <= ttl]
+            mine = [e for e in live if e[1] == r.namespace]
+            vector = np.asarray(r.vector, dtype=float)
+            size = np.linalg.norm(vector)
+            vector = vector / size if size else vector
+            best, similarity = None, None
+            if mine:
+                sims = np.round(np.stack([e[3] for e in mine]) @ vector, 9)
+                at = int(np.argmax(sims))
+                if sims[at] >= min(floor, direct):
+                    best, similarity = mine[at], float(sims[at])
+            outcome = "miss"
+            if best is not None and not r.allowed:
+                live, outcome = [e for e in live if e is not best], "revoked"
+            elif best is not None and similarity >= direct:
+                outcome = "direct"
+            elif best is not None:
+                outcome = "verified" if r.verified else "rejected"
+            if outcome in ("direct", "verified"):
+                live = [e for e in live if e is not best] + [best]
+            elif r.storable:
+                waiting.append([r.query_id, r.namespace, r.answered_at, vector])
+            out.append((key[0], r.query_id, outcome, best[0] if best else None, similarity, generation))
+
+        def columns(entries: list) -> tuple:
+            flat = np.concatenate([e[3] for e in entries]).tolist() if entries else []
+            return [int(e[0]) for e in entries], [e[1] for e in entries], [float(e[2]) for e in entries], flat
+
+        state.update((*columns(live), *columns(waiting), generation))
+        yield pd.DataFrame(out, columns=["workspace_id", "query_id", "outcome", "entry_id", "similarity", "generation"]).astype(
+            {"entry_id": "Int64"}
+        )
+
+    return events.groupBy("workspace_id").applyInPandasWithState(run, OUTPUT, STATE, "append", "NoTimeout")
+
+
+def outcomes(rows: DataFrame) -> DataFrame:
+    return rows.groupBy("workspace_id", "outcome").agg(F.count(F.lit(1)).alias("n"))
