@@ -73,13 +73,19 @@ def windows(text: Column, size: int, overlap: int) -> Column:
         1 + F.ceil((length - size) / F.lit(float(stride)))
     ).cast("int")
     cuts = pieces(text, stride)
-
-    def window(i: Column) -> Column:
-        tail = F.left(F.coalesce(F.get(cuts, i + 1), F.lit("")), F.lit(overlap))
-        return F.struct((i * stride).alias("at"), F.concat(F.get(cuts, i), tail).alias("body"))
-
+    # Neighbours meet in zip_with: looking them up by index in a lambda would cut the
+    # text again for every window.
+    bodies = F.zip_with(
+        cuts,
+        F.slice(cuts, 2, F.greatest(F.size(cuts), F.lit(1))),
+        lambda piece, after: F.concat(piece, F.left(F.coalesce(after, F.lit("")), F.lit(overlap))),
+    )
+    placed = F.transform(
+        F.slice(bodies, 1, count),
+        lambda body, i: F.struct((i * stride).alias("at"), body.alias("body")),
+    )
     empty = F.array().cast("array<struct<at:int,body:string>>")
-    return F.when(length > 0, F.transform(F.sequence(F.lit(0), count - 1), window)).otherwise(empty)
+    return F.when(length > 0, placed).otherwise(empty)
 
 
 def ceil_tokens(text: Column) -> Column:

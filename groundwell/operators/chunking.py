@@ -61,15 +61,15 @@ def split_markdown(text: Column) -> Column:
     bodies = F.split(text, HEADER, -1)
     marks = F.regexp_extract_all(text, F.lit(HEADER), F.lit(1))
 
-    def with_mark(body: Column, i: Column) -> Column:
-        mark = F.get(marks, i)
+    def with_mark(body: Column, mark: Column) -> Column:
         return (
             F.when(mark.isNull(), F.array(body))
             .when(body.rlike(rf"(?U)\A#{{1,4}}{WS}"), F.array(F.concat(body, mark)))
             .otherwise(F.array(body, mark))
         )
 
-    sections = F.filter(F.transform(F.flatten(F.transform(bodies, with_mark)), strip), lambda s: s != "")
+    pieces = F.flatten(F.zip_with(bodies, marks, with_mark))
+    sections = F.filter(F.transform(pieces, strip), lambda s: s != "")
     return F.flatten(
         F.transform(
             sections, lambda s: F.when(F.length(s) <= TEXT_SIZE, F.array(s)).otherwise(paragraphs(s))
@@ -151,14 +151,22 @@ def chunk(docs: DataFrame, keys: list[str], text: str = "text", doc_type: str =
         .withColumn("_runs", merge_runs()("_text", "_segments", "_size"))
     )
 
-    def windowed(run: Column) -> Column:
-        body = F.array_join(F.slice(F.col("_segments"), run["first"] + 1, run["n"]), "\n")
-        cut = F.when(F.col("_size") == CODE_SIZE, windows(body, CODE_SIZE, CODE_OVERLAP)).otherwise(
-            windows(body, TEXT_SIZE, TEXT_OVERLAP)
+    bodies = F.transform(
+        F.col("_runs"),
+        lambda r: F.struct(
+            r["at"].alias("at"),
+            F.array_join(F.slice(F.col("_segments"), r["first"] + 1, r["n"]), "\n").alias("body"),
+        ),
+    )
+    staged = staged.withColumn("_bodies", bodies)
+
+    def windowed(piece: Column) -> Column:
+        cut = F.when(F.col("_size") == CODE_SIZE, windows(piece["body"], CODE_SIZE, CODE_OVERLAP)).otherwise(
+            windows(piece["body"], TEXT_SIZE, TEXT_OVERLAP)
         )
-        return F.transform(cut, lambda w: F.struct((run["at"] + w["at"]).alias("at"), w["body"].alias("body")))
+        return F.transform(cut, lambda w: F.struct((piece["at"] + w["at"]).alias("at"), w["body"].alias("body")))
 
-    pieces = F.flatten(F.transform(F.col("_runs"), windowed))
+    pieces = F.flatten(F.transform(F.col("_bodies"), windowed))
     # The outer form: posexplode would infer a filter that evaluates the pieces twice.
     rows = staged.select(*keys, F.posexplode_outer(pieces).alias("chunk_index", "_piece"))
     return rows.where(F.col("_piece").isNotNull()).select(

@@ -9,6 +9,7 @@ from groundwell.functions.text import Tokenizer, tokenize
 from groundwell.operators import lexical, vectors
 from groundwell.operators.access import allowed, unrestricted
 from groundwell.operators.lexical import LexicalIndex
+from groundwell.session import fits_broadcast, materialize, narrow
 
 # Fusion constant, first page factor, widest page factor.
 RRF_K, PAGE_FACTOR, MAX_PAGE_FACTOR = 60, 3, 12
@@ -66,7 +67,8 @@ def candidates(
     ).withColumnRenamed("item_id", "chunk_id")
     if index is None:
         return vec, None
-    return vec, lexical.top_k(index, requests, depth, tokenizer, small_queries)
+    # A small batch of requests may still hold long texts, so the terms are counted apart.
+    return vec, lexical.top_k(index, requests, depth, tokenizer, None if small_queries else False)
 
 
 def hybrid(
@@ -90,6 +92,8 @@ def hybrid(
     Returns query_id, rank, chunk_id, rrf_score, vector_score, refetched.
     """
     first, wide = PAGE_FACTOR * k, min(2 * PAGE_FACTOR, MAX_PAGE_FACTOR) * k
+    if small_queries is None:
+        small_queries = fits_broadcast(requests, vectors.QUERY_BLOCK)
     vec, lex = candidates(requests, index, chunk_vectors, wide, tokenizer, small_queries)
     pool = vec.withColumn("bm25_rank", F.lit(None).cast("int"))
     if lex is not None:
@@ -99,15 +103,17 @@ def hybrid(
         F.max("vector_rank").alias("raw_vr"),
         F.max("bm25_rank").alias("br"),
     )
+    # At most 2 * wide rows per request, and read twice: to find their chunks, and to rank.
+    pool = materialize(pool)
+    marks = narrow(chunks.select("chunk_id", "task_id", "sensitivity_level"), pool, ["chunk_id"], small_queries)
     tasks, can_view = F.col("accessible_task_ids"), F.col("can_view_restricted")
     rule = allowed(tasks, can_view, F.col("task_id"), F.col("sensitivity_level"))
     judged = (
-        pool.join(chunks.select("chunk_id", "task_id", "sensitivity_level"), "chunk_id", "left")
+        pool.join(marks, "chunk_id", "left")
         .join(requests.select("query_id", "accessible_task_ids", "can_view_restricted"), "query_id")
         .withColumn("open", unrestricted(tasks, can_view))
         .withColumn("ok", F.col("open") | F.coalesce(rule, F.lit(False)))
     )
-    # From here on a request has at most 2 * wide rows.
     w = Window.partitionBy("query_id")
     vr, br, ok = F.col("raw_vr"), F.col("br"), F.col("ok")
     kept = F.count_if(ok & (F.coalesce(vr < first, F.lit(False)) | F.coalesce(br < first, F.lit(False)))).over(w)

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from groundwell.functions.text import cut
+from groundwell.session import narrow
 
 
 def parents(documents: DataFrame, commits: DataFrame, schemas: DataFrame) -> DataFrame:
@@ -31,9 +32,13 @@ def parents(documents: DataFrame, commits: DataFrame, schemas: DataFrame) -> Dat
     )
 
 
-def hydrate(hits: DataFrame, chunks: DataFrame, dimension: DataFrame) -> DataFrame:
+def hydrate(hits: DataFrame, chunks: DataFrame, dimension: DataFrame, bounded: bool = False) -> DataFrame:
     """Hits joined to their chunks and titles. Hits without a chunk are dropped; a chunk
-    without a parent gets a name made of its type and source id."""
+    without a parent gets a name made of its type and source id.
+
+    With `bounded`, a promise that the hits fit a broadcast, chunks and parents are only
+    scanned.
+    """
     kind, sid = F.col("source_type"), F.col("source_id")
     title = (
         F.when(kind == "owner_answer", F.concat(F.lit("담당자 답변: "), F.coalesce("owner_name", F.lit("담당자"))))
@@ -43,11 +48,25 @@ def hydrate(hits: DataFrame, chunks: DataFrame, dimension: DataFrame) -> DataFra
         .otherwise(F.concat(F.lit("Chunk #"), sid))
     )
     body = chunks.select("chunk_id", "source_type", "source_id", "content", "owner_name")
-    return (
-        hits.join(body, "chunk_id")
-        .join(dimension, ["source_type", "source_id"], "left")
-        .withColumn("title", title)
-        .drop("owner_name")
+    keys = ["source_type", "source_id"]
+    # A chunk is read once however many requests it was found for.
+    found = narrow(body, hits, ["chunk_id"], bounded)
+    titled = found.join(narrow(dimension, found, keys, bounded), keys, "left").withColumn("title", title)
+    return hits.join(titled.drop("owner_name"), "chunk_id")
+
+
+def rerank_prompts(requests: DataFrame, hits: DataFrame, max_chars: int = 600) -> DataFrame:
+    """The numbered candidate list a ranking model is shown, one text per request."""
+    listed = F.array_sort(F.collect_list(F.struct("rank", "title", "content")))
+    lines = F.transform(
+        listed,
+        lambda c, i: F.concat(
+            F.lit("["), (i + 1).cast("string"), F.lit("] ("), c["title"], F.lit(") "), F.left(c["content"], F.lit(max_chars))
+        ),
+    )
+    blocks = hits.groupBy("query_id").agg(F.array_join(lines, "\n").alias("lines"))
+    return requests.join(blocks, "query_id").select(
+        "query_id", F.concat(F.lit("질문: "), F.col("query"), F.lit("\n\n후보:\n"), F.col("lines")).alias("prompt")
     )
 
 

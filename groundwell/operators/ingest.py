@@ -121,6 +121,17 @@ def all_or_null(col: Column) -> Column:
     return F.when(F.count(col) == F.count(F.lit(1)), F.sum(col))
 
 
+def with_metadata(chunks: DataFrame, extra: dict[str, Column]) -> DataFrame:
+    """Adds `metadata`: position, text fingerprint and the extra fields of the source, which
+    win over equal names. Fields without a value are kept as such."""
+    base = {
+        "chunk_index": F.col("chunk_index"), "char_start": F.col("char_start"), "char_end": F.col("char_end"),
+        "content_sha1": F.sha1("content"),
+    }
+    entries = [c for k, v in {**base, **extra}.items() for c in (F.lit(k), v.cast("string"))]
+    return chunks.withColumn("metadata", F.create_map(*entries))
+
+
 def embedding_usage(chunks: DataFrame, provider_tokens: Column, doc: str = "doc_id") -> DataFrame:
     """Per document: chunks, calls, input characters, estimated and reported tokens.
 

@@ -22,6 +22,8 @@ K1, B, EPSILON = 1.5, 0.75, 0.25
 TIE_DIGITS = 9
 # Postings of one term that a single join task should see at most.
 POSTINGS_PER_TASK = 2_000_000
+# Query terms up to which a batch is broadcast (about 20 MB).
+QUERY_TERMS = 200_000
 
 
 @dataclass(frozen=True)
@@ -34,16 +36,16 @@ class LexicalIndex:
     corpus: DataFrame
 
     def save(self, path: str) -> None:
-        self.postings.write.mode("overwrite").parquet(f"{path}/postings")
+        # In term order, so that a search skips row groups without its terms.
+        ordered = self.postings.sortWithinPartitions("workspace_id", "term")
+        ordered.write.mode("overwrite").parquet(f"{path}/postings")
         self.terms.write.mode("overwrite").parquet(f"{path}/terms")
         self.corpus.write.mode("overwrite").parquet(f"{path}/corpus")
 
     @staticmethod
     def load(spark: SparkSession, path: str) -> "LexicalIndex":
         return LexicalIndex(
-            spark.read.parquet(f"{path}/postings").repartition("chunk_id"),
-            spark.read.parquet(f"{path}/terms"),
-            spark.read.parquet(f"{path}/corpus"),
+            *(spark.read.parquet(f"{path}/{table}") for table in ("postings", "terms", "corpus"))
         )
 
     def release(self) -> None:
@@ -126,10 +128,11 @@ def score(
     they are. A larger batch meets them in a shuffle join on the term, in which a term
     with many postings is spread over as many tasks as it needs.
     """
+    asked = query_terms(queries, tokenizer)
     if small_queries is None:
-        small_queries = fits_broadcast(queries, 5_000)
+        small_queries = fits_broadcast(asked, QUERY_TERMS)
     wanted = (
-        query_terms(queries, tokenizer)
+        asked
         .join(index.terms, ["workspace_id", "term"])
         .join(index.corpus, "workspace_id")
         .select("query_id", "workspace_id", "term", "avgdl", "df", (F.col("qtf") * idf()).alias("weight"))

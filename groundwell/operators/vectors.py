@@ -19,6 +19,8 @@ from groundwell.session import fits_broadcast
 TIE_DIGITS = 9
 # Rows of one block of vectors / of queries: a block of 256 doubles per row is 40 MB / 8 MB.
 ITEM_BLOCK, QUERY_BLOCK = 20_000, 4_000
+# Queries multiplied at a time.
+QUERY_STEP = 500
 
 
 @dataclass(frozen=True)
@@ -30,20 +32,19 @@ class _Best:
 
     def of(self, queries: pd.DataFrame, items: pd.DataFrame) -> pd.DataFrame:
         q, v = _unit(queries["vector"]), _unit(items["vector"])
-        ids = items["item_id"].to_numpy()
-        sims = np.round(q @ v.T, TIE_DIGITS)
-        if self.max_age is not None:
-            age = queries["at"].to_numpy()[:, None] - items["at"].to_numpy()[None, :]
-            sims = np.where(age > self.max_age, -np.inf, sims)
+        qids, ids = queries["query_id"].to_numpy(), items["item_id"].to_numpy()
         out = []
-        for qid, row in zip(queries["query_id"].to_numpy(), sims):
-            keep = np.flatnonzero(np.isfinite(row))
-            if len(keep) > self.k:
-                cut = np.partition(row[keep], len(keep) - self.k)[len(keep) - self.k]
-                keep = keep[row[keep] >= cut]
-            keep = keep[np.lexsort((ids[keep], -row[keep]))][: self.k]
-            out.append(pd.DataFrame({"query_id": qid, "item_id": ids[keep], "similarity": row[keep]}))
-        return _concat(out)
+        for start in range(0, len(q), QUERY_STEP):
+            rows = slice(start, start + QUERY_STEP)
+            sims = np.round(q[rows] @ v.T, TIE_DIGITS)
+            if self.max_age is not None:
+                age = queries["at"].to_numpy()[rows, None] - items["at"].to_numpy()[None, :]
+                sims[age > self.max_age] = -np.inf
+            # Everything at or above the k-th value of its row, ties included.
+            cut = np.partition(sims, -self.k, axis=1)[:, [-self.k]] if len(ids) > self.k else -np.inf
+            i, j = np.nonzero((sims >= cut) & np.isfinite(sims))
+            out.append(pd.DataFrame({"query_id": qids[rows][i], "item_id": ids[j], "similarity": sims[i, j]}))
+        return self.merge(None, _concat(out))
 
     def merge(self, a: pd.DataFrame | None, b: pd.DataFrame) -> pd.DataFrame:
         both = b if a is None else pd.concat([a, b], ignore_index=True)

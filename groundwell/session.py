@@ -55,3 +55,10 @@ def materialize(df: DataFrame) -> DataFrame:
 def fits_broadcast(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> bool:
     """Count at most `max_rows + 1` rows to decide whether `df` may be broadcast."""
     return df.select(F.lit(1)).limit(max_rows + 1).count() <= max_rows
+
+
+def narrow(big: DataFrame, few: DataFrame, keys: list[str], bounded: bool) -> DataFrame:
+    """Rows of `big` whose key occurs in `few`. With a bound on `few`, its keys are broadcast
+    and `big` is not shuffled."""
+    wanted = few.select(*keys).distinct()
+    return big.join(F.broadcast(wanted) if bounded else wanted, keys, "left_semi")

@@ -9,7 +9,7 @@ from groundwell.functions import text as t
 from groundwell.functions import vector as V
 from groundwell.operators import access, cache, grounding, hydrate, rerank
 from groundwell.plans import requests as plans
-from groundwell.session import materialize
+from groundwell.session import fits_broadcast, materialize
 from workload import bindings as b
 from workload.retrieval import HITS, hybrid_hits
 
@@ -45,7 +45,8 @@ titled AS (SELECT h.*, c.source_type, c.source_id, c.content, p.author_id,
 
 
 def titled_hits(spark: SparkSession, sf: str, k: int = 5) -> DataFrame:
-    return hydrate.hydrate(hybrid_hits(spark, sf, k), b.chunks(spark, sf), dimension(spark, sf))
+    hits = materialize(hybrid_hits(spark, sf, k))
+    return hydrate.hydrate(hits, b.chunks(spark, sf), dimension(spark, sf), fits_broadcast(hits))
 
 
 def hydrate_titles(spark: SparkSession, sf: str) -> DataFrame:
@@ -69,6 +70,11 @@ def context_blocks(spark: SparkSession, sf: str) -> DataFrame:
     return asked.join(ctx, "query_id").select("query_id", F.md5(t.judge_prompt(F.col("query"), F.col("context"))).alias("prompt_md5"))
 
 
+def rerank_prompts(spark: SparkSession, sf: str) -> DataFrame:
+    shown = hydrate.rerank_prompts(b.requests(spark, sf), titled_hits(spark, sf))
+    return shown.select("query_id", F.md5("prompt").alias("prompt_md5"))
+
+
 def _replies(spark: SparkSession, sf: str) -> DataFrame:
     i = F.col("item_id")
     ids = F.concat_ws(", ", i % 10 + 1, F.lit("99"), (i * 3) % 10 + 1, i % 10 + 1, F.lit("true"), F.lit('"4"'), F.lit("2.5"), (i * 7) % 10 + 1)
@@ -200,7 +206,7 @@ def request_metrics(spark: SparkSession, sf: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (hydrate_titles, citations, context_blocks, rerank_apply, grounding_decision, cache_lookup, cache_lru, cached_answer_access, verify_band, request_metrics)
+    for f in (hydrate_titles, citations, context_blocks, rerank_prompts, rerank_apply, grounding_decision, cache_lookup, cache_lru, cached_answer_access, verify_band, request_metrics)
 }
 
 SPACE = """'ws' || ({0} % 2) || '|' || CASE {0} % 3 WHEN 1 THEN 'any' WHEN 2 THEN 'none' ELSE 'a,b' END"""
@@ -210,6 +216,8 @@ ORACLE = {
     "context_blocks": f"""{HITS},{TITLED}, c AS (SELECT query_id, string_agg('[' || rank || '] (' || source_type || ') ' || title || chr(10) || CASE WHEN length(content) > 600 THEN content[:600] || '…(생략)' ELSE content END,
       chr(10) || chr(10) ORDER BY rank) AS ctx FROM titled WHERE rank <= 3 GROUP BY 1)
       SELECT query_id, md5('질문: ' || query || chr(10) || chr(10) || '검색된 컨텍스트:' || chr(10) || ctx) AS prompt_md5 FROM requests JOIN c USING (query_id)""",
+    "rerank_prompts": f"""{HITS},{TITLED}, c AS (SELECT query_id, string_agg('[' || rank || '] (' || title || ') ' || content[:600], chr(10) ORDER BY rank) AS lines FROM titled GROUP BY 1)
+      SELECT query_id, md5('질문: ' || query || chr(10) || chr(10) || '후보:' || chr(10) || lines) AS prompt_md5 FROM requests JOIN c USING (query_id)""",
     "rerank_apply": f"""{HITS10},
       rep AS (SELECT item_id AS query_id, CASE WHEN item_id % 9 < 3 THEN []::BIGINT[] ELSE [item_id % 10 + 1, (item_id * 3) % 10 + 1, (item_id * 7) % 10 + 1] END AS ids, item_id % 13 = 5 AS failed FROM benchmark),
       x AS (SELECT h.query_id, h.chunk_id, h.rank, count(*) OVER (PARTITION BY h.query_id) AS n, list_position(ids, h.rank) AS pos, failed FROM hits h JOIN rep USING (query_id)),

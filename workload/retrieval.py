@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from groundwell.functions.text import tokenize
 from groundwell.operators import fusion, lexical, vectors
 from groundwell.operators.access import allowed
-from groundwell.session import fits_broadcast
+from groundwell.session import fits_broadcast, scratch_dir
 from workload import bindings as b
 
 # Depth of the candidate lists: five results, first page times three, wide page times six.
@@ -107,6 +107,23 @@ def hybrid_rrf(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def vector_only_acl(spark: SparkSession, sf: str) -> DataFrame:
+    """Retrieval with the lexical branch off."""
+    hits = fusion.hybrid(b.requests(spark, sf), b.chunks(spark, sf), None, b.chunk_vectors(spark, sf), K)
+    return hits.select("query_id", "rank", "chunk_id", F.round("vector_score", 6).alias("vector_score"), "refetched")
+
+
+def bm25_context(spark: SparkSession, sf: str) -> DataFrame:
+    """Every other chunk is indexed with a generated context in front; the index is saved and
+    loaded before the search."""
+    context = F.when(F.col("chunk_id") % 2 == 0, F.concat(F.lit("about "), F.col("source_type")))
+    path = scratch_dir(spark, "index")
+    lexical.build_index(b.chunks(spark, sf).withColumn("context", context), context="context", level=None).save(path)
+    return lexical.top_k(lexical.LexicalIndex.load(spark, path), b.requests(spark, sf), K).withColumn(
+        "score", F.round("score", 6)
+    )
+
+
 def bm25_topk(spark: SparkSession, sf: str) -> DataFrame:
     index = lexical.build_index(b.chunks(spark, sf))
     return lexical.top_k(index, b.requests(spark, sf), K).withColumn("score", F.round("score", 6))
@@ -160,6 +177,8 @@ def acl_visible_chunks(spark: SparkSession, sf: str) -> DataFrame:
 
 QUERIES = {
     "bm25_topk": bm25_topk,
+    "bm25_context": bm25_context,
+    "vector_only_acl": vector_only_acl,
     "bm25_corpus_stats": bm25_corpus_stats,
     "tokenize_terms": tokenize_terms,
     "vector_topk": vector_topk,
@@ -170,6 +189,11 @@ QUERIES = {
 
 ORACLE = {
     "bm25_topk": f"{BASE},{BM25_RANKED} SELECT query_id, chunk_id, round(score, 6) AS score, bm25_rank FROM lex WHERE bm25_rank < {K}",
+    "bm25_context": (f"{BASE},{BM25_RANKED}").replace(
+        "regexp_extract_all(lower(content)",
+        "regexp_extract_all(lower(CASE WHEN chunk_id % 2 = 0 THEN 'about ' || source_type || chr(10) ELSE '' END || content)",
+    ) + f" SELECT query_id, chunk_id, round(score, 6) AS score, bm25_rank FROM lex WHERE bm25_rank < {K}",
+    "vector_only_acl": f"{BASE},{VEC_RANKED}, lex AS (SELECT NULL::BIGINT AS query_id, NULL::BIGINT AS chunk_id, NULL::BIGINT AS bm25_rank WHERE false),{HYBRID_ACL} SELECT query_id, rank, chunk_id, round(vector_score, 6) AS vector_score, refetched FROM hits",
     "bm25_corpus_stats": f"{BASE},{BM25} SELECT workspace_id, term, df, n, round(avgdl, 6) AS avgdl, round(idf, 6) AS idf FROM terms JOIN corpus USING (workspace_id)",
     "tokenize_terms": f"SELECT term, count(*) AS n FROM (SELECT unnest({TOKENS.format('text')}) AS term FROM (SELECT text FROM documents UNION ALL SELECT text FROM conversations)) GROUP BY 1",
     "vector_topk": f"{BASE},{VEC_RANKED} SELECT query_id, chunk_id, round(similarity, 6) AS similarity, vector_rank FROM vec WHERE vector_rank < {K}",

@@ -84,8 +84,8 @@ def stream_semantic_cache(spark: SparkSession, sf: str) -> DataFrame:
         F.concat(F.lit("ns"), i % 8).alias("namespace"), V.as_double(F.col("embedding")).alias("vector"),
         (i % 5 != 0).alias("storable"), (i % 3 != 0).alias("verified"), (i % 7 != 0).alias("allowed"),
     )
-    # One file, so that arrival follows the order of the requests.
-    rows.repartition(1).write.mode("overwrite").parquet(f"{root}/in")
+    # One batch over all files: the job itself puts the requests of a workspace in order.
+    rows.repartitionByRange(FILES, "query_id").write.mode("overwrite").parquet(f"{root}/in")
     stream = spark.readStream.schema(rows.schema).parquet(f"{root}/in")
     found = semantic_cache.replay(stream, direct=0.45, floor=0.3, ttl=300.0, max_entries=20)
     tables.run_available(found, f"{root}/checkpoint", lambda df, n: tables.write_batch(df, f"{root}/out", n))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from groundwell.functions import commits, replies, rules, text as t
 from groundwell.operators import chunking, history, hydrate
-from groundwell.operators.ingest import embedding_usage, ingest_result
+from groundwell.operators.ingest import embed, embedding_usage, ingest_result, with_metadata
 from workload import bindings as b
 from workload.evaluation import rounded
 
@@ -175,6 +175,33 @@ def embedding_input_usage(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def chunk_metadata(spark: SparkSession, sf: str) -> DataFrame:
+    rows = chunking.chunk_rows(_docs(spark, sf), ["doc_id", "source", "lang"], 1500, 200)
+    extra = {"commit_hash": F.col("source"), "branch_name": F.when(F.col("doc_id") % 2 == 0, F.col("lang")), "char_end": F.lit(-1)}
+    made = with_metadata(rows, extra)
+    return made.select(
+        "doc_id", "chunk_index", *(F.col("metadata")[k].alias(f"m_{k}") for k in ("char_start", "char_end", "content_sha1", "commit_hash", "branch_name"))
+    )
+
+
+def embed_batches(spark: SparkSession, sf: str) -> DataFrame:
+    """A user function in place of a model: length and first character of each text."""
+    rows = b.table(spark, sf, "conversations").select("conv_id", "turn", F.col("text").alias("input"))
+    made = embed(rows, lambda texts: [[float(len(s)), float(ord(s[0])) if s else 0.0] for s in texts])
+    return made.select("conv_id", "turn", F.get("vector", F.lit(0)).alias("x0"), F.get("vector", F.lit(1)).alias("x1"))
+
+
+def risk_labels(spark: SparkSession, sf: str) -> DataFrame:
+    """Free risk labels of models, with the rules for documents and for commits."""
+    i = F.col("conv_id") * 100 + F.col("turn")
+    words = ("high", " HIGH risk", "매우 높음", "low", "낮음", "보통", "중간", "medium-low", "?", None)
+    label = F.get(F.array(*map(F.lit, words)), (i % len(words)).cast("int"))
+    rows = b.table(spark, sf, "conversations").select(i.alias("id"), label.alias("label"))
+    return rows.select(
+        "id", rules.normal_risk(F.col("label"), True).alias("document_risk"), rules.normal_risk(F.col("label"), False).alias("commit_risk")
+    )
+
+
 def pii_scrub(spark: SparkSession, sf: str) -> DataFrame:
     texts = _docs(spark, sf).select(F.lit("doc").alias("kind"), F.col("doc_id").alias("id"), "text").unionAll(
         b.table(spark, sf, "conversations").select(
@@ -417,6 +444,9 @@ QUERIES = {
     "chunk_sql": chunk_sql,
     "chunk_diff": chunk_diff,
     "embedding_input_usage": embedding_input_usage,
+    "chunk_metadata": chunk_metadata,
+    "embed_batches": embed_batches,
+    "risk_labels": risk_labels,
     "pii_scrub": pii_scrub,
     "commit_rules": commit_rules,
     "document_rules": document_rules,
@@ -478,6 +508,12 @@ ORACLE = {
       SELECT d.doc_id, length(text) AS char_count, 0.0::DOUBLE AS replacement_ratio, chunk_count, calls, embedding_input_chars, estimated_tokens, provider_tokens,
              CASE WHEN d.doc_id % 97 = 5 THEN 'FAILED' WHEN coalesce(chunk_count, 0) = 0 THEN 'EMPTY' ELSE 'COMPLETED' END AS result
       FROM documents d LEFT JOIN u USING (doc_id)""",
+    "chunk_metadata": """SELECT doc_id, w AS chunk_index, (w * 1300)::VARCHAR AS m_char_start, '-1' AS m_char_end, sha1(substring(text, w * 1300 + 1, 1500)) AS m_content_sha1,
+        source AS m_commit_hash, CASE WHEN doc_id % 2 = 0 THEN lang END AS m_branch_name
+      FROM (SELECT *, unnest(range(0, CASE WHEN length(text) = 0 THEN 0 WHEN length(text) <= 1500 THEN 1 ELSE 1 + ceil((length(text) - 1500) / 1300)::BIGINT END)) AS w FROM documents)""",
+    "embed_batches": "SELECT conv_id, turn, length(text)::DOUBLE AS x0, CASE WHEN text = '' THEN 0 ELSE unicode(text) END::DOUBLE AS x1 FROM conversations",
+    "risk_labels": """SELECT id, ['HIGH', 'HIGH', 'HIGH', 'LOW', 'LOW', 'MEDIUM', 'MEDIUM', 'MEDIUM', 'MEDIUM', 'MEDIUM'][id % 10 + 1] AS document_risk,
+      ['HIGH', 'HIGH', 'MEDIUM', 'LOW', 'MEDIUM', 'MEDIUM', 'MEDIUM', 'LOW', 'MEDIUM', 'MEDIUM'][id % 10 + 1] AS commit_risk FROM (SELECT conv_id * 100 + turn AS id FROM conversations)""",
     "pii_scrub": f"""SELECT kind, id, md5(s) AS text_md5, {TOKEN_COUNT.format('s')} - {TOKEN_COUNT.format('text')} AS hits
       FROM (SELECT kind, id, text, {_scrub_sql('text')} AS s FROM (SELECT 'doc' AS kind, doc_id AS id, text FROM documents
             UNION ALL SELECT 'conv', conv_id * 100 + turn, text FROM conversations))""",
