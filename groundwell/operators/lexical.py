@@ -48,9 +48,6 @@ class LexicalIndex:
             *(spark.read.parquet(f"{path}/{table}") for table in ("postings", "terms", "corpus"))
         )
 
-    def release(self) -> None:
-        self.postings.unpersist()
-
 
 def build_index(
     chunks: DataFrame,
@@ -61,33 +58,43 @@ def build_index(
     """Index the chunks that have tokens. With `context`, the generated context of a chunk
     is indexed in front of its text.
 
-    The text is shuffled once, before it is tokenized. Postings are read three times
-    (term counts, lengths, scores) and are persisted in that partitioning; lost blocks
-    are recomputed from the shuffle. Pass level=None to leave them lazy, for `save`.
+    The text is shuffled once, before it is tokenized. Postings and terms are read several
+    times and are persisted in that partitioning; lost blocks are recomputed from the
+    shuffle. Pass level=None to leave them lazy, for `save`.
     """
     text: Column = F.col("content")
     if context is not None:
         text = F.when(
             F.coalesce(F.col(context), F.lit("")) != "", F.concat(F.col(context), F.lit("\n"), text)
         ).otherwise(text)
-    postings = (
+    keep = (lambda df: df) if level is None else (lambda df: df.persist(level))
+    tokens = (
         chunks.select("workspace_id", "chunk_id", text.alias("content"))
         .repartition("chunk_id")
         .select("workspace_id", "chunk_id", tokenizer(F.col("content")).alias("tokens"))
-        .select("workspace_id", "chunk_id", F.size("tokens").alias("dl"), F.explode_outer("tokens").alias("term"))
-        # Not explode(): it would infer a filter that tokenizes every text a second time.
-        .where(F.col("term").isNotNull())
+        .withColumn("dl", F.size("tokens"))
+    )
+    # Each chunk also gets one posting without a term, which carries its length into the
+    # one pass over the postings that counts terms. An outer explode, as the plain one
+    # would infer a filter that tokenizes every text a second time.
+    postings = keep(
+        tokens.select(
+            "workspace_id",
+            "chunk_id",
+            "dl",
+            F.explode_outer(F.array_append("tokens", F.lit(None).cast("string"))).alias("term"),
+        )
         .groupBy("workspace_id", "chunk_id", "dl", "term")
         .agg(F.count(F.lit(1)).alias("tf"))
     )
-    if level is not None:
-        postings = postings.persist(level)
-    terms = postings.groupBy("workspace_id", "term").agg(F.count(F.lit(1)).alias("df"))
-    sizes = (
-        postings.groupBy("workspace_id", "chunk_id")
-        .agg(F.max("dl").alias("dl"))
-        .groupBy("workspace_id")
-        .agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))
+    counts = keep(
+        postings.where(F.col("dl") > 0)
+        .groupBy("workspace_id", "term")
+        .agg(F.count(F.lit(1)).alias("df"), F.sum("dl").alias("dl"))
+    )
+    terms = counts.where(F.col("term").isNotNull()).select("workspace_id", "term", "df")
+    sizes = counts.where(F.col("term").isNull()).select(
+        "workspace_id", F.col("df").alias("n"), (F.col("dl") / F.col("df")).alias("avgdl")
     )
     # The mean idf of a workspace comes from its histogram of df values: the term table,
     # which may lie in one workspace for the most part, is never moved by workspace.
@@ -95,7 +102,7 @@ def build_index(
     corpus = spread.groupBy("workspace_id", "n", "avgdl").agg(
         (F.sum(F.col("m") * raw_idf()) / F.sum("m") * EPSILON).alias("floor")
     )
-    return LexicalIndex(postings, terms, corpus)
+    return LexicalIndex(postings.where(F.col("term").isNotNull()), terms, corpus)
 
 
 def raw_idf() -> Column:

@@ -1,100 +1,89 @@
-"""Exact interpolated percentiles per group, without gathering a group in one task.
+"""Exact interpolated percentiles per group, without gathering or shuffling a group.
 
-Values are first counted, then narrowed in two steps: a logarithmic bucket, whose number
-per group is bounded, and 4096 linear steps inside the few buckets that hold a wanted
-rank. Only what lies in those steps is sorted.
+A first pass counts rows per narrow logarithmic bucket of the value, of which a group has
+a bounded number. The few buckets that hold a wanted rank are known after it, and only
+their rows leave the second pass to be counted and sorted.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-STEPS = 4096
+from groundwell.session import materialize
+
+# Buckets per doubling of the value: a bucket is 0.14 % wide.
+PER_OCTAVE = 512
 
 
 def _bucket(v: Column) -> Column:
-    """Monotone bucket number: 64 buckets per octave on both sides of zero."""
-    size = (F.floor(F.log2(F.abs(v)) * 64) + 1100 * 64).cast("long")
+    """Monotone bucket number on both sides of zero; 1100 octaves cover every double."""
+    size = (F.floor(F.log2(F.abs(v)) * PER_OCTAVE) + 1100 * PER_OCTAVE).cast("long")
     return F.when(v > 0, size).when(v < 0, -size).otherwise(F.lit(0).cast("long"))
 
 
+def _wanted(total: Column, probs: dict[str, float]) -> Column:
+    """array<struct<name, rank, weight>>: the one or two ranks each percentile is made of."""
+    parts = []
+    for name, p in probs.items():
+        at = (total - 1) * F.lit(float(p))
+        low = F.floor(at)
+        for rank, weight in ((low, F.lit(1.0) - (at - low)), (low + 1, at - low)):
+            parts.append(
+                F.struct(F.lit(name).alias("name"), rank.cast("long").alias("rank"), weight.alias("weight"))
+            )
+    return F.filter(F.array(*parts), lambda w: w["weight"] > 0)
+
+
+def _held(start: Column, n: Column) -> Column:
+    """The wanted ranks among `n` rows that begin at rank `start`."""
+    return F.filter(F.col("wanted"), lambda w: (w["rank"] >= start) & (w["rank"] < start + n))
+
+
 def percentiles(df: DataFrame, keys: list[str], value: Column, probs: dict[str, float]) -> DataFrame:
     """One row per group that has a value: *keys and one column per name in `probs`.
 
     Ranks interpolate linearly, as `percentile` does. NULL values are left out, NULL keys
-    form a group.
+    form a group. `df` is read twice.
     """
     key = F.struct(*keys) if keys else F.struct(F.lit(0).alias("all"))
-    counted = (
-        df.select(key.alias("k"), value.cast("double").alias("v"))
-        .where(F.col("v").isNotNull())
-        .groupBy("k", "v")
-        .agg(F.count(F.lit(1)).alias("n"))
-        .withColumn("b", _bucket(F.col("v")))
-    )
-    spans = [F.sum("n").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi")]
-
-    def before(order: Column, *by: str) -> Column:
-        total = F.sum("n").over(Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, 0))
-        return total - F.col("n")
-
-    def holding(start: Column) -> Column:
-        return F.filter(
-            F.col("wanted"), lambda w: (w["rank"] >= start) & (w["rank"] < start + F.col("n"))
-        )
-
-    total = F.sum("n").over(Window.partitionBy("k"))
-    wanted = F.flatten(
-        F.array(
-            *(
-                F.array(
-                    *(
-                        F.struct(
-                            F.lit(name).alias("name"), rank.cast("long").alias("rank"), weight.alias("weight")
-                        )
-                        for rank, weight in (
-                            (F.floor(at), F.lit(1.0) - (at - F.floor(at))),
-                            (F.floor(at) + 1, at - F.floor(at)),
-                        )
-                    )
-                )
-                for name, at in ((n, (total - 1) * F.lit(float(p))) for n, p in probs.items())
-            )
-        )
-    )
-    # A rank with weight 0 (a whole position) may lie past the end and is not wanted.
-    coarse = (
-        counted.groupBy("k", "b")
-        .agg(*spans)
-        .withColumn("wanted", F.filter(wanted, lambda w: w["weight"] > 0))
-        .withColumn("start", before(F.col("b"), "k"))
-        .withColumn("wanted", holding(F.col("start")))
+    rows = df.select(key.alias("k"), value.cast("double").alias("v")).where(F.col("v").isNotNull())
+    rows = rows.withColumn("b", _bucket(F.col("v")))
+
+    group = Window.partitionBy("k")
+    upto = F.sum("n").over(group.orderBy("b").rowsBetween(Window.unboundedPreceding, 0))
+    counts = rows.groupBy("k", "b").agg(F.count(F.lit(1)).alias("n"))
+    ranked = counts.select("k", "b", "n", (upto - F.col("n")).alias("start"), F.sum("n").over(group).alias("total"))
+
+    def touched(p: float) -> Column:
+        """Whether the bucket holds one of the two ranks around a percentile."""
+        low = F.floor((F.col("total") - 1) * F.lit(float(p)))
+        return (low + 1 >= F.col("start")) & (low < F.col("start") + F.col("n"))
+
+    near = reduce(lambda x, y: x | y, (touched(p) for p in probs.values()))
+    # At most three buckets per percentile and group, written as a table of known size.
+    picks = materialize(
+        ranked.where(near)
+        .withColumn("wanted", _wanted(F.col("total"), probs))
+        .withColumn("wanted", _held(F.col("start"), F.col("n")))
         .where(F.size("wanted") > 0)
-        .select("k", "b", "lo", "hi", "start", "wanted")
+        .select("k", "b", "start", "wanted")
     )
-    step = F.when(F.col("hi") > F.col("lo"), F.least(
-        F.floor((F.col("v") - F.col("lo")) / (F.col("hi") - F.col("lo")) * STEPS).cast("long"), F.lit(STEPS - 1)
-    )).otherwise(0)
-    inside = counted.join(coarse.select("k", "b", "lo", "hi"), ["k", "b"]).select("k", "b", step.alias("s"), "v", "n")
-    fine = (
-        inside.groupBy("k", "b", "s")
-        .agg(F.sum("n").alias("n"))
-        .join(coarse.select("k", "b", "start", "wanted"), ["k", "b"])
-        .withColumn("start", F.col("start") + before(F.col("s"), "k", "b"))
-        .withColumn("wanted", holding(F.col("start")))
-        .where(F.size("wanted") > 0)
-        .select("k", "b", "s", "start", "wanted")
+    counted = (
+        rows.join(picks.select("k", "b"), ["k", "b"], "left_semi")
+        .groupBy("k", "b", "v")
+        .agg(F.count(F.lit(1)).alias("n"))
     )
+    inside = Window.partitionBy("k", "b").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
+    first = F.col("start") + F.sum("n").over(inside) - F.col("n")
     found = (
-        inside.join(fine, ["k", "b", "s"])
-        .withColumn("start", F.col("start") + before(F.col("v"), "k", "b", "s"))
-        .select("k", "v", F.explode(holding(F.col("start"))).alias("w"))
+        counted.join(picks, ["k", "b"])
+        .withColumn("first", first)
+        .select("k", "v", F.inline(_held(F.col("first"), F.col("n"))))
     )
     out = found.groupBy("k").agg(
-        *(
-            F.sum(F.when(F.col("w.name") == name, F.col("v") * F.col("w.weight"))).alias(name)
-            for name in probs
-        )
+        *(F.sum(F.when(F.col("name") == n, F.col("v") * F.col("weight"))).alias(n) for n in probs)
     )
     return out.select(*(F.col(f"k.{c}").alias(c) for c in keys), *probs)

@@ -40,16 +40,15 @@ def scratch_dir(spark: SparkSession, name: str) -> str:
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Point reliable checkpoints at the shared folder unless the session already has one."""
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(scratch_dir(spark, "checkpoints"))
-
-
 def materialize(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint of a result that several later steps read."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint()
+    """A result that several later steps read, written once to the shared scratch space.
+
+    It survives the loss of executors, and as a table its size is known: joins broadcast
+    it by themselves if it is small enough.
+    """
+    path = scratch_dir(df.sparkSession, "table")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def fits_broadcast(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> bool:
@@ -62,3 +61,10 @@ def narrow(big: DataFrame, few: DataFrame, keys: list[str], bounded: bool) -> Da
     and `big` is not shuffled."""
     wanted = few.select(*keys).distinct()
     return big.join(F.broadcast(wanted) if bounded else wanted, keys, "left_semi")
+
+
+def spread(scan: DataFrame, key: str) -> DataFrame:
+    """A table scan with fewer splits than cores (a small or single file), spread over the
+    cores by `key` before heavy work. A scan with splits enough stays where it is."""
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan if scan.rdd.getNumPartitions() >= cores else scan.repartition(cores, key)
