@@ -151,13 +151,12 @@ def verify_stats(pairs: DataFrame, keys: list[str] = []) -> DataFrame:
         F.count_distinct("verify_model").alias("models"),
         F.count_distinct(F.when(F.col("verify_prompt_version") != "", F.col("verify_prompt_version"))).alias("prompt_versions"),
     ).withColumn("accuracy", (F.col("total") - F.col("false_yes") - F.col("false_no")) / F.col("total"))
-    group = keys or ["_all"]
-    lat = percentiles(
-        judged if keys else judged.withColumn("_all", F.lit(0)), group, F.col("verify_latency_ms"),
-        {"latency_p50_ms": 0.5, "latency_p95_ms": 0.95},
-    )
-    base = stats if keys else stats.withColumn("_all", F.lit(0))
-    return base.join(lat, group, "left").drop("_all")
+    lat = percentiles(judged, keys, F.col("verify_latency_ms"), {"latency_p50_ms": 0.5, "latency_p95_ms": 0.95})
+    if keys:
+        return stats.join(lat, keys, "left")
+    # Two rows with different columns, put into one.
+    both = stats.unionByName(lat, allowMissingColumns=True)
+    return both.agg(*(F.max(c).alias(c) for c in both.columns))
 
 
 def misjudged(pairs: DataFrame) -> DataFrame:

@@ -204,9 +204,9 @@ def cache_benefit(pairs: DataFrame, target_ms: float = 2000.0) -> DataFrame:
     ranks = percentiles(long, ["s"], F.col("v"), P50_P95).agg(
         *(F.max(F.when(F.col("s") == n, F.col(p))).alias(f"{n}_{p}") for n in ("miss", "hit") for p in P50_P95)
     )
-    # Both sides have exactly one row.
-    one = F.lit(1).alias("_one")
-    row = totals.select("*", one).join(ranks.select("*", one), "_one").drop("_one")
+    # Two rows with different columns, put into one.
+    both = totals.unionByName(ranks, allowMissingColumns=True)
+    row = both.agg(*(F.max(c).alias(c) for c in both.columns))
     return row.withColumns(
         {
             "token_saving_rate": (F.col("mean_tokens_miss") - F.col("mean_tokens_hit"))
