@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.storagelevel import StorageLevel
 
 from groundwell.functions.text import Tokenizer, tokenize
-from groundwell.session import fits_broadcast
+from groundwell.session import fits_broadcast, materialize, write_table
 
 # The usual Okapi parameters.
 K1, B, EPSILON = 1.5, 0.75, 0.25
@@ -35,49 +35,58 @@ class LexicalIndex:
     terms: DataFrame
     corpus: DataFrame
 
-    def save(self, path: str) -> None:
-        # In term order, so that a search skips row groups without its terms.
-        ordered = self.postings.sortWithinPartitions("workspace_id", "term")
-        ordered.write.mode("overwrite").parquet(f"{path}/postings")
-        self.terms.write.mode("overwrite").parquet(f"{path}/terms")
-        self.corpus.write.mode("overwrite").parquet(f"{path}/corpus")
-
     @staticmethod
     def load(spark: SparkSession, path: str) -> "LexicalIndex":
-        return LexicalIndex(
-            *(spark.read.parquet(f"{path}/{table}") for table in ("postings", "terms", "corpus"))
-        )
+        """An index that was built with this path."""
+        return _index(spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/counts"))
+
+
+def _index(postings: DataFrame, counts: DataFrame) -> LexicalIndex:
+    """The index of all postings and of the counts per term; the row of a workspace without
+    a term counts its chunks and their lengths."""
+    terms = counts.where(F.col("term").isNotNull()).select("workspace_id", "term", "df")
+    sizes = counts.where(F.col("term").isNull()).select(
+        "workspace_id", F.col("df").alias("n"), (F.col("dl") / F.col("df")).alias("avgdl")
+    )
+    # The mean idf of a workspace comes from its histogram of df values: the term table,
+    # which may lie in one workspace for the most part, is never moved by workspace.
+    spread = terms.groupBy("workspace_id", "df").agg(F.count(F.lit(1)).alias("m")).join(sizes, "workspace_id")
+    corpus = spread.groupBy("workspace_id", "n", "avgdl").agg(
+        (F.sum(F.col("m") * raw_idf()) / F.sum("m") * EPSILON).alias("floor")
+    )
+    return LexicalIndex(postings.where(F.col("term").isNotNull()), terms, corpus)
 
 
 def build_index(
     chunks: DataFrame,
     tokenizer: Tokenizer = tokenize,
     context: str | None = None,
-    level: StorageLevel | None = StorageLevel.MEMORY_AND_DISK,
+    path: str | None = None,
+    partitions: int | None = None,
 ) -> LexicalIndex:
     """Index the chunks that have tokens. With `context`, the generated context of a chunk
     is indexed in front of its text.
 
-    The text is shuffled once, before it is tokenized. Postings and terms are read several
-    times and are persisted in that partitioning; lost blocks are recomputed from the
-    shuffle. Pass level=None to leave them lazy, for `save`.
+    The text is shuffled once, before it is tokenized. Without a path the postings are
+    persisted in that partitioning for the searches of this session; lost blocks are
+    recomputed from the shuffle. With a path they are written there in term order, so that
+    a search skips row groups without its terms, for `LexicalIndex.load`. The counts per
+    term are written in either case.
     """
     text: Column = F.col("content")
     if context is not None:
         text = F.when(
             F.coalesce(F.col(context), F.lit("")) != "", F.concat(F.col(context), F.lit("\n"), text)
         ).otherwise(text)
-    keep = (lambda df: df) if level is None else (lambda df: df.persist(level))
-    tokens = (
-        chunks.select("workspace_id", "chunk_id", text.alias("content"))
-        .repartition("chunk_id")
-        .select("workspace_id", "chunk_id", tokenizer(F.col("content")).alias("tokens"))
-        .withColumn("dl", F.size("tokens"))
-    )
+    texts = chunks.select("workspace_id", "chunk_id", text.alias("content"))
+    by_chunk = texts.repartition("chunk_id") if partitions is None else texts.repartition(partitions, "chunk_id")
+    tokens = by_chunk.select(
+        "workspace_id", "chunk_id", tokenizer(F.col("content")).alias("tokens")
+    ).withColumn("dl", F.size("tokens"))
     # Each chunk also gets one posting without a term, which carries its length into the
     # one pass over the postings that counts terms. An outer explode, as the plain one
     # would infer a filter that tokenizes every text a second time.
-    postings = keep(
+    postings = (
         tokens.select(
             "workspace_id",
             "chunk_id",
@@ -87,22 +96,16 @@ def build_index(
         .groupBy("workspace_id", "chunk_id", "dl", "term")
         .agg(F.count(F.lit(1)).alias("tf"))
     )
-    counts = keep(
+    if path is None:
+        postings = postings.persist(StorageLevel.MEMORY_AND_DISK)
+    else:
+        postings = write_table(postings.sortWithinPartitions("workspace_id", "term"), f"{path}/postings")
+    counts = (
         postings.where(F.col("dl") > 0)
         .groupBy("workspace_id", "term")
         .agg(F.count(F.lit(1)).alias("df"), F.sum("dl").alias("dl"))
     )
-    terms = counts.where(F.col("term").isNotNull()).select("workspace_id", "term", "df")
-    sizes = counts.where(F.col("term").isNull()).select(
-        "workspace_id", F.col("df").alias("n"), (F.col("dl") / F.col("df")).alias("avgdl")
-    )
-    # The mean idf of a workspace comes from its histogram of df values: the term table,
-    # which may lie in one workspace for the most part, is never moved by workspace.
-    spread = terms.groupBy("workspace_id", "df").agg(F.count(F.lit(1)).alias("m")).join(sizes, "workspace_id")
-    corpus = spread.groupBy("workspace_id", "n", "avgdl").agg(
-        (F.sum(F.col("m") * raw_idf()) / F.sum("m") * EPSILON).alias("floor")
-    )
-    return LexicalIndex(postings.where(F.col("term").isNotNull()), terms, corpus)
+    return _index(postings, materialize(counts) if path is None else write_table(counts, f"{path}/counts"))
 
 
 def raw_idf() -> Column:

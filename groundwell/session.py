@@ -40,15 +40,19 @@ def scratch_dir(spark: SparkSession, name: str) -> str:
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def write_table(df: DataFrame, path: str) -> DataFrame:
+    """Write `df` and go on with what was written."""
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """A result that several later steps read, written once to the shared scratch space.
 
     It survives the loss of executors, and as a table its size is known: joins broadcast
     it by themselves if it is small enough.
     """
-    path = scratch_dir(df.sparkSession, "table")
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return write_table(df, scratch_dir(df.sparkSession, "table"))
 
 
 def fits_broadcast(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> bool:
@@ -63,6 +67,14 @@ def narrow(big: DataFrame, few: DataFrame, keys: list[str], bounded: bool) -> Da
     return big.join(F.broadcast(wanted) if bounded else wanted, keys, "left_semi")
 
 
+def scan_partitions(scan: DataFrame, growth: int = 4) -> int:
+    """Shuffle partitions for a plain table scan: the session's setting, but no more than
+    `growth` per input split, and one per core at least."""
+    context = scan.sparkSession.sparkContext
+    setting = int(scan.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return min(setting, max(context.defaultParallelism, growth * scan.rdd.getNumPartitions()))
+
+
 def spread(scan: DataFrame, key: str) -> DataFrame:
     """A table scan with fewer splits than cores (a small or single file), spread over the
     cores by `key` before heavy work. A scan with splits enough stays where it is."""

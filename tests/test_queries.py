@@ -37,7 +37,7 @@ def test_scores_are_computed_where_the_chunk_lies(spark):
     from groundwell.operators import lexical
     from workload import bindings as b
 
-    index = lexical.build_index(b.chunks(spark, SF), level=None)
+    index = lexical.build_index(b.chunks(spark, SF))
     plan = lexical.score(index, b.requests(spark, SF), small_queries=True)._jdf.queryExecution().executedPlan().toString()
     spine = [line for line in plan.splitlines() if "Exchange hashpartitioning(query_id" in line and "chunk_id" in line]
     assert spine == []

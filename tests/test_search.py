@@ -63,7 +63,7 @@ def test_saved_index_with_context(spark):
     rows = [(1, "a", "alpha", "beta"), (2, "a", "beta", None), (3, "a", "gamma", ""), (4, "a", "delta", None), (5, "a", "eps", None)]
     df = spark.createDataFrame(rows, "chunk_id long, workspace_id string, content string, context string")
     path = scratch_dir(spark, "t")
-    lexical.build_index(df, context="context", level=None).save(path)
+    lexical.build_index(df, context="context", path=path)
     q = spark.createDataFrame([(1, "a", "beta")], "query_id long, workspace_id string, query string")
     got = lexical.top_k(lexical.LexicalIndex.load(spark, path), q, 5).orderBy("bm25_rank").collect()
     assert [r["chunk_id"] for r in got] == [2, 1]

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from groundwell.functions.text import tokenize
 from groundwell.operators import fusion, lexical, vectors
 from groundwell.operators.access import allowed
-from groundwell.session import fits_broadcast, scratch_dir
+from groundwell.session import fits_broadcast, scan_partitions, scratch_dir
 from workload import bindings as b
 
 # Depth of the candidate lists: five results, first page times three, wide page times six.
@@ -84,10 +84,14 @@ hits AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id
 HITS = f"{BASE},{BM25_RANKED},{VEC_RANKED},{HYBRID_ACL}"
 
 
+def index_of(chunks: DataFrame, **options) -> lexical.LexicalIndex:
+    return lexical.build_index(chunks, partitions=scan_partitions(chunks), **options)
+
+
 def hybrid_hits(spark: SparkSession, sf: str, k: int = K) -> DataFrame:
     chunks = b.chunks(spark, sf)
     return fusion.hybrid(
-        b.requests(spark, sf), chunks, lexical.build_index(chunks), b.chunk_vectors(spark, sf), k
+        b.requests(spark, sf), chunks, index_of(chunks), b.chunk_vectors(spark, sf), k
     )
 
 
@@ -99,7 +103,7 @@ def hybrid_rrf_acl(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def hybrid_rrf(spark: SparkSession, sf: str) -> DataFrame:
-    index = lexical.build_index(b.chunks(spark, sf))
+    index = index_of(b.chunks(spark, sf))
     vec, lex = fusion.candidates(b.requests(spark, sf), index, b.chunk_vectors(spark, sf), 3 * K)
     return fusion.rrf(vec, lex, K).select(
         "query_id", "rank", "chunk_id",
@@ -118,19 +122,19 @@ def bm25_context(spark: SparkSession, sf: str) -> DataFrame:
     loaded before the search."""
     context = F.when(F.col("chunk_id") % 2 == 0, F.concat(F.lit("about "), F.col("source_type")))
     path = scratch_dir(spark, "index")
-    lexical.build_index(b.chunks(spark, sf).withColumn("context", context), context="context", level=None).save(path)
+    index_of(b.chunks(spark, sf).withColumn("context", context), context="context", path=path)
     return lexical.top_k(lexical.LexicalIndex.load(spark, path), b.requests(spark, sf), K).withColumn(
         "score", F.round("score", 6)
     )
 
 
 def bm25_topk(spark: SparkSession, sf: str) -> DataFrame:
-    index = lexical.build_index(b.chunks(spark, sf))
+    index = index_of(b.chunks(spark, sf))
     return lexical.top_k(index, b.requests(spark, sf), K).withColumn("score", F.round("score", 6))
 
 
 def bm25_corpus_stats(spark: SparkSession, sf: str) -> DataFrame:
-    index = lexical.build_index(b.chunks(spark, sf))
+    index = index_of(b.chunks(spark, sf))
     corpus = F.broadcast(index.corpus) if fits_broadcast(index.corpus) else index.corpus
     return index.terms.join(corpus, "workspace_id").select(
         "workspace_id", "term", "df", "n",
