@@ -15,7 +15,7 @@ from groundwell.session import fits_broadcast, materialize, narrow
 RRF_K, PAGE_FACTOR, MAX_PAGE_FACTOR = 60, 3, 12
 
 
-def rrf(vector_hits: DataFrame, lexical_hits: DataFrame, k: int, keys: list[str] = ["query_id"]) -> DataFrame:
+def rrf(vector_hits: DataFrame, lexical_hits: DataFrame, k: int, keys: tuple[str, ...] = ("query_id",)) -> DataFrame:
     """Reciprocal-rank fusion, which is a full outer join of two ranked lists.
 
     vector_hits: *keys, chunk_id, similarity, vector_rank; lexical_hits: *keys, chunk_id,

@@ -22,7 +22,7 @@ def _rate(part: Column, whole: Column) -> Column:
     return part / F.nullif(whole, F.lit(0))
 
 
-def _rows(totals: DataFrame, keys: list[str], rows: list[Column]) -> DataFrame:
+def _rows(totals: DataFrame, keys: tuple[str, ...], rows: list[Column]) -> DataFrame:
     return totals.select(*keys, F.inline(F.array(*rows)))
 
 
@@ -48,7 +48,7 @@ def sweep(pairs: DataFrame, thresholds: tuple[float, ...] = THRESHOLDS) -> DataF
         )
         for i, t in enumerate(thresholds)
     ]
-    out = _rows(totals, [], rows).withColumns(
+    out = _rows(totals, (), rows).withColumns(
         {
             "hit_rate": _rate(F.col("same_hits"), F.col("same_total")),
             "false_hit_rate": _rate(F.col("diff_hits"), F.col("diff_total")),
@@ -83,7 +83,7 @@ def boundary_cases(pairs: DataFrame, n: int = 5) -> DataFrame:
 def verify_sweep(
     pairs: DataFrame,
     params: list[tuple[float | None, float]] | None = None,
-    keys: list[str] = [],
+    keys: tuple[str, ...] = (),
 ) -> DataFrame:
     """Hit quality per (direct threshold, candidate threshold).
 
@@ -139,7 +139,7 @@ def _wrong(kind: str) -> Column:
     return diff & F.col("verify_same") if kind == "false_yes" else same & ~F.col("verify_same")
 
 
-def verify_stats(pairs: DataFrame, keys: list[str] = []) -> DataFrame:
+def verify_stats(pairs: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
     """The verifier on its own, over all pairs it judged."""
     judged = pairs.where(F.col("verify_same").isNotNull())
     stats = judged.groupBy(*keys).agg(
@@ -151,9 +151,9 @@ def verify_stats(pairs: DataFrame, keys: list[str] = []) -> DataFrame:
         F.count_distinct("verify_model").alias("models"),
         F.count_distinct(F.when(F.col("verify_prompt_version") != "", F.col("verify_prompt_version"))).alias("prompt_versions"),
     ).withColumn("accuracy", (F.col("total") - F.col("false_yes") - F.col("false_no")) / F.col("total"))
-    lat = percentiles(judged, keys, F.col("verify_latency_ms"), {"latency_p50_ms": 0.5, "latency_p95_ms": 0.95})
+    lat = percentiles(judged, list(keys), F.col("verify_latency_ms"), {"latency_p50_ms": 0.5, "latency_p95_ms": 0.95})
     if keys:
-        return stats.join(lat, keys, "left")
+        return stats.join(lat, list(keys), "left")
     # Two rows with different columns, put into one.
     both = stats.unionByName(lat, allowMissingColumns=True)
     return both.agg(*(F.max(c).alias(c) for c in both.columns))
@@ -174,7 +174,7 @@ def verify_outcomes(pairs: DataFrame) -> DataFrame:
 
 def version_comparison(pairs: DataFrame, candidates: tuple[float, ...] = (0.80, 0.85)) -> DataFrame:
     """Verifier and hit quality per prompt version; pairs without a version form version ''."""
-    key = ["verify_prompt_version"]
+    key = ("verify_prompt_version",)
     rows = pairs.withColumn(key[0], F.coalesce(key[0], F.lit("")))
     stats = verify_stats(rows, key).select(*key, "total", "accuracy", "false_yes", "false_no")
     swept = verify_sweep(rows, [(DIRECT, c) for c in candidates], key).groupBy(*key).agg(
@@ -184,4 +184,4 @@ def version_comparison(pairs: DataFrame, candidates: tuple[float, ...] = (0.80,
         ),
         F.max(F.when(F.col("candidate_threshold") == candidates[0], F.col("false_hit_rate"))).alias("false_hit_rate"),
     )
-    return stats.join(swept, key)
+    return stats.join(swept, list(key))

@@ -17,7 +17,7 @@ def _share(cond: Column, among: Column | None = None) -> Column:
     return F.avg(one if among is None else F.when(among, one))
 
 
-def metrics(records: DataFrame, thresholds: tuple[float, ...], keys: list[str] = []) -> DataFrame:
+def metrics(records: DataFrame, thresholds: tuple[float, ...], keys: tuple[str, ...] = ()) -> DataFrame:
     """One row per group and threshold.
 
     records: expected_groundable, top_similarity, llm_is_groundable, fallback_reason,
@@ -71,13 +71,13 @@ def metrics(records: DataFrame, thresholds: tuple[float, ...], keys: list[str] =
 def false_block_by_category(records: DataFrame, thresholds: tuple[float, ...] = THRESHOLDS) -> DataFrame:
     """Share of answerable questions the similarity gate stops, per category and threshold."""
     rows = records.withColumn("category", F.coalesce("category", F.lit("unknown"))).where("expected_groundable")
-    return metrics(rows, thresholds, ["category"]).select(
+    return metrics(rows, thresholds, ("category",)).select(
         "category", "threshold", F.col("filter_false_block_rate").alias("rate")
     )
 
 
 def variants(records: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    return metrics(records.withColumn("variant", F.coalesce("variant", F.lit("baseline"))), (threshold,), ["variant"])
+    return metrics(records.withColumn("variant", F.coalesce("variant", F.lit("baseline"))), (threshold,), ("variant",))
 
 
 def disagreements(records: DataFrame, names: list[str], threshold: float = THRESHOLD) -> DataFrame:
@@ -115,7 +115,7 @@ def repeat_stats(records: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     rows = records.withColumns(
         {"variant": F.coalesce("variant", F.lit("baseline")), "repeat": F.coalesce("repeat", F.lit(0))}
     )
-    each = metrics(rows, (threshold,), ["variant", "repeat"])
+    each = metrics(rows, (threshold,), ("variant", "repeat"))
     long = each.select(
         "variant",
         F.inline(F.array(*(F.struct(F.lit(m).alias("metric"), F.col(m).alias("v")) for m in REPEAT_METRICS))),

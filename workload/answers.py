@@ -177,9 +177,11 @@ def cached_answer_access(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def verify_band(spark: SparkSession, sf: str) -> DataFrame:
-    """Nation keys as thresholds in hundredths."""
-    n = b.table(spark, sf, "nation").select(((F.col("n_nationkey") % 5) / 4.0).alias("direct"), (F.col("n_regionkey") / 4.0).alias("candidate"), "n_nationkey")
-    return n.select("n_nationkey", cache.band_warning(F.col("direct"), F.col("candidate")).alias("warning"))
+    """Settings of the cache: sizes and keys of parts as thresholds in quarters."""
+    p = b.table(spark, sf, "part").select(
+        "p_partkey", ((F.col("p_size") % 5) / 4.0).alias("direct"), ((F.col("p_partkey") % 5) / 4.0).alias("candidate")
+    )
+    return p.select("p_partkey", cache.band_warning(F.col("direct"), F.col("candidate")).alias("warning"))
 
 
 # ---------------------------------------------------------------- request records
@@ -238,8 +240,8 @@ ORACLE = {
       bad AS (SELECT DISTINCT e.query_id, e.entry_id FROM e JOIN cited USING (entry_id) LEFT JOIN chunks c USING (chunk_id)
               WHERE NOT coalesce((ts IS NULL OR c.task_id IS NULL OR list_contains(ts, c.task_id)) AND (v OR c.sensitivity_level <> 'restricted'), false) OR c.chunk_id IS NULL)
       SELECT query_id, entry_id FROM e WHERE (query_id, entry_id) NOT IN (SELECT query_id, entry_id FROM bad)""",
-    "verify_band": """WITH n AS (SELECT n_nationkey, (n_nationkey % 5) / 4.0::DOUBLE AS d, n_regionkey / 4.0::DOUBLE AS c FROM nation)
-      SELECT n_nationkey, CASE WHEN c > d THEN 'semantic cache verify never runs: candidate_threshold(' || c::VARCHAR || ') > threshold(' || d::VARCHAR || '); no candidate band'
+    "verify_band": """WITH n AS (SELECT p_partkey, (p_size % 5) / 4.0::DOUBLE AS d, (p_partkey % 5) / 4.0::DOUBLE AS c FROM part)
+      SELECT p_partkey, CASE WHEN c > d THEN 'semantic cache verify never runs: candidate_threshold(' || c::VARCHAR || ') > threshold(' || d::VARCHAR || '); no candidate band'
         WHEN c = d THEN 'semantic cache verify never runs: candidate_threshold(' || c::VARCHAR || ') == threshold(' || d::VARCHAR || '); candidate band is empty' END AS warning FROM n""",
     "request_metrics": f"""{HITS},{TITLED},{ASSESSED},
       n AS (SELECT query_id, count(*) AS chunk_count, max(vector_score) AS top FROM titled GROUP BY 1)

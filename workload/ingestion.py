@@ -160,7 +160,7 @@ def ingest_requests(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def scan_text_files(spark: SparkSession, sf: str) -> DataFrame:
-    """Documents written as files, some bytes broken, and read back whole."""
+    """Pages written as text files and read back whole."""
     path = scratch_dir(spark, "files")
     b.table(spark, sf, "pages").select("html").write.mode("overwrite").text(path, lineSep="\n")
     found = files.scan_documents(spark, path, "part-*")

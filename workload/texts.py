@@ -351,20 +351,22 @@ def turn_numbers(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def history_prompts(spark: SparkSession, sf: str) -> DataFrame:
-    """History block in front of every user message: at most the eight messages before it."""
+    """The last user message of a conversation as the request, in front of it the messages
+    before that fit the token budget, which bounds what is gathered."""
     c = b.table(spark, sf, "conversations").groupBy("conv_id", "turn").agg(
         F.min_by(F.struct("role", "text"), "text").alias("m")
+    ).select("conv_id", "turn", "m.role", "m.text")
+    user = F.when(F.col("role") == "user", F.col("turn"))
+    asked = c.groupBy("conv_id").agg(F.max(user).alias("asked_at"), F.max_by("text", user).alias("question")).where(
+        "asked_at IS NOT NULL"
     )
-    later = c.where(F.col("m.role") == "user").select(
-        "conv_id", F.col("turn").alias("asked_at"), F.col("m.text").alias("question"),
-        F.explode(F.transform(F.sequence(F.lit(1), F.lit(8)), lambda d: F.col("turn") - d)).alias("turn"),
+    earlier = c.join(asked.select("conv_id", "asked_at"), "conv_id").where(F.col("turn") < F.col("asked_at"))
+    kept = history.truncate(earlier, budget=400).groupBy("conv_id").agg(
+        F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("msgs")
     )
-    lines = later.join(c, ["conv_id", "turn"], "left").groupBy("conv_id", "asked_at").agg(
-        F.min("question").alias("question"),
-        F.array_sort(F.collect_list(F.when(F.col("m").isNotNull(), F.struct("turn", "m.role", "m.text")))).alias("msgs"),
-    )
-    block = t.label_lines(F.col("msgs"))
-    return lines.select(
+    none = F.array().cast("array<struct<turn:bigint,role:string,text:string>>")
+    block = t.label_lines(F.coalesce("msgs", none))
+    return asked.join(kept, "conv_id", "left").select(
         "conv_id", "asked_at", F.md5(block).alias("history_md5"),
         F.md5(t.judge_prompt(F.col("question"), block)).alias("judge_md5"),
         F.md5(t.pair_prompt(F.col("question"), block)).alias("pair_md5"),
@@ -573,8 +575,13 @@ ORACLE = {
     "turn_numbers": """SELECT conv_id, turn, (row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1) // 2 + 1 AS turn_no,
         row_number() OVER (PARTITION BY conv_id ORDER BY turn) = 1 AS is_first_turn FROM (SELECT DISTINCT conv_id, turn FROM conversations)""",
     "history_prompts": """WITH c AS (SELECT conv_id, turn, arg_min(role, text) AS role, min(text) AS text FROM conversations GROUP BY 1, 2),
-      h AS (SELECT a.conv_id, a.turn AS asked_at, a.text AS question, coalesce(string_agg(CASE WHEN p.role = 'user' THEN '사용자' ELSE '어시스턴트' END || ': ' || p.text, chr(10) ORDER BY p.turn), '') AS block
-            FROM c a LEFT JOIN c p ON p.conv_id = a.conv_id AND p.turn < a.turn AND p.turn >= a.turn - 8 WHERE a.role = 'user' GROUP BY 1, 2, 3)
+      l AS (SELECT conv_id, max(turn) AS asked_at, arg_max(text, turn) AS question FROM c WHERE role = 'user' GROUP BY 1),
+      m AS (SELECT c.*, ceil(length(text) / 4.0)::BIGINT AS tokens FROM c JOIN l USING (conv_id) WHERE turn < asked_at),
+      w AS (SELECT *, sum(tokens) OVER (PARTITION BY conv_id ORDER BY turn DESC) AS spent, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS pos FROM m),
+      f AS (SELECT conv_id, sum(tokens) FILTER (pos <= 2) <= 120 AS keep_head FROM w GROUP BY 1),
+      k AS (SELECT conv_id, string_agg(CASE WHEN role = 'user' THEN '사용자' ELSE '어시스턴트' END || ': ' || text, chr(10) ORDER BY turn) AS block
+            FROM w JOIN f USING (conv_id) WHERE spent <= 400 OR (keep_head AND pos <= 2) GROUP BY 1),
+      h AS (SELECT conv_id, asked_at, question, coalesce(block, '') AS block FROM l LEFT JOIN k USING (conv_id))
       SELECT conv_id, asked_at, md5(block) AS history_md5, md5('질문: ' || question || chr(10) || chr(10) || '검색된 컨텍스트:' || chr(10) || block) AS judge_md5,
         md5('[질문 A]' || chr(10) || question || chr(10) || chr(10) || '[질문 B]' || chr(10) || block) AS pair_md5,
         md5('질문: ' || question || chr(10) || chr(10) || '답변: ' || block) AS qa_md5 FROM h""",
