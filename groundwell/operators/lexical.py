@@ -38,23 +38,31 @@ class LexicalIndex:
     @staticmethod
     def load(spark: SparkSession, path: str) -> "LexicalIndex":
         """An index that was built with this path."""
-        return _index(spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/counts"))
+        return _index(*(spark.read.parquet(f"{path}/{t}") for t in ("postings", "counts", "corpus")))
 
 
-def _index(postings: DataFrame, counts: DataFrame) -> LexicalIndex:
-    """The index of all postings and of the counts per term; the row of a workspace without
-    a term counts its chunks and their lengths."""
-    terms = counts.where(F.col("term").isNotNull()).select("workspace_id", "term", "df")
+def _index(postings: DataFrame, counts: DataFrame, corpus: DataFrame) -> LexicalIndex:
+    with_term = F.col("term").isNotNull()
+    terms = counts.where(with_term).select("workspace_id", "term", "df")
+    return LexicalIndex(postings.where(with_term), terms, corpus)
+
+
+def _corpus(counts: DataFrame) -> DataFrame:
+    """One row per workspace from the counts per term; the count without a term holds the
+    chunks and their lengths.
+
+    The mean idf comes from the histogram of df values: the term table, which may lie in
+    one workspace for the most part, is never moved by workspace.
+    """
     sizes = counts.where(F.col("term").isNull()).select(
         "workspace_id", F.col("df").alias("n"), (F.col("dl") / F.col("df")).alias("avgdl")
     )
-    # The mean idf of a workspace comes from its histogram of df values: the term table,
-    # which may lie in one workspace for the most part, is never moved by workspace.
-    spread = terms.groupBy("workspace_id", "df").agg(F.count(F.lit(1)).alias("m")).join(sizes, "workspace_id")
-    corpus = spread.groupBy("workspace_id", "n", "avgdl").agg(
+    histogram = counts.where(F.col("term").isNotNull()).groupBy("workspace_id", "df").agg(
+        F.count(F.lit(1)).alias("m")
+    )
+    return histogram.join(sizes, "workspace_id").groupBy("workspace_id", "n", "avgdl").agg(
         (F.sum(F.col("m") * raw_idf()) / F.sum("m") * EPSILON).alias("floor")
     )
-    return LexicalIndex(postings.where(F.col("term").isNotNull()), terms, corpus)
 
 
 def build_index(
@@ -105,7 +113,9 @@ def build_index(
         .groupBy("workspace_id", "term")
         .agg(F.count(F.lit(1)).alias("df"), F.sum("dl").alias("dl"))
     )
-    return _index(postings, materialize(counts) if path is None else write_table(counts, f"{path}/counts"))
+    keep = materialize if path is None else lambda df, name: write_table(df, f"{path}/{name}")
+    counts = keep(counts, "counts")
+    return _index(postings, counts, keep(_corpus(counts), "corpus"))
 
 
 def raw_idf() -> Column:

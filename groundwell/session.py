@@ -46,13 +46,13 @@ def write_table(df: DataFrame, path: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def materialize(df: DataFrame) -> DataFrame:
+def materialize(df: DataFrame, name: str = "table") -> DataFrame:
     """A result that several later steps read, written once to the shared scratch space.
 
     It survives the loss of executors, and as a table its size is known: joins broadcast
     it by themselves if it is small enough.
     """
-    return write_table(df, scratch_dir(df.sparkSession, "table"))
+    return write_table(df, scratch_dir(df.sparkSession, name))
 
 
 def fits_broadcast(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> bool:
