@@ -129,7 +129,7 @@ assessed AS (SELECT query_id, best, CASE WHEN below THEN false WHEN failed OR un
 
 
 # ---------------------------------------------------------------- cache
-def _space(spark_col: str, i):
+def _space(i):
     tasks = F.when(i % 3 == 1, F.lit(None).cast("array<string>")).when(i % 3 == 2, F.array().cast("array<string>")).otherwise(
         F.when(i % 2 == 0, F.array(F.lit("b"), F.lit("a"))).otherwise(F.array(F.lit("a"), F.lit("b")))
     )
@@ -139,7 +139,7 @@ def _space(spark_col: str, i):
 def _entries(spark: SparkSession, sf: str) -> DataFrame:
     i = F.col("vec_id")
     return b.table(spark, sf, "embeddings").where("vec_id % 2 = 0").select(
-        i.alias("entry_id"), F.concat(F.lit("ws"), i % 2).alias("workspace_id"), _space("vec_id", F.floor(i / 2)).alias("namespace"),
+        i.alias("entry_id"), F.concat(F.lit("ws"), i % 2).alias("workspace_id"), _space(F.floor(i / 2)).alias("namespace"),
         V.as_double(F.col("embedding")).alias("vector"), i.cast("double").alias("at"),
     )
 
@@ -148,7 +148,7 @@ def cache_lookup(spark: SparkSession, sf: str) -> DataFrame:
     """Vectors as requests against the entries stored before; entries live for 300 seconds."""
     i = F.col("vec_id")
     asked = b.table(spark, sf, "embeddings").where("vec_id % 2 = 1").select(
-        i.alias("query_id"), _space("vec_id", F.floor(i / 2)).alias("namespace"), V.as_double(F.col("embedding")).alias("vector"), F.lit(500.0).alias("at")
+        i.alias("query_id"), _space(F.floor(i / 2)).alias("namespace"), V.as_double(F.col("embedding")).alias("vector"), F.lit(500.0).alias("at")
     )
     found = cache.lookup(asked, _entries(spark, sf), direct=0.45, floor=0.3, ttl=300.0)
     return found.withColumn("similarity", F.round("similarity", 6))

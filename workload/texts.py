@@ -6,11 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from groundwell.functions import commits, replies, rules, text as t
-from groundwell.operators import chunking, history, hydrate
+from groundwell.operators import chunking, history
 from groundwell.operators.ingest import embed, embedding_usage, ingest_result, with_metadata
 from groundwell.session import spread
 from workload import bindings as b
-from workload.evaluation import rounded
 
 
 def _docs(spark: SparkSession, sf: str) -> DataFrame:
