@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import os
-import tempfile
+import re
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -32,11 +32,16 @@ def local_session(app: str, cores: int | str = 8, memory: str = "12g") -> SparkS
 def scratch_dir(spark: SparkSession, name: str) -> str:
     """A fresh folder under the cluster's shared checkpoint folder.
 
-    A local temporary folder is used only where `spark.checkpoint.dir` is unset (tests).
+    Where neither `spark.checkpoint.dir` (at launch) nor `setCheckpointDir` names one, a local
+    session gets a folder of its own; a cluster does not, as its executors share none.
     """
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
-        root = tempfile.mkdtemp(prefix="run-", dir=os.environ.get("TMPDIR", "/tmp"))
+        master = spark.sparkContext.master
+        if not re.fullmatch(r"local(\[.*\])?", master):
+            raise ValueError(f"{master}: set spark.checkpoint.dir to a folder that all executors share")
+        spark.sparkContext.setCheckpointDir(os.path.join(os.environ.get("TMPDIR", "/tmp"), "groundwell"))
+        root = spark.sparkContext.getCheckpointDir()
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
