@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 from groundwell.llm import queries, sql
 
-QUERIES = queries.QUERIES
-ORACLE = sql.ORACLE
+QUERIES = queries.QUERIES | {"pipeline": corpus_pipeline.run}
+ORACLE = sql.ORACLE | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})

@@ -8,6 +8,7 @@ stay small whatever the number of rows, and a text longer than a block is hashed
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -19,17 +20,22 @@ BLOCK_BYTES = 4 << 20
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
 
-_BASE = np.uint64(0x9E3779B97F4A7C15)
+_BASE = 0x9E3779B97F4A7C15
 _LETTERS = np.random.default_rng(20).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-def powers(base: int, n: int) -> np.ndarray:
-    """base**0 .. base**(n-1) modulo 2**64."""
-    out = np.full(max(n, 1), np.uint64(base))
+@lru_cache(8)
+def _power_table(base: int, n: int) -> np.ndarray:
+    out = np.full(n, np.uint64(base))
     out[0] = 1
     return np.multiply.accumulate(out)
 
 
+def powers(base: int, n: int) -> np.ndarray:
+    """base**0 .. base**(n-1) modulo 2**64."""
+    return _power_table(int(base), 1 << max(n, 1).bit_length())[:n]
+
+
 def inverse(base: int) -> int:
     """Of an odd number modulo 2**64."""
     return pow(int(base), -1, 1 << 64)
