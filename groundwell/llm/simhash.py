@@ -37,6 +37,8 @@ SEED, BITS = 42, 64
 SHARD_ROWS = 20_000
 #: Distinct fingerprints up to which so many blocks are used.
 BLOCKS = ((20_000_000, 5), (5_000_000_000, 6), (1 << 62, 7))
+#: Levels of a tree whose margin is not 0, as every one of them makes copies.
+OVERLAPPING_LEVELS = 6
 #: Found pairs that are kept before they are reduced to a forest, and shingles that are counted at once.
 PAIRS_AT_ONCE, SHINGLES_AT_ONCE = 1 << 20, 1 << 16
 
@@ -88,7 +90,7 @@ def margin(blocks: int, radius: int) -> int:
 def shards(fps: np.ndarray, mask: int, within: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
     """Descend the tree of `mask`: positions in `fps` and the shards they go to."""
     bits = mask.bit_count()
-    levels = bits + bits // 2
+    levels = bits + bits // 2 if within == 0 else OVERLAPPING_LEVELS
     points = np.random.default_rng(seed).integers(0, 1 << 63, levels, dtype=np.uint64) * np.uint64(2)
     points |= np.random.default_rng(seed + 1).integers(0, 2, levels, dtype=np.uint64)
     row, path = np.arange(len(fps)), np.zeros(len(fps), np.int64)
@@ -119,8 +121,10 @@ def roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     up = np.arange(n)
     while True:
         x, y = up[a], up[b]
-        if (x == y).all():
+        apart = x != y
+        if not apart.any():
             return up
+        a, b, x, y = a[apart], b[apart], x[apart], y[apart]
         up[np.maximum(x, y)] = np.minimum(x, y)
         while (up[up] != up).any():
             up = up[up]
