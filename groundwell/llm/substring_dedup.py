@@ -14,7 +14,7 @@ an aggregate or of a join that adaptive execution splits. Documents are hashed i
 Arrow buffers.
 
 Defined cases: a null text has no words; a text shorter than a window keeps all; a null id counts
-as the smallest; rows with the same id are at the same place, so they don't repeat each other;
+as the smallest; rows with the same id are at the same place, so they don't repeat each other at one place;
 an empty table gives an empty result.
 """
 
@@ -76,9 +76,11 @@ class Places:
             out.append(w.mix((total[high] - total[low]) * back[low] + shape * np.uint64(base)))
         return out[0], out[1]
 
-    def position(self, places: np.ndarray) -> np.ndarray:
-        """Word numbers within their texts."""
-        return places - self.first[self.text[places]]
+    def named(self, batch: pa.RecordBatch, places: np.ndarray) -> list[pa.Array]:
+        """The id, the tie and the word number within the text of each place."""
+        rows = self.text[places]
+        number = pa.array((places - self.first[rows]).astype(np.int32))
+        return [*(batch.column(c).take(pa.array(rows)) for c in ("id", "tie")), number]
 
 
 def _signed(x: np.ndarray) -> pa.Array:
@@ -104,11 +106,8 @@ def _surroundings(window: int):
             places = Places(batch, window)
             anchors = places.anchors()
             c1, c2 = places.around(anchors)
-            ids = batch.column("id").take(pa.array(places.text[anchors]))
-            position = pa.array(places.position(anchors).astype(np.int32))
-            yield pa.RecordBatch.from_arrays(
-                [_signed(places.halves[anchors]), _signed(c1), _short(c2), ids, position], ["h", "c1", "c2", "id", "place"]
-            )
+            found = [_signed(places.halves[anchors]), _signed(c1), _short(c2), *places.named(batch, anchors)]
+            yield pa.RecordBatch.from_arrays(found, ["h", "c1", "c2", "id", "tie", "place"])
 
     return run
 
@@ -130,9 +129,8 @@ def _extended(window: int):
             wanted[_flat(batch.column("open"), places.first, batch.num_rows)] = True
             begin = places.begin[wanted[places.anchor]]
             one, two = (w.windows(places.words, window, base)[begin] for base in (AROUND[0], SECOND))
-            ids = batch.column("id").take(pa.array(places.text[begin]))
-            position = pa.array(places.position(begin).astype(np.int32))
-            yield pa.RecordBatch.from_arrays([_signed(one), _short(two), ids, position], ["c1", "c2", "id", "place"])
+            found = [_signed(one), _short(two), *places.named(batch, begin)]
+            yield pa.RecordBatch.from_arrays(found, ["c1", "c2", "id", "tie", "place"])
 
     return run
 
@@ -175,41 +173,43 @@ def _first(places: DataFrame) -> DataFrame:
 
 def _later(places: DataFrame, first: DataFrame) -> DataFrame:
     """Places of which an equal one comes earlier."""
-    return places.join(first, ["c1", "c2"]).where(F.struct("id", "place") > F.col("first")).select("id", "place")
+    return places.join(first, ["c1", "c2"]).where(F.struct("id", "place") > F.col("first")).select("id", "tie", "place")
 
 
 def repeats(texts: DataFrame, window: int) -> DataFrame:
-    """Per id the half windows whose windows all start earlier elsewhere (`whole`), and single windows
-    that do (`single`), as word numbers. texts: id, text."""
+    """Per id and tie the half windows whose windows all start earlier elsewhere (`whole`), and single
+    windows that do (`single`), as word numbers. texts: id, tie (tells texts of one id apart), text."""
     halves = texts.select("text").mapInArrow(_halves(window), "h long")
     known = stored(halves.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h"), "half-windows")
-    around = texts.mapInArrow(_surroundings(window), "h long, c1 long, c2 int, id long, place int")
+    around = texts.mapInArrow(_surroundings(window), "h long, c1 long, c2 int, id long, tie int, place int")
     candidates = stored(around.join(known, "h", "left_semi"), "candidates")
     drop(known)
     first = stored(_first(candidates), "first-places")
     whole = stored(_later(candidates, first), "whole")
     # First places of different surroundings of one half window.
     chosen = candidates.join(first, ["c1", "c2"]).where(F.struct("id", "place") == F.col("first"))
-    chosen = stored(chosen.select("h", "id", "place").distinct(), "chosen")
+    chosen = stored(chosen.select("h", "id", "tie", "place").distinct(), "chosen")
     many = chosen.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    open_ = chosen.join(many, "h", "left_semi").groupBy("id").agg(F.collect_set("place").alias("open"))
+    open_ = chosen.join(many, "h", "left_semi").groupBy("id", "tie").agg(F.collect_set("place").alias("open"))
     open_ = stored(open_, "open")
     drop(candidates)
     drop(first)
-    extended = texts.join(open_, "id").mapInArrow(_extended(window), "c1 long, c2 int, id long, place int")
+    extended = texts.join(open_, ["id", "tie"])
+    extended = extended.mapInArrow(_extended(window), "c1 long, c2 int, id long, tie int, place int")
     extended = stored(extended, "windows")
     single = stored(_later(extended, _first(extended)), "single")
     drop(extended)
-    marks = whole.select("id", F.col("place").alias("whole"), F.lit(None).cast("int").alias("single")).unionByName(
-        single.select("id", F.lit(None).cast("int").alias("whole"), F.col("place").alias("single"))
+    marks = whole.select("id", "tie", F.col("place").alias("whole"), F.lit(None).cast("int").alias("single")).unionByName(
+        single.select("id", "tie", F.lit(None).cast("int").alias("whole"), F.col("place").alias("single"))
     )
-    return marks.groupBy("id").agg(F.collect_set("whole").alias("whole"), F.collect_set("single").alias("single"))
+    return marks.groupBy("id", "tie").agg(F.collect_set("whole").alias("whole"), F.collect_set("single").alias("single"))
 
 
 def drop_repeats(docs: DataFrame, window: int = WINDOW, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per document: doc_id, n_words, n_removed and `text`, the words left joined by one space."""
-    narrow = prefixed(docs, doc_id=doc_id, text=text).withColumn("id", F.coalesce("doc_id", F.lit(-(1 << 63))))
-    marks = stored(repeats(narrow.select("id", "text"), window), "repeats")
-    return narrow.join(marks, "id", "left").select("doc_id", "text", "whole", "single").mapInArrow(
+    narrow = prefixed(docs, doc_id=doc_id, text=text)
+    narrow = narrow.withColumn("id", F.coalesce("doc_id", F.lit(-(1 << 63)))).withColumn("tie", F.hash("text"))
+    marks = stored(repeats(narrow.select("id", "tie", "text"), window), "repeats")
+    return narrow.join(marks, ["id", "tie"], "left").select("doc_id", "text", "whole", "single").mapInArrow(
         _removed(window), "doc_id long, n_words long, n_removed long, text string"
     )
