@@ -36,8 +36,8 @@ def lookup(
     """Best live entry per request: query_id, entry_id, similarity, outcome.
 
     requests: query_id, namespace, vector, at (seconds); entries: entry_id (ascending with
-    age), namespace, vector, at. An entry as old as the lifetime is still live. Ties go to
-    the older entry. The outcome is `direct`, `candidate` or `miss`; without a floor there
+    age), namespace, vector, at. An entry as old as the lifetime is still live, one stored
+    after the request is not found. Ties go to the older entry. The outcome is `direct`, `candidate` or `miss`; without a floor there
     are no candidates.
     """
     best = vectors.top_k(

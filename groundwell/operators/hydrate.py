@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from groundwell.functions.text import cut
@@ -33,8 +33,8 @@ def parents(documents: DataFrame, commits: DataFrame, schemas: DataFrame) -> Dat
 
 
 def hydrate(hits: DataFrame, chunks: DataFrame, dimension: DataFrame, bounded: bool = False) -> DataFrame:
-    """Hits joined to their chunks and titles. Hits without a chunk are dropped; a chunk
-    without a parent gets a name made of its type and source id.
+    """Hits joined to their chunks and titles. Hits without a chunk are dropped, and the others
+    are numbered anew; a chunk without a parent gets a name made of its type and source id.
 
     With `bounded`, a promise that the hits fit a broadcast, chunks and parents are only
     scanned.
@@ -52,7 +52,8 @@ def hydrate(hits: DataFrame, chunks: DataFrame, dimension: DataFrame, bounded: b
     # A chunk is read once however many requests it was found for.
     found = narrow(body, hits, ["chunk_id"], bounded)
     titled = found.join(narrow(dimension, found, keys, bounded), keys, "left").withColumn("title", title)
-    return hits.join(titled.drop("owner_name"), "chunk_id")
+    left = hits.join(titled.drop("owner_name"), "chunk_id")
+    return left.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("rank")))
 
 
 def rerank_prompts(requests: DataFrame, hits: DataFrame, max_chars: int = 600) -> DataFrame:

@@ -169,12 +169,14 @@ def git_batch_summary(commits: DataFrame) -> DataFrame:
     """Per batch_id: commits, failures, new and skipped chunks, token total, result, first error.
 
     commits: batch_id, position, new_chunks, skipped_chunks, input_chars, provider_tokens,
-    error_type. Failed commits count no chunks; skipped commits report 0 tokens.
+    error_type, failed_stage (`index` or `analysis`). A commit whose indexing failed counts no
+    chunks; one that failed later was indexed before. Skipped commits report 0 tokens.
     """
-    fine = F.col("error_type").isNull()
+    failed = F.col("error_type").isNotNull()
+    fine = ~failed | F.coalesce(F.col("failed_stage") == "analysis", F.lit(False))
     return commits.groupBy("batch_id").agg(
         F.count(F.lit(1)).alias("commit_count"),
-        F.count_if(~fine).alias("failed_commit_count"),
+        F.count_if(failed).alias("failed_commit_count"),
         F.sum(F.when(fine, F.col("new_chunks")).otherwise(0)).alias("new_chunk_count"),
         F.sum(F.when(fine, F.col("skipped_chunks")).otherwise(0)).alias("skipped_chunk_count"),
         F.sum(F.when(fine, F.col("input_chars")).otherwise(0)).alias("embedding_input_chars"),
@@ -182,7 +184,7 @@ def git_batch_summary(commits: DataFrame) -> DataFrame:
             F.count_if(fine & F.col("provider_tokens").isNull()) == 0,
             F.coalesce(F.sum(F.when(fine, F.col("provider_tokens"))), F.lit(0)),
         ).alias("embedding_provider_tokens"),
-        F.min_by("error_type", F.when(~fine, F.col("position"))).alias("error_type"),
+        F.min_by("error_type", F.when(failed, F.col("position"))).alias("error_type"),
     ).withColumn("result", batch_result(F.col("failed_commit_count"), F.col("commit_count")))
 
 

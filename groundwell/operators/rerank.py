@@ -21,7 +21,8 @@ def ranking_ids(reply: Column) -> Column:
 def apply_ranking(hits: DataFrame, replies: DataFrame, k: int, *, enabled: bool = True) -> DataFrame:
     """Top k candidates per request in the order of the reply, and a `stage`.
 
-    hits: query_id, rank (from 1), ...; replies: query_id, reply, error (reason or NULL).
+    hits: query_id, rank (from 1, without gaps: the list the model was shown, as hydrated), ...;
+    replies: query_id, reply, error (reason or NULL).
     Numbers count from 1; repeated ones and ones out of range are dropped, and the
     remaining places are filled in the order the candidates came. A request without a
     usable reply keeps its order.

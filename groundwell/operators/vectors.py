@@ -31,6 +31,7 @@ class _Best:
     max_age: float | None
 
     def of(self, queries: pd.DataFrame, items: pd.DataFrame) -> pd.DataFrame:
+        items = items.sort_values("item_id")
         q, v = _unit(queries["vector"]), _unit(items["vector"])
         qids, ids = queries["query_id"].to_numpy(), items["item_id"].to_numpy()
         out = []
@@ -39,10 +40,16 @@ class _Best:
             sims = np.round(q[rows] @ v.T, TIE_DIGITS)
             if self.max_age is not None:
                 age = queries["at"].to_numpy()[rows, None] - items["at"].to_numpy()[None, :]
-                sims[age > self.max_age] = -np.inf
-            # Everything at or above the k-th value of its row, ties included.
-            cut = np.partition(sims, -self.k, axis=1)[:, [-self.k]] if len(ids) > self.k else -np.inf
-            i, j = np.nonzero((sims >= cut) & np.isfinite(sims))
+                sims[(age > self.max_age) | (age < 0)] = -np.inf
+            if len(ids) > self.k:
+                # What is above the k-th value of its row, and of its equals the lowest ids.
+                cut = np.partition(sims, -self.k, axis=1)[:, [-self.k]]
+                above, equal = sims > cut, sims == cut
+                room = self.k - above.sum(axis=1, keepdims=True)
+                chosen = above | (equal & (np.cumsum(equal, axis=1) <= room))
+            else:
+                chosen = np.ones(sims.shape, bool)
+            i, j = np.nonzero(chosen & np.isfinite(sims))
             out.append(pd.DataFrame({"query_id": qids[rows][i], "item_id": ids[j], "similarity": sims[i, j]}))
         return self.merge(None, _concat(out))
 
@@ -76,7 +83,7 @@ def top_k(
 
     queries: query_id LONG, grp STRING, vector; items: item_id LONG, grp STRING, vector;
     both also `at` DOUBLE when `max_age` is given, which drops items older than that at
-    the time of the query. Ties go to the lower item_id. Ranks count from 0.
+    the time of the query, and those that come after it. Ties go to the lower item_id. Ranks count from 0.
 
     A bounded query batch is broadcast and the items stay in place. A larger one is cut
     into blocks which meet blocks of items in a cogroup, so that neither a large group

@@ -4,10 +4,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from groundwell.functions import commits, rules
-from groundwell.operators import budget, cache, grounding, history, ingest, prefix, rerank
+from groundwell.operators import budget, cache, grounding, history, hydrate, ingest, prefix, rerank
 from groundwell.session import scratch_dir
 from groundwell.streaming import ingest as streaming_ingest
-from groundwell.streaming import semantic_cache, tables
+from groundwell.streaming import usage
 
 
 def test_running_total_across_blocks(spark, monkeypatch):
@@ -108,75 +108,56 @@ def test_namespaces_and_lifetime(spark):
     assert {r["outcome"] for r in cache.lookup(asked.where("query_id = 5"), entries, ttl=100.0, floor=None).collect()} == {"miss"}
 
 
-def simulate(events, direct, floor, ttl, room):
-    """One workspace at a time, with a dictionary in order of use."""
-    out, live, waiting = {}, {}, []
-    for e in sorted(events, key=lambda e: (e["at"], e["query_id"])):
-        for w in sorted([w for w in waiting if w[0] <= e["at"]]):
-            live[w[1]] = w
-            while len(live) > room:
-                del live[next(iter(live))]
-        waiting = [w for w in waiting if w[0] > e["at"]]
-        if e["kind"] == "invalidate":
-            live, waiting = {}, []
-            continue
-        best, sim = None, -2.0
-        for key, (created, _, space, vec) in list(live.items()):
-            if space != e["namespace"]:
-                continue
-            if e["at"] - created > ttl:
-                del live[key]
-                continue
-            s = round(sum(a * b for a, b in zip(vec, e["unit"])), 9)
-            if s > sim:
-                best, sim = key, s
-        outcome = "miss"
-        if best is not None and sim >= floor:
-            if not e["allowed"]:
-                del live[best]
-                outcome = "revoked"
-            elif sim >= direct:
-                outcome = "direct"
-            else:
-                outcome = "verified" if e["verified"] else "rejected"
-        if outcome in ("direct", "verified"):
-            live[best] = live.pop(best)
-        elif e["storable"]:
-            waiting.append((e["answered_at"], e["query_id"], e["namespace"], e["unit"]))
-        out[e["query_id"]] = outcome
-    return out
-
-
-@pytest.mark.parametrize("batches", [1, 5])
-def test_streamed_cache_equals_a_simulation(spark, batches):
-    rng = random.Random(9)
-    rows = []
-    for i in range(300):
-        v = [rng.gauss(0, 1) for _ in range(3)]
-        rows.append(
-            dict(workspace_id=rng.choice(["a", "a", "b"]), kind="invalidate" if rng.random() < 0.02 else "ask", query_id=i, at=float(i),
-                 answered_at=i + float(rng.randint(0, 9)), namespace=rng.choice(["x", "y"]), vector=v, storable=rng.random() < 0.8,
-                 verified=rng.random() < 0.6, allowed=rng.random() < 0.9)
-        )
-    schema = "workspace_id string, kind string, query_id long, at double, answered_at double, namespace string, vector array<double>, storable boolean, verified boolean, allowed boolean"
-    root = scratch_dir(spark, "sim")
-    per = len(rows) // batches
-    for n in range(batches):
-        # One file per batch, written one after the other.
-        part = rows[n * per : (n + 1) * per]
-        spark.createDataFrame([tuple(r.values()) for r in part], schema).coalesce(1).write.mode("append").parquet(f"{root}/in")
-    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{root}/in")
-    limits = dict(direct=0.95, floor=0.85, ttl=60.0, max_entries=8)
-    tables.run_available(semantic_cache.replay(stream, **limits), f"{root}/cp", lambda df, i: tables.write_batch(df, f"{root}/out", i))
-    got = {r["query_id"]: r["outcome"] for r in spark.read.parquet(f"{root}/out/batch=*").collect()}
-    want = {}
-    for r in rows:
-        n = sum(x * x for x in r["vector"]) ** 0.5
-        r["unit"] = [x / n for x in r["vector"]]
-    for ws in ("a", "b"):
-        want |= simulate([r for r in rows if r["workspace_id"] == ws], 0.95, 0.85, 60.0, 8)
-    assert got == want
-    assert len(set(want.values())) == 5
+def test_entries_stored_after_the_request_are_not_found(spark):
+    entries = spark.createDataFrame([(1, "n", [1.0, 0.1], 90.0), (2, "n", [1.0, 0.0], 900.0)], "entry_id long, namespace string, vector array<double>, at double")
+    asked = spark.createDataFrame([(1, "n", [1.0, 0.0], 100.0), (2, "n", [1.0, 0.0], 80.0), (3, "n", [1.0, 0.0], 900.0)], "query_id long, namespace string, vector array<double>, at double")
+    for small in (True, False):
+        got = {r["query_id"]: (r["entry_id"], r["outcome"]) for r in cache.lookup(asked, entries, small_queries=small).collect()}
+        assert got == {1: (1, "direct"), 2: (None, "miss"), 3: (2, "direct")}
+
+
+def test_ranks_have_no_gaps_after_hydration(spark):
+    """Seven hits of which the second has no chunk: the model sees six, and its numbers mean those."""
+    hits = spark.createDataFrame([(1, k + 1, 10 + k, 0.5) for k in range(7)], "query_id long, rank int, chunk_id long, vector_score double")
+    rows = [(c, "document", c, f"text {c}", None) for c in (10, 12, 13, 14, 15, 16)]
+    chunks = spark.createDataFrame(rows, "chunk_id long, source_type string, source_id long, content string, owner_name string")
+    parents = spark.createDataFrame([(c, f"T{c}", None) for c in range(10, 17)], "source_id long, title string, author_id string").withColumn("source_type", F.lit("document"))
+    left = hydrate.hydrate(hits, chunks, parents)
+    assert [r["rank"] for r in left.orderBy("rank").collect()] == [1, 2, 3, 4, 5, 6]
+    told = spark.createDataFrame([(1, "[2, 6]", None)], "query_id long, reply string, error string")
+    got = rerank.apply_ranking(left, told, 3).orderBy("new_rank").collect()
+    assert [r["chunk_id"] for r in got] == [12, 16, 10]
+    asked = spark.createDataFrame([(1, "q")], "query_id long, query string")
+    assert hydrate.rerank_prompts(asked, left).first()["prompt"].count("\n[") == 6
+    assert hydrate.contexts(left, 3).first()["context"].count("[") == 3
+
+
+def test_batches_count_what_was_indexed_before_a_failure(spark):
+    rows = [(1, 1, 3, 0, 30, 5, None, None), (1, 2, 4, 1, 40, 6, "E", "analysis"), (1, 3, 9, 9, 90, None, "X", "index")]
+    schema = "batch_id long, position long, new_chunks long, skipped_chunks long, input_chars long, provider_tokens long, error_type string, failed_stage string"
+    got = ingest.git_batch_summary(spark.createDataFrame(rows, schema)).first()
+    assert (got["new_chunk_count"], got["skipped_chunk_count"], got["embedding_input_chars"], got["embedding_provider_tokens"]) == (7, 1, 70, 11)
+    assert (got["failed_commit_count"], got["error_type"], got["result"]) == (2, "E", "PARTIAL")
+
+
+@pytest.mark.parametrize("limit,granted", [(0, 4), (-1, 4), (3, 3)])
+def test_daily_budget_without_limit(spark, limit, granted):
+    root = scratch_dir(spark, "budget")
+    for part in ([(1, "2024-01-01 01:00:00"), (2, "2024-01-01 02:00:00")], [(3, "2024-01-01 03:00:00"), (4, "2024-01-01 04:00:00")]):
+        spark.createDataFrame(part, "id long, at string").withColumn("at", F.to_timestamp("at")).coalesce(1).write.mode("append").parquet(f"{root}/in")
+    stream = spark.readStream.schema("id long, at timestamp").option("maxFilesPerTrigger", 1).parquet(f"{root}/in")
+    usage.run_daily_budget(stream, f"{root}/out", limit, "at", "id")
+    assert spark.read.parquet(f"{root}/out/requests/batch=*").where("acquired").count() == granted
+
+
+def test_late_usage_counts(spark):
+    root = scratch_dir(spark, "usage")
+    for day in ("2024-03-09", "2024-03-01", "2024-03-09"):
+        row = [(f"{day}T10:00:00", "w", "m", 2.5)]
+        spark.createDataFrame(row, "ts string, workspace_id string, embedding_model string, embedding_tokens double").coalesce(1).write.mode("append").json(f"{root}/in")
+    usage.run_daily_usage(usage.read_events(spark, f"{root}/in", usage.USAGE_SCHEMA, 1), f"{root}/out")
+    got = {str(r["date"]): float(r["embedding_tokens"]) for r in usage.read_daily_usage(spark, f"{root}/out").collect()}
+    assert got == {"2024-03-01": 2.5, "2024-03-09": 5.0}
 
 
 def test_pushes_are_written_once_even_when_late(spark):

@@ -21,9 +21,9 @@ def _chunk_table(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def chunk_replace(spark: SparkSession, sf: str) -> DataFrame:
-    """Even chunks are the table; odd ones of low numbered sources come in anew."""
+    """Odd chunks of low numbered sources come in anew; all others are the table."""
     rows = _chunk_table(spark, sf)
-    old = rows.where(F.col("chunk_id") % 2 == 0)
+    old = rows.where((F.col("chunk_id") % 2 == 0) | (F.col("source_id") >= 40))
     new = rows.where((F.col("chunk_id") % 2 == 1) & (F.col("source_id") < 40)).withColumn("workspace_id", F.lit("ws0"))
     merged = ingest.replace_by_key(old.withColumn("workspace_id", F.lit("ws0")), new.withColumn("source_type", F.lit("document")), ["workspace_id", "source_type", "source_id"])
     return merged.select("workspace_id", "source_type", "source_id", "chunk_id", F.md5("content").alias("content_md5"))
@@ -33,7 +33,7 @@ def vector_upsert(spark: SparkSession, sf: str) -> DataFrame:
     """Vectors of the second half replace those of the first, several versions per id; then
     every eleventh id is deleted."""
     v = b.table(spark, sf, "embeddings").select("vec_id", V.as_double(F.col("embedding")).alias("vector"), "label")
-    old = v.where("vec_id % 3 <> 0").select(F.col("vec_id").alias("id"), "vector")
+    old = v.where("vec_id % 3 <> 0 OR vec_id % 2 = 1").select(F.col("vec_id").alias("id"), "vector")
     new = v.where("vec_id % 2 = 0").select((F.col("vec_id") - F.col("vec_id") % 10).alias("id"), "vector", F.col("vec_id").alias("version"))
     merged = ingest.upsert_latest(old, new, "id", "version")
     gone = v.where("vec_id % 11 = 0").select(F.col("vec_id").alias("id"))
@@ -90,7 +90,7 @@ def commit_merge(spark: SparkSession, sf: str) -> DataFrame:
 def analysis_upsert(spark: SparkSession, sf: str) -> DataFrame:
     """Stored analyses of some customers; new ones replace or join them."""
     c = b.table(spark, sf, "customer")
-    old = c.where("c_custkey % 2 = 0").select(F.col("c_custkey").alias("commit_id"), F.lit("old").alias("summary"), F.lit("LOW").alias("risk_level"), F.lit("PENDING").alias("index_status"), F.lit(None).cast("timestamp").alias("analyzed_at"))
+    old = c.where("c_custkey % 2 = 0 OR c_custkey % 3 <> 0").select(F.col("c_custkey").alias("commit_id"), F.lit("old").alias("summary"), F.lit("LOW").alias("risk_level"), F.lit("PENDING").alias("index_status"), F.lit(None).cast("timestamp").alias("analyzed_at"))
     new = c.where("c_custkey % 3 = 0").select(F.col("c_custkey").alias("commit_id"), F.col("c_mktsegment").alias("summary"), F.lit("HIGH").alias("risk_level"))
     out = ingest.upsert_analysis(old, new, F.lit(STAMP).cast("timestamp"))
     return out.withColumn("analyzed_at", F.date_format("analyzed_at", "yyyy-MM-dd"))
@@ -104,6 +104,7 @@ def git_batch_summary(spark: SparkSession, sf: str) -> DataFrame:
         F.when(k % 5 != 0, k % 4).otherwise(0).alias("new_chunks"), F.when(k % 5 == 0, k % 3).otherwise(0).alias("skipped_chunks"),
         (k % 1000).alias("input_chars"), F.when((F.col("o_custkey") % 2 == 0) | (k % 6 != 0), k % 300).alias("provider_tokens"),
         F.when((F.col("o_custkey") % 5 == 0) | ((F.col("o_custkey") % 5 == 1) & (k % 2 == 0)), F.concat(F.lit("E"), k % 3)).alias("error_type"),
+        F.when(k % 7 < 3, "analysis").otherwise("index").alias("failed_stage"),
     )
     return ingest.git_batch_summary(rows)
 
@@ -307,10 +308,10 @@ marks AS (SELECT id, max(task_id) AS task_id, max(sens) AS sens FROM tasks GROUP
 ORACLE = {
     "chunk_replace": """WITH r AS (SELECT 'ws0' AS workspace_id, CASE doc_id % 4 WHEN 0 THEN 'document' WHEN 1 THEN 'git_commit' WHEN 2 THEN 'db_schema' ELSE 'owner_answer' END AS st, doc_id % 97 AS source_id, doc_id AS chunk_id, md5(text) AS content_md5 FROM documents),
       n AS (SELECT workspace_id, 'document' AS source_type, source_id, chunk_id, content_md5 FROM r WHERE chunk_id % 2 = 1 AND source_id < 40),
-      o AS (SELECT workspace_id, st AS source_type, source_id, chunk_id, content_md5 FROM r WHERE chunk_id % 2 = 0)
+      o AS (SELECT workspace_id, st AS source_type, source_id, chunk_id, content_md5 FROM r WHERE chunk_id % 2 = 0 OR source_id >= 40)
       SELECT * FROM n UNION ALL SELECT * FROM o WHERE (source_type, source_id) NOT IN (SELECT source_type, source_id FROM n)""",
     "vector_upsert": """WITH n AS (SELECT vec_id - vec_id % 10 AS id, arg_max(embedding, vec_id)::DOUBLE[] AS v FROM embeddings WHERE vec_id % 2 = 0 GROUP BY 1),
-      m AS (SELECT * FROM n UNION ALL SELECT vec_id, embedding::DOUBLE[] FROM embeddings WHERE vec_id % 3 <> 0 AND vec_id NOT IN (SELECT id FROM n))
+      m AS (SELECT * FROM n UNION ALL SELECT vec_id, embedding::DOUBLE[] FROM embeddings WHERE (vec_id % 3 <> 0 OR vec_id % 2 = 1) AND vec_id NOT IN (SELECT id FROM n))
       SELECT id, round(sqrt(list_inner_product(v, v)), 6) AS norm, round(v[1], 6) AS x0 FROM m WHERE id NOT IN (SELECT vec_id FROM embeddings WHERE vec_id % 11 = 0)""",
     "context_reuse": """WITH d AS (SELECT doc_id % 5 AS doc_key, doc_id AS chunk_id, sha1(text) AS content_sha1 FROM documents),
       o AS (SELECT doc_key, content_sha1, arg_max('ctx-' || chunk_id, chunk_id) AS context FROM d WHERE chunk_id % 4 <> 3 AND chunk_id % 6 <> 0 GROUP BY 1, 2)
@@ -323,13 +324,13 @@ ORACLE = {
         coalesce(b.n, CASE WHEN k.commit_hash IS NOT NULL THEN 'old' END, 'unknown') AS author_name, b.e AS author_email, b.m AS commit_message, coalesce(b.p, k.pushed_at) AS pushed_at,
         k.commit_hash IS NULL AS created FROM batch b LEFT JOIN known k ON k.commit_hash = b.commit_hash LEFT JOIN u ON u.email = b.first_email""",
     "analysis_upsert": """SELECT c_custkey AS commit_id, CASE WHEN c_custkey % 3 = 0 THEN c_mktsegment ELSE 'old' END AS summary, CASE WHEN c_custkey % 3 = 0 THEN 'HIGH' ELSE 'LOW' END AS risk_level,
-      CASE WHEN c_custkey % 3 = 0 THEN 'COMPLETED' ELSE 'PENDING' END AS index_status, CASE WHEN c_custkey % 3 = 0 THEN '2024-02-01' END AS analyzed_at FROM customer WHERE c_custkey % 2 = 0 OR c_custkey % 3 = 0""",
+      CASE WHEN c_custkey % 3 = 0 THEN 'COMPLETED' ELSE 'PENDING' END AS index_status, CASE WHEN c_custkey % 3 = 0 THEN '2024-02-01' END AS analyzed_at FROM customer""",
     "git_batch_summary": """WITH c AS (SELECT o_custkey AS batch_id, o_orderkey AS k, CASE WHEN o_orderkey % 5 <> 0 THEN o_orderkey % 4 ELSE 0 END AS nc, CASE WHEN o_orderkey % 5 = 0 THEN o_orderkey % 3 ELSE 0 END AS sc,
         o_orderkey % 1000 AS ic, CASE WHEN o_custkey % 2 = 0 OR o_orderkey % 6 <> 0 THEN o_orderkey % 300 END AS pt,
-        CASE WHEN o_custkey % 5 = 0 OR (o_custkey % 5 = 1 AND o_orderkey % 2 = 0) THEN 'E' || (o_orderkey % 3) END AS err FROM orders),
-      s AS (SELECT batch_id, count(*) AS commit_count, count(err) AS failed_commit_count, sum(CASE WHEN err IS NULL THEN nc ELSE 0 END)::BIGINT AS new_chunk_count, sum(CASE WHEN err IS NULL THEN sc ELSE 0 END)::BIGINT AS skipped_chunk_count,
-        sum(CASE WHEN err IS NULL THEN ic ELSE 0 END)::BIGINT AS embedding_input_chars,
-        CASE WHEN count(*) FILTER (err IS NULL AND pt IS NULL) = 0 THEN coalesce(sum(pt) FILTER (err IS NULL), 0)::BIGINT END AS embedding_provider_tokens, arg_min(err, k) FILTER (err IS NOT NULL) AS error_type FROM c GROUP BY 1)
+        CASE WHEN o_custkey % 5 = 0 OR (o_custkey % 5 = 1 AND o_orderkey % 2 = 0) THEN 'E' || (o_orderkey % 3) END AS err, o_orderkey % 7 < 3 OR NOT (o_custkey % 5 = 0 OR (o_custkey % 5 = 1 AND o_orderkey % 2 = 0)) AS indexed FROM orders),
+      s AS (SELECT batch_id, count(*) AS commit_count, count(err) AS failed_commit_count, sum(CASE WHEN indexed THEN nc ELSE 0 END)::BIGINT AS new_chunk_count, sum(CASE WHEN indexed THEN sc ELSE 0 END)::BIGINT AS skipped_chunk_count,
+        sum(CASE WHEN indexed THEN ic ELSE 0 END)::BIGINT AS embedding_input_chars,
+        CASE WHEN count(*) FILTER (indexed AND pt IS NULL) = 0 THEN coalesce(sum(pt) FILTER (indexed), 0)::BIGINT END AS embedding_provider_tokens, arg_min(err, k) FILTER (err IS NOT NULL) AS error_type FROM c GROUP BY 1)
       SELECT *, CASE WHEN failed_commit_count = 0 THEN 'COMPLETED' WHEN failed_commit_count >= commit_count THEN 'FAILED' ELSE 'PARTIAL' END AS result FROM s""",
     "llm_budget_selection": """SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey % 50 DESC, o_orderkey % 7 DESC, o_orderkey % 900 DESC, o_orderkey) <= 5 AS by_size,
       row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) <= 5 AS by_order FROM orders""",
