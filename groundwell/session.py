@@ -73,11 +73,10 @@ def narrow(big: DataFrame, few: DataFrame, keys: list[str], bounded: bool) -> Da
 
 
 def scan_partitions(scan: DataFrame, growth: int = 4) -> int:
-    """Shuffle partitions for a plain table scan: the session's setting, but no more than
-    `growth` per input split, and one per core at least."""
+    """Shuffle partitions for a plain table scan: `growth` per input split, as splits follow the
+    bytes of the input, and one per core at least."""
     context = scan.sparkSession.sparkContext
-    setting = int(scan.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return min(setting, max(context.defaultParallelism, growth * scan.rdd.getNumPartitions()))
+    return max(context.defaultParallelism, growth * scan.rdd.getNumPartitions())
 
 
 def spread(scan: DataFrame, key: str) -> DataFrame:

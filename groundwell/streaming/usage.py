@@ -15,32 +15,29 @@ def read_events(spark: SparkSession, path: str, schema: str, files_per_batch: in
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).json(path)
 
 
-def daily_usage(events: DataFrame, late: str = "1 day") -> DataFrame:
-    """Tokens per workspace, day and model. Rows later than the watermark are dropped."""
-    return (
-        events.withWatermark("ts", late)
-        .groupBy(F.window("ts", "1 day").alias("w"), "workspace_id", "embedding_model")
-        .agg(F.sum(F.col("embedding_tokens").cast("decimal(12,1)")).alias("embedding_tokens"))
-        .select("workspace_id", F.to_date("w.start").alias("date"), "embedding_model", "embedding_tokens")
+def daily_usage(events: DataFrame) -> DataFrame:
+    """Tokens per workspace, day and model of the rows at hand."""
+    return events.groupBy("workspace_id", F.to_date("ts").alias("date"), "embedding_model").agg(
+        F.sum(F.col("embedding_tokens").cast("decimal(12,1)")).alias("embedding_tokens")
     )
 
 
-def run_daily_usage(events: DataFrame, path: str, late: str = "1 day") -> None:
-    """Every batch writes the days it changed; `read_daily_usage` takes the last state of each."""
+def run_daily_usage(events: DataFrame, path: str) -> None:
+    """Every batch writes the sums of its own rows, however late they are; `read_daily_usage` adds them up."""
     run_available(
-        daily_usage(events, late), f"{path}/checkpoint", lambda df, i: write_batch(df, f"{path}/days", i), "update"
+        events, f"{path}/checkpoint", lambda df, i: write_batch(daily_usage(df), f"{path}/days", i)
     )
 
 
 def read_daily_usage(spark: SparkSession, path: str) -> DataFrame:
     days = spark.read.option("basePath", f"{path}/days").parquet(f"{path}/days/batch=*")
     return days.groupBy("workspace_id", "date", "embedding_model").agg(
-        F.max_by("embedding_tokens", "batch").alias("embedding_tokens")
+        F.sum("embedding_tokens").alias("embedding_tokens")
     )
 
 
 def run_daily_budget(requests: DataFrame, path: str, limit: int, order: str, key: str) -> None:
-    """Marks the first `limit` requests of a day in order of arrival; later ones are `limit`ed.
+    """Marks the first `limit` requests of a day in order of arrival; a limit of 0 or less marks all.
 
     A batch needs only the counts of the days before it. Ranking cuts every task's rows to
     the limit before the shuffle, so one busy day is no hot spot.
@@ -49,6 +46,10 @@ def run_daily_budget(requests: DataFrame, path: str, limit: int, order: str, key
 
     def each(df: DataFrame, batch: int) -> None:
         spark = df.sparkSession
+        if limit <= 0:
+            everything = df.withColumn("day", F.to_date(order)).withColumn("acquired", F.lit(True))
+            write_batch(everything, f"{path}/requests", batch)
+            return
         used = earlier_batches(spark, f"{path}/used", schema, batch).groupBy("day").agg(F.sum("granted").alias("used"))
         rows = df.withColumn("day", F.to_date(order))
         w = Window.partitionBy("day").orderBy(order, key)

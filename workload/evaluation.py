@@ -287,15 +287,15 @@ ROUNDED_REPORT = """SELECT category, n, n_scored, round(recall_at_k, 6) AS recal
 
 # ---------------------------------------------------------------- rewrites
 def _rewrites(spark: SparkSession, sf: str) -> DataFrame:
-    """Messages as questions; a later stretch of the same text stands in for the rewrite."""
+    """Messages as questions; the same text, changed or marked, stands in for the rewrite."""
     text, i = F.col("text"), F.col("conv_id") * 100 + F.col("turn")
     rewritten = (
         F.when(i % 7 == 0, None)
         .when(i % 5 == 0, F.concat(F.lit(" "), text, F.lit(" ")))
-        .when(i % 5 == 1, F.concat(F.lit('"'), F.left(text, F.lit(20)), F.lit('"')))
-        .when(i % 5 == 2, F.concat(F.lit("출력: "), F.left(text, F.lit(20))))
-        .when(i % 5 == 3, F.concat(F.left(text, F.lit(20)), F.lit(" 합니다.")))
-        .otherwise(F.substring(text, 3, 60))
+        .when(i % 5 == 1, F.concat(F.lit('"'), text, F.lit('"')))
+        .when(i % 5 == 2, F.concat(F.lit("출력: "), text))
+        .when(i % 5 == 3, F.concat(text, F.lit(" 합니다.")))
+        .otherwise(F.replace(text, F.lit("e"), F.lit("a")))
     )
     return b.table(spark, sf, "conversations").select(
         i.alias("id"),
@@ -334,9 +334,9 @@ ANSWER_LIKE = """coalesce(t <> '' AND t <> q AND (length(t) > greatest(length(qu
 REWRITES = f"""
 r0 AS (SELECT conv_id * 100 + turn AS id, text AS question FROM conversations),
 rw AS (SELECT id, 'm' || (id % 3) AS model, question,
-  CASE WHEN id % 7 = 0 THEN NULL WHEN id % 5 = 0 THEN ' ' || question || ' ' WHEN id % 5 = 1 THEN '"' || question[:20] || '"'
-       WHEN id % 5 = 2 THEN '출력: ' || question[:20] WHEN id % 5 = 3 THEN question[:20] || ' 합니다.'
-       ELSE substring(question, 3, 60) END AS rewritten,
+  CASE WHEN id % 7 = 0 THEN NULL WHEN id % 5 = 0 THEN ' ' || question || ' ' WHEN id % 5 = 1 THEN '"' || question || '"'
+       WHEN id % 5 = 2 THEN '출력: ' || question WHEN id % 5 = 3 THEN question || ' 합니다.'
+       ELSE replace(question, 'e', 'a') END AS rewritten,
   CASE WHEN id % 11 = 0 THEN 'timeout' END AS error,
   CASE WHEN id % 4 = 0 THEN []::VARCHAR[] ELSE [question[:4], 'the', 'ZZZ'] END AS kw,
   id % 5 = 0 AS expect_passthrough, CASE WHEN id % 2 = 0 THEN 'doc-' || id END AS expected_doc,

@@ -5,10 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from groundwell.functions import vector as V
 from groundwell.operators import chunking
 from groundwell.session import scratch_dir
-from groundwell.streaming import ingest, semantic_cache, tables, usage
+from groundwell.streaming import ingest, usage
 from workload import bindings as b
 from workload.reports import CALLS, USAGE, calls
 
@@ -22,14 +21,14 @@ def _arriving(df: DataFrame, path: str, order: str) -> DataFrame:
 
 
 def stream_usage_daily(spark: SparkSession, sf: str) -> DataFrame:
-    """The watermark is wider than the month of events, as files may arrive in any order."""
+    """Files may arrive in any order."""
     root = scratch_dir(spark, "usage")
     rows = calls(spark, sf).select(
         F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").alias("ts"), "workspace_id",
         F.col("model").alias("embedding_model"), "embedding_tokens",
     )
     rows.repartitionByRange(FILES, "ts").write.mode("overwrite").json(f"{root}/in")
-    usage.run_daily_usage(usage.read_events(spark, f"{root}/in", usage.USAGE_SCHEMA, 2), f"{root}/out", "40 days")
+    usage.run_daily_usage(usage.read_events(spark, f"{root}/in", usage.USAGE_SCHEMA, 2), f"{root}/out")
     return usage.read_daily_usage(spark, f"{root}/out").select(
         "workspace_id", F.date_format("date", "yyyy-MM-dd").alias("date"), "embedding_model",
         F.col("embedding_tokens").cast("double").alias("embedding_tokens"),
@@ -65,7 +64,7 @@ def stream_reindex(spark: SparkSession, sf: str) -> DataFrame:
         F.concat(F.lit("ws"), F.col("doc_id") % 4).alias("workspace_id"), F.lit("document").alias("source_type"),
         F.col("doc_id").alias("source_id"), F.lit(0).alias("version"), "text",
     )
-    again = docs.where("source_id % 3 = 0").withColumns({"version": F.lit(1), "text": F.replace(F.left("text", F.lit(2000)), F.lit("e"), F.lit("EE"))})
+    again = docs.where("source_id % 3 = 0").withColumns({"version": F.lit(1), "text": F.replace("text", F.lit("e"), F.lit("EE"))})
     stream = _arriving(docs.unionByName(again), f"{root}/in", "source_id")
     keys = ["workspace_id", "source_type", "source_id", "version"]
     ingest.run_reindex(stream, f"{root}/out", lambda df: chunking.chunk_rows(df, keys, 1500, 200))
@@ -74,39 +73,16 @@ def stream_reindex(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-def stream_semantic_cache(spark: SparkSession, sf: str) -> DataFrame:
-    """Vectors as requests in order of their number, with a few invalidations in between."""
-    root = scratch_dir(spark, "cache")
-    i = F.col("vec_id")
-    rows = b.table(spark, sf, "embeddings").select(
-        F.concat(F.lit("ws"), i % 4).alias("workspace_id"), F.when(i % 97 == 50, "invalidate").otherwise("ask").alias("kind"),
-        i.alias("query_id"), i.cast("double").alias("at"), (i + 5).cast("double").alias("answered_at"),
-        F.concat(F.lit("ns"), i % 8).alias("namespace"), V.as_double(F.col("embedding")).alias("vector"),
-        (i % 5 != 0).alias("storable"), (i % 3 != 0).alias("verified"), (i % 7 != 0).alias("allowed"),
-    )
-    # Requests arrive in waves, and the stream goes on from its checkpoint after each: what a
-    # task sees of a workspace at a time is its part of a wave.
-    span = rows.agg(F.max("query_id").alias("top")).first()["top"] + 1
-    for wave in range(FILES):
-        low, high = span * wave // FILES, span * (wave + 1) // FILES
-        part = rows.where((F.col("query_id") >= low) & (F.col("query_id") < high))
-        part.write.mode("append").parquet(f"{root}/in")
-        stream = spark.readStream.schema(rows.schema).parquet(f"{root}/in")
-        found = semantic_cache.replay(stream, direct=0.45, floor=0.3, ttl=300.0, max_entries=20)
-        tables.run_available(found, f"{root}/checkpoint", lambda df, n: tables.write_batch(df, f"{root}/out", n))
-    return spark.read.parquet(f"{root}/out/batch=*").withColumn("similarity", F.round("similarity", 6))
-
-
 QUERIES = {
     f.__name__: f
-    for f in (stream_usage_daily, stream_verify_budget, stream_idempotent_ingest, stream_reindex, stream_semantic_cache)
+    for f in (stream_usage_daily, stream_verify_budget, stream_idempotent_ingest, stream_reindex)
 }
 
 ORACLE = {
     "stream_usage_daily": f"WITH {CALLS} {USAGE}",
     "stream_verify_budget": """SELECT strftime(ts::DATE, '%Y-%m-%d') AS day, least(count(*), 100) AS acquired, greatest(count(*) - 100, 0) AS limited FROM events GROUP BY 1""",
     "stream_idempotent_ingest": "SELECT DISTINCT 'ws' || ((o_orderkey // 3) % 4) AS workspace_id, sha1((o_orderkey // 3)::VARCHAR) AS commit_hash FROM orders",
-    "stream_reindex": """WITH d AS (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 1 ELSE 0 END AS version, CASE WHEN doc_id % 3 = 0 THEN replace(text[:2000], 'e', 'EE') ELSE text END AS text FROM documents)
+    "stream_reindex": """WITH d AS (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 1 ELSE 0 END AS version, CASE WHEN doc_id % 3 = 0 THEN replace(text, 'e', 'EE') ELSE text END AS text FROM documents)
       SELECT 'ws' || (doc_id % 4) AS workspace_id, doc_id AS source_id, version, w AS chunk_index, w * 1300 AS char_start, md5(substring(text, w * 1300 + 1, 1500)) AS content_md5
       FROM (SELECT *, unnest(range(0, CASE WHEN length(text) = 0 THEN 0 WHEN length(text) <= 1500 THEN 1 ELSE 1 + ceil((length(text) - 1500) / 1300)::BIGINT END)) AS w FROM d)""",
 }

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from groundwell.functions import commits, replies, rules, text as t
@@ -390,13 +390,17 @@ def role_templates(spark: SparkSession, sf: str) -> DataFrame:
             F.concat(F.lit("You are "), F.col("n_name"), F.lit(". {history}\n{context}")).alias("template"),
         )
     )
-    rows = b.table(spark, sf, "conversations").where("role = 'user'").select("conv_id", "turn", role.alias("role"), "text")
+    # The history of a message is the one that came before it.
+    before = Window.partitionBy("conv_id").orderBy("turn")
+    last = F.lag(F.struct("role", "text")).over(before)
+    said = b.table(spark, sf, "conversations").withColumn("history", t.label_lines(F.array_compact(F.array(last))))
+    rows = said.where("role = 'user'").select("conv_id", "turn", role.alias("role"), "text", "history")
     known = rows.where(F.col("role").isin(*replies.ROLES))
     return known.join(F.broadcast(templates), "role").select(
         "conv_id", "turn", "role",
         F.md5(
             replies.render_template(
-                F.col("template"), {"history": F.left("text", F.lit(30)), "context": F.col("text")}
+                F.col("template"), {"history": F.col("history"), "context": F.col("text")}
             )
         ).alias("prompt_md5"),
     )
@@ -586,8 +590,8 @@ ORACLE = {
         md5('질문: ' || question || chr(10) || chr(10) || '답변: ' || block) AS qa_md5 FROM h""",
     "clean_text": f"SELECT doc_id, md5(s) AS clean_md5, length(s) AS n FROM (SELECT doc_id, CASE WHEN doc_id % 10 <> 0 THEN {SQUEEZE.format('text')} ELSE '' END AS s FROM documents)",
     "role_templates": """WITH r AS (SELECT n_nationkey, ['planner', 'developer', 'qa', 'designer', 'operator', 'newcomer'][n_nationkey + 1] AS role, n_name FROM nation WHERE n_nationkey < 6)
-      SELECT conv_id, turn, role, md5('You are ' || n_name || '. ' || text[:30] || chr(10) || text) AS prompt_md5
-      FROM conversations c JOIN r ON r.n_nationkey = conv_id % 7 WHERE c.role = 'user'""".replace("conv_id, turn, role, md5", "conv_id, turn, r.role AS role, md5"),
+      SELECT conv_id, turn, role, md5('You are ' || n_name || '. ' || coalesce(CASE before.role WHEN 'user' THEN '사용자' ELSE '어시스턴트' END || ': ' || before.text, '') || chr(10) || c.text) AS prompt_md5
+      FROM (SELECT *, lag(struct_pack(role := role, text := text)) OVER (PARTITION BY conv_id ORDER BY turn) AS before FROM conversations) c JOIN r ON r.n_nationkey = conv_id % 7 WHERE c.role = 'user'""".replace("conv_id, turn, role, md5", "conv_id, turn, r.role AS role, md5"),
     "normalize_model_responses": """SELECT id, vendor, md5(t) AS text_md5, n AS input_tokens, CASE vendor WHEN 'anthropic' THEN 7 WHEN 'openai' THEN 5 ELSE 6 END AS output_tokens,
         CASE WHEN vendor = 'gemini' THEN 2 ELSE 0 END AS thoughts_tokens, CASE vendor WHEN 'anthropic' THEN 'end_turn' WHEN 'openai' THEN 'stop' ELSE 'STOP' END AS finish_reason,
         CASE WHEN vendor = 'anthropic' THEN 3 ELSE 0 END AS cache_read_tokens, CASE id % 4 WHEN 0 THEN 'yes' WHEN 1 THEN 'no' ELSE 'invalid' END AS verdict,
