@@ -9,8 +9,8 @@ recall. Candidates are verified by the edit distance of the item to any stretch
 window, so everything returned is exact, and exact copies are never missed.
 
 Items are grouped by size and windows are as long as the smallest item of a group. A window is
-walked only if enough of its words occur in the group's items at all, which no match can fail: of
-its words at most the allowed edits are not the item's. Items come from the driver in blocks of
+walked only if enough of its words occur in the group's items at all, and enough of the words that
+few items have: no match can fail that, as all but the allowed edits of the item's words are in it. Items come from the driver in blocks of
 ITEMS_AT_ONCE, and each block is one pass over the documents, without a shuffle.
 
 Defined cases: null texts and texts without words match nothing; an item of fewer than five words
@@ -21,6 +21,7 @@ equals; repeated rows are reported one by one; empty tables give an empty result
 from __future__ import annotations
 
 import math
+from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
@@ -39,7 +40,9 @@ GAP[[*range(0x00, 0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[0x41:0x5B] += 0x20
 #: Items of a group differ in size by less than this factor.
-GROUP = 1.5
+GROUP = 1.2
+#: Words in more than one of so many items are common.
+COMMON = 50
 #: Stands for what lies behind a text.
 PAD = np.uint64(0x5851F42D4C957F2D)
 
@@ -73,12 +76,18 @@ def word_hashes(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarra
 class Group:
     """Items of similar size with their hashes for every round."""
 
-    def __init__(self, items: list[tuple[int, np.ndarray]], number: int, search: Search):
+    def __init__(self, items: list[tuple[int, np.ndarray]], number: int, search: Search, common: set[int]):
         self.items = items
+        self.listed = [x.tolist() for _, x in items]
         sizes = [len(x) for _, x in items]
         self.size = min(sizes)
         self.least = self.size - allowed(max(sizes), search.edits)
         self.vocabulary = np.unique(np.concatenate([x for _, x in items]))
+        # Of its uncommon words a match has all but the allowed edits, within `reach`.
+        uncommon = [sum(x not in common for x in listed) for listed in self.listed]
+        self.least_uncommon = min(u - allowed(n, search.edits) for u, n in zip(uncommon, sizes, strict=True))
+        self.uncommon = np.array([x for x in self.vocabulary.tolist() if x not in common], np.uint64)
+        self.reach = max(sizes) + allowed(max(sizes), search.edits)
         # A walk is at half its steps; it should not run over the end of the item.
         self.steps = max(1, int(1.6 * self.size))
         rng = np.random.default_rng([search.seed, number])
@@ -126,10 +135,12 @@ def best_stretch(item: np.ndarray, text: np.ndarray) -> tuple[int, int]:
 
 def groups_of(items: list[tuple[int, np.ndarray]], search: Search) -> list[Group]:
     by_size: dict[int, list[tuple[int, np.ndarray]]] = {}
+    seen = Counter(x for _, words in items for x in set(words.tolist()))
+    common = {x for x, n in seen.items() if n * COMMON > len(items)}
     for number, words in items:
         if len(words):
             by_size.setdefault(int(math.log(len(words)) / math.log(GROUP) + 1e-9), []).append((number, words))
-    return [Group(listed, size, search) for size, listed in sorted(by_size.items())]
+    return [Group(listed, size, search, common) for size, listed in sorted(by_size.items())]
 
 
 def candidates(group: Group, words: np.ndarray, first: np.ndarray, begin: np.ndarray, end: np.ndarray) -> set[tuple[int, int]]:
@@ -145,7 +156,7 @@ def candidates(group: Group, words: np.ndarray, first: np.ndarray, begin: np.nda
 
 def _matches(groups: list[Group], search: Search):
     vocabulary = np.unique(np.concatenate([g.vocabulary for g in groups]))
-    listed = [np.append(np.isin(vocabulary, g.vocabulary), False) for g in groups]
+    listed = [[np.append(np.isin(vocabulary, x), False) for x in (g.vocabulary, g.uncommon)] for g in groups]
     # A table by the low bits tells most other words before they are looked up.
     some = np.zeros(1 << 20, bool)
     some[(vocabulary & np.uint64((1 << 20) - 1)).astype(np.int64)] = True
@@ -161,10 +172,12 @@ def _matches(groups: list[Group], search: Search):
             known[maybe[hit]] = place[hit]
             text = np.repeat(np.arange(len(first) - 1), np.diff(first))
             end = first[1:][text]
-            for group, mine in zip(groups, listed, strict=True):
+            for group, (mine, uncommon) in zip(groups, listed, strict=True):
                 upto = np.concatenate([[0], np.cumsum(mine[known])])
-                begin = np.arange(n)
-                begin = begin[upto[np.minimum(begin + group.size, end)] - upto[begin] >= max(1, group.least)]
+                begin = np.flatnonzero(upto[np.minimum(np.arange(n) + group.size, end)] - upto[:-1] >= max(1, group.least))
+                upto = np.concatenate([[0], np.cumsum(uncommon[known])])
+                last = np.minimum(begin + group.reach, end[begin])
+                begin = begin[upto[last] - upto[begin] >= group.least_uncommon]
                 if not len(begin):
                     continue
                 best: dict[tuple[int, int], tuple[int, int]] = {}
@@ -180,6 +193,10 @@ def _matches(groups: list[Group], search: Search):
                     checked.add((cell, j))
                     low = max(int(first[row]), cell * reach - most)
                     high = min(int(first[row + 1]), (cell + 1) * reach + len(item) + most)
+                    # All but the edited words of the item must be there at all.
+                    there = set(words[low:high].tolist())
+                    if sum(x in there for x in group.listed[j]) < len(item) - most:
+                        continue
                     cost, where = best_stretch(item, words[low:high])
                     if cost <= most:
                         found = (cost, low + where - int(first[row]))
