@@ -1,20 +1,21 @@
-"""BM25 over an inverted index kept as plain tables.
+"""BM25 over an inverted index that is kept as tables.
 
-The corpus is shuffled once, by chunk. Term counts, document lengths and the scores of
-a chunk are then all computed where the chunk lies; only per-term counts and the best k
-rows per query and partition travel any further.
+The corpus is shuffled once, by chunk, and its postings are saved in that dealing: a folder per
+workspace, in it a bucket of chunks per file, ordered by term. A search reads the workspaces it
+is asked for; the scores of a chunk are computed where the chunk lies, and only the best k rows
+per query and bucket travel. A refresh rewrites the folders of the workspaces it is given.
 """
 
 from __future__ import annotations
 
+import hashlib
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.storagelevel import StorageLevel
 
 from groundwell.functions.text import Tokenizer, tokenize
-from groundwell.session import fits_broadcast, materialize, write_table
+from groundwell.session import fits_broadcast, scratch_dir
 
 # The usual Okapi parameters.
 K1, B, EPSILON = 1.5, 0.75, 0.25
@@ -26,6 +27,11 @@ POSTINGS_PER_TASK = 2_000_000
 QUERY_TERMS = 200_000
 
 
+# Workspaces of a request batch up to which the others are left out of the scan.
+SPACES = 1_000
+POSTINGS = "chunk_id {id}, dl INT, term STRING, tf BIGINT, workspace_id STRING"
+
+
 @dataclass(frozen=True)
 class LexicalIndex:
     """postings(workspace_id, chunk_id, dl, term, tf), terms(workspace_id, term, df),
@@ -37,14 +43,30 @@ class LexicalIndex:
 
     @staticmethod
     def load(spark: SparkSession, path: str) -> "LexicalIndex":
-        """An index that was built with this path."""
-        return _index(*(spark.read.parquet(f"{path}/{t}") for t in ("postings", "counts", "corpus")))
+        """The index at this path, in its state of now."""
+        with_term = F.col("term").isNotNull()
+        terms = spark.read.parquet(f"{path}/counts").where(with_term).select("workspace_id", "term", "df")
+        postings = spark.table(_table(spark, path)).where(with_term)
+        return LexicalIndex(postings, terms, spark.read.parquet(f"{path}/corpus"))
+
 
+def _table_name(path: str) -> str:
+    return "lexical_" + hashlib.sha1(path.encode()).hexdigest()[:20]
 
-def _index(postings: DataFrame, counts: DataFrame, corpus: DataFrame) -> LexicalIndex:
-    with_term = F.col("term").isNotNull()
-    terms = counts.where(with_term).select("workspace_id", "term", "df")
-    return LexicalIndex(postings.where(with_term), terms, corpus)
+
+def _table(spark: SparkSession, path: str) -> str:
+    """Name of the table over the postings at `path`; a session that did not write it declares it."""
+    name = _table_name(path)
+    if spark.catalog.tableExists(name):
+        spark.catalog.refreshTable(name)
+        return name
+    meta = spark.read.parquet(f"{path}/meta").first()
+    spark.sql(
+        f"CREATE TABLE {name} ({POSTINGS.format(id=meta['id_type'])}) USING parquet PARTITIONED BY (workspace_id) "
+        f"CLUSTERED BY (chunk_id) SORTED BY (term) INTO {meta['buckets']} BUCKETS LOCATION '{path}/postings'"
+    )
+    spark.catalog.recoverPartitions(name)
+    return name
 
 
 def _corpus(counts: DataFrame) -> DataFrame:
@@ -65,36 +87,20 @@ def _corpus(counts: DataFrame) -> DataFrame:
     )
 
 
-def build_index(
-    chunks: DataFrame,
-    tokenizer: Tokenizer = tokenize,
-    context: str | None = None,
-    path: str | None = None,
-    partitions: int | None = None,
-) -> LexicalIndex:
-    """Index the chunks that have tokens. With `context`, the generated context of a chunk
-    is indexed in front of its text.
-
-    The text is shuffled once, before it is tokenized. Without a path the postings are
-    persisted in that partitioning for the searches of this session; lost blocks are
-    recomputed from the shuffle. With a path they are written there in term order, so that
-    a search skips row groups without its terms, for `LexicalIndex.load`. The counts per
-    term are written in either case.
-    """
+def _postings(chunks: DataFrame, tokenizer: Tokenizer, context: str | None, buckets: int) -> DataFrame:
     text: Column = F.col("content")
     if context is not None:
         text = F.when(
             F.coalesce(F.col(context), F.lit("")) != "", F.concat(F.col(context), F.lit("\n"), text)
         ).otherwise(text)
-    texts = chunks.select("workspace_id", "chunk_id", text.alias("content"))
-    by_chunk = texts.repartition("chunk_id") if partitions is None else texts.repartition(partitions, "chunk_id")
-    tokens = by_chunk.select(
+    texts = chunks.select("workspace_id", "chunk_id", text.alias("content")).repartition(buckets, "chunk_id")
+    tokens = texts.select(
         "workspace_id", "chunk_id", tokenizer(F.col("content")).alias("tokens")
     ).withColumn("dl", F.size("tokens"))
     # Each chunk also gets one posting without a term, which carries its length into the
     # one pass over the postings that counts terms. An outer explode, as the plain one
     # would infer a filter that tokenizes every text a second time.
-    postings = (
+    return (
         tokens.select(
             "workspace_id",
             "chunk_id",
@@ -103,19 +109,90 @@ def build_index(
         )
         .groupBy("workspace_id", "chunk_id", "dl", "term")
         .agg(F.count(F.lit(1)).alias("tf"))
+        .select("chunk_id", "dl", "term", "tf", "workspace_id")
     )
-    if path is None:
-        postings = postings.persist(StorageLevel.MEMORY_AND_DISK)
-    else:
-        postings = write_table(postings.sortWithinPartitions("workspace_id", "term"), f"{path}/postings")
+
+
+def _write_statistics(postings: DataFrame, path: str) -> None:
+    """Counts per term and the corpus row of the workspaces that `postings` holds."""
+    spark = postings.sparkSession
     counts = (
         postings.where(F.col("dl") > 0)
         .groupBy("workspace_id", "term")
         .agg(F.count(F.lit(1)).alias("df"), F.sum("dl").alias("dl"))
     )
-    keep = materialize if path is None else lambda df, name: write_table(df, f"{path}/{name}")
-    counts = keep(counts, "counts")
-    return _index(postings, counts, keep(_corpus(counts), "corpus"))
+    spaces = [r[0] for r in postings.select("workspace_id").distinct().limit(SPACES + 1).collect()]
+    _overwrite(counts, f"{path}/counts")
+    written = spark.read.schema(counts.schema).parquet(f"{path}/counts")
+    if len(spaces) <= SPACES:
+        written = written.where(F.col("workspace_id").isin(spaces))
+    _overwrite(_corpus(written), f"{path}/corpus")
+
+
+def _overwrite(df: DataFrame, path: str) -> None:
+    """Write `df` by workspace, leaving the folders of other workspaces as they are."""
+    df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("workspace_id").parquet(path)
+
+
+def build_index(
+    chunks: DataFrame,
+    tokenizer: Tokenizer = tokenize,
+    context: str | None = None,
+    path: str | None = None,
+    partitions: int | None = None,
+) -> LexicalIndex:
+    """Index the chunks that have tokens, at a new `path` (by default in scratch space). With
+    `context`, the generated context of a chunk is indexed in front of its text.
+
+    The text is shuffled once, to `partitions` buckets of chunks, before it is tokenized; each
+    task then writes its bucket. Nothing is kept in memory, and later sessions load the index.
+    """
+    spark = chunks.sparkSession
+    path = path or scratch_dir(spark, "index")
+    buckets = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    postings = _postings(chunks, tokenizer, context, buckets)
+    meta = [(buckets, chunks.schema["chunk_id"].dataType.simpleString())]
+    spark.createDataFrame(meta, "buckets int, id_type string").write.mode("overwrite").parquet(f"{path}/meta")
+    writer = postings.write.mode("overwrite").format("parquet").option("path", f"{path}/postings")
+    writer.partitionBy("workspace_id").bucketBy(buckets, "chunk_id").sortBy("term").saveAsTable(_table_name(path))
+    _write_statistics(spark.table(_table_name(path)), path)
+    return LexicalIndex.load(spark, path)
+
+
+def refresh_index(
+    spark: SparkSession,
+    path: str,
+    chunks: DataFrame,
+    workspaces: DataFrame,
+    tokenizer: Tokenizer = tokenize,
+    context: str | None = None,
+) -> LexicalIndex:
+    """Index the given workspaces (workspace_id) anew from `chunks`; others are neither read nor written.
+
+    Every folder is replaced as a whole, so a refresh that failed is simply run again.
+    """
+    name = _table(spark, path)
+    buckets = spark.read.parquet(f"{path}/meta").first()["buckets"]
+    asked = workspaces.select("workspace_id").distinct()
+    touched = chunks.join(asked, "workspace_id", "left_semi")
+    fresh = _postings(touched, tokenizer, context, buckets)
+    # A workspace of which nothing is left has no rows that could replace its folder.
+    gone = asked.join(touched.select("workspace_id"), "workspace_id", "left_anti")
+    for space in gone.toLocalIterator():
+        for table in ("postings", "counts", "corpus"):
+            folder = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{table}/workspace_id={space[0]}")
+            folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+    mode = "spark.sql.sources.partitionOverwriteMode"  # an insert takes it from the session only
+    before = spark.conf.get(mode)
+    spark.conf.set(mode, "dynamic")
+    try:
+        fresh.write.insertInto(name, overwrite=True)
+    finally:
+        spark.conf.set(mode, before)
+    spark.catalog.refreshTable(name)
+    written = spark.table(name).join(F.broadcast(asked) if fits_broadcast(asked) else asked, "workspace_id", "left_semi")
+    _write_statistics(written, path)
+    return LexicalIndex.load(spark, path)
 
 
 def raw_idf() -> Column:
@@ -157,15 +234,17 @@ def score(
         .join(index.corpus, "workspace_id")
         .select("query_id", "workspace_id", "term", "avgdl", "df", (F.col("qtf") * idf()).alias("weight"))
     )
+    spaces = [r[0] for r in queries.select("workspace_id").distinct().limit(SPACES + 1).collect()]
+    postings = index.postings if len(spaces) > SPACES else index.postings.where(F.col("workspace_id").isin(spaces))
     if small_queries:
-        hits = index.postings.join(F.broadcast(wanted.drop("df")), ["workspace_id", "term"])
+        hits = postings.join(F.broadcast(wanted.drop("df")), ["workspace_id", "term"])
     else:
         spread = F.ceil(F.col("df") / F.lit(float(POSTINGS_PER_TASK))).cast("int")
         tasks = wanted.withColumn("slot", F.explode(F.sequence(F.lit(0), spread - 1)))
         slots = index.terms.where(F.col("df") > POSTINGS_PER_TASK).select(
             "workspace_id", "term", spread.alias("slots")
         )
-        placed = index.postings.join(slots, ["workspace_id", "term"], "left").withColumn(
+        placed = postings.join(slots, ["workspace_id", "term"], "left").withColumn(
             "slot", F.pmod(F.hash("chunk_id"), F.coalesce("slots", F.lit(1)))
         )
         hits = placed.join(tasks.drop("df"), ["workspace_id", "term", "slot"])

@@ -38,10 +38,12 @@ def test_scores_are_computed_where_the_chunk_lies(spark):
     from workload import bindings as b
 
     index = lexical.build_index(b.chunks(spark, SF))
-    plan = lexical.score(index, b.requests(spark, SF), small_queries=True)._jdf.queryExecution().executedPlan().toString()
-    spine = [line for line in plan.splitlines() if "Exchange hashpartitioning(query_id" in line and "chunk_id" in line]
-    assert spine == []
-    assert "REPARTITION_BY_COL" in plan
+    scored = lexical.score(index, b.requests(spark, SF).where("workspace_id <> 'ws0'"), small_queries=True)
+    plan = scored._jdf.queryExecution().executedPlan().toString()
+    assert [x for x in plan.splitlines() if "Exchange hashpartitioning(query_id" in x and "chunk_id" in x] == []
+    assert "Bucketed: true" in plan
+    filters = plan[plan.index("PartitionFilters: ") :].split("PushedFilters")[0]
+    assert "workspace_id" in filters and "ws1" in filters and "ws0" not in filters
 
 
 def test_scans_read_only_what_they_need(spark):

@@ -189,3 +189,21 @@ def test_cached_answers_need_all_citations(spark):
     asked = spark.createDataFrame([(1, "a", "", [0.0], [], False)], REQUESTS)
     got = access.still_valid(entries, cited, asked, chunks).collect()
     assert sorted(r["entry_id"] for r in got) == [11, 13]
+
+
+def test_refresh_rewrites_only_touched_workspaces(spark):
+    first = [(1, "a", "alpha beta"), (2, "a", "beta"), (3, "b", "beta gamma"), (4, "b", "delta"), (5, "c", "beta x"), (6, "b", "y"), (7, "a", "z")]
+    then = [(1, "a", "alpha"), (8, "a", "beta beta"), (9, "a", "u"), (3, "b", "changed but not touched")]
+    path = scratch_dir(spark, "t")
+    lexical.build_index(spark.createDataFrame(first, "chunk_id long, workspace_id string, content string"), path=path, partitions=3)
+    touched = spark.createDataFrame([("a",), ("c",)], "workspace_id string")
+    index = lexical.refresh_index(spark, path, spark.createDataFrame(then, "chunk_id long, workspace_id string, content string"), touched)
+    now = [r for r in then if r[1] == "a"] + [r for r in first if r[1] == "b"]
+    q = spark.createDataFrame([(1, "a", "beta alpha"), (2, "b", "beta"), (3, "c", "beta")], "query_id long, workspace_id string, query string")
+    key = lambda r: (r["query_id"], r["bm25_rank"], r["chunk_id"], round(r["score"], 8))
+    want = lexical.top_k(lexical.build_index(spark.createDataFrame(now, "chunk_id long, workspace_id string, content string")), q, 5).collect()
+    assert want and sorted(map(key, lexical.top_k(index, q, 5).collect())) == sorted(map(key, want))
+    # A session that has not written the index declares its table.
+    spark.sql(f"DROP TABLE {lexical._table_name(path)}")
+    loaded = lexical.top_k(lexical.LexicalIndex.load(spark, path), q, 5).collect()
+    assert sorted(map(key, loaded)) == sorted(map(key, want))

@@ -84,14 +84,30 @@ hits AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id
 HITS = f"{BASE},{BM25_RANKED},{VEC_RANKED},{HYBRID_ACL}"
 
 
-def index_of(chunks: DataFrame, **options) -> lexical.LexicalIndex:
-    return lexical.build_index(chunks, partitions=scan_partitions(chunks), **options)
+# Where the index of a folder of tables lies, for the application that built it.
+_KEPT: dict[tuple[str, str], str] = {}
+
+
+def build(spark: SparkSession, sf: str, chunks: DataFrame | None = None, **options) -> str:
+    """Build an index and return its path."""
+    path = scratch_dir(spark, "index")
+    chunks = b.chunks(spark, sf) if chunks is None else chunks
+    lexical.build_index(chunks, partitions=scan_partitions(chunks), path=path, **options)
+    return path
+
+
+def index_of(spark: SparkSession, sf: str) -> lexical.LexicalIndex:
+    """The index of the tables' chunks: built by the first query that needs it, then loaded."""
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _KEPT:
+        _KEPT[key] = build(spark, sf)
+    return lexical.LexicalIndex.load(spark, _KEPT[key])
 
 
 def hybrid_hits(spark: SparkSession, sf: str, k: int = K) -> DataFrame:
     chunks = b.chunks(spark, sf)
     return fusion.hybrid(
-        b.requests(spark, sf), chunks, index_of(chunks), b.chunk_vectors(spark, sf), k
+        b.requests(spark, sf), chunks, index_of(spark, sf), b.chunk_vectors(spark, sf), k
     )
 
 
@@ -103,7 +119,7 @@ def hybrid_rrf_acl(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def hybrid_rrf(spark: SparkSession, sf: str) -> DataFrame:
-    index = index_of(b.chunks(spark, sf))
+    index = index_of(spark, sf)
     vec, lex = fusion.candidates(b.requests(spark, sf), index, b.chunk_vectors(spark, sf), 3 * K)
     return fusion.rrf(vec, lex, K).select(
         "query_id", "rank", "chunk_id",
@@ -118,23 +134,30 @@ def vector_only_acl(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def bm25_context(spark: SparkSession, sf: str) -> DataFrame:
-    """Every other chunk is indexed with a generated context in front; the index is saved and
-    loaded before the search."""
+    """Every other chunk is indexed with a generated context in front."""
     context = F.when(F.col("chunk_id") % 2 == 0, F.concat(F.lit("about "), F.col("source_type")))
-    path = scratch_dir(spark, "index")
-    index_of(b.chunks(spark, sf).withColumn("context", context), context="context", path=path)
+    path = build(spark, sf, b.chunks(spark, sf).withColumn("context", context), context="context")
     return lexical.top_k(lexical.LexicalIndex.load(spark, path), b.requests(spark, sf), K).withColumn(
         "score", F.round("score", 6)
     )
 
 
 def bm25_topk(spark: SparkSession, sf: str) -> DataFrame:
-    index = index_of(b.chunks(spark, sf))
+    index = index_of(spark, sf)
+    return lexical.top_k(index, b.requests(spark, sf), K).withColumn("score", F.round("score", 6))
+
+
+def index_refresh(spark: SparkSession, sf: str) -> DataFrame:
+    """An index of older texts of which two workspaces are refreshed with the texts of now."""
+    chunks = b.chunks(spark, sf)
+    path = build(spark, sf, chunks.withColumn("content", F.replace("content", F.lit("e"), F.lit("a"))))
+    touched = chunks.select("workspace_id").distinct().where(F.col("workspace_id").isin("ws1", "ws3"))
+    index = lexical.refresh_index(spark, path, chunks, touched)
     return lexical.top_k(index, b.requests(spark, sf), K).withColumn("score", F.round("score", 6))
 
 
 def bm25_corpus_stats(spark: SparkSession, sf: str) -> DataFrame:
-    index = index_of(b.chunks(spark, sf))
+    index = index_of(spark, sf)
     corpus = F.broadcast(index.corpus) if fits_broadcast(index.corpus) else index.corpus
     return index.terms.join(corpus, "workspace_id").select(
         "workspace_id", "term", "df", "n",
@@ -182,6 +205,7 @@ def acl_visible_chunks(spark: SparkSession, sf: str) -> DataFrame:
 QUERIES = {
     "bm25_topk": bm25_topk,
     "bm25_context": bm25_context,
+    "index_refresh": index_refresh,
     "vector_only_acl": vector_only_acl,
     "bm25_corpus_stats": bm25_corpus_stats,
     "tokenize_terms": tokenize_terms,
@@ -197,6 +221,10 @@ ORACLE = {
         "regexp_extract_all(lower(content)",
         "regexp_extract_all(lower(CASE WHEN chunk_id % 2 = 0 THEN 'about ' || source_type || chr(10) ELSE '' END || content)",
     ) + f" SELECT query_id, chunk_id, round(score, 6) AS score, bm25_rank FROM lex WHERE bm25_rank < {K}",
+    "index_refresh": (f"{BASE},{BM25_RANKED}").replace(
+        "regexp_extract_all(lower(content)",
+        "regexp_extract_all(lower(CASE WHEN workspace_id IN ('ws1', 'ws3') THEN content ELSE replace(content, 'e', 'a') END)",
+    ) + f" SELECT query_id, chunk_id, round(score, 6) AS score, bm25_rank FROM lex WHERE bm25_rank < {K}",
     "vector_only_acl": f"{BASE},{VEC_RANKED}, lex AS (SELECT NULL::BIGINT AS query_id, NULL::BIGINT AS chunk_id, NULL::BIGINT AS bm25_rank WHERE false),{HYBRID_ACL} SELECT query_id, rank, chunk_id, round(vector_score, 6) AS vector_score, refetched FROM hits",
     "bm25_corpus_stats": f"{BASE},{BM25} SELECT workspace_id, term, df, n, round(avgdl, 6) AS avgdl, round(idf, 6) AS idf FROM terms JOIN corpus USING (workspace_id)",
     "tokenize_terms": f"SELECT term, count(*) AS n FROM (SELECT unnest({TOKENS.format('text')}) AS term FROM (SELECT text FROM documents UNION ALL SELECT text FROM conversations)) GROUP BY 1",
