@@ -67,7 +67,8 @@ def drop_boilerplate(
     lines = F.split("text", "\n")
     gone = F.coalesce("gone", F.array().cast("array<int>"))
     kept = F.filter(lines, lambda x, i: ~F.array_contains("gone", i))
-    return keyed.join(hits, same, "left").select(
+    # A sort-merge join whatever the size of the hits, so that the plan does not change with the input.
+    return keyed.hint("merge").join(hits, same, "left").select(
         "doc_id",
         F.coalesce(F.size(lines), F.lit(0)).cast("bigint").alias("n_lines"),
         F.size(gone).cast("bigint").alias("n_removed"),
