@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # Categories with special treatment.
+ANCHOR = 5  # words by which passages are looked up
 ACL_CATEGORIES, OUT_OF_CORPUS, DISTRACTOR = ("acl_task", "acl_restricted"), "out_of_corpus", "distractor"
 
 
@@ -17,6 +18,38 @@ def to_items(hits: DataFrame, chunk_docs: DataFrame) -> DataFrame:
     )
 
 
+def mark_substrings(items: DataFrame, chunks: DataFrame, phrases: DataFrame) -> DataFrame:
+    """Adds `substring_hit`: whether the chunk holds one of the request's phrases. Requests without
+    phrases hit nothing. chunks: chunk_id, content; phrases: query_id, phrases (array)."""
+    found = items.select("chunk_id").distinct()
+    texts = chunks.select("chunk_id", "content").join(found, "chunk_id", "left_semi")
+    hit = F.exists("phrases", lambda p: F.contains(F.col("content"), p))
+    return (
+        items.join(texts, "chunk_id", "left")
+        .join(phrases.select("query_id", "phrases"), "query_id", "left")
+        .withColumn("substring_hit", F.coalesce(hit, F.lit(False)))
+        .drop("content", "phrases")
+    )
+
+
+def containing(chunks: DataFrame, passages: DataFrame) -> DataFrame:
+    """(query_id, chunk_id) of the chunks that hold a passage as it is. chunks: chunk_id, content;
+    passages: query_id, passage, of ANCHOR + 2 words or more between single spaces.
+
+    The words after a passage's first one stand in the chunk as they are, so a join on their hash
+    finds the candidates, and only those are compared.
+    """
+    some = lambda i: F.xxhash64(*(F.get("words", i + k) for k in range(ANCHOR)))
+    runs = F.when(F.size("words") >= ANCHOR, F.transform(F.sequence(F.lit(0), F.size("words") - ANCHOR), some))
+    # Words are a column of their own: inside the expression they would be split for every run.
+    split = lambda df, key, text: df.select(key, F.split(text, " ").alias("words"))
+    anchors = split(passages, "query_id", "passage").select("query_id", F.get(runs, F.lit(1)).alias("h"))
+    seen = split(chunks, "chunk_id", "content").select("chunk_id", F.explode(F.array_distinct(runs)).alias("h"))
+    pairs = seen.join(anchors, "h").select("query_id", "chunk_id").distinct()
+    texts = pairs.join(chunks.select("chunk_id", "content"), "chunk_id").join(passages, "query_id")
+    return texts.where(F.contains("content", F.col("passage"))).select("query_id", "chunk_id")
+
+
 def with_source(retrieved: DataFrame, other: DataFrame) -> DataFrame:
     """The other result list where a request has one, else the retrieved list."""
     have = other.select("query_id").distinct()

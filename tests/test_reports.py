@@ -178,3 +178,16 @@ def test_daily_usage_adds_to_the_table(spark):
     first = metrics.daily_usage(df)
     got = sorted((str(r["date"]), float(r["embedding_tokens"])) for r in metrics.daily_usage(df, first).collect())
     assert got == [("2024-01-01", 2.8), ("2024-01-02", 0.4)]
+
+
+def test_passages_and_phrases_are_found_in_the_text(spark):
+    long = "one two three four five six seven eight"
+    rows = [(1, f"x {long} y"), (2, f"{long[:-1]} y"), (3, f"pre-{long}post"), (4, "nothing"), (5, None), (6, "two three four five six seven"), (7, f"a\n{long}\nb {long}")]
+    chunks = spark.createDataFrame(rows, "chunk_id long, content string")
+    passages = spark.createDataFrame([(9, long), (8, "zero " + long)], "query_id long, passage string")
+    got = retrieval_eval.containing(chunks, passages)
+    assert sorted(tuple(r) for r in got.collect()) == [(9, 1), (9, 3), (9, 7)]
+    items = spark.createDataFrame([(9, 1, 1), (9, 2, 4), (9, 3, 77), (8, 1, 1), (7, 1, 1)], "query_id long, rank int, chunk_id long")
+    phrases = spark.createDataFrame([(9, ["zzz", "two three"]), (8, ["zzz"])], "query_id long, phrases array<string>")
+    marked = retrieval_eval.mark_substrings(items, chunks, phrases).collect()
+    assert sorted((r["query_id"], r["rank"], r["substring_hit"]) for r in marked) == [(7, 1, False), (8, 1, False), (9, 1, True), (9, 2, False), (9, 3, False)]

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from groundwell.functions import replies
 from groundwell.functions import vector as V
+from groundwell.operators.access import allowed
 from groundwell.plans import cache_eval, grounding_eval, retrieval_eval, rewrite_eval
 from groundwell.session import materialize
 from workload import bindings as b
@@ -186,17 +187,19 @@ def _cases(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _truth(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
-    """Relevant documents: the neighbours of an item by number, none out of corpus.
-    Forbidden ones: those the request may not see, within the same neighbourhood."""
-    near = (
-        b.table(spark, sf, "benchmark")
-        .select(F.col("item_id").alias("query_id"), F.explode(F.sequence(F.lit(0), F.lit(160), F.lit(4))).alias("step"))
-        .select("query_id", (F.col("query_id") + F.col("step")).alias("doc"))
+    """Relevant: documents of the workspace that hold the item's text and may be seen, none out of
+    corpus. Forbidden: those that hold it and may not be seen."""
+    requests = b.requests(spark, sf)
+    held = retrieval_eval.containing(b.chunks(spark, sf), requests.select("query_id", F.col("query").alias("passage")))
+    marks = b.chunks(spark, sf).select("chunk_id", "workspace_id", "task_id", "sensitivity_level")
+    rule = allowed(F.col("accessible_task_ids"), F.col("can_view_restricted"), F.col("task_id"), F.col("sensitivity_level"))
+    judged = materialize(
+        held.join(marks, "chunk_id")
+        .join(requests.drop("query", "vector"), ["query_id", "workspace_id"])
+        .select("query_id", F.concat(F.lit("doc-"), F.col("chunk_id")).alias("doc_key"), F.coalesce(rule, F.lit(False)).alias("visible"))
     )
-    doc = F.concat(F.lit("doc-"), F.col("doc")).alias("doc_key")
-    expected = near.where((F.col("query_id") % 6 != 4) & (F.col("doc") % 3 == 0)).select("query_id", doc)
-    forbidden = near.where(F.col("doc") % 7 == 0).select("query_id", doc)
-    return expected, forbidden
+    expected = judged.where("visible AND query_id % 6 <> 4").drop("visible")
+    return expected, judged.where("NOT visible").drop("visible")
 
 
 def _items(spark: SparkSession, sf: str, hits: DataFrame) -> DataFrame:
@@ -204,10 +207,12 @@ def _items(spark: SparkSession, sf: str, hits: DataFrame) -> DataFrame:
         F.col("doc_id").alias("chunk_id"),
         F.when(F.col("doc_id") % 50 != 7, F.concat(F.lit("doc-"), F.col("doc_id"))).alias("doc_key"),
     )
-    return retrieval_eval.to_items(hits, docs).select(
-        "query_id", "rank", "doc_key", F.round("vector_score", 9).alias("similarity"),
-        (F.col("chunk_id") % 2 == 0).alias("substring_hit"),
+    # The first words of the passage, as a person would quote it.
+    phrases = b.table(spark, sf, "benchmark").select(
+        F.col("item_id").alias("query_id"), F.array(F.substring_index("text", " ", 3)).alias("phrases")
     )
+    items = retrieval_eval.mark_substrings(retrieval_eval.to_items(hits, docs), b.chunks(spark, sf), phrases)
+    return items.select("query_id", "rank", "doc_key", F.round("vector_score", 9).alias("similarity"), "substring_hit")
 
 
 def _measured(spark: SparkSession, sf: str, hits: DataFrame) -> DataFrame:
@@ -238,16 +243,19 @@ def retrieval_eval_diff(spark: SparkSession, sf: str) -> DataFrame:
 CASES = f"""
 cases AS (SELECT item_id AS query_id, ['single_doc', 'distractor', 'acl_task', 'acl_restricted', 'out_of_corpus', 'cross_doc'][item_id % 6 + 1] AS category,
                  item_id % 4 <> 0 AS has_substrings FROM benchmark),
-near AS (SELECT item_id AS query_id, item_id + s AS doc FROM benchmark, (SELECT unnest(range(0, 161, 4)) AS s)),
-expected AS (SELECT query_id, 'doc-' || doc AS doc_key FROM near WHERE query_id % 6 <> 4 AND doc % 3 = 0),
-forbidden AS (SELECT query_id, 'doc-' || doc AS doc_key FROM near WHERE doc % 7 = 0)"""
+held AS (SELECT r.query_id, c.chunk_id AS doc, coalesce((accessible_task_ids IS NULL OR c.task_id IS NULL OR list_contains(accessible_task_ids, c.task_id))
+    AND (can_view_restricted OR c.sensitivity_level <> 'restricted'), false) AS visible
+  FROM requests r JOIN chunks c ON c.workspace_id = r.workspace_id AND contains(c.content, r.query)),
+expected AS (SELECT query_id, 'doc-' || doc AS doc_key FROM held WHERE query_id % 6 <> 4 AND visible),
+forbidden AS (SELECT query_id, 'doc-' || doc AS doc_key FROM held WHERE NOT visible)"""
 
 
 def _report_sql(src: str, name: str) -> str:
     """Measures and roll-up over a table of hits; CTE names end in `name`."""
     return f"""
 items{name} AS (SELECT query_id, rank, CASE WHEN chunk_id % 50 <> 7 THEN 'doc-' || chunk_id ELSE 'unknown:' || chunk_id END AS doc_key,
-                 round(vector_score, 9) AS similarity, chunk_id % 2 = 0 AS substring_hit FROM {src}),
+                 round(vector_score, 9) AS similarity, contains(content, array_to_string(string_split(query, ' ')[1:3], ' ')) AS substring_hit
+           FROM {src} JOIN (SELECT chunk_id, content FROM chunks) USING (chunk_id) JOIN (SELECT query_id, query FROM requests) USING (query_id)),
 docs{name} AS (SELECT query_id, doc_key, row_number() OVER (PARTITION BY query_id ORDER BY min(rank)) AS doc_rank FROM items{name} GROUP BY 1, 2),
 found{name} AS (SELECT d.query_id, count(*) FILTER (doc_rank <= 5) AS n_found, min(doc_rank) AS best
            FROM docs{name} d JOIN expected e ON d.query_id = e.query_id AND d.doc_key = e.doc_key GROUP BY 1),
