@@ -18,8 +18,8 @@ from groundwell.llm import words as w
 
 #: Pieces whose ids a worker keeps; beyond that it starts again with those of the block at hand.
 CACHED = 1_500_000
-#: New pieces that are encoded in one text.
-TOGETHER = 512
+#: New pieces that are encoded in one text, and texts in one call: the library's results are large.
+TOGETHER, TEXTS = 512, 32
 #: Bytes that begin no white space and no control character.
 SOLID = np.ones(256, bool)
 SOLID[:0x21] = False
@@ -52,7 +52,7 @@ class Encoder:
 
     def _empty(self) -> None:
         self.keys = np.zeros(0, np.uint64)
-        self.begin, self.count = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.begin, self.count = np.zeros(0, np.int64), np.zeros(0, np.int32)
         self.ids = np.zeros(0, np.uint32)
 
     def _learn(self, keys: np.ndarray, pieces: list[bytes]) -> None:
@@ -64,8 +64,7 @@ class Encoder:
         rest = order[alone:].tolist()
         for k in range(0, len(rest), TOGETHER):
             texts.append(b"".join([pieces[i] for i in rest[k : k + TOGETHER]]).decode())
-        found = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-        flat = np.fromiter(chain.from_iterable(found), np.uint32, sum(map(len, found)))
+        flat = np.concatenate([self._ids_of(texts[k : k + TEXTS]) for k in range(0, len(texts), TEXTS)])
         # A piece ends with the id that has its last byte.
         ends = np.searchsorted(np.cumsum(self.size[flat]), np.cumsum([len(pieces[i]) for i in order.tolist()])) + 1
         upto = np.empty(len(pieces), np.int64)
@@ -78,6 +77,10 @@ class Encoder:
         self.count = np.insert(self.count, place, count)
         self.ids = np.concatenate([self.ids, flat])
 
+    def _ids_of(self, texts: list[str]) -> np.ndarray:
+        found = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        return np.fromiter(chain.from_iterable(found), np.uint32, sum(map(len, found)))
+
     def encode(self, data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in a row, and where each text's ids begin (one entry more than texts)."""
         begin = cuts(data, at)

@@ -2,25 +2,39 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+
 from pyspark.sql import DataFrame, SparkSession
 
 from groundwell.session import scratch_dir
 
-#: Removes the shuffle files of a query as soon as it has ended, not when the driver collects garbage.
-CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: While a table is written: shuffle files go as soon as its query has ended, not when the driver
+#: collects garbage, and Python workers get few rows at a time, as texts may be long.
+SETTINGS = {
+    "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true",
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "1000",
+}
 #: A table of at most so many rows of a few numbers or short names may be broadcast.
 SMALL_ROWS = 100_000
 
 
-def write(df: DataFrame, path: str) -> None:
-    """Write `df`. Nothing else reads its shuffles, so they go when it is written."""
-    spark = df.sparkSession
-    before = spark.conf.get(CLEANUP)
-    spark.conf.set(CLEANUP, "true")
+@contextmanager
+def writing(spark: SparkSession) -> Iterator[None]:
+    """SETTINGS hold inside. Only for queries whose shuffles nothing else reads."""
+    before = {key: spark.conf.get(key) for key in SETTINGS}
     try:
-        df.write.mode("overwrite").option("compression", "zstd").parquet(path)
+        for key, value in SETTINGS.items():
+            spark.conf.set(key, value)
+        yield
     finally:
-        spark.conf.set(CLEANUP, before)
+        for key, value in before.items():
+            spark.conf.set(key, value)
+
+
+def write(df: DataFrame, path: str) -> None:
+    with writing(df.sparkSession):
+        df.write.mode("overwrite").option("compression", "zstd").parquet(path)
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:

@@ -27,7 +27,7 @@ from pyspark.sql.window import Window
 
 from groundwell.llm import words as w
 from groundwell.llm.pieces import default_path, encoder
-from groundwell.llm.tables import drop, prefixed, stored
+from groundwell.llm.tables import drop, prefixed, stored, writing
 from groundwell.session import scratch_dir
 
 END_ID = 0
@@ -137,7 +137,8 @@ def write_store(
     packed = encoded.mapInArrow(
         _packed(rank_of), "shard int, seq long, doc_id long, n_tokens long, control binary, data binary"
     )
-    packed.write.mode("overwrite").option("compression", "none").partitionBy("shard").parquet(f"{path}/ids")
+    with writing(spark):
+        packed.write.mode("overwrite").option("compression", "none").partitionBy("shard").parquet(f"{path}/ids")
     drop(encoded)
 
 

@@ -8,14 +8,13 @@ stay small whatever the number of rows, and a text longer than a block is hashed
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes of text that are worked on at once; a longer text makes a block of its own.
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 2 << 20
 
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -24,16 +23,19 @@ _BASE = 0x9E3779B97F4A7C15
 _LETTERS = np.random.default_rng(20).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-@lru_cache(8)
-def _power_table(base: int, n: int) -> np.ndarray:
-    out = np.full(n, np.uint64(base))
-    out[0] = 1
-    return np.multiply.accumulate(out)
+#: Of each base its largest table so far.
+_TABLES: dict[int, np.ndarray] = {}
 
 
 def powers(base: int, n: int) -> np.ndarray:
     """base**0 .. base**(n-1) modulo 2**64."""
-    return _power_table(int(base), 1 << max(n, 1).bit_length())[:n]
+    base = int(base)
+    if base not in _TABLES or len(_TABLES[base]) < n:
+        out = np.full(1 << max(n - 1, 1).bit_length(), np.uint64(base))
+        out[0] = 1
+        np.multiply.accumulate(out, out=out)
+        _TABLES[base] = out
+    return _TABLES[base][:n]
 
 
 def inverse(base: int) -> int:
@@ -52,11 +54,15 @@ def buffers(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]
     """UTF-8 bytes of all texts, and where each begins; null counts as empty."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
-    column = pc.fill_null(column.cast(pa.large_string()), "")
-    at = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
+    if column.null_count:
+        column = pc.fill_null(column, "")
+    if not (pa.types.is_string(column.type) or pa.types.is_large_string(column.type)):
+        column = column.cast(pa.large_string())
+    wide = np.int32 if pa.types.is_string(column.type) else np.int64
+    at = np.frombuffer(column.buffers()[1] or bytes(8), wide)[column.offset : column.offset + len(column) + 1].astype(np.int64)
     data = column.buffers()[2]
-    bytes_ = np.frombuffer(data, np.uint8)[at[0] : at[-1]] if data is not None else np.zeros(0, np.uint8)
-    return bytes_, at - at[0]
+    found = np.frombuffer(data, np.uint8)[at[0] : at[-1]] if data is not None else np.zeros(0, np.uint8)
+    return found, at - at[0]
 
 
 def blocks(batches: Iterable[pa.RecordBatch], text: str, limit: int = BLOCK_BYTES) -> Iterator[pa.RecordBatch]:
