@@ -150,30 +150,28 @@ def distance(ours: Column, theirs: Column) -> Column:
     )
 
 
+BINS = {"_classes": 6, "_common": 1 + max(len(x) for x in COMMON.values())}
+
+
+def _summed(column: str, bins: int) -> Column:
+    return F.array(*(F.coalesce(F.sum(F.get(column, F.lit(i))), F.lit(0)).cast("bigint") for i in range(bins)))
+
+
 def references(counted: DataFrame) -> DataFrame:
-    """One row per language with enough words and, with a null language, one for the rest: summed histograms."""
-    bins = {"_classes": 6, "_common": 1 + max(len(x) for x in COMMON.values())}
-    sums = [
-        F.array(*(F.coalesce(F.sum(F.get(c, F.lit(i))), F.lit(0)) for i in range(n))).alias(f"{c}_ref") for c, n in bins.items()
-    ]
-    per_lang = counted.groupBy("_lang").agg(F.sum("n_words").alias("_n"), *sums)
-    own = per_lang.where(F.col("_lang").isNotNull() & (F.col("_n") >= LANGUAGE_WORDS)).drop("_n")
-    pooled = F.array(*(F.coalesce(F.sum(F.get("_classes_ref", F.lit(i))), F.lit(0)) for i in range(bins["_classes"])))
-    rest = per_lang.agg(pooled.alias("_classes_ref")).select(
-        F.lit(None).cast("string").alias("_lang"), "_classes_ref", F.lit(None).cast("array<bigint>").alias("_common_ref")
-    )
-    return own.unionByName(rest)
+    """Summed histograms and words, `_n`, of every language."""
+    sums = [_summed(c, n).alias(f"{c}_ref") for c, n in BINS.items()]
+    return counted.groupBy("_lang").agg(F.sum("n_words").alias("_n"), *sums)
 
 
 def judge(counted: DataFrame) -> DataFrame:
     """Adds `char_distance`, `word_distance`, `base_failed` and `kept`."""
     refs = stored(references(counted), "language-sums")
-    small = F.broadcast if is_small(refs) else (lambda x: x)
-    own = refs.where(F.col("_lang").isNotNull())
-    # A single row: sums over all languages.
-    rest = F.broadcast(refs.where(F.col("_lang").isNull()).select(F.col("_classes_ref").alias("_rest"), F.lit(1).alias("_one")))
-    met = counted.withColumn("_one", F.lit(1)).join(rest, "_one", "left").join(small(own), "_lang", "left")
-    chars = distance(F.col("_classes"), F.coalesce("_classes_ref", "_rest"))
+    # Six numbers: the sums over all languages.
+    overall = refs.agg(_summed("_classes_ref", BINS["_classes"]).alias("sums")).first()["sums"]
+    own = refs.where(F.col("_lang").isNotNull() & (F.col("_n") >= LANGUAGE_WORDS)).drop("_n")
+    met = counted.join(F.broadcast(own) if is_small(own) else own, "_lang", "left")
+    rest = F.lit(overall).cast("array<bigint>")
+    chars = distance(F.col("_classes"), F.coalesce(F.col("_classes_ref"), rest))
     common = distance(F.col("_common"), F.col("_common_ref"))
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEATED * F.col("n_words"))
     far = F.coalesce(F.col("char_distance") > MAX_CHARS, F.lit(False)) | F.coalesce(
@@ -184,7 +182,7 @@ def judge(counted: DataFrame) -> DataFrame:
         .withColumn("word_distance", common)
         .withColumn("base_failed", failed)
         .withColumn("kept", ~failed & ~((F.col("n_words") >= JUDGED_WORDS) & far))
-        .drop("_lang", "_classes", "_common", "_classes_ref", "_common_ref", "_rest", "_one")
+        .drop("_lang", "_classes", "_common", "_classes_ref", "_common_ref")
     )
 
 
