@@ -31,12 +31,26 @@ def token_usage(main: Column, rewrite: Column, judge: Column, answered: Column,
     )
 
 
+# Fixed names: what the cache and the reranker report about a request, with their types.
+OPTIONAL = {
+    "acl_refetch_count": "long",
+    "cache_similarity": "double",
+    "cache_lookup_ms": "double",
+    "cache_verify_ms": "double",
+    "cache_verify_result": "string",
+    "rerank_stage": "string",
+    "rerank_prompt_tokens": "long",
+    "rerank_completion_tokens": "long",
+    "rerank_candidates": "long",
+}
+
+
 def request_records(requests: DataFrame, calls: DataFrame, hits: DataFrame, assessed: DataFrame) -> DataFrame:
     """Records for the usage reports: times, quality and tokens, no text and no user.
 
     calls: query_id, session_id, role, history_len, cache_enabled, cache_hit,
     cache_confidence, rewrite, grounding, main (usage structs), answer, context_truncated,
-    stages MAP. A cache hit is groundable with the confidence it was stored with.
+    stages MAP, and any of the columns in OPTIONAL; those it lacks are NULL. A cache hit is groundable with the confidence it was stored with.
     """
     found = hits.groupBy("query_id").agg(
         F.count(F.lit(1)).alias("chunk_count"), F.max("vector_score").alias("top_similarity")
@@ -75,6 +89,7 @@ def request_records(requests: DataFrame, calls: DataFrame, hits: DataFrame, asse
         "context_truncated",
         "cache_enabled",
         "cache_hit",
+        *(F.col(c).cast(kind).alias(c) if c in calls.columns else F.lit(None).cast(kind).alias(c) for c, kind in OPTIONAL.items()),
         (
             F.col("cache_enabled")
             & storable(hit, F.col("history_len") == 0, F.col("is_groundable"), reason, F.col("answer"))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from groundwell.functions import text as t
 from groundwell.functions import vector as V
 from groundwell.operators import access, cache, grounding, hydrate, rerank
+from groundwell.plans import metrics
 from groundwell.plans import requests as plans
 from groundwell.session import fits_broadcast, materialize
 from workload import bindings as b
@@ -185,7 +186,7 @@ def verify_band(spark: SparkSession, sf: str) -> DataFrame:
 
 
 # ---------------------------------------------------------------- request records
-def request_metrics(spark: SparkSession, sf: str) -> DataFrame:
+def _records(spark: SparkSession, sf: str) -> DataFrame:
     """One record per request, with cache hits and blocked requests among them."""
     hits = materialize(titled_hits(spark, sf))
     i = F.col("item_id")
@@ -197,18 +198,33 @@ def request_metrics(spark: SparkSession, sf: str) -> DataFrame:
         F.struct(F.lit("m0").alias("model"), (i * 10).alias("prompt_tokens"), F.lit(50).cast("long").alias("completion_tokens")).alias("main"),
         F.when(i % 7 != 0, F.concat(F.lit("answer "), i)).alias("answer"), F.lit(False).alias("context_truncated"),
         F.create_map(F.lit("retrieve_ms"), (i * 1.5), F.lit("total_ms"), (i * 20.0)).alias("stages"),
+        F.when(i % 3 == 0, i % 2).alias("acl_refetch_count"), F.when(i % 2 == 0, (i % 10) / 10).alias("cache_similarity"),
+        F.when(i % 2 == 0, i / 4).alias("cache_lookup_ms"), F.when(i % 4 == 0, i / 2).alias("cache_verify_ms"),
+        F.when(i % 4 == 0, F.when(i % 8 == 0, "yes").otherwise("limit")).alias("cache_verify_result"),
+        F.when(i % 5 != 0, "applied").alias("rerank_stage"), F.when(i % 5 != 0, i + 7).alias("rerank_prompt_tokens"),
+        F.when(i % 5 != 0, F.lit(9)).alias("rerank_completion_tokens"), F.when(i % 5 != 0, F.lit(10)).alias("rerank_candidates"),
     )
-    rows = plans.request_records(b.requests(spark, sf), calls, hits, assessed(spark, sf, hits))
-    return rows.select(
+    return plans.request_records(b.requests(spark, sf), calls, hits, assessed(spark, sf, hits))
+
+
+def request_metrics(spark: SparkSession, sf: str) -> DataFrame:
+    return _records(spark, sf).select(
         "query_id", "session_id_hash", "workspace_id", "turn", "retrieve_ms", "total_ms", "chunk_count", F.round("top_similarity", 6).alias("top_similarity"),
         "is_groundable", F.round("confidence", 6).alias("confidence"), "grounding_stage", "access_filtered", "main_prompt_tokens", "rewrite_prompt_tokens",
-        "grounding_prompt_tokens", "cache_hit", "storable",
+        "grounding_prompt_tokens", "cache_hit", "storable", *plans.OPTIONAL,
+    )
+
+
+def request_cache_summary(spark: SparkSession, sf: str) -> DataFrame:
+    """Request records as the input of the cache report."""
+    return metrics.cache_summary(_records(spark, sf), ["workspace_id"]).select(
+        "workspace_id", "enabled_count", "hit_count", F.round("hit_rate", 6).alias("hit_rate"), "verify_count", "verify_yes", "verify_no"
     )
 
 
 QUERIES = {
     f.__name__: f
-    for f in (hydrate_titles, citations, context_blocks, rerank_prompts, rerank_apply, grounding_decision, cache_lookup, cache_lru, cached_answer_access, verify_band, request_metrics)
+    for f in (hydrate_titles, citations, context_blocks, rerank_prompts, rerank_apply, grounding_decision, cache_lookup, cache_lru, cached_answer_access, verify_band, request_metrics, request_cache_summary)
 }
 
 SPACE = """'ws' || ({0} % 2) || '|' || CASE {0} % 3 WHEN 1 THEN 'any' WHEN 2 THEN 'none' ELSE 'a,b' END"""
@@ -243,6 +259,9 @@ ORACLE = {
     "verify_band": """WITH n AS (SELECT p_partkey, (p_size % 5) / 4.0::DOUBLE AS d, (p_partkey % 5) / 4.0::DOUBLE AS c FROM part)
       SELECT p_partkey, CASE WHEN c > d THEN 'semantic cache verify never runs: candidate_threshold(' || c::VARCHAR || ') > threshold(' || d::VARCHAR || '); no candidate band'
         WHEN c = d THEN 'semantic cache verify never runs: candidate_threshold(' || c::VARCHAR || ') == threshold(' || d::VARCHAR || '); candidate band is empty' END AS warning FROM n""",
+    "request_cache_summary": f"""WITH {b.REQUESTS} SELECT workspace_id, count(*) AS enabled_count, count(*) FILTER (query_id % 6 = 0) AS hit_count,
+        round(100.0 * count(*) FILTER (query_id % 6 = 0) / count(*), 6) AS hit_rate, count(*) FILTER (query_id % 8 = 0) AS verify_count,
+        count(*) FILTER (query_id % 8 = 0) AS verify_yes, 0 AS verify_no FROM requests WHERE query_id % 2 = 0 GROUP BY 1""",
     "request_metrics": f"""{HITS},{TITLED},{ASSESSED},
       n AS (SELECT query_id, count(*) AS chunk_count, max(vector_score) AS top FROM titled GROUP BY 1)
       SELECT query_id, sha256('session-' || query_id)[:12] AS session_id_hash, workspace_id, query_id % 5 // 2 + 1 AS turn, query_id * 1.5::DOUBLE AS retrieve_ms, query_id * 20.0::DOUBLE AS total_ms,
@@ -251,6 +270,11 @@ ORACLE = {
         NOT (accessible_task_ids IS NULL AND can_view_restricted) AS access_filtered,
         CASE WHEN query_id % 6 = 0 OR NOT is_groundable THEN 0 ELSE query_id * 10 END AS main_prompt_tokens, CASE WHEN query_id % 4 = 0 THEN query_id END AS rewrite_prompt_tokens,
         CASE WHEN query_id % 6 <> 0 AND stage <> 'threshold' AND coalesce(fallback_reason, '') <> 'llm_error' THEN query_id + 1 END AS grounding_prompt_tokens, query_id % 6 = 0 AS cache_hit,
-        query_id % 2 = 0 AND query_id % 6 <> 0 AND query_id % 5 = 0 AND is_groundable AND fallback_reason IS NULL AND query_id % 7 <> 0 AS storable
+        query_id % 2 = 0 AND query_id % 6 <> 0 AND query_id % 5 = 0 AND is_groundable AND fallback_reason IS NULL AND query_id % 7 <> 0 AS storable,
+        CASE WHEN query_id % 3 = 0 THEN query_id % 2 END AS acl_refetch_count, CASE WHEN query_id % 2 = 0 THEN (query_id % 10) / 10 END AS cache_similarity,
+        CASE WHEN query_id % 2 = 0 THEN query_id / 4 END AS cache_lookup_ms, CASE WHEN query_id % 4 = 0 THEN query_id / 2 END AS cache_verify_ms,
+        CASE WHEN query_id % 8 = 0 THEN 'yes' WHEN query_id % 4 = 0 THEN 'limit' END AS cache_verify_result, CASE WHEN query_id % 5 <> 0 THEN 'applied' END AS rerank_stage,
+        CASE WHEN query_id % 5 <> 0 THEN query_id + 7 END AS rerank_prompt_tokens, CASE WHEN query_id % 5 <> 0 THEN 9 END AS rerank_completion_tokens,
+        CASE WHEN query_id % 5 <> 0 THEN 10 END AS rerank_candidates
       FROM requests JOIN assessed USING (query_id) LEFT JOIN n USING (query_id)""",
 }
