@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from groundwell.functions import commits, replies, rules, text as t
-from groundwell.operators import chunking, history
+from groundwell.operators import analysis, chunking, history
 from groundwell.operators.ingest import embed, embedding_usage, ingest_result, with_metadata
 from groundwell.session import spread
 from workload import bindings as b
@@ -406,6 +406,25 @@ def role_templates(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def analysis_modes(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents analysed by rules and by replies: some fail, some are missing or empty, some were
+    not sent; the same documents once more with the model off."""
+    i = F.col("doc_id")
+    rows = b.table(spark, sf, "documents").select(
+        i.alias("id"), F.when(F.contains("text", F.lit("the")), "HIGH").otherwise("LOW").alias("risk"),
+        F.concat(F.lit("rules "), F.col("source")).alias("summary"), F.concat(F.lit("look at "), F.col("lang")).alias("action"),
+        (i % 5 != 0).alias("sent"),
+    )
+    replies = b.table(spark, sf, "documents").where("doc_id % 4 <> 1").select(
+        i.alias("id"), F.lit("MEDIUM").alias("risk"), F.when(i % 3 != 0, F.concat(F.lit("reply "), F.col("n_chars"))).alias("summary"),
+        F.when(i % 6 == 0, "  ").otherwise("do").alias("action"), F.when(i % 7 == 2, "timeout").alias("error"),
+    )
+    columns = ["risk", "summary", "action"]
+    defaults = {"summary": rules.EMPTY_SUMMARY, "action": rules.REVIEW_AGAIN}
+    told = analysis.analyse(rows, replies, "id", columns, "LLM ", defaults=defaults, selected="sent")
+    return told.unionByName(analysis.analyse(rows, replies, "id", columns, "rule_only")).drop("sent")
+
+
 def normalize_model_responses(spark: SparkSession, sf: str) -> DataFrame:
     """Messages wrapped as raw responses of three vendors, read back, with verdict and JSON."""
     i = F.col("conv_id") * 100 + F.col("turn")
@@ -461,6 +480,7 @@ QUERIES = {
     "turn_numbers": turn_numbers,
     "history_prompts": history_prompts,
     "clean_text": clean_text,
+    "analysis_modes": analysis_modes,
     "role_templates": role_templates,
     "normalize_model_responses": normalize_model_responses,
 }
@@ -589,6 +609,11 @@ ORACLE = {
         md5('[질문 A]' || chr(10) || question || chr(10) || chr(10) || '[질문 B]' || chr(10) || block) AS pair_md5,
         md5('질문: ' || question || chr(10) || chr(10) || '답변: ' || block) AS qa_md5 FROM h""",
     "clean_text": f"SELECT doc_id, md5(s) AS clean_md5, length(s) AS n FROM (SELECT doc_id, CASE WHEN doc_id % 10 <> 0 THEN {SQUEEZE.format('text')} ELSE '' END AS s FROM documents)",
+    "analysis_modes": f"""WITH d AS (SELECT doc_id AS id, CASE WHEN contains(text, 'the') THEN 'HIGH' ELSE 'LOW' END AS risk, 'rules ' || source AS summary, 'look at ' || lang AS action, n_chars FROM documents),
+      m AS (SELECT *, CASE WHEN id % 5 = 0 THEN 'rule' WHEN id % 4 = 1 OR id % 7 = 2 THEN 'llm_fallback' ELSE 'llm' END AS mode FROM d)
+      SELECT id, CASE mode WHEN 'llm' THEN 'MEDIUM' ELSE risk END AS risk, CASE mode WHEN 'llm' THEN CASE WHEN id % 3 <> 0 THEN 'reply ' || n_chars ELSE '{rules.EMPTY_SUMMARY}' END ELSE summary END AS summary,
+        CASE mode WHEN 'llm' THEN CASE WHEN id % 6 = 0 THEN '{rules.REVIEW_AGAIN}' ELSE 'do' END ELSE action END AS action, mode AS analysis_mode FROM m
+      UNION ALL SELECT id, risk, summary, action, 'rule_only' FROM d""",
     "role_templates": """WITH r AS (SELECT n_nationkey, ['planner', 'developer', 'qa', 'designer', 'operator', 'newcomer'][n_nationkey + 1] AS role, n_name FROM nation WHERE n_nationkey < 6)
       SELECT conv_id, turn, role, md5('You are ' || n_name || '. ' || coalesce(CASE before.role WHEN 'user' THEN '사용자' ELSE '어시스턴트' END || ': ' || before.text, '') || chr(10) || c.text) AS prompt_md5
       FROM (SELECT *, lag(struct_pack(role := role, text := text)) OVER (PARTITION BY conv_id ORDER BY turn) AS before FROM conversations) c JOIN r ON r.n_nationkey = conv_id % 7 WHERE c.role = 'user'""".replace("conv_id, turn, role, md5", "conv_id, turn, r.role AS role, md5"),
