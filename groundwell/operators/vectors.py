@@ -14,8 +14,6 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from groundwell.session import fits_broadcast
-
 TIE_DIGITS = 9
 # Rows of one block of vectors / of queries: a block of 256 doubles per row is 40 MB / 8 MB.
 ITEM_BLOCK, QUERY_BLOCK = 20_000, 4_000
@@ -89,14 +87,15 @@ def top_k(
     into blocks which meet blocks of items in a cogroup, so that neither a large group
     nor a large batch ends up in one task.
     """
-    if small_queries is None:
-        small_queries = fits_broadcast(queries, QUERY_BLOCK)
     best = _Best(k, max_age)
     extra = [] if max_age is None else ["at"]
     q = queries.select("query_id", "grp", "vector", *extra)
     v = items.select("item_id", "grp", "vector", *extra)
     schema = "query_id long, item_id long, similarity double"
-    found = _in_place(q, v, best, schema) if small_queries else _blocked(q, v, best, schema)
+    # Whatever the caller says, no more than a block of queries and one is fetched.
+    batch = None if small_queries is False else q.limit(QUERY_BLOCK + 1).toPandas()
+    fits = batch is not None and len(batch) <= QUERY_BLOCK
+    found = _in_place(batch, v, best, schema) if fits else _blocked(q, v, best, schema)
     order = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "item_id")
     return (
         found.withColumn("place", F.row_number().over(order))
@@ -105,9 +104,8 @@ def top_k(
     )
 
 
-def _in_place(queries: DataFrame, items: DataFrame, best: _Best, schema: str) -> DataFrame:
-    # Bounded by QUERY_BLOCK rows, see top_k.
-    batch = queries.sparkSession.sparkContext.broadcast(dict(list(queries.toPandas().groupby("grp"))))
+def _in_place(queries: pd.DataFrame, items: DataFrame, best: _Best, schema: str) -> DataFrame:
+    batch = items.sparkSession.sparkContext.broadcast(dict(list(queries.groupby("grp"))))
 
     def scan(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         top = None
