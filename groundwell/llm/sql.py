@@ -29,6 +29,23 @@ SELECT doc_id, count(*) AS n_lines, count(common.t) AS n_removed,
 FROM trimmed LEFT JOIN common USING (t) GROUP BY doc_id
 """
 
+OP2 = rf"""
+WITH texts AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '{WORD}') AS w FROM documents),
+windows AS (
+  SELECT doc_id, i, md5(array_to_string(list_slice(w, i, i + 19), ' ')) AS h, doc_id::HUGEINT * 4294967296 + i AS place
+  FROM (SELECT doc_id, w, unnest(range(1, len(w) - 18)) AS i FROM texts)),
+firsts AS (SELECT h, min(place) AS place FROM windows GROUP BY h),
+gone AS (
+  SELECT DISTINCT doc_id, j
+  FROM (SELECT doc_id, unnest(range(i, i + 20)) AS j FROM windows JOIN firsts USING (h) WHERE windows.place > firsts.place)),
+words AS (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS j FROM texts),
+left_over AS (
+  SELECT doc_id, count(gone.j) AS n, string_agg(CASE WHEN gone.j IS NULL THEN word END, ' ' ORDER BY j) AS kept
+  FROM words LEFT JOIN gone USING (doc_id, j) GROUP BY doc_id)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n, 0)::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM texts LEFT JOIN left_over USING (doc_id)
+"""
+
 OP3 = rf"""
 WITH sized AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '{WORD}')) AS size,
@@ -148,6 +165,7 @@ FROM far
 
 ORACLE = {
     "op1_line_dedup": OP1,
+    "op2_substring_dedup": OP2,
     "op3_source_mixing": OP3,
     "op6_license_scan": _op6(Scan()),
     "op10_quality_rules": _op10(),
