@@ -1,9 +1,9 @@
 """Byte-level BPE over whole Arrow batches, encoding every distinct piece of text once per worker.
 
 The pre-tokenizer of these tokenizers starts a new word at a space that is followed by something
-that is no white space, so a text can be cut there and its pieces encoded one by one: the ids of
-the pieces in a row are the ids of the text. Cuts are only made where the next byte leaves no
-doubt. Pieces repeat a lot; a worker keeps the ids of up to CACHED of them by hash and length.
+that is no white space, and where punctuation follows a letter, so a text can be cut there and its
+pieces encoded one by one: the ids of the pieces in a row are the ids of the text. Cuts are only
+made where the bytes leave no doubt. Pieces repeat a lot; a worker keeps the ids of up to CACHED of them by hash and length.
 """
 
 from __future__ import annotations
@@ -24,14 +24,19 @@ TOGETHER, TEXTS = 512, 32
 SOLID = np.ones(256, bool)
 SOLID[:0x21] = False
 SOLID[[0x7F, *range(0x80, 0xC3), 0xE1, 0xE2, 0xE3]] = False
+#: ASCII letters, and ASCII punctuation but the apostrophe, which can belong to a contraction.
+LETTER, MARK = np.zeros(256, bool), np.zeros(256, bool)
+LETTER[[*range(0x41, 0x5B), *range(0x61, 0x7B)]] = True
+MARK[[*range(0x21, 0x27), *range(0x28, 0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x7F)]] = True
 
 
 def cuts(data: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """Where pieces begin: at texts, and at spaces before solid bytes of the same text."""
+    """Where pieces begin: at texts, at spaces before solid bytes of the same text, at marks behind letters."""
     begin = np.zeros(len(data) + 1, bool)
     begin[:-2][(data[:-1] == 0x20) & SOLID[data[1:]]] = True
     ends = at[1:][at[1:] > 0] - 1
     begin[ends] = False  # a space at the end of a text
+    begin[1:-1] |= LETTER[data[:-1]] & MARK[data[1:]]
     begin[at[:-1]] = True
     return np.flatnonzero(begin[:-1])
 

@@ -190,7 +190,7 @@ def tokenizer():
 
 def test_pieces_make_the_same_ids(tokenizer, monkeypatch):
     rng = random.Random(1)
-    marks = [" ", "  ", "\n", " \n ", "\t", "\u00a0", " \u00a0", "\u2003 ", "'s", "don't", "é", "漢字", "12", "<|endoftext|>", "$%", "\x1c", "\x85", "🙂", "\r\n", "a", "B.", "\x00"]
+    marks = [" ", "  ", "\n", " \n ", "\t", "\u00a0", " \u00a0", "\u2003 ", "'s", "don't", "é", "漢字", "12", "<|endoftext|>", "$%", "\x1c", "\x85", "🙂", "\r\n", "a", "B.", "\x00", ",", "it's.", "x_y", "`", "é,", "(", "'"]
     texts = ["", " ", None] + ["".join(rng.choices(marks, k=rng.randrange(1, 40))) for _ in range(800)]
     for limit in (1_000_000, 50):
         monkeypatch.setattr(pieces, "CACHED", limit)
