@@ -246,13 +246,3 @@ def near_duplicates(
     named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     named = stored(rooted.join(named, "root").select("fp", "component_id"), "components")
     return marked.join(named, "fp").select("doc_id", "fp", "component_id")
-
-
-def keep_one(docs: DataFrame, radius: int = 4, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The documents whose id is the smallest of their component, with all their columns. Of rows
-    with the same id one stays; rows without id stay."""
-    kept = near_duplicates(docs, radius, doc_id=doc_id, text=text).where(F.col("doc_id") == F.col("component_id"))
-    ids = stored(kept.select(F.col("doc_id").alias("_kept")).distinct(), "kept-ids")
-    row = docs.select(F.struct(*docs.columns).alias("row"), F.col(doc_id).alias("_kept"))
-    first = row.join(ids, "_kept", "left_semi").dropDuplicates(["_kept"])
-    return first.unionByName(row.where(F.col("_kept").isNull())).select("row.*")

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from groundwell.llm import decontaminate as dc
-from groundwell.llm import license_scan, line_dedup, mixing, pieces, queries, quality_rules, simhash, substring_dedup
+from groundwell.llm import license_scan, line_dedup, mixing, near_copies, pieces, queries, quality_rules, simhash, substring_dedup
 from groundwell.llm import token_counts, token_store, url_filter, words
 from groundwell.llm.tables import stored
 
@@ -472,3 +472,50 @@ def test_pipeline_decisions(spark, docs):
     one = stages["near duplicates"](spark, docs, SF)
     fps = [(i, brute.fingerprint(t)) for i, t in pairs(docs)]
     assert sorted(r["doc_id"] for r in one.collect()) == sorted(set(brute.components(fps)))
+
+
+def jaccard(a, b):
+    return len(a & b) / len(a | b) if a | b else 1.0
+
+
+def shingle_set(text):
+    ws = brute.WORD.findall((text or "").lower())
+    return {tuple(ws[k : k + 5]) for k in range(max(1, len(ws) - 4))} if ws else set()
+
+
+def test_near_copies_of_a_fifth(spark):
+    """Copies with a few words changed go, whatever their fingerprints; others and less similar ones stay."""
+    rng = random.Random(11)
+    listed = []
+    for k in range(60):
+        text = [f"v{rng.randrange(5000)}" for _ in range(rng.randrange(60, 900))]
+        listed.append((3 * k, " ".join(text)))
+        for n, share in ((1, 0.015), (2, 0.12)):
+            edited = list(text)
+            for at in rng.sample(range(len(text)), max(1, int(share * len(text)))):
+                edited[at] = "other"
+            listed.append((3 * k + n, " ".join(edited)))
+    listed += [(900, "two words"), (901, "Two  words"), (902, "two"), (903, ""), (904, None), (905, " ")]
+    sets, kept = {i: shingle_set(t) for i, t in listed}, []
+    for i in sorted(sets):
+        if all(jaccard(sets[i], sets[j]) < 0.8 for j in kept):
+            kept.append(i)
+    fps = {i: simhash.fingerprint((t or "").encode()) for i, t in listed}
+    far = [k for k in range(60) if 3 * k + 1 not in kept and (fps[3 * k] ^ fps[3 * k + 1]).bit_count() > 4]
+    assert len(far) > 10
+    got = near_copies.keep_one(spark.createDataFrame(listed, "doc_id long, text string"))
+    assert sorted(r["doc_id"] for r in got.collect()) == kept
+
+
+@pytest.mark.parametrize("at_end", [0, 1000])
+def test_near_copies_of_kept_texts_only(spark, at_end, monkeypatch):
+    """In a chain of near copies the third is no copy of the first, and stays with it."""
+    monkeypatch.setattr(near_copies, "PAIRS_AT_END", at_end)
+    words_ = [f"v{k}" for k in range(400)]
+    chain = [(k, " ".join(words_[12 * k : 12 * k + 150])) for k in range(12)]
+    sets, kept = {i: shingle_set(t) for i, t in chain}, []
+    for i in sorted(sets):
+        if all(jaccard(sets[i], sets[j]) < 0.8 for j in kept):
+            kept.append(i)
+    got = near_copies.keep_one(spark.createDataFrame(chain, "doc_id long, text string"))
+    assert sorted(r["doc_id"] for r in got.collect()) == kept == [0, 2, 4, 6, 8, 10]
