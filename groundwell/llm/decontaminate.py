@@ -8,7 +8,11 @@ an item in one of the rounds is a candidate, and the number of rounds follows fr
 recall. Candidates are verified by the edit distance of the item to any stretch of words around the
 window, so everything returned is exact, and exact copies are never missed.
 
-Items are grouped by size and windows are as long as the smallest item of a group. A window is
+The longer two walks are, the less they agree, so an item of more than STRETCH words is cut into
+stretches of equal size that are walked each by itself: if at most a share of the item's words is
+edited, that holds for one of its stretches at least.
+
+Items are grouped by size and windows are as long as the smallest stretch of a group. A window is
 walked only if enough of its words occur in the group's items at all, and enough of the words that
 few items have: no match can fail that, as all but the allowed edits of the item's words are in it. Items come from the driver in blocks of
 ITEMS_AT_ONCE, and each block is one pass over the documents, without a shuffle.
@@ -41,6 +45,8 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[0x41:0x5B] += 0x20
 #: Items of a group differ in size by less than this factor.
 GROUP = 1.2
+#: Longest stretch of an item that is walked as one.
+STRETCH = 80
 #: Words in more than one of so many items are common.
 COMMON = 50
 #: Stands for what lies behind a text.
@@ -80,14 +86,17 @@ class Group:
         self.items = items
         self.listed = [x.tolist() for _, x in items]
         sizes = [len(x) for _, x in items]
-        self.size = min(sizes)
-        self.least = self.size - allowed(max(sizes), search.edits)
+        count = -(-max(sizes) // STRETCH)
+        self.size = min(sizes) // count
+        self.least = self.size - allowed(-(-max(sizes) // count), search.edits)
         self.vocabulary = np.unique(np.concatenate([x for _, x in items]))
         # Of its uncommon words a match has all but the allowed edits, within `reach`.
         uncommon = [sum(x not in common for x in listed) for listed in self.listed]
         self.least_uncommon = min(u - allowed(n, search.edits) for u, n in zip(uncommon, sizes, strict=True))
         self.uncommon = np.array([x for x in self.vocabulary.tolist() if x not in common], np.uint64)
         self.reach = max(sizes) + allowed(max(sizes), search.edits)
+        # A window may be that of a later stretch: so far back a match can begin.
+        self.back = 0 if count == 1 else self.reach
         # A walk is at half its steps; it should not run over the end of the item.
         self.steps = max(1, int(1.6 * self.size))
         rng = np.random.default_rng([search.seed, number])
@@ -96,9 +105,12 @@ class Group:
         self.samples = [np.sort(rng.choice(self.steps, few, replace=False)) for _ in range(search.rounds)]
         flat = np.concatenate([x for _, x in items])
         ends = np.cumsum(sizes)
+        # Item of each stretch, and its first word in the item.
+        self.item = np.repeat(np.arange(len(items)), count)
+        self.offset = (np.array(sizes)[:, None] * np.arange(count) // count).ravel()
         self.buckets = []
         for k in range(search.rounds):
-            found = self.walk(flat, ends - sizes, ends, k)
+            found = self.walk(flat, (ends - sizes)[self.item] + self.offset, ends[self.item], k)
             order = np.argsort(found, kind="stable")
             self.buckets.append((found[order], order))
 
@@ -144,7 +156,7 @@ def groups_of(items: list[tuple[int, np.ndarray]], search: Search) -> list[Group
 
 
 def candidates(group: Group, words: np.ndarray, first: np.ndarray, begin: np.ndarray, end: np.ndarray) -> set[tuple[int, int]]:
-    """Pairs (window begin, item of the group) whose hashes agree in a round."""
+    """Pairs (window begin, stretch of the group's items) whose hashes agree in a round."""
     out: set[tuple[int, int]] = set()
     for k, (keys, order) in enumerate(group.buckets):
         found = group.walk(words, begin, end, k)
@@ -177,20 +189,22 @@ def _matches(groups: list[Group], search: Search):
                 begin = np.flatnonzero(upto[np.minimum(np.arange(n) + group.size, end)] - upto[:-1] >= max(1, group.least))
                 upto = np.concatenate([[0], np.cumsum(uncommon[known])])
                 last = np.minimum(begin + group.reach, end[begin])
-                begin = begin[upto[last] - upto[begin] >= group.least_uncommon]
+                front = np.maximum(begin - group.back, first[text[begin]])
+                begin = begin[upto[last] - upto[front] >= group.least_uncommon]
                 if not len(begin):
                     continue
                 best: dict[tuple[int, int], tuple[int, int]] = {}
                 checked: set[tuple[int, int]] = set()
-                for at, j in sorted(candidates(group, words, first, begin, end[begin])):
+                for window, s in sorted(candidates(group, words, first, begin, end[begin])):
+                    j = int(group.item[s])
                     number, item = group.items[j]
-                    row, most = int(text[at]), allowed(len(item), search.edits)
-                    # Windows that begin close together are verified over one stretch.
-                    reach = max(1, most)
+                    row, most = int(text[window]), allowed(len(item), search.edits)
+                    # Windows of items that would begin close together are verified over one stretch.
+                    reach, at = max(1, most), window - int(group.offset[s])
                     cell = at // reach
-                    if (cell, j) in checked:
+                    if (row, cell, j) in checked:
                         continue
-                    checked.add((cell, j))
+                    checked.add((row, cell, j))
                     low = max(int(first[row]), cell * reach - most)
                     high = min(int(first[row + 1]), (cell + 1) * reach + len(item) + most)
                     # All but the edited words of the item must be there at all.

@@ -316,6 +316,27 @@ def test_decontamination_recall_of_edited_passages():
     assert found >= 0.95 * asked
 
 
+@pytest.mark.parametrize("size", [120, 250, 500, 1000])
+@pytest.mark.parametrize("spread", [True, False])
+def test_decontamination_recall_of_long_items(size, spread):
+    """A full fifth of a long item's words changed, all over it or all in its first half."""
+    rng = random.Random(size)
+    search, vocabulary = dc.Search(), [f"v{k}" for k in range(3000)]
+    items = [[rng.choice(vocabulary) for _ in range(size + k)] for k in range(10)]
+    hashed = lambda ws: dc.word_hashes(*words.buffers(pa.array([" ".join(ws)])))[0]
+    run, found = dc._matches(dc.groups_of([(k, hashed(x)) for k, x in enumerate(items)], search), search), 0
+    for number, item in enumerate(items):
+        edited = list(item)
+        for at in sorted(rng.sample(range(size if spread else size // 2), dc.allowed(size, search.edits)), reverse=True):
+            edited[at : at + rng.choice((0, 1, 1))] = rng.choice(([], ["new"], ["other"]))
+        text = " ".join(rng.choices(vocabulary, k=50) + edited + rng.choices(vocabulary, k=50))
+        batch = pa.RecordBatch.from_pydict({"doc_id": pa.array([1]), "text": pa.array([text])})
+        hits = {r["item_id"]: r["edits"] for out in run([batch]) for r in out.to_pylist()}
+        assert number not in hits or hits[number] == brute.stretch_distance(item, brute.item_words(text))
+        found += number in hits
+    assert found >= 10
+
+
 def test_best_stretch():
     rng = np.random.default_rng(8)
     for _ in range(300):
