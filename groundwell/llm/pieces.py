@@ -3,12 +3,14 @@
 The pre-tokenizer of these tokenizers starts a new word at a space that is followed by something
 that is no white space, and where punctuation follows a letter, so a text can be cut there and its
 pieces encoded one by one: the ids of the pieces in a row are the ids of the text. Cuts are only
-made where the bytes leave no doubt. Pieces repeat a lot; a worker keeps the ids of up to CACHED of them by hash and length.
+made where the bytes leave no doubt. Added tokens are ids of their own wherever a text holds them: the
+library takes them out first, so a text is cut before and behind them and never inside. Pieces repeat a lot; a worker keeps the ids of up to CACHED of them by hash and length.
 """
 
 from __future__ import annotations
 
 import os
+import re
 from functools import lru_cache
 from itertools import chain
 
@@ -42,17 +44,27 @@ def cuts(data: np.ndarray, at: np.ndarray) -> np.ndarray:
 
 
 class Encoder:
-    def __init__(self, path: str):
+    """With `added` an added token in a text is its own id, as in the library; else it is text like any other."""
+
+    def __init__(self, path: str, added: bool = False):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = not added
+        tokens = self.tokenizer.get_added_tokens_decoder() if added else {}
+        if any(t.single_word or t.lstrip or t.rstrip or t.normalized or re.search(r"\s", t.content) for t in tokens.values()):
+            raise ValueError(f"{path}: added tokens with white space or rules of their own")
+        # Of tokens that begin alike the longest is found.
+        self.literals = sorted((t.content.encode() for t in tokens.values()), key=len, reverse=True)
+        self.literal = re.compile(b"|".join(map(re.escape, self.literals)))
         vocabulary = self.tokenizer.get_vocab()
         #: Bytes of each id: the vocabulary has a character for every byte.
         self.size = np.zeros(max(vocabulary.values()) + 1, np.int64)
         for token, number in vocabulary.items():
             self.size[number] = len(token)
+        for number, token in tokens.items():
+            self.size[number] = len(token.content.encode())
         self._empty()
 
     def _empty(self) -> None:
@@ -86,9 +98,22 @@ class Encoder:
         found = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
         return np.fromiter(chain.from_iterable(found), np.uint32, sum(map(len, found)))
 
+    def _cuts(self, data: np.ndarray, at: np.ndarray) -> np.ndarray:
+        begin, raw = cuts(data, at), data.tobytes()
+        if not any(x in raw for x in self.literals):
+            return begin
+        keep = np.zeros(len(data) + 1, bool)
+        keep[begin] = True
+        for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
+            for found in self.literal.finditer(raw, a, b):
+                low, high = found.span()
+                keep[low + 1 : high] = False
+                keep[[low, high]] = True
+        return np.flatnonzero(keep[:-1])
+
     def encode(self, data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in a row, and where each text's ids begin (one entry more than texts)."""
-        begin = cuts(data, at)
+        begin = self._cuts(data, at)
         if not len(data):
             return np.zeros(0, np.uint32), np.zeros(len(at), np.int64)
         end = np.append(begin[1:], len(data))
@@ -116,7 +141,7 @@ class Encoder:
 @lru_cache(2)
 def encoder(path: str) -> Encoder:
     """The encoder of this worker."""
-    return Encoder(path)
+    return Encoder(path, added=True)
 
 
 def default_path(name: str = "byte_bpe_50k.json") -> str:

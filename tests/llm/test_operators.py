@@ -202,6 +202,29 @@ def test_pieces_make_the_same_ids(tokenizer, monkeypatch):
                 assert ids[a:b].tolist() == tokenizer.encode(text or "", add_special_tokens=False).ids, text
 
 
+def test_added_tokens_as_in_the_library(spark, monkeypatch):
+    from tokenizers import Tokenizer
+
+    plain = Tokenizer.from_file(pieces.default_path())
+    rng = random.Random(6)
+    marks = ["<|endoftext|>"] * 6 + [" ", "  ", "\n", "a", "page", " next", "'s", "é", "<|", "|>", "<|endoftext|", "endoftext|>", "<", "12", "\u00a0"]
+    texts = ["end of page<|endoftext|>next page", "<|endof", "text|>", "", None, "a <|endoftext|>"]
+    texts += ["".join(rng.choices(marks, k=rng.randrange(1, 30))) for _ in range(400)]
+    want = [plain.encode(t or "", add_special_tokens=False).ids for t in texts]
+    for limit in (1_000_000, 50):
+        monkeypatch.setattr(pieces, "CACHED", limit)
+        ids, first = pieces.Encoder(pieces.default_path(), added=True).encode(*words.buffers(pa.array(texts)))
+        assert [ids[a:b].tolist() for a, b in zip(first[:-1], first[1:])] == want
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r for r in token_store.token_digests(df).collect()}
+    counted = token_counts.section_tokens(token_counts.with_fields(df, ["text"])).collect()
+    for r in counted:
+        assert r["n_tokens"] == len(plain.encode(f"{texts[r['doc_id']] or ''}\n", add_special_tokens=False).ids)
+    for k, ids in enumerate(want):
+        whole = np.array([*ids, 0], "<u4")
+        assert (got[k]["n_tokens"], got[k]["ids_crc32"]) == (len(whole), zlib.crc32(whole.tobytes()))
+
+
 def test_tokens_of_fields(docs, tokenizer):
     got = {}
     df = token_counts.with_fields(docs, ["source", "lang", "text"])
