@@ -563,3 +563,9 @@ def test_near_copies_of_kept_texts_only(spark, at_end, monkeypatch):
             kept.append(i)
     got = near_copies.keep_one(spark.createDataFrame(chain, "doc_id long, text string"))
     assert sorted(r["doc_id"] for r in got.collect()) == kept == [0, 2, 4, 6, 8, 10]
+
+
+def test_texts_that_share_an_id(spark):
+    a, b = (" ".join(f"{c}{k}" for k in range(100)) for c in "ab")
+    df = spark.createDataFrame([(2, a), (2, b), (1, a + " tail"), (2, b), (3, b)], "doc_id long, text string")
+    assert rows(near_copies.keep_one(df), "doc_id", "text") == [(1, a + " tail"), (2, b)]
