@@ -5,9 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from groundwell.llm.alignment import link_scores
 from groundwell.llm.decontaminate import contaminated
+from groundwell.llm.fill_in_middle import fill_in_middle, restored
 from groundwell.llm.license_scan import license_scan
 from groundwell.llm.line_dedup import drop_boilerplate
+from groundwell.llm.main_text import extract
 from groundwell.llm.mixing import mix_sources
 from groundwell.llm.quality_rules import quality_rules
 from groundwell.llm.simhash import near_duplicates
@@ -75,10 +78,31 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return link_scores(documents(spark, sf_dir)).select(
+        "doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"
+    )
+
+
+def op12_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    return extract(pages).select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = fill_in_middle(documents(spark, sf_dir))
+    back = restored(made["output"], made["form"])
+    return made.select(
+        "doc_id", "n", "form", "prefix_chars", "middle_chars",
+        F.sha2("output", 256).alias("output_sha256"), F.sha2(back, 256).alias("restored_sha256"),
+    )
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_line_dedup, op2_substring_dedup, op3_source_mixing, op4_url_filter, op5_token_counts,
         op6_license_scan, op7_token_store, op8_decontamination, op9_simhash, op10_quality_rules,
+        op11_tokenizer_alignment, op12_main_text, op13_fill_in_middle,
     )
 }

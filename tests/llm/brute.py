@@ -118,3 +118,36 @@ def spread(docs):
             if line.strip(" \t\r"):
                 sites[line.strip(" \t\r")].add(site)
     return Counter({line: len(s) for line, s in sites.items()})
+
+
+def align(text, first, second):
+    """Groups [(ids of the first, ids of the second)] and links [(id, id)] of one text; `first` and `second` give [(id, bytes)]."""
+    whole = (" " + text).encode() if text else b""
+    a, b = (f(text) if text else [] for f in (first, second))
+    if not text or any(b"".join(x for _, x in found) != whole for found in (a, b)):
+        return [], []
+    spans = []
+    for found in (a, b):
+        at, listed = 0, []
+        for i, raw in found:
+            listed.append((i, at, at + len(raw)))
+            at += len(raw)
+        spans.append(listed)
+    both = sorted({e for _, _, e in spans[0]} & {e for _, _, e in spans[1]})
+    groups, begin = [], 0
+    for end in both:
+        groups.append(tuple([i for i, s, e in listed if s >= begin and e <= end] for listed in spans))
+        begin = end
+    links = [(i, j) for i, s, e in spans[0] for j, t, f in spans[1] if max(s, t) < min(e, f)]
+    return groups, links
+
+
+def cheapest_labels(cost, edges):
+    """The cost of the cheapest of all labellings: of nodes labelled False their positive cost, of others their negative one."""
+    best = None
+    for bits in range(1 << len(cost)):
+        on = [bits >> k & 1 for k in range(len(cost))]
+        total = sum(c if not x else 0 for c, x in zip(cost, on) if c > 0) + sum(-c if x else 0 for c, x in zip(cost, on) if c < 0)
+        total += sum(c for a, b, c in edges if on[a] != on[b])
+        best = total if best is None else min(best, total)
+    return best
