@@ -28,38 +28,79 @@ from dataclasses import dataclass, field, fields
 from functools import lru_cache, reduce
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from groundwell.llm import words as w
 from groundwell.llm.pieces import SOLID, TEXTS, TOGETHER, Encoder, default_path
+from groundwell.llm.pieces import cuts as byte_cuts
 from groundwell.llm.tables import drop, prefixed, stored
 
 #: Bytes of text that one task encodes of a long document, and fragments that are composed at once.
 CHUNK, FAN = 64 << 10, 16
 #: Links that are numbered together.
-BLOCK_LINKS = 2_000_000
+BLOCK_LINKS = 1_000_000
+#: Distinct pieces of text whose ids a worker keeps of each tokenizer.
+KEPT = 500_000
 #: U+2581, which the second tokenizer can't tell from a space.
 _BAR = "▁".encode()
 
 
-class ByteTokens(Encoder):
-    """The byte-level tokenizer, with the bytes of every id."""
+def piece_cuts(data: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Where the piece tokenizer's pieces of text begin: at texts, and at single spaces inside them."""
+    begin = np.zeros(len(data) + 1, bool)
+    if len(data) > 2:
+        begin[1:-2] = (data[:-2] != 0x20) & (data[1:-1] == 0x20) & SOLID[data[2:]]
+    begin[at[1:][at[1:] > 0] - 1] = False
+    begin[at[:-1]] = True
+    return np.flatnonzero(begin[:-1])
+
+
+class Tokens(Encoder):
+    """A tokenizer with the bytes of every id, which encodes every distinct piece once per worker."""
+
+    bytes_of: tuple[np.ndarray, np.ndarray]
+
+    def encode(self, data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts in a row, and where each text's ids begin."""
+        begin = self.cuts(data, at)
+        if not len(begin):
+            return np.zeros(0, np.uint32), np.zeros(len(at), np.int64)
+        end = np.append(begin[1:], len(data))
+        which, keys = pd.factorize(w.hashes(data, begin, end))
+        order = np.argsort(keys)
+        keys, which = keys[order], np.argsort(order)[which]
+        place = np.minimum(np.searchsorted(self.keys, keys), max(len(self.keys) - 1, 0))
+        new = self.keys[place] != keys if len(self.keys) else np.ones(len(keys), bool)
+        if new.any():
+            if len(self.keys) + int(new.sum()) > KEPT:
+                self._empty()
+                new[:] = True
+            example = np.empty(len(keys), np.int64)
+            example[which] = np.arange(len(which))
+            raw, example = data.tobytes(), example[new]
+            self._learn(keys[new], [raw[a:b] for a, b in zip(begin[example].tolist(), end[example].tolist(), strict=True)])
+            place = np.searchsorted(self.keys, keys)
+        count = self.count[place][which]
+        upto = np.cumsum(count)
+        ids = self.ids[np.repeat(self.begin[place][which] - (upto - count), count) + np.arange(upto[-1])]
+        return ids, np.concatenate([[0], upto])[np.searchsorted(begin, at)]
+
+
+class ByteTokens(Tokens):
+    """The byte-level tokenizer."""
 
     def __init__(self, path: str):
         super().__init__(path)
         chars = _byte_of_char()
         self.bytes_of = _table({i: bytes(chars[c] for c in t) for t, i in self.tokenizer.get_vocab().items()})
 
-    def lossy(self, raw: bytes) -> bool:
-        return False
+    cuts = staticmethod(byte_cuts)
 
-    def cuts(self, data: np.ndarray, at: np.ndarray) -> np.ndarray:
-        return self._cuts(data, at)
 
-
-class PieceTokens(Encoder):
+class PieceTokens(Tokens):
     """The piece tokenizer with byte fallback. Its pieces hold spaces in front only, so a text can be cut
     before a single space. A piece's first space is the one that the library itself adds."""
 
@@ -79,18 +120,7 @@ class PieceTokens(Encoder):
         self.size = np.diff(self.bytes_of[1])
         self._empty()
 
-    def lossy(self, raw: bytes) -> bool:
-        return _BAR in raw
-
-    def cuts(self, data: np.ndarray, at: np.ndarray) -> np.ndarray:
-        begin = np.zeros(len(data) + 1, bool)
-        if len(data) > 2:
-            begin[1:-2] = (data[:-2] != 0x20) & (data[1:-1] == 0x20) & SOLID[data[2:]]
-        begin[at[1:][at[1:] > 0] - 1] = False
-        begin[at[:-1]] = True
-        return np.flatnonzero(begin[:-1])
-
-    _cuts = cuts
+    cuts = staticmethod(piece_cuts)
 
     def _ids_of(self, texts: list[str]) -> np.ndarray:
         found = self.model.encode([t[1:] for t in texts], num_threads=1)
@@ -169,7 +199,7 @@ class Fragment:
     def __add__(self, other: Fragment) -> Fragment:
         mine = ("right_a", "right_a_ends", "right_b", "right_b_ends") if self.known else _LEFT
         a, a_ends, b, b_ends = (np.concatenate([getattr(self, x), getattr(other, y)]) for x, y in zip(mine, _LEFT, strict=True))
-        both = np.intersect1d(a_ends, b_ends, assume_unique=True)
+        both = _common(a_ends, b_ends)
         if not self.known and not len(both):
             return Fragment(False, a, a_ends, b, b_ends)
         in_a = np.searchsorted(a_ends, both, "right")
@@ -192,6 +222,16 @@ class Fragment:
         return tuple(np.concatenate([x, getattr(self, y)]).astype(np.int64) for x, y in zip(lead, _CLOSED, strict=True))
 
 
+def _common(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Numbers that both ascending arrays hold."""
+    if not len(a) or not len(b):
+        return _empty()
+    least = min(a[0], b[0])
+    marked = np.zeros(max(a[-1], b[-1]) - least + 1, bool)
+    marked[a - least] = True
+    return b[marked[b - least]]
+
+
 _LEFT = ("left_a", "left_a_ends", "left_b", "left_b_ends")
 _CLOSED = ("a", "b", "a_sizes", "b_sizes")
 _RIGHT = ("right_a", "right_a_ends", "right_b", "right_b_ends")
@@ -218,34 +258,30 @@ def _spaced(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return spaced, out
 
 
-def _encoded(tokens: Encoder, data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Ids of all texts in a row, the ids before each text, and whether a text's bytes come back."""
-    raw = data.tobytes()
-    good = np.ones(len(at) - 1, bool)
-    if tokens.lossy(raw):
-        good = np.array([not tokens.lossy(raw[x:y]) for x, y in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)])
-        size = np.diff(at) * good
-        data = data[np.repeat(good, np.diff(at))]
-        at = np.concatenate([[0], np.cumsum(size)])
-    if not len(data):
-        return np.zeros(0, np.uint32), np.zeros(len(at), np.int64), good
+def _encoded(tokens: Tokens, data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of all texts in a row, and the ids before each text. The texts must be given back by their ids."""
     ids, first = tokens.encode(data, at)
     back = spelled(tokens, ids)
     if len(back) != len(data) or (back != data).any():
         raise ValueError("a tokenizer changes texts in a way that is not known here")
-    return ids, first, good
+    return ids, first
+
+
+def _given_back(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The texts, those emptied that the tokenizers don't give back: the ones with a character that stands for a space."""
+    raw = data.tobytes()
+    if _BAR not in raw:
+        return data, at
+    good = np.array([_BAR not in raw[x:y] for x, y in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)])
+    return data[np.repeat(good, np.diff(at))], np.concatenate([[0], np.cumsum(np.diff(at) * good)])
 
 
 def _align(path: tuple[str, str], batch: pa.RecordBatch) -> tuple[np.ndarray, ...]:
     """Of a block of texts: ids of both, group sizes of both, and where each text's begin among ids of the
     first, of the second, and among the groups."""
     one, two = pair_of(*path)
-    data, at = _spaced(*w.buffers(batch.column("text")))
-    raw = data.tobytes()
-    if two.lossy(raw) or one.lossy(raw):
-        good = np.array([not (two.lossy(raw[x:y]) or one.lossy(raw[x:y])) for x, y in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)])
-        data, at = data[np.repeat(good, np.diff(at))], np.concatenate([[0], np.cumsum(np.diff(at) * good)])
-    (a, a_first, _), (b, b_first, _) = _encoded(one, data, at), _encoded(two, data, at)
+    data, at = _given_back(*_spaced(*w.buffers(batch.column("text"))))
+    (a, a_first), (b, b_first) = _encoded(one, data, at), _encoded(two, data, at)
     # Every text's end is an end of both, so all texts together are grouped as one would be.
     a_ends, b_ends = np.cumsum(np.diff(one.bytes_of[1])[a]), np.cumsum(np.diff(two.bytes_of[1])[b])
     groups = fragment(a, a_ends, b, b_ends).whole()
@@ -266,21 +302,16 @@ def _short(path: tuple[str, str]):
     return run
 
 
-def _chunked(path: tuple[str, str], chunk: int):
+def _chunked(chunk: int):
     """Rows of (doc_id, row, seq, begin and end of both tokenizers' ranges, bytes from the lesser begin)."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in w.blocks(batches, "text", 1):
-            data, at = _spaced(*w.buffers(batch.column("text")))
-            raw = data.tobytes()
-            if any(t.lossy(raw) for t in pair_of(*path)):
-                wide = {"a": [0, 0], "b": [0, 0]}
-            else:
-                nominal = np.arange(0, len(data), chunk)
-                wide = {}
-                for name, tokens in zip("ab", pair_of(*path), strict=True):
-                    safe = np.append(tokens.cuts(data, at), len(data))
-                    wide[name] = np.append(safe[np.searchsorted(safe, nominal)], len(data)).tolist()
+            data, at = _given_back(*_spaced(*w.buffers(batch.column("text"))))
+            raw, nominal, wide = data.tobytes(), np.arange(0, max(len(data), 1), chunk), {}
+            for name, cuts in (("a", byte_cuts), ("b", piece_cuts)):
+                safe = np.append(cuts(data, at), len(data))
+                wide[name] = np.append(safe[np.searchsorted(safe, nominal)], len(data)).tolist()
             row = uuid.uuid4().hex
             for seq in range(len(wide["a"]) - 1):
                 (a, a_end), (b, b_end) = (x[seq : seq + 2] for x in wide.values())
@@ -302,7 +333,7 @@ def _fragments(path: tuple[str, str]):
                 data, begin, ends = np.frombuffer(r.column("bytes")[0].as_buffer(), np.uint8), min(at["a"], at["b"]), []
                 for name, tokens in zip("ab", pair_of(*path), strict=True):
                     mine = data[at[name] - begin : at[f"{name}_end"] - begin]
-                    ids, _, _ = _encoded(tokens, mine, np.array([0, len(mine)]))
+                    ids, _ = _encoded(tokens, mine, np.array([0, len(mine)]))
                     ends += [ids, at[name] + np.cumsum(np.diff(tokens.bytes_of[1])[ids])]
                 yield _fragment_row(r.select(["doc_id", "row", "seq"]), fragment(*ends))
 
@@ -345,27 +376,37 @@ def compose(fragments: DataFrame, fan: int = FAN) -> DataFrame:
     return fragments
 
 
-def align(
-    docs: DataFrame, *, first: str | None = None, second: str | None = None, chunk: int = CHUNK, fan: int = FAN,
-    doc_id: str = "doc_id", text: str = "text",
-) -> DataFrame:
-    """doc_id, a, b (ids of the text behind a space, by the first and by the second tokenizer), a_sizes,
-    b_sizes (how many of them each group has, in order)."""
-    path = (first or default_path(), second or default_path("piece_bpe_32k.model"))
-    narrow = prefixed(docs, doc_id=doc_id, text=text).withColumn("text", F.col("text").cast("string"))
+def _aligned(narrow: DataFrame, path: tuple[str, str], chunk: int, fan: int, then: Callable, out: str) -> DataFrame:
+    """What `then` makes of the rows of `align`, in the task that aligns a document or composes its last fragments."""
     id_type = narrow.schema["doc_id"].dataType.simpleString()
-    out = f"doc_id {id_type}, " + ", ".join(f"{x} array<int>" for x in _CLOSED)
     is_long = F.octet_length("text") > chunk
     chunks = narrow.where(is_long).mapInArrow(
-        _chunked(path, chunk), f"doc_id {id_type}, row string, seq long, a long, a_end long, b long, b_end long, bytes binary"
+        _chunked(chunk), f"doc_id {id_type}, row string, seq long, a long, a_end long, b long, b_end long, bytes binary"
     )
     chunks = stored(chunks, "chunks")
     # A chunk's rows lie behind one another in a file; its bytes are work for several tasks.
     dealt = chunks.repartition("row", "seq")
     found = stored(dealt.mapInArrow(_fragments(path), f"doc_id {id_type}, row string, seq long, {_FRAGMENT}"), "fragments")
     drop(chunks)
-    long = compose(found, fan).mapInArrow(_closed, out)
-    return narrow.where(~is_long | F.col("text").isNull()).mapInArrow(_short(path), out).unionByName(long)
+    long = compose(found, fan).mapInArrow(lambda batches: then(_closed(batches)), out)
+    short = narrow.where(~is_long | F.col("text").isNull()).mapInArrow(lambda batches: then(_short(path)(batches)), out)
+    return short.unionByName(long)
+
+
+def _narrow(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    return prefixed(docs, doc_id=doc_id, text=text).withColumn("text", F.col("text").cast("string"))
+
+
+def align(
+    docs: DataFrame, *, first: str | None = None, second: str | None = None, chunk: int = CHUNK, fan: int = FAN,
+    doc_id: str = "doc_id", text: str = "text",
+) -> DataFrame:
+    """doc_id, a, b (ids of the text behind a space, by the first and by the second tokenizer), a_sizes,
+    b_sizes (how many of them each group has, in order)."""
+    path = (first or default_path(), second or default_path("piece_bpe_32k.model"))
+    narrow = _narrow(docs, doc_id, text)
+    out = f"doc_id {narrow.schema['doc_id'].dataType.simpleString()}, " + ", ".join(f"{x} array<int>" for x in _CLOSED)
+    return _aligned(narrow, path, chunk, fan, iter, out)
 
 
 def rendered(a: np.ndarray, b: np.ndarray, a_sizes: np.ndarray, b_sizes: np.ndarray, tables: list) -> pa.Array:
@@ -409,16 +450,20 @@ def _linked(path: tuple[str, str], block_links: int):
             a, b, a_sizes, b_sizes = flat.values()
             a_ends, b_ends = np.cumsum(np.diff(one.bytes_of[1])[a]), np.cumsum(np.diff(two.bytes_of[1])[b])
             # Every link's last common byte is the end of a token of one or of both.
-            ends = np.union1d(a_ends, b_ends)
-            pairs = a[np.searchsorted(a_ends, ends)] << 32 | b[np.searchsorted(b_ends, ends)]
-            kinds, which = np.unique(pairs, return_inverse=True)
+            size = int(a_ends[-1]) if len(a_ends) else 0
+            in_a, in_b = np.zeros(size + 1, bool), np.zeros(size + 1, bool)
+            in_a[a_ends], in_b[b_ends] = True, True
+            ends = np.flatnonzero(in_a | in_b)
+            of = lambda marked: np.cumsum(marked, dtype=np.int32)[ends] - marked[ends]
+            which, kinds = pd.factorize(a[of(in_a)] << 32 | b[of(in_b)])
             times = np.bincount(which, minlength=len(kinds))
-            last = np.concatenate([[0], a_ends])[upto["a"]]
-            link_at = np.searchsorted(ends, last, "right")
-            text = np.repeat(np.arange(batch.num_rows), np.diff(link_at))
-            own, own_times = np.unique(text * max(len(kinds), 1) + which, return_counts=True)
-            own_at = np.searchsorted(own, np.arange(batch.num_rows + 1) * max(len(kinds), 1))
-            own = own - np.repeat(np.arange(batch.num_rows) * max(len(kinds), 1), np.diff(own_at))
+            link_at = np.searchsorted(ends, np.concatenate([[0], a_ends])[upto["a"]], "right")
+            # Texts come in order, so their pairs do.
+            base = np.arange(batch.num_rows + 1) * max(len(kinds), 1)
+            numbered, own = pd.factorize(np.repeat(base[:-1], np.diff(link_at)) + which)
+            own_times = np.bincount(numbered, minlength=len(own))
+            own_at = np.concatenate([[0], np.cumsum(np.bincount(own // max(len(kinds), 1), minlength=batch.num_rows))])
+            own = own - np.repeat(base[:-1], np.diff(own_at))
             digests = _digests(rendered(a, b, a_sizes, b_sizes, names), upto["a"] + upto["b"])
             group_first = np.zeros(batch.num_rows + 1, np.int32)
             group_first[1:] = len(kinds)
@@ -460,18 +505,21 @@ def _scored(rows: pa.Table, looked: pa.Table) -> pa.Table:
     return out
 
 
-def link_scores(docs: DataFrame, *, first: str | None = None, second: str | None = None, block_links: int = BLOCK_LINKS, **options) -> DataFrame:
+def link_scores(
+    docs: DataFrame, *, first: str | None = None, second: str | None = None, chunk: int = CHUNK, fan: int = FAN,
+    block_links: int = BLOCK_LINKS, doc_id: str = "doc_id", text: str = "text",
+) -> DataFrame:
     """Per document: n_a, n_b, n_groups, n_links, n_best (links whose pair is the most frequent one of its
     second id, ties included), count_sum (of the pairs' counts over all documents, over its links) and
     groups_sha256 (of `a1,a2|b1;a3|b2,b3`). A document's groups themselves come from `align`."""
     path = (first or default_path(), second or default_path("piece_bpe_32k.model"))
-    aligned = align(docs, first=path[0], second=path[1], **options)
-    id_type = aligned.schema["doc_id"].dataType.simpleString()
+    narrow = _narrow(docs, doc_id, text)
+    id_type = narrow.schema["doc_id"].dataType.simpleString()
     counts = "n_a long, n_b long, n_groups long, n_links long, groups_sha256 string"
-    linked = aligned.mapInArrow(
-        _linked(path, block_links),
+    linked = _aligned(
+        narrow, path, chunk, fan, _linked(path, block_links),
         f"doc_id {id_type}, {counts}, block string, pair array<int>, times array<int>, kinds array<long>, kind_times array<long>",
-    )
+    )
     linked = stored(linked, "links")
     held = linked.where(F.size("kinds") > 0).select("block", F.posexplode(F.arrays_zip("kinds", "kind_times")).alias("pos", "k"))
     held = held.select("block", "pos", F.col("k.kinds").alias("pair"), F.col("k.kind_times").alias("times"))
