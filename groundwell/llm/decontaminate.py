@@ -15,7 +15,7 @@ edited, that holds for one of its stretches at least.
 Items are grouped by size and windows are as long as the smallest stretch of a group. A window is
 walked only if enough of its words occur in the group's items at all, and enough of the words that
 few items have: no match can fail that, as all but the allowed edits of the item's words are in it. Items come from the driver in blocks of
-ITEMS_AT_ONCE, and each block is one pass over the documents, without a shuffle.
+WORDS_AT_ONCE words, and each block is one pass over the documents, without a shuffle.
 
 Defined cases: null texts and texts without words match nothing; an item of fewer than five words
 must occur unchanged; a document is reported once for each item, with its best place, the first of
@@ -31,13 +31,14 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from groundwell.llm import words as w
-from groundwell.llm.tables import prefixed, stored
+from groundwell.llm.tables import prefixed, stored, with_row
 
-ITEMS_AT_ONCE = 20_000
+WORDS_AT_ONCE = 500_000
 #: Bytes that end a word; A-Z are lower-cased.
 GAP = np.zeros(256, bool)
 GAP[[*range(0x00, 0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x80)]] = True
@@ -166,14 +167,19 @@ def candidates(group: Group, words: np.ndarray, first: np.ndarray, begin: np.nda
     return out
 
 
-def _matches(groups: list[Group], search: Search):
+def _tables(groups: list[Group]) -> tuple:
+    """The groups, their words, which of them each group has, and a table by the words' low bits."""
     vocabulary = np.unique(np.concatenate([g.vocabulary for g in groups]))
     listed = [[np.append(np.isin(vocabulary, x), False) for x in (g.vocabulary, g.uncommon)] for g in groups]
     # A table by the low bits tells most other words before they are looked up.
     some = np.zeros(1 << 20, bool)
     some[(vocabulary & np.uint64((1 << 20) - 1)).astype(np.int64)] = True
+    return groups, vocabulary, listed, some
 
+
+def _matches(tables: Broadcast, search: Search):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        groups, vocabulary, listed, some = tables.value
         for batch in w.blocks(batches, "text"):
             words, first = word_hashes(*w.buffers(batch.column("text")))
             n, rows = len(words), []
@@ -229,12 +235,14 @@ def _matches(groups: list[Group], search: Search):
 def _items(benchmark: DataFrame) -> Iterator[list[tuple[int, np.ndarray]]]:
     """Items in blocks of bounded size."""
     block: list[tuple[int, np.ndarray]] = []
+    words = 0
     for row in benchmark.where(F.col("text").isNotNull()).toLocalIterator():
         raw = np.frombuffer(row["text"].encode(), np.uint8)
         block.append((row["item_id"], word_hashes(raw, np.array([0, len(raw)]))[0]))
-        if len(block) == ITEMS_AT_ONCE:
+        words += len(block[-1][1])
+        if words >= WORDS_AT_ONCE:
             yield block
-            block = []
+            block, words = [], 0
     yield block
 
 
@@ -251,7 +259,8 @@ def contaminated(
     out = docs.sparkSession.createDataFrame([], schema)
     for block in _items(prefixed(benchmark, item_id=item_id, text=item_text)):
         if groups := groups_of(block, search):
-            out = out.unionByName(narrow.mapInArrow(_matches(groups, search), schema))
+            tables = docs.sparkSession.sparkContext.broadcast(_tables(groups))
+            out = out.unionByName(narrow.mapInArrow(_matches(tables, search), schema))
     return out
 
 
@@ -259,5 +268,6 @@ def drop_contaminated(
     docs: DataFrame, benchmark: DataFrame, search: Search | None = None, *, doc_id: str = "doc_id", text: str = "text"
 ) -> DataFrame:
     """The documents that contain no item, with all their columns."""
-    hits = contaminated(docs, benchmark, search, doc_id=doc_id, text=text).select(F.col("doc_id").alias("_hit")).distinct()
-    return docs.join(stored(hits, "contaminated"), F.col(doc_id).eqNullSafe(F.col("_hit")), "left_anti")
+    hits = contaminated(docs, benchmark, search, doc_id=doc_id, text=text).select(F.col("doc_id").alias("hit")).distinct()
+    rows = with_row(docs, id=docs[doc_id])
+    return rows.join(stored(hits, "contaminated"), F.col("id").eqNullSafe(F.col("hit")), "left_anti").select("row.*")

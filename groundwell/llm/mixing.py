@@ -14,13 +14,14 @@ words has target 0; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from groundwell.llm.tables import is_small, prefixed, stored
+from groundwell.llm.tables import is_small, prefixed, stored, with_row
 
 WORD = r"[^\x20\x09-\x0D]+"
 #: Bits of the hash, of which each histogram resolves some.
@@ -153,11 +154,11 @@ def repeat_documents(
     docs: DataFrame, mix: Mix = Mix(), *, doc_id: str = "doc_id", source: str = "source", text: str = "text"
 ) -> DataFrame:
     """The mix itself: every document as often as it is taken, with all its columns."""
-    of = (count_words(F.col(text)).alias("size"), id_hash(F.col(doc_id)).alias("hash"))
-    sized = stored(docs.select(F.col(source).alias("source"), *of), "sizes")
-    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col(source).alias("source"), *of)
+    rows = with_row(docs, source=docs[source], size=count_words(docs[text]), hash=id_hash(docs[doc_id]))
+    sized = stored(rows.drop("row"), "sizes")
     cuts = stored(thresholds(sized, targets(sized, mix)), "thresholds").withColumnRenamed("source", "_s")
     cuts = F.broadcast(cuts) if is_small(cuts) else cuts
     met = rows.join(cuts, F.col("source").eqNullSafe(F.col("_s")))
-    times = F.col("whole") + (F.col("hash") < F.col("below")).cast("bigint")
+    # A document without words fits any threshold; it is not repeated more often than others may be.
+    times = F.least(F.col("whole") + (F.col("hash") < F.col("below")).cast("bigint"), F.lit(math.floor(mix.cap)))
     return met.where(times > 0).select("row", F.explode(F.array_repeat(F.lit(0), times.cast("int")))).select("row.*")

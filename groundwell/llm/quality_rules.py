@@ -18,7 +18,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from groundwell.llm.tables import is_small, stored
+from groundwell.llm.tables import is_small, prefixed, stored, with_row
 
 SPACES = r"[\x20\x09-\x0D]"
 SYMBOLS = "[#*$%&|<>]"
@@ -188,11 +188,11 @@ def judge(counted: DataFrame) -> DataFrame:
 
 def quality_rules(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
     """One row per document: doc_id, counts, distances, `base_failed` and `kept`."""
-    return judge(stored(counts(docs.withColumnRenamed(doc_id, "doc_id"), "doc_id", text=text, lang=lang), "quality"))
+    return judge(stored(counts(prefixed(docs, doc_id=doc_id, text=text, lang=lang), "doc_id", text="text", lang="lang"), "quality"))
 
 
 def keep_good(docs: DataFrame, *, text: str = "text", lang: str = "lang") -> DataFrame:
     """The documents that are kept, with all their columns."""
-    row = docs.select(F.struct(*docs.columns).alias("_row"), F.col(text).alias("_t"), F.col(lang).alias("_l"))
-    judged = judge(stored(counts(row, "_row", text="_t", lang="_l"), "quality"))
-    return judged.where("kept").select("_row.*")
+    row = with_row(docs, _t=docs[text], _l=docs[lang])
+    judged = judge(stored(counts(row, "row", text="_t", lang="_l"), "quality"))
+    return judged.where("kept").select("row.*")

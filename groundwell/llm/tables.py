@@ -5,7 +5,8 @@ from __future__ import annotations
 from collections.abc import Iterator
 from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from groundwell.session import scratch_dir
 
@@ -56,6 +57,11 @@ def is_small(df: DataFrame, rows: int = SMALL_ROWS) -> bool:
     return df.limit(rows + 1).count() <= rows
 
 
+def with_row(docs: DataFrame, **columns: Column) -> DataFrame:
+    """Whole rows as the struct `row`, and beside them the given columns; no name can clash with another."""
+    return docs.select(F.struct(*(docs[f"`{c}`"] for c in docs.columns)).alias("row"), *(c.alias(name) for name, c in columns.items()))
+
+
 def prefixed(docs: DataFrame, **columns: str) -> DataFrame:
     """Only the named columns, under the names the operator uses; others can't clash with its own."""
     return docs.select(*(docs[old].alias(new) for new, old in columns.items()))

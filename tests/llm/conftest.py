@@ -15,7 +15,7 @@ def docs(spark):
 
 DOCUMENTS = "doc_id long, text string, lang string, source string, n_chars long"
 #: Extra columns that some operator might use itself.
-EXTRA = ("id", "key", "h", "size", "row", "shard", "seq", "fp", "words", "sections", "n_words", "target", "_row", "_kept", "spaced", "tie", "site")
+EXTRA = ("id", "key", "h", "size", "row", "shard", "seq", "fp", "words", "sections", "n_words", "target", "_row", "_kept", "spaced", "tie", "site", "_hit", "hit", "_id", "_copy", "copy", "a.b")
 
 
 @pytest.fixture(scope="session")
@@ -28,7 +28,7 @@ def odd(spark):
         (8, " ".join(f"z{k}" for k in range(60_000)), "fr", "a"), (9, "ein\x00wort é🙂\u00a0ü\n" * 30, "de", "d"), (None, None, None, None),
         (10, "w" * 300_000, "en", "d"),
     ]
-    schema = DOCUMENTS + "".join(f", {c} string" for c in EXTRA)
+    schema = DOCUMENTS + "".join(f", `{c}` string" for c in EXTRA)
     return spark.createDataFrame([(*r, None if r[1] is None else len(r[1]), *["x"] * len(EXTRA)) for r in rows], schema)
 
 

@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import zlib
+from types import SimpleNamespace
 
 import brute
 import numpy as np
@@ -23,6 +24,11 @@ def rows(df, *columns):
     return sorted((tuple(r) for r in df.select(*columns).collect()), key=repr)
 
 
+def shared(value):
+    """Stands in for a broadcast."""
+    return SimpleNamespace(value=value)
+
+
 def pairs(df):
     return [(r["doc_id"], r["text"]) for r in df.select("doc_id", "text").collect()]
 
@@ -322,7 +328,7 @@ def test_decontamination_recall_of_edited_passages():
     items = [[rng.choice(vocabulary) for _ in range(rng.randrange(10, 70))] for _ in range(60)]
     hashed = lambda ws: dc.word_hashes(*words.buffers(pa.array([" ".join(ws)])))[0]
     groups = dc.groups_of([(k, hashed(x)) for k, x in enumerate(items)], search)
-    run, found, asked = dc._matches(groups, search), 0, 0
+    run, found, asked = dc._matches(shared(dc._tables(groups)), search), 0, 0
     for number, item in enumerate(items):
         for _ in range(4):
             edited = list(item)
@@ -347,7 +353,7 @@ def test_decontamination_recall_of_long_items(size, spread):
     search, vocabulary = dc.Search(), [f"v{k}" for k in range(3000)]
     items = [[rng.choice(vocabulary) for _ in range(size + k)] for k in range(10)]
     hashed = lambda ws: dc.word_hashes(*words.buffers(pa.array([" ".join(ws)])))[0]
-    run, found = dc._matches(dc.groups_of([(k, hashed(x)) for k, x in enumerate(items)], search), search), 0
+    run, found = dc._matches(shared(dc._tables(dc.groups_of([(k, hashed(x)) for k, x in enumerate(items)], search))), search), 0
     for number, item in enumerate(items):
         edited = list(item)
         for at in sorted(rng.sample(range(size if spread else size // 2), dc.allowed(size, search.edits)), reverse=True):
@@ -517,6 +523,28 @@ def test_pipeline_decisions(spark, docs):
     assert sorted(r["doc_id"] for r in one.collect()) == kept_of(pairs(docs))
 
 
+def test_rules_of_a_table_with_other_ids(docs):
+    """The id column may have any name, also beside a column of the usual one."""
+    keyed = docs.withColumnRenamed("doc_id", "key").withColumn("doc_id", F.lit("x"))
+    columns = ("n_words", "kept")
+    want = rows(quality_rules.quality_rules(docs), "doc_id", *columns)
+    assert rows(quality_rules.quality_rules(keyed, doc_id="key"), "doc_id", *columns) == want
+
+
+def test_items_in_several_blocks(spark, docs, monkeypatch):
+    bench = spark.read.parquet(f"{SF}/benchmark.parquet")
+    want = rows(dc.contaminated(docs, bench), "doc_id", "item_id")
+    monkeypatch.setattr(dc, "WORDS_AT_ONCE", 300)
+    assert rows(dc.contaminated(docs, bench), "doc_id", "item_id") == want
+
+
+def test_empty_texts_are_not_repeated_more_often(spark):
+    """At the cap: no document comes more often than twice."""
+    listed = [(k, "" if k % 2 else "some words", "small") for k in range(40)] + [(100 + k, "word " * 200, "large") for k in range(40)]
+    mixed = mixing.repeat_documents(spark.createDataFrame(listed, "doc_id long, text string, source string"))
+    assert mixed.groupBy("doc_id").count().agg(F.max("count")).first()[0] <= 2
+
+
 def jaccard(a, b):
     return len(a & b) / len(a | b) if a | b else 1.0
 
