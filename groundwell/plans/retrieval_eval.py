@@ -3,11 +3,18 @@ documents are rows, so their number per request has no bound."""
 
 from __future__ import annotations
 
+from itertools import batched
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
+
+from groundwell.session import fits_broadcast
 
 # Categories with special treatment.
-ANCHOR = 5  # words by which passages are looked up
+ANCHOR = 5  # words by which passages are looked up at most
+FEW = 10_000  # anchors that are looked up while the text is read
+TOGETHER = 200  # phrases without an inner word that one pass looks for
 ACL_CATEGORIES, OUT_OF_CORPUS, DISTRACTOR = ("acl_task", "acl_restricted"), "out_of_corpus", "distractor"
 
 
@@ -33,21 +40,54 @@ def mark_substrings(items: DataFrame, chunks: DataFrame, phrases: DataFrame) ->
 
 
 def containing(chunks: DataFrame, passages: DataFrame) -> DataFrame:
-    """(query_id, chunk_id) of the chunks that hold a passage as it is. chunks: chunk_id, content;
-    passages: query_id, passage, of ANCHOR + 2 words or more between single spaces.
+    """(query_id, chunk_id) of the chunks that hold a passage as it is, of any length. chunks: chunk_id,
+    content; passages: query_id, passage. An empty or null passage is found nowhere.
 
-    The words after a passage's first one stand in the chunk as they are, so a join on their hash
-    finds the candidates, and only those are compared.
+    The inner words of a passage, those between its first and its last space, stand in the chunk as
+    they are. A passage is looked up by the hash of its first inner words, ANCHOR of them or as many
+    as it has, and only candidates are compared. What has no inner word is looked for directly.
     """
-    some = lambda i: F.xxhash64(*(F.get("words", i + k) for k in range(ANCHOR)))
-    runs = F.when(F.size("words") >= ANCHOR, F.transform(F.sequence(F.lit(0), F.size("words") - ANCHOR), some))
-    # Words are a column of their own: inside the expression they would be split for every run.
-    split = lambda df, key, text: df.select(key, F.split(text, " ").alias("words"))
-    anchors = split(passages, "query_id", "passage").select("query_id", F.get(runs, F.lit(1)).alias("h"))
-    seen = split(chunks, "chunk_id", "content").select("chunk_id", F.explode(F.array_distinct(runs)).alias("h"))
-    pairs = seen.join(anchors, "h").select("query_id", "chunk_id").distinct()
-    texts = pairs.join(chunks.select("chunk_id", "content"), "chunk_id").join(passages, "query_id")
-    return texts.where(F.contains("content", F.col("passage"))).select("query_id", "chunk_id")
+    asked = passages.where("passage <> ''").select("query_id", "passage", F.split("passage", " ").alias("words"))
+    inner = F.least(F.size("words") - 2, F.lit(ANCHOR))
+    of = lambda start, n: F.xxhash64(F.lit(n), *(F.get("words", start + k) for k in range(n)))
+    own = F.lit(None).cast("long")
+    for n in range(1, ANCHOR + 1):
+        own = F.when(inner == n, of(F.lit(1), n)).otherwise(own)
+    anchors = asked.where(inner > 0).select("query_id", inner.alias("n"), own.alias("h"))
+    lengths = sorted(r["n"] for r in anchors.select("n").distinct().collect())
+    found = [_without_inner_words(chunks, asked.where(inner <= 0).select("query_id", "passage"))]
+    if lengths:
+        few = fits_broadcast(anchors, FEW)
+        wanted = sorted({r["h"] for r in anchors.select("h").collect()}) if few else []
+        # Words are a column of their own: inside the expression they would be split for every run.
+        words = chunks.select("chunk_id", F.split("content", " ").alias("words"))
+        runs = [_runs(of, n) for n in lengths]
+        if few:
+            runs = [F.filter(r, lambda h: h.isin(wanted)) for r in runs]
+        seen = words.select("chunk_id", F.explode(F.array_distinct(F.concat(*runs))).alias("h"))
+        pairs = seen.join(anchors.select("query_id", "h"), "h").select("query_id", "chunk_id").distinct()
+        texts = pairs.join(chunks.select("chunk_id", "content"), "chunk_id").join(passages.select("query_id", "passage"), "query_id")
+        found.append(texts.where(F.contains("content", F.col("passage"))).select("query_id", "chunk_id"))
+    out = found[0]
+    for more in found[1:]:
+        out = out.unionByName(more)
+    return out
+
+
+def _runs(of, n: int) -> Column:
+    """The hashes of all runs of `n` words."""
+    some = lambda i: of(i, n)
+    return F.when(F.size("words") >= n, F.transform(F.sequence(F.lit(0), F.size("words") - n), some)).otherwise(F.array().cast("array<long>"))
+
+
+def _without_inner_words(chunks: DataFrame, phrases: DataFrame) -> DataFrame:
+    """Phrases of one or two words, some at a time: each pass keeps of every chunk the phrases it holds."""
+    out = chunks.sparkSession.createDataFrame([], StructType([phrases.schema["query_id"], chunks.schema["chunk_id"]]))
+    for some in batched((r["passage"] for r in phrases.select("passage").distinct().toLocalIterator()), TOGETHER):
+        held = F.filter(F.array(*map(F.lit, some)), lambda p: F.contains(F.col("content"), p))
+        holds = chunks.select("chunk_id", F.explode(held).alias("passage"))
+        out = out.unionByName(holds.join(phrases, "passage").select("query_id", "chunk_id"))
+    return out
 
 
 def with_source(retrieved: DataFrame, other: DataFrame) -> DataFrame:

@@ -191,3 +191,27 @@ def test_passages_and_phrases_are_found_in_the_text(spark):
     phrases = spark.createDataFrame([(9, ["zzz", "two three"]), (8, ["zzz"])], "query_id long, phrases array<string>")
     marked = retrieval_eval.mark_substrings(items, chunks, phrases).collect()
     assert sorted((r["query_id"], r["rank"], r["substring_hit"]) for r in marked) == [(7, 1, False), (8, 1, False), (9, 1, True), (9, 2, False), (9, 3, False)]
+
+
+def test_passages_of_any_length(spark):
+    """Against plain containment, also of words cut at their ends, with anchors looked up and joined."""
+    import random
+
+    from groundwell.plans import retrieval_eval
+
+    rng = random.Random(12)
+    texts = [" ".join(rng.choices(["ab", "abc", "c", "", "x.", "long\nline", "y"], k=rng.randrange(0, 30))) for _ in range(60)]
+    phrases = ["", None, "nowhere", " "]
+    for _ in range(120):
+        text = rng.choice([t for t in texts if len(t) > 8])
+        at = rng.randrange(len(text) - 1)
+        phrases.append(text[at : at + rng.randrange(1, 25)])
+    chunks = spark.createDataFrame(list(enumerate(texts)), "chunk_id long, content string")
+    asked = spark.createDataFrame(list(enumerate(phrases)), "query_id long, passage string")
+    want = {(q, c) for q, p in enumerate(phrases) if p for c, t in enumerate(texts) if p in t}
+    assert {len(p.split(" ")) for p in phrases if p} >= {1, 2, 3, 4, 5, 6, 7}
+    for few in (10_000, 0):
+        retrieval_eval.FEW, before = few, retrieval_eval.FEW
+        found = [(r["query_id"], r["chunk_id"]) for r in retrieval_eval.containing(chunks, asked).collect()]
+        retrieval_eval.FEW = before
+        assert set(found) == want and len(found) == len(want)

@@ -146,12 +146,15 @@ def _entries(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def cache_lookup(spark: SparkSession, sf: str) -> DataFrame:
-    """Vectors as requests at one moment; entries stored later are not there yet, and they live for 150 seconds."""
+    """Vectors as requests all over the time in which entries are stored; entries live for a fifth of that time."""
     i = F.col("vec_id")
-    asked = b.table(spark, sf, "embeddings").where("vec_id % 2 = 1").select(
-        i.alias("query_id"), _space(F.floor(i / 2)).alias("namespace"), V.as_double(F.col("embedding")).alias("vector"), F.lit(250.0).alias("at")
+    table = b.table(spark, sf, "embeddings")
+    span = table.agg(F.max("vec_id")).first()[0] or 0
+    asked = table.where("vec_id % 2 = 1").select(
+        i.alias("query_id"), _space(F.floor(i / 2)).alias("namespace"), V.as_double(F.col("embedding")).alias("vector"),
+        ((i * 7919) % (span + 1)).cast("double").alias("at"),
     )
-    found = cache.lookup(asked, _entries(spark, sf), direct=0.45, floor=0.3, ttl=150.0)
+    found = cache.lookup(asked, _entries(spark, sf), direct=0.45, floor=0.3, ttl=float((span + 1) // 5))
     return found.withColumn("similarity", F.round("similarity", 6))
 
 
@@ -243,9 +246,10 @@ ORACLE = {
       z AS (SELECT query_id, chunk_id, rank AS old_rank, stage, row_number() OVER (PARTITION BY query_id ORDER BY CASE WHEN stage = 'applied' AND pos > 0 THEN pos END ASC NULLS LAST, rank) AS new_rank FROM y)
       SELECT * FROM z WHERE new_rank <= 5""",
     "grounding_decision": f"{HITS},{TITLED},{ASSESSED} SELECT query_id, is_groundable, round(confidence, 6) AS confidence, stage, fallback_reason, suggested_owner_id FROM assessed",
-    "cache_lookup": f"""WITH e AS (SELECT vec_id AS entry_id, {SPACE.format('(vec_id // 2)')} AS ns, embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id % 2 = 0 AND vec_id BETWEEN 100 AND 250),
-      q AS (SELECT vec_id AS query_id, {SPACE.format('(vec_id // 2)')} AS ns, embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id % 2 = 1),
-      s AS (SELECT query_id, entry_id, round(list_cosine_similarity(q.v, e.v), 9) AS sim, row_number() OVER (PARTITION BY query_id ORDER BY round(list_cosine_similarity(q.v, e.v), 9) DESC, entry_id) AS n FROM q JOIN e USING (ns))
+    "cache_lookup": f"""WITH e AS (SELECT vec_id AS entry_id, {SPACE.format('(vec_id // 2)')} AS ns, embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id % 2 = 0),
+      span AS (SELECT max(vec_id) + 1 AS n FROM embeddings),
+      q AS (SELECT vec_id AS query_id, {SPACE.format('(vec_id // 2)')} AS ns, embedding::DOUBLE[] AS v, (vec_id * 7919) % n AS asked_at, n // 5 AS ttl FROM embeddings, span WHERE vec_id % 2 = 1),
+      s AS (SELECT query_id, entry_id, round(list_cosine_similarity(q.v, e.v), 9) AS sim, row_number() OVER (PARTITION BY query_id ORDER BY round(list_cosine_similarity(q.v, e.v), 9) DESC, entry_id) AS n FROM q JOIN e ON q.ns = e.ns AND entry_id BETWEEN asked_at - ttl AND asked_at)
       SELECT q.query_id, CASE WHEN sim >= 0.3 THEN entry_id END AS entry_id, CASE WHEN sim >= 0.3 THEN round(sim, 6) END AS similarity,
         CASE WHEN sim >= 0.45 THEN 'direct' WHEN sim >= 0.3 THEN 'candidate' ELSE 'miss' END AS outcome FROM q LEFT JOIN s ON s.query_id = q.query_id AND n = 1""",
     "cache_lru": """SELECT workspace_id, entry_id, last_used, stored FROM (SELECT 'ws' || (user_id % 4) AS workspace_id, event_id AS entry_id, (event_id * 7919) % 100003 AS last_used,
