@@ -5,25 +5,41 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from groundwell.streaming.tables import earlier_batches, latest, run_available, write_batch
+from groundwell.sources.bucketed import BucketTable, table_at
+from groundwell.streaming.tables import latest, run_available, write_batch
 
 
-def run_idempotent(pushes: DataFrame, path: str, keys: list[str]) -> None:
+def run_idempotent(pushes: DataFrame, path: str, keys: list[str], buckets: int = 64) -> None:
     """Each key is written once, however often and in however many batches it arrives.
 
-    A batch is reduced to one row per key and meets the keys written before it. A
-    watermark would bound that table, but would also lose a push that comes late.
+    The keys written so far lie in a bucketed table; a batch reads the buckets of its own keys only
+    and writes those anew, one file set a bucket however many batches there were. A key is kept with
+    the batch that brought it, so a batch that is run again after a failure finds its own keys
+    unwritten. A watermark would bound the table, but would also lose a push that comes late.
     """
-    types = {f.name: f.dataType.simpleString() for f in pushes.schema.fields}
-    schema = ", ".join(f"`{k}` {types[k]}" for k in keys)
 
     def each(df: DataFrame, batch: int) -> None:
-        known = earlier_batches(df.sparkSession, f"{path}/rows", schema, batch)
-        write_batch(df.dropDuplicates(keys).join(known, keys, "left_anti"), f"{path}/rows", batch)
+        once = df.dropDuplicates(keys)
+        write_batch(once.join(known_keys(once, f"{path}/keys", keys, batch), keys, "left_anti"), f"{path}/rows", batch)
+        new = df.sparkSession.read.schema(df.schema).parquet(f"{path}/rows/batch={batch}").select(*keys).withColumn("batch", F.lit(batch))
+        table = table_at(df.sparkSession, f"{path}/keys")
+        if table is None:
+            BucketTable.create(new, f"{path}/keys", keys, buckets)
+        else:
+            table.update(new, lambda old, rows: old.where(F.col("batch") < batch).unionByName(rows))
+            table.clean()
 
     run_available(pushes, f"{path}/checkpoint", each)
 
 
+def known_keys(rows: DataFrame, path: str, keys: list[str], batch: int) -> DataFrame:
+    """The keys that batches before `batch` have written, out of the buckets of the keys of `rows`."""
+    table = table_at(rows.sparkSession, path)
+    if table is None:
+        return rows.select(*keys).limit(0)
+    return table.read(table.touched(rows)).where(F.col("batch") < batch).select(*keys)
+
+
 def run_reindex(sources: DataFrame, path: str, chunk) -> None:
     """Appends the chunks of every arriving source with its version.
 

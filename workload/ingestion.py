@@ -9,6 +9,7 @@ from groundwell.functions import text as t
 from groundwell.functions import vector as V
 from groundwell.operators import budget, ingest
 from groundwell.session import scratch_dir
+from groundwell.sources.bucketed import BucketTable
 from groundwell.sources import export, files, jsonl
 from workload import bindings as b
 
@@ -25,7 +26,9 @@ def chunk_replace(spark: SparkSession, sf: str) -> DataFrame:
     rows = _chunk_table(spark, sf)
     old = rows.where((F.col("chunk_id") % 2 == 0) | (F.col("source_id") >= 40))
     new = rows.where((F.col("chunk_id") % 2 == 1) & (F.col("source_id") < 40)).withColumn("workspace_id", F.lit("ws0"))
-    merged = ingest.replace_by_key(old.withColumn("workspace_id", F.lit("ws0")), new.withColumn("source_type", F.lit("document")), ["workspace_id", "source_type", "source_id"])
+    keys = ["workspace_id", "source_type", "source_id"]
+    table = BucketTable.create(old.withColumn("workspace_id", F.lit("ws0")), scratch_dir(spark, "chunk-table"), keys, 16)
+    merged = table.replace(new.withColumn("source_type", F.lit("document"))).read()
     return merged.select("workspace_id", "source_type", "source_id", "chunk_id", F.md5("content").alias("content_md5"))
 
 
