@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from groundwell.streaming.appended import read_appended
 from groundwell.streaming.tables import earlier_batches, run_available, write_batch
 
 USAGE_SCHEMA = "ts timestamp, workspace_id string, embedding_model string, embedding_tokens double"
@@ -15,6 +16,12 @@ def read_events(spark: SparkSession, path: str, schema: str, files_per_batch: in
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).json(path)
 
 
+def read_growing_events(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """JSONL files of a directory while lines are appended to them; broken lines are skipped."""
+    lines = read_appended(spark, path).where(F.try_parse_json("value").isNotNull())
+    return lines.select(F.from_json("value", schema).alias("r")).select("r.*")
+
+
 def daily_usage(events: DataFrame) -> DataFrame:
     """Tokens per workspace, day and model of the rows at hand."""
     return events.groupBy("workspace_id", F.to_date("ts").alias("date"), "embedding_model").agg(

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from itertools import groupby
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from groundwell.operators import chunking
 from groundwell.session import scratch_dir
-from groundwell.streaming import ingest, usage
+from groundwell.streaming import appended, ingest, usage
 from workload import bindings as b
 from workload.reports import CALLS, USAGE, calls
 
@@ -35,6 +37,44 @@ def stream_usage_daily(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def stream_appended_events(spark: SparkSession, sf: str) -> DataFrame:
+    """Event logs, one file per event type, that grow between two runs of the same stream. Their last line is
+    cut off in the middle when the first run reads them."""
+    root = scratch_dir(spark, "growing")
+    rows = calls(spark, sf).select(
+        F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").alias("ts"), "workspace_id",
+        F.col("model").alias("embedding_model"), "embedding_tokens", "purpose",
+    )
+    lines = rows.select("purpose", F.to_json(F.struct("ts", "workspace_id", "embedding_model", "embedding_tokens")).alias("value"))
+    numbered = lines.withColumn("late", F.pmod(F.xxhash64("value"), F.lit(5)) > 2)
+    for whole in (False, True):
+        _write_logs(numbered.where(~F.col("late") | F.lit(whole)), f"{root}/in", whole)
+        stream = usage.read_growing_events(spark, f"{root}/in", usage.USAGE_SCHEMA)
+        usage.run_daily_usage(stream, f"{root}/out")
+    return usage.read_daily_usage(spark, f"{root}/out").select(
+        "workspace_id", F.date_format("date", "yyyy-MM-dd").alias("date"), "embedding_model",
+        F.col("embedding_tokens").cast("double").alias("embedding_tokens"),
+    )
+
+
+def _write_logs(lines: DataFrame, folder: str, whole: bool) -> None:
+    """One file per purpose, early lines first. Unless `whole`, the last line of each is cut in the middle, as a
+    reader would find it while it is written; the next call's files begin with the same bytes."""
+
+    def write(rows):
+        system, root = appended.opened(folder)
+        system.create_dir(root, recursive=True)
+        for purpose, same in groupby(rows, lambda r: r["purpose"]):
+            with system.open_output_stream(f"{root}/{purpose}.jsonl") as log:
+                last = b""
+                for row in same:
+                    log.write(last)
+                    last = row["value"].encode() + b"\n"
+                log.write(last if whole else last[: len(last) // 2])
+
+    lines.repartition("purpose").sortWithinPartitions("purpose", "late", "value").foreachPartition(write)
+
+
 def stream_verify_budget(spark: SparkSession, sf: str) -> DataFrame:
     root = scratch_dir(spark, "budget")
     rows = b.table(spark, sf, "events").select("event_id", F.col("ts").cast("timestamp").alias("ts"))
@@ -75,11 +115,12 @@ def stream_reindex(spark: SparkSession, sf: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (stream_usage_daily, stream_verify_budget, stream_idempotent_ingest, stream_reindex)
+    for f in (stream_usage_daily, stream_appended_events, stream_verify_budget, stream_idempotent_ingest, stream_reindex)
 }
 
 ORACLE = {
     "stream_usage_daily": f"WITH {CALLS} {USAGE}",
+    "stream_appended_events": f"WITH {CALLS} {USAGE}",
     "stream_verify_budget": """SELECT strftime(ts::DATE, '%Y-%m-%d') AS day, least(count(*), 100) AS acquired, greatest(count(*) - 100, 0) AS limited FROM events GROUP BY 1""",
     "stream_idempotent_ingest": "SELECT DISTINCT 'ws' || ((o_orderkey // 3) % 4) AS workspace_id, sha1((o_orderkey // 3)::VARCHAR) AS commit_hash FROM orders",
     "stream_reindex": """WITH d AS (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 1 ELSE 0 END AS version, CASE WHEN doc_id % 3 = 0 THEN replace(text, 'e', 'EE') ELSE text END AS text FROM documents)
