@@ -65,6 +65,11 @@ def keep_recent(entries: DataFrame, max_entries: int = MAX_ENTRIES) -> DataFrame
     return best_per_group(entries, ["workspace_id"], [F.desc("last_used"), F.desc("entry_id")], max_entries).drop("place")
 
 
+def sizes(entries: DataFrame) -> DataFrame:
+    """Entries per workspace, over all namespaces: workspace_id, stored."""
+    return entries.groupBy("workspace_id").agg(F.count(F.lit(1)).alias("stored"))
+
+
 def storable(cached: Column, first_turn: Column, groundable: Column, reason: Column, answer: Column) -> Column:
     """Whether an answer may enter the cache."""
     return ~cached & first_turn & groundable & reason.isNull() & ~is_blank(F.coalesce(answer, F.lit("")))

@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from groundwell.operators import lexical
 from groundwell.sources.bucketed import BucketTable, table_at
 from groundwell.streaming.tables import latest, run_available, write_batch
 
+#: What a source is known by.
+SOURCE = ("workspace_id", "source_type", "source_id")
+
 
 def run_idempotent(pushes: DataFrame, path: str, keys: list[str], buckets: int = 64) -> None:
     """Each key is written once, however often and in however many batches it arrives.
@@ -40,28 +45,78 @@ def known_keys(rows: DataFrame, path: str, keys: list[str], batch: int) -> DataF
     return table.read(table.touched(rows)).where(F.col("batch") < batch).select(*keys)
 
 
-def run_reindex(sources: DataFrame, path: str, chunk) -> None:
-    """Appends the chunks of every arriving source with its version.
+def run_reindex(sources: DataFrame, path: str, chunk, keys: tuple[str, ...] = SOURCE, buckets: int = 64) -> None:
+    """Puts the chunks of every arriving version of a source in the place of those it had.
 
-    `chunk` turns a DataFrame of sources into chunk rows that keep workspace_id,
-    source_type, source_id and version. Replacing is a matter of reading: see `current_chunks`.
+    `chunk` turns a DataFrame of sources into chunk rows that keep the key columns and version. The
+    chunks lie in a bucketed table, in which a batch touches the buckets of its own sources only; an
+    older version that comes late changes nothing, one without chunks leaves none. Behind the change the
+    batch's workspaces are written to a feed, see `refresh_from_feed`.
     """
 
     def each(df: DataFrame, batch: int) -> None:
-        write_batch(chunk(df), f"{path}/chunks", batch)
-        touched = df.select("workspace_id").distinct()
-        write_batch(touched, f"{path}/touched", batch)
+        spark, found = df.sparkSession, f"{path}/chunks"
+        # The arriving sources are read several times.
+        write_batch(df, f"{path}/arrived", batch)
+        arrived = spark.read.schema(df.schema).parquet(f"{path}/arrived/batch={batch}")
+        last = latest(arrived, list(keys), "version").dropDuplicates([*keys, "version"])
+        table = table_at(spark, found) or BucketTable.create(chunk(last).limit(0), found, list(keys), buckets)
+
+        def merge(old: DataFrame, new: DataFrame) -> DataFrame:
+            versions = new.select(*keys, F.col("version").alias("_version"))
+            both = old.join(versions, list(keys), "left")
+            stays = both.where("_version IS NULL OR version > _version").drop("_version")
+            later = old.select(*keys, F.col("version").alias("_later")).distinct()
+            comes = chunk(new.join(later, list(keys), "left").where("_later IS NULL OR _later <= version").drop("_later"))
+            return stays.select(*table.schema.names).unionByName(comes.select(*table.schema.names))
+
+        table.update(last, merge).clean()
+        write_batch(arrived.select("workspace_id").distinct(), f"{path}/touched", batch)
 
     run_available(sources, f"{path}/checkpoint", each)
 
 
 def current_chunks(spark: SparkSession, path: str) -> DataFrame:
     """Chunks of the last version of every source."""
-    rows = spark.read.option("basePath", f"{path}/chunks").parquet(f"{path}/chunks/batch=*").drop("batch")
-    return latest(rows, ["workspace_id", "source_type", "source_id"], "version")
+    return BucketTable(spark, f"{path}/chunks").read()
+
+
+def feed_end(spark: SparkSession, path: str) -> int:
+    """The last batch in the feed, -1 before the first."""
+    rows = spark.read.option("basePath", f"{path}/touched").parquet(f"{path}/touched")
+    last = rows.agg(F.max("batch")).first()[0]
+    return -1 if last is None else last
+
+
+def consumed(spark: SparkSession, path: str, consumer: str) -> int:
+    """The last batch that a consumer has seen, -1 if none."""
+    listed = spark.createDataFrame([], "upto int")
+    try:
+        listed = spark.read.schema("upto int").parquet(f"{path}/consumers/{consumer}")
+    except AnalysisException as missing:
+        if missing.getCondition() != "PATH_NOT_FOUND":
+            raise
+    last = listed.agg(F.max("upto")).first()[0]
+    return -1 if last is None else last
+
+
+def mark_consumed(spark: SparkSession, path: str, consumer: str, upto: int) -> None:
+    spark.createDataFrame([(upto,)], "upto int").write.mode("append").parquet(f"{path}/consumers/{consumer}")
+
+
+def stale_workspaces(spark: SparkSession, path: str, since: int, upto: int | None = None) -> DataFrame:
+    """Workspaces whose index has to be derived again for the batches behind `since`, through `upto`."""
+    rows = spark.read.option("basePath", f"{path}/touched").parquet(f"{path}/touched")
+    rows = rows.where(F.col("batch") > since)
+    return (rows if upto is None else rows.where(F.col("batch") <= upto)).select("workspace_id").distinct()
 
 
-def stale_workspaces(spark: SparkSession, path: str, since: int) -> DataFrame:
-    """Workspaces whose index has to be derived again after batch `since`."""
-    rows = spark.read.option("basePath", f"{path}/touched").parquet(f"{path}/touched/batch=*")
-    return rows.where(F.col("batch") > since).select("workspace_id").distinct()
+def refresh_from_feed(spark: SparkSession, path: str, index: str, consumer: str = "index", **options) -> lexical.LexicalIndex:
+    """Brings the lexical index at `index` up to the feed: the workspaces of the batches that this consumer has not
+    seen are indexed anew from the current chunks. The offset moves afterwards, so a refresh that failed is done again."""
+    since, upto = consumed(spark, path, consumer), feed_end(spark, path)
+    if upto <= since:
+        return lexical.LexicalIndex.load(spark, index)
+    fresh = lexical.refresh_index(spark, index, current_chunks(spark, path), stale_workspaces(spark, path, since, upto), **options)
+    mark_consumed(spark, path, consumer, upto)
+    return fresh

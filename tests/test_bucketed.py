@@ -96,3 +96,22 @@ def test_pushes_in_many_batches(spark):
         ingest.run_idempotent(stream, f"{path}/out", ["k"], 4)
     got = spark.read.parquet(f"{path}/out/rows/batch=*").select("k").collect()
     assert sorted(r["k"] for r in got if r["k"] is not None) == [1, 2, 3, 4, 9]
+
+
+def test_versions_that_come_late_or_twice_or_empty(spark):
+    """The table holds the chunks of the last version of every source, whatever the order of arrival."""
+    path = scratch_dir(spark, "reindex")
+    schema = "workspace_id string, source_type string, source_id long, version int, text string"
+    chunk = lambda df: df.select(*ingest.SOURCE, "version", F.explode(F.split("text", " ")).alias("content")).where("content <> ''")
+    steps = [[(1, 0, "a b"), (2, 5, "x y"), (3, 0, "k")], [(1, 1, "c"), (2, 4, "old"), (3, 1, "")], [(1, 1, "c"), (4, 0, "n n"), (4, 0, "n n")]]
+    want = [{(1, "a"), (1, "b"), (2, "x"), (2, "y"), (3, "k")}, {(1, "c"), (2, "x"), (2, "y")}, {(1, "c"), (2, "x"), (2, "y"), (4, "n")}]
+    for n, (step, rows_) in enumerate(zip(steps, want)):
+        write_batch(spark.createDataFrame([(f"w{i % 2}", "document", i, v, t) for i, v, t in step], schema), f"{path}/in", n)
+        stream = spark.readStream.schema(schema).option("recursiveFileLookup", "true").parquet(f"{path}/in")
+        ingest.run_reindex(stream, f"{path}/out", chunk, buckets=4)
+        got = [(r["source_id"], r["content"]) for r in ingest.current_chunks(spark, f"{path}/out").collect()]
+        assert set(got) == rows_ and len(got) == len(rows_) + (n == 2)
+    assert ingest.feed_end(spark, f"{path}/out") == 2 and ingest.consumed(spark, f"{path}/out", "c") == -1
+    ingest.mark_consumed(spark, f"{path}/out", "c", 1)
+    assert ingest.consumed(spark, f"{path}/out", "c") == 1
+    assert {r[0] for r in ingest.stale_workspaces(spark, f"{path}/out", 1, 2).collect()} == {"w1", "w0"}

@@ -7,10 +7,11 @@ from itertools import groupby
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from groundwell.operators import chunking
+from groundwell.operators import chunking, lexical
 from groundwell.session import scratch_dir
 from groundwell.streaming import appended, ingest, usage
 from workload import bindings as b
+from workload import retrieval
 from workload.reports import CALLS, USAGE, calls
 
 FILES = 6
@@ -113,12 +114,30 @@ def stream_reindex(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def stream_index_refresh(spark: SparkSession, sf: str) -> DataFrame:
+    """Sources arrive and are indexed; those of two workspaces arrive again with other texts, and the index follows
+    the feed. Each document is one chunk."""
+    root = scratch_dir(spark, "feed")
+    now = b.chunks(spark, sf).select(*ingest.SOURCE, "chunk_id", "content")
+    before = now.withColumns({"version": F.lit(0), "content": F.replace("content", F.lit("e"), F.lit("a"))})
+    again = now.where(F.col("workspace_id").isin("ws1", "ws3")).withColumn("version", F.lit(1))
+    ingest.run_reindex(_arriving(before, f"{root}/in", "source_id"), f"{root}/out", lambda df: df, buckets=16)
+    lexical.build_index(ingest.current_chunks(spark, f"{root}/out"), path=f"{root}/index")
+    ingest.mark_consumed(spark, f"{root}/out", "index", ingest.feed_end(spark, f"{root}/out"))
+    again.repartitionByRange(FILES, "source_id").write.mode("append").parquet(f"{root}/in")
+    grown = spark.readStream.schema(before.schema).option("maxFilesPerTrigger", 2).parquet(f"{root}/in")
+    ingest.run_reindex(grown, f"{root}/out", lambda df: df, buckets=16)
+    index = ingest.refresh_from_feed(spark, f"{root}/out", f"{root}/index")
+    return lexical.top_k(index, b.requests(spark, sf), retrieval.K).withColumn("score", F.round("score", 6))
+
+
 QUERIES = {
     f.__name__: f
-    for f in (stream_usage_daily, stream_appended_events, stream_verify_budget, stream_idempotent_ingest, stream_reindex)
+    for f in (stream_usage_daily, stream_appended_events, stream_verify_budget, stream_idempotent_ingest, stream_reindex, stream_index_refresh)
 }
 
 ORACLE = {
+    "stream_index_refresh": retrieval.ORACLE["index_refresh"],
     "stream_usage_daily": f"WITH {CALLS} {USAGE}",
     "stream_appended_events": f"WITH {CALLS} {USAGE}",
     "stream_verify_budget": """SELECT strftime(ts::DATE, '%Y-%m-%d') AS day, least(count(*), 100) AS acquired, greatest(count(*) - 100, 0) AS limited FROM events GROUP BY 1""",
