@@ -38,8 +38,8 @@ RULES = (
 #: Words that mark a host as unwanted for training, and their count in the unigram model at least.
 SEEDS = ("ads", "adult", "banner", "bets", "casino", "pills", "poker", "porn", "sex", "spam", "tracker", "viagra", "xxx")
 SEED_COUNT = 50
-#: Longest word, longest run that is segmented (a host label has 63 characters at most), smoothing.
-LONGEST, RUN, ALPHA = 20, 63, 1.0
+#: Longest word of the unigram model (longer ones are unknown strings), smoothing.
+LONGEST, ALPHA = 20, 1.0
 
 
 @dataclass(frozen=True)
@@ -114,27 +114,21 @@ def _segmented(total: float):
 def segment(runs: DataFrame, texts: DataFrame, seeds: tuple[str, ...]) -> DataFrame:
     """run and its `words`, for every distinct run of letters. runs: run; texts: text, the corpus."""
     runs = stored(runs.distinct(), "runs")
-    short = runs.where(F.length("run") <= RUN)
-    size = F.length("run")
-    spans = F.flatten(
-        F.transform(
-            F.sequence(F.lit(1), size),
-            lambda i: F.transform(
-                F.sequence(F.lit(1), F.least(F.lit(LONGEST), size - i + 1)), lambda k: F.substring(F.col("run"), i, k)
-            ),
-        )
-    )
-    inside = stored(short.select("run", F.explode(F.array_distinct(spans)).alias("word")), "substrings")
+    # Position by position, with a hash for the run: a long one is neither repeated nor one array of its substrings.
+    placed = runs.where("run <> ''").select(F.md5("run").alias("key"), "run", F.explode(F.sequence(F.lit(1), F.length("run"))).alias("i"))
+    tails = placed.select("key", F.col("run").substr(F.col("i"), F.lit(LONGEST)).alias("tail")).distinct()
+    heads = F.transform(F.sequence(F.lit(1), F.length("tail")), lambda k: F.substring("tail", F.lit(1), k))
+    inside = stored(tails.select("key", F.explode(heads).alias("word")), "substrings")
     counts = word_counts(texts, inside.select("word").distinct())
     spark = runs.sparkSession
     marked = spark.createDataFrame([(x, SEED_COUNT) for x in seeds], "word string, n long")
     counts = counts.unionByName(marked).groupBy("word").agg(F.max("n").alias("n"))
     counts = stored(counts, "unigrams")
     total = float(max(2, counts.agg(F.sum("n")).first()[0] or 0))
-    # A run has at most RUN * LONGEST substrings.
-    known = inside.join(counts, "word").groupBy("run").agg(F.collect_list("word").alias("words"), F.collect_list("n").alias("counts"))
+    # A run has at most LONGEST words at each of its letters.
+    known = inside.distinct().join(counts, "word").groupBy("key").agg(F.collect_list("word").alias("words"), F.collect_list("n").alias("counts"))
     none = F.array().cast("array<string>"), F.array().cast("array<bigint>")
-    whole = runs.join(known, "run", "left").select("run", *(F.coalesce(c, e).alias(c) for c, e in zip(("words", "counts"), none, strict=True)))
+    whole = runs.join(known, F.md5("run") == F.col("key"), "left").select("run", *(F.coalesce(c, e).alias(c) for c, e in zip(("words", "counts"), none, strict=True)))
     return whole.mapInArrow(_segmented(total), "run string, words array<string>")
 
 
