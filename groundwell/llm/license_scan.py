@@ -1,6 +1,6 @@
 """License scans: phrases word by word, and templates by an exact set-similarity join with text blocks.
 
-A block is a line, or a sentence of a line. A template is found in a block that holds at least the
+A block is a sentence of a paragraph, over the line ends inside it; paragraphs end at blank lines. A template is found in a block that holds at least the
 threshold's share of its distinct words. Words are ordered by how many documents have them, rarest
 first. A block that meets the threshold has one of the first `size - need + 1` words of the
 template (prefix filter), at least `need` words of any template (length filter), and enough words
@@ -25,8 +25,8 @@ from groundwell.llm.tables import prefixed, stored
 #: Characters between words, before and after A-Z became lower case.
 GAP_RAW = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-#: Ends of blocks.
-BLOCK_END = r"\n|[.!?;][\x20\x09]+"
+#: Ends of blocks: blank lines and ends of sentences. A line end alone is none, as notices are wrapped.
+BLOCK_END = r"\n[\x20\x09\x0D]*\n|[.!?;][\x20\x09-\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 PHRASES = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}

@@ -157,6 +157,20 @@ def test_url_parts_and_rules(spark):
         assert got[k]["verdict"] == kinds.get(rule, "allow")
 
 
+def test_runs_of_any_length_are_split(spark):
+    """Also beyond the 63 letters of a host label, as paths may be run together."""
+    rng = random.Random(5)
+    words_ = ["river", "garden", "news", "of", "the", "school", "an"]
+    runs = ["".join(rng.choices(words_, k=n)) for n in (1, 3, 20, 60, 400)] + ["zqx", "x" * 200]
+    corpus = spark.createDataFrame([(" ".join(words_) + " news news the",)] * 10, "text string")
+    got = {r["run"]: r["words"] for r in url_filter.segment(spark.createDataFrame([(r,) for r in runs], "run string"), corpus, ()).collect()}
+    count = {x: 10 * (1 + 2 * (x == "news") + (x == "the")) for x in words_}
+    assert len(runs[4]) > 1500 and set(got) == set(runs)
+    for r in runs:
+        assert got[r] == url_filter.split_words(r, count, float(sum(count.values())))
+    assert set(got[runs[4]]) <= set(words_)
+
+
 def test_url_scores_by_hand(spark):
     """The log odds of a small training set, and a host of its words run together."""
     train = [("http://cheap-pills.org/a", 1), ("http://free-pills.org/a", 1), ("http://the-news.org/a", 0), ("http://news.org/b", 0)]
@@ -276,6 +290,22 @@ def test_token_store(docs, tokenizer):
 # 6
 
 
+def test_wrapped_notices_are_found(spark):
+    """The usual heads of two licenses, wrapped as they are in source files, indented and not."""
+    mit = (
+        "Permission is hereby granted, free of charge, to any person obtaining a copy\n"
+        "of this software and associated documentation files (the \"Software\"), to deal\nin the Software without restriction"
+    )
+    bsd = (
+        "Copyright (c) 2020\n\nRedistribution and use in source and binary forms, with or without\n"
+        "modification, are permitted provided that the following conditions\nare met:"
+    )
+    apart = "Permission is hereby granted, free of charge.\n\nTo any person obtaining a copy of this software"
+    texts = {1: mit, 2: bsd, 3: mit.replace("\n", "\r\n   "), 4: apart}
+    got = {r["doc_id"]: r["labels"] for r in license_scan.license_scan(spark.createDataFrame([*texts.items()], "doc_id long, text string")).collect()}
+    assert got == {1: "mit", 2: "bsd", 3: "mit", 4: ""}
+
+
 def test_license_matches_without_filters(docs, spark):
     scan = license_scan.Scan(templates=(("t", "one two three four five six"), ("u", "two three nine ten"), ("v", "seven")), threshold=0.6)
     rng = random.Random(4)
