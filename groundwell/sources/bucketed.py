@@ -9,7 +9,6 @@ A bucket may hold a key with most rows of the table: files are cut by size, not
 
 from __future__ import annotations
 
-import json
 import uuid
 from collections.abc import Callable, Iterable
 
@@ -17,16 +16,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from groundwell.sources import manifest
+
 
 class BucketTable:
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
-        listed = [f for f in self._list("manifest") if f.endswith(".json") and not f.startswith(".")]
-        if not listed:
-            raise FileNotFoundError(f"no table at {path}")
-        self.version = int(max(listed)[: -len(".json")])
-        text = spark.read.option("wholetext", "true").text(f"{self.path}/manifest/{max(listed)}").first()["value"]
-        self._load(json.loads(text))
+        self.version, state = manifest.latest(spark, self.path)
+        self._load(state)
 
     def _load(self, state: dict) -> None:
         self.keys, self.buckets = state["keys"], state["buckets"]
@@ -73,9 +70,8 @@ class BucketTable:
 
     def clean(self, keep: int = 2) -> None:
         """Deletes manifests but the last `keep`, and the folders that none of those names."""
-        names = sorted(f for f in self._list("manifest") if f.endswith(".json"))
-        read = self.spark.read.option("wholetext", "true")
-        live = {f for n in names[-keep:] for f in json.loads(read.text(f"{self.path}/manifest/{n}").first()["value"])["folders"].values()}
+        names = manifest.names(self.spark, self.path)
+        live = {f for n in names[-keep:] for f in manifest.state(self.spark, self.path, n)["folders"].values()}
         for name in names[:-keep]:
             self._delete(f"manifest/{name}")
         for run in self._list("data"):
@@ -93,26 +89,14 @@ class BucketTable:
 
     def _commit(self, folders: dict[int, str]) -> BucketTable:
         state = {"keys": self.keys, "buckets": self.buckets, "schema": self.schema.jsonValue(), "folders": folders}
-        jvm, made = self.spark._jvm, f"{self.path}/manifest/.{uuid.uuid4().hex}"
-        path = jvm.org.apache.hadoop.fs.Path
-        out = self._fs().create(path(made))
-        out.write(bytearray(json.dumps(state).encode()))
-        out.close()
-        context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(path(self.path).toUri(), self.spark._jsc.hadoopConfiguration())
-        none = self.spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 0)
-        # Fails if another change has made this version.
-        context.rename(path(made), path(f"{self.path}/manifest/{self.version + 1:020d}.json"), none)
+        manifest.commit(self.spark, self.path, self.version + 1, state)
         return BucketTable(self.spark, self.path)
 
-    def _fs(self):
-        return self.spark._jvm.org.apache.hadoop.fs.Path(self.path).getFileSystem(self.spark._jsc.hadoopConfiguration())
-
     def _list(self, folder: str) -> list[str]:
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{folder}")
-        return [f.getPath().getName() for f in self._fs().listStatus(path)] if self._fs().exists(path) else []
+        return manifest.listed(self.spark, f"{self.path}/{folder}")
 
     def _delete(self, name: str) -> None:
-        self._fs().delete(self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}"), True)
+        manifest.delete(self.spark, f"{self.path}/{name}")
 
 
 def table_at(spark: SparkSession, path: str) -> BucketTable | None:

@@ -119,4 +119,5 @@ def refresh_from_feed(spark: SparkSession, path: str, index: str, consumer: str
         return lexical.LexicalIndex.load(spark, index)
     fresh = lexical.refresh_index(spark, index, current_chunks(spark, path), stale_workspaces(spark, path, since, upto), **options)
     mark_consumed(spark, path, consumer, upto)
+    lexical.clean_index(spark, index)
     return fresh

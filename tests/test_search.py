@@ -46,7 +46,7 @@ def bm25(chunks, workspace, query):
 @pytest.mark.parametrize("small", [True, False])
 def test_bm25_equals_brute_force(spark, small, monkeypatch):
     # A tiny limit puts every term of the shuffle path on several tasks.
-    monkeypatch.setattr(lexical, "POSTINGS_PER_TASK", 3)
+    monkeypatch.setattr(lexical, "PAIRS_PER_TASK", 3)
     chunks = corpus(1)
     asked = [(1, "a", "w1 w2 w2 nothing"), (2, "b", "w3"), (3, "a", ""), (4, "zz", "w1")]
     index = lexical.build_index(spark.createDataFrame(chunks, CHUNKS))

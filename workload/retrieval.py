@@ -147,6 +147,12 @@ def bm25_topk(spark: SparkSession, sf: str) -> DataFrame:
     return lexical.top_k(index, b.requests(spark, sf), K).withColumn("score", F.round("score", 6))
 
 
+def bm25_topk_pruned(spark: SparkSession, sf: str) -> DataFrame:
+    """The same search by bounds of blocks, whatever the size of the tables."""
+    found = lexical.top_k(index_of(spark, sf), b.requests(spark, sf), K, prune=True)
+    return found.withColumn("score", F.round("score", 6))
+
+
 def index_refresh(spark: SparkSession, sf: str) -> DataFrame:
     """An index of older texts of which two workspaces are refreshed with the texts of now."""
     chunks = b.chunks(spark, sf)
@@ -204,6 +210,7 @@ def acl_visible_chunks(spark: SparkSession, sf: str) -> DataFrame:
 
 QUERIES = {
     "bm25_topk": bm25_topk,
+    "bm25_topk_pruned": bm25_topk_pruned,
     "bm25_context": bm25_context,
     "index_refresh": index_refresh,
     "vector_only_acl": vector_only_acl,
@@ -217,6 +224,7 @@ QUERIES = {
 
 ORACLE = {
     "bm25_topk": f"{BASE},{BM25_RANKED} SELECT query_id, chunk_id, round(score, 6) AS score, bm25_rank FROM lex WHERE bm25_rank < {K}",
+    "bm25_topk_pruned": f"{BASE},{BM25_RANKED} SELECT query_id, chunk_id, round(score, 6) AS score, bm25_rank FROM lex WHERE bm25_rank < {K}",
     "bm25_context": (f"{BASE},{BM25_RANKED}").replace(
         "regexp_extract_all(lower(content)",
         "regexp_extract_all(lower(CASE WHEN chunk_id % 2 = 0 THEN 'about ' || source_type || chr(10) ELSE '' END || content)",
