@@ -439,7 +439,11 @@ def score(
     if small_queries is None:
         small_queries = fits_broadcast(asked, QUERY_TERMS)
     index = index.asked_by(queries)
-    return _sum(_pairs(index.postings, _wanted(index, asked), ["workspace_id", "run", "term"], "chunk_id", "df", small_queries))
+    return _score(index, _wanted(index, asked), small_queries)
+
+
+def _score(index: LexicalIndex, wanted: DataFrame, small_queries: bool) -> DataFrame:
+    return _sum(_pairs(index.postings, wanted, ["workspace_id", "run", "term"], "chunk_id", "df", small_queries))
 
 
 def _best(scores: DataFrame, k: int) -> DataFrame:
@@ -463,15 +467,14 @@ def _score_blocks(index: LexicalIndex, wanted: DataFrame, blocks: DataFrame) ->
     return _sum(index.postings.drop("part").join(tasks, keys))
 
 
-def pruned_scores(index: LexicalIndex, queries: DataFrame, k: int, tokenizer: Tokenizer, small_queries: bool) -> DataFrame:
+def pruned_scores(index: LexicalIndex, wanted: DataFrame, k: int, small_queries: bool) -> DataFrame:
     """Like `score`, but without chunks that cannot be among the best k.
 
     The k blocks of the highest bounds are scored first. Each holds a chunk with a term of the query, so
     the k-th best of their scores is one that the result reaches; blocks with a lower bound are left
     out. Both steps join postings on their block too, which spreads a frequent term over many tasks.
     """
-    index = index.asked_by(queries)
-    wanted = materialize(_wanted(index, query_terms(queries, tokenizer)), "query-weights")
+    wanted = materialize(wanted, "query-weights")
     order = Window.partitionBy("query_id").orderBy(F.desc("bound"), "block")
     bounds = materialize(bounded_blocks(index, wanted, small_queries), "block-bounds").where(F.col("bound") > 0)
     first = bounds.withColumn("place", F.row_number().over(order)).where(F.col("place") <= k).drop("place")
@@ -500,13 +503,14 @@ def top_k(
     `queries` has query_id, workspace_id and query. With `prune`, by default from `PRUNE_FROM` pairs of a
     posting and a query on, blocks are bounded before they are scored; the result is the same.
     """
+    asked, index = query_terms(queries, tokenizer), index.asked_by(queries)
     if small_queries is None or prune is None:
-        asked = query_terms(queries, tokenizer)
-        small_queries = fits_broadcast(asked, QUERY_TERMS) if small_queries is None else small_queries
-        prune = _is_heavy(index.asked_by(queries), asked) if prune is None else prune
-    scores = (
-        pruned_scores(index, queries, k, tokenizer, small_queries) if prune else score(index, queries, tokenizer, small_queries)
-    )
+        rows, most = asked.join(index.corpus, "workspace_id", "left").agg(F.count(F.lit(1)), F.sum("n")).first()
+        small_queries = rows <= QUERY_TERMS if small_queries is None else small_queries
+        # No term lies in more chunks than its workspace has: most batches are known to be light without the counts.
+        prune = (most or 0) >= PRUNE_FROM and _is_heavy(index, asked) if prune is None else prune
+    wanted = _wanted(index, asked)
+    scores = pruned_scores(index, wanted, k, small_queries) if prune else _score(index, wanted, small_queries)
     return _best(scores, k).select("query_id", "chunk_id", "score", (F.col("place") - 1).alias("bm25_rank"))
 
 

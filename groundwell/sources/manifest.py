@@ -36,7 +36,11 @@ def names(spark: SparkSession, path: str) -> list[str]:
 
 
 def state(spark: SparkSession, path: str, name: str) -> dict:
-    return json.loads(spark.read.option("wholetext", "true").text(f"{path}/manifest/{name}").first()["value"])
+    stream = _fs(spark, path).open(_path(spark, f"{path}/manifest/{name}"))
+    try:
+        return json.loads(spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
+    finally:
+        stream.close()
 
 
 def latest(spark: SparkSession, path: str) -> tuple[int, dict]:
