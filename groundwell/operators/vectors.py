@@ -58,7 +58,10 @@ class _Best:
 
 
 def _unit(vectors: pd.Series) -> np.ndarray:
-    m = np.stack([np.asarray(v, dtype=np.float64) for v in vectors])
+    rows = vectors.to_list()
+    if len(set(map(len, rows))) > 1:
+        raise ValueError("vectors differ in length")
+    m = np.concatenate(rows).astype(np.float64, copy=False).reshape(len(rows), -1)
     n = np.linalg.norm(m, axis=1, keepdims=True)
     return m / np.where(n == 0.0, 1.0, n)
 
