@@ -9,6 +9,7 @@ from groundwell.functions.text import Tokenizer, tokenize
 from groundwell.operators import lexical, vectors
 from groundwell.operators.access import allowed, unrestricted
 from groundwell.operators.lexical import LexicalIndex
+from groundwell.operators.vector_index import VectorIndex
 from groundwell.session import fits_broadcast, materialize, narrow
 
 # Fusion constant, first page factor, widest page factor.
@@ -53,18 +54,19 @@ def rrf(vector_hits: DataFrame, lexical_hits: DataFrame, k: int, keys: tuple[str
 def candidates(
     requests: DataFrame,
     index: LexicalIndex | None,
-    chunk_vectors: DataFrame,
+    chunk_vectors: DataFrame | VectorIndex,
     depth: int,
     tokenizer: Tokenizer = tokenize,
     small_queries: bool | None = None,
 ) -> tuple[DataFrame, DataFrame | None]:
     """Ranked vector and BM25 candidates to `depth`, both before any access rule."""
-    vec = vectors.top_k(
-        requests.select("query_id", F.col("workspace_id").alias("grp"), "vector"),
-        chunk_vectors.select(F.col("chunk_id").alias("item_id"), F.col("workspace_id").alias("grp"), "vector"),
-        depth,
-        small_queries=small_queries,
-    ).withColumnRenamed("item_id", "chunk_id")
+    asked = requests.select("query_id", F.col("workspace_id").alias("grp"), "vector")
+    if isinstance(chunk_vectors, VectorIndex):
+        vec = chunk_vectors.top_k(asked, depth)
+    else:
+        items = chunk_vectors.select(F.col("chunk_id").alias("item_id"), F.col("workspace_id").alias("grp"), "vector")
+        vec = vectors.top_k(asked, items, depth, small_queries=small_queries)
+    vec = vec.withColumnRenamed("item_id", "chunk_id")
     if index is None:
         return vec, None
     # A small batch of requests may still hold long texts, so the terms are counted apart.
@@ -75,7 +77,7 @@ def hybrid(
     requests: DataFrame,
     chunks: DataFrame,
     index: LexicalIndex | None,
-    chunk_vectors: DataFrame,
+    chunk_vectors: DataFrame | VectorIndex,
     k: int = 5,
     tokenizer: Tokenizer = tokenize,
     small_queries: bool | None = None,

@@ -11,6 +11,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -19,6 +20,38 @@ TIE_DIGITS = 9
 ITEM_BLOCK, QUERY_BLOCK = 20_000, 4_000
 # Queries multiplied at a time.
 QUERY_STEP = 500
+FOUND = "query_id long, item_id long, similarity double"
+
+
+def matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
+    """The vectors of a column, read from its flat list of numbers, one a row."""
+    flat = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    sizes = np.diff(flat.offsets.to_numpy())
+    if len(sizes) and (sizes != sizes[0]).any():
+        raise ValueError("vectors differ in length")
+    return flat.flatten().to_numpy(zero_copy_only=False).astype(np.float64, copy=False).reshape(len(flat), -1 if len(flat) else 0)
+
+
+def _unit(m: np.ndarray) -> np.ndarray:
+    n = np.linalg.norm(m, axis=1, keepdims=True)
+    return m / np.where(n == 0.0, 1.0, n)
+
+
+@dataclass(frozen=True)
+class _Rows:
+    """Unit vectors, least id first."""
+
+    ids: np.ndarray
+    unit: np.ndarray
+    at: np.ndarray | None
+
+    @classmethod
+    def of(cls, table: pa.Table, key: str) -> _Rows:
+        """Rows with `vector`, or with `unit` where they are kept normalised."""
+        order = np.argsort(table.column(key).to_numpy(), kind="stable")
+        m = matrix(table.column("unit")) if "unit" in table.column_names else _unit(matrix(table.column("vector")))
+        at = table.column("at").to_numpy()[order] if "at" in table.column_names else None
+        return cls(table.column(key).to_numpy()[order], m[order], at)
 
 
 @dataclass(frozen=True)
@@ -26,20 +59,17 @@ class _Best:
     """Best k items per query over the blocks seen so far."""
 
     k: int
-    max_age: float | None
+    max_age: float | None = None
 
-    def of(self, queries: pd.DataFrame, items: pd.DataFrame) -> pd.DataFrame:
-        items = items.sort_values("item_id")
-        q, v = _unit(queries["vector"]), _unit(items["vector"])
-        qids, ids = queries["query_id"].to_numpy(), items["item_id"].to_numpy()
+    def of(self, queries: _Rows, items: _Rows) -> pd.DataFrame:
         out = []
-        for start in range(0, len(q), QUERY_STEP):
+        for start in range(0, len(queries.ids), QUERY_STEP):
             rows = slice(start, start + QUERY_STEP)
-            sims = np.round(q[rows] @ v.T, TIE_DIGITS)
+            sims = np.round(queries.unit[rows] @ items.unit.T, TIE_DIGITS)
             if self.max_age is not None:
-                age = queries["at"].to_numpy()[rows, None] - items["at"].to_numpy()[None, :]
+                age = queries.at[rows, None] - items.at[None, :]
                 sims[(age > self.max_age) | (age < 0)] = -np.inf
-            if len(ids) > self.k:
+            if len(items.ids) > self.k:
                 # What is above the k-th value of its row, and of its equals the lowest ids.
                 cut = np.partition(sims, -self.k, axis=1)[:, [-self.k]]
                 above, equal = sims > cut, sims == cut
@@ -48,8 +78,8 @@ class _Best:
             else:
                 chosen = np.ones(sims.shape, bool)
             i, j = np.nonzero(chosen & np.isfinite(sims))
-            out.append(pd.DataFrame({"query_id": qids[rows][i], "item_id": ids[j], "similarity": sims[i, j]}))
-        return self.merge(None, _concat(out))
+            out.append(pd.DataFrame({"query_id": queries.ids[rows][i], "item_id": items.ids[j], "similarity": sims[i, j]}))
+        return self.merge(None, pd.concat(out, ignore_index=True))
 
     def merge(self, a: pd.DataFrame | None, b: pd.DataFrame) -> pd.DataFrame:
         both = b if a is None else pd.concat([a, b], ignore_index=True)
@@ -57,19 +87,16 @@ class _Best:
         return both.groupby("query_id", sort=False).head(self.k)
 
 
-def _unit(vectors: pd.Series) -> np.ndarray:
-    rows = vectors.to_list()
-    if len(set(map(len, rows))) > 1:
-        raise ValueError("vectors differ in length")
-    m = np.concatenate(rows).astype(np.float64, copy=False).reshape(len(rows), -1)
-    n = np.linalg.norm(m, axis=1, keepdims=True)
-    return m / np.where(n == 0.0, 1.0, n)
+def _found(frame: pd.DataFrame | None) -> pa.Table:
+    schema = pa.schema([("query_id", pa.int64()), ("item_id", pa.int64()), ("similarity", pa.float64())])
+    return schema.empty_table() if frame is None else pa.Table.from_pandas(frame, schema, preserve_index=False)
 
 
-def _concat(frames: list[pd.DataFrame]) -> pd.DataFrame:
-    if not frames:
-        return pd.DataFrame({"query_id": [], "item_id": [], "similarity": []})
-    return pd.concat(frames, ignore_index=True)
+def _by_group(table: pa.Table) -> Iterator[tuple[str, pa.Table]]:
+    coded = table.column("grp").combine_chunks().dictionary_encode()
+    codes = coded.indices.to_numpy(zero_copy_only=False)
+    for code, grp in enumerate(coded.dictionary.to_pylist()):
+        yield grp, table.filter(pa.array(codes == code))
 
 
 def top_k(
@@ -85,6 +112,7 @@ def top_k(
     queries: query_id LONG, grp STRING, vector; items: item_id LONG, grp STRING, vector;
     both also `at` DOUBLE when `max_age` is given, which drops items older than that at
     the time of the query, and those that come after it. Ties go to the lower item_id. Ranks count from 0.
+    Rows without a vector are left out; vectors of unequal length are an error.
 
     A bounded query batch is broadcast and the items stay in place. A larger one is cut
     into blocks which meet blocks of items in a cogroup, so that neither a large group
@@ -92,13 +120,13 @@ def top_k(
     """
     best = _Best(k, max_age)
     extra = [] if max_age is None else ["at"]
-    q = queries.select("query_id", "grp", "vector", *extra)
-    v = items.select("item_id", "grp", "vector", *extra)
-    schema = "query_id long, item_id long, similarity double"
-    # Whatever the caller says, no more than a block of queries and one is fetched.
-    batch = None if small_queries is False else q.limit(QUERY_BLOCK + 1).toPandas()
-    fits = batch is not None and len(batch) <= QUERY_BLOCK
-    found = _in_place(batch, v, best, schema) if fits else _blocked(q, v, best, schema)
+    q = queries.where("vector IS NOT NULL").select("query_id", "grp", "vector", *extra)
+    v = items.where("vector IS NOT NULL").select("item_id", "grp", "vector", *extra)
+    return ranked(compared(q, v, _Best(k, max_age), small_queries), k)
+
+
+def ranked(found: DataFrame, k: int) -> DataFrame:
+    """(query_id, item_id, similarity, vector_rank) of the best k of what was found."""
     order = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "item_id")
     return (
         found.withColumn("place", F.row_number().over(order))
@@ -107,22 +135,30 @@ def top_k(
     )
 
 
-def _in_place(queries: pd.DataFrame, items: DataFrame, best: _Best, schema: str) -> DataFrame:
-    batch = items.sparkSession.sparkContext.broadcast(dict(list(queries.groupby("grp"))))
+def compared(queries: DataFrame, items: DataFrame, best: _Best, small_queries: bool | None = None) -> DataFrame:
+    """The best of every block of items for the queries of its group."""
+    # Whatever the caller says, no more than a block of queries and one is fetched.
+    batch = None if small_queries is False else queries.limit(QUERY_BLOCK + 1).toArrow()
+    fits = batch is not None and batch.num_rows <= QUERY_BLOCK
+    return _in_place(batch, items, best) if fits else _blocked(queries, items, best)
+
+
+def _in_place(queries: pa.Table, items: DataFrame, best: _Best) -> DataFrame:
+    groups = {grp: _Rows.of(part, "query_id") for grp, part in _by_group(queries)}
+    batch = items.sparkSession.sparkContext.broadcast(groups)
 
-    def scan(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         top = None
-        for frame in frames:
-            for grp, part in frame.groupby("grp"):
+        for rows in batches:
+            for grp, part in _by_group(pa.Table.from_batches([rows])):
                 if grp in batch.value:
-                    top = best.merge(top, best.of(batch.value[grp], part))
-        if top is not None:
-            yield top
+                    top = best.merge(top, best.of(batch.value[grp], _Rows.of(part, "item_id")))
+        yield from _found(top).to_batches()
 
-    return items.mapInPandas(scan, schema)
+    return items.mapInArrow(scan, FOUND)
 
 
-def _blocked(queries: DataFrame, items: DataFrame, best: _Best, schema: str) -> DataFrame:
+def _blocked(queries: DataFrame, items: DataFrame, best: _Best) -> DataFrame:
     def blocks(df: DataFrame, size: int, name: str) -> DataFrame:
         n = F.ceil(F.count(F.lit(1)) / F.lit(float(size))).cast("int")
         return df.groupBy("grp").agg(n.alias(name))
@@ -142,10 +178,10 @@ def _blocked(queries: DataFrame, items: DataFrame, best: _Best, schema: str) ->
     q = placed(queries, "query_id", "qb", "query_blocks", "ib", "item_blocks")
     v = placed(items, "item_id", "ib", "item_blocks", "qb", "query_blocks")
 
-    def pair(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        if left.empty or right.empty:
-            return _concat([])
-        return best.of(left, right)
+    def pair(left: pa.Table, right: pa.Table) -> pa.Table:
+        if not left.num_rows or not right.num_rows:
+            return _found(None)
+        return _found(best.of(_Rows.of(left, "query_id"), _Rows.of(right, "item_id")))
 
     keys = ("grp", "qb", "ib")
-    return q.groupBy(*keys).cogroup(v.groupBy(*keys)).applyInPandas(pair, schema)
+    return q.groupBy(*keys).cogroup(v.groupBy(*keys)).applyInArrow(pair, FOUND)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -10,6 +10,8 @@ from pyspark.sql import types as T
 SENSITIVITY = ("normal", "restricted")
 CASE_CATEGORIES = ("single_doc", "cross_doc", "distractor", "acl_task", "acl_restricted", "out_of_corpus")
 PAIR_KINDS = ("same_intent", "different_intent")
+# Characters of a broken line that an error shows.
+ROW_SHOWN = 200
 
 
 def scan_events(spark: SparkSession, path: str) -> DataFrame:
@@ -47,9 +49,14 @@ def scan_records(spark: SparkSession, path: str, schema: T.StructType | str) ->
     )
 
 
+def _broken(rules: dict[str, Column]) -> Column:
+    """The first rule that a row breaks."""
+    return F.coalesce(*(F.when(~F.coalesce(ok, F.lit(False)), name) for name, ok in rules.items()))
+
+
 def strict(df: DataFrame, rules: dict[str, Column]) -> DataFrame:
     """Fails with the name of the rule and the row on the first row that breaks one."""
-    problem = F.coalesce(*(F.when(~F.coalesce(ok, F.lit(False)), name) for name, ok in rules.items()))
+    problem = _broken(rules)
     row = F.to_json(F.struct("*"))
     checked = F.when(problem.isNotNull(), F.raise_error(F.concat(problem, F.lit(": "), row)))
     # The check rides on every row as a filter that passes.
@@ -58,22 +65,61 @@ def strict(df: DataFrame, rules: dict[str, Column]) -> DataFrame:
 
 def quarantine(df: DataFrame, rules: dict[str, Column]) -> tuple[DataFrame, DataFrame]:
     """(rows that keep all rules, broken rows with the first broken rule as `problem`)."""
-    marked = df.withColumn(
-        "problem", F.coalesce(*(F.when(~F.coalesce(ok, F.lit(False)), name) for name, ok in rules.items()))
-    )
+    marked = df.withColumn("problem", _broken(rules))
     return marked.where("problem IS NULL").drop("problem"), marked.where("problem IS NOT NULL")
 
 
+def broken_lines(spark: SparkSession, path: str, schema: str, rules: dict[str, Column]) -> DataFrame:
+    """(file, line, problem, row) of the first broken line of every split of the files under `path`.
+
+    Lines count from 1 and through blank ones, which are never broken. A task knows the place of a line in
+    its split only, so each split hands on how many lines it has, and a line's number is its place plus the
+    lines of the file's earlier splits. One pass; what is shuffled is one row a split.
+    """
+    at = F.col("_metadata")
+    lines = spark.read.text(path).select(
+        F.col("value").alias("_row"), at["file_path"].alias("_file"), at["file_block_start"].alias("_split"),
+        F.monotonically_increasing_id().alias("_pos"),
+    )
+    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"}
+    parsed = lines.withColumn("_r", F.from_json("_row", f"{schema}, _bad string", options)).select("_row", "_file", "_split", "_pos", "_r.*")
+    problem = F.when(F.col("_row").rlike(r"^\s*$"), None).when(F.col("_bad").isNotNull(), "not a JSON record").otherwise(_broken(rules))
+    where = F.when(F.col("_problem").isNotNull(), F.col("_pos"))
+    splits = parsed.withColumn("_problem", problem).groupBy("_file", "_split").agg(
+        F.count(F.lit(1)).alias("lines"), F.min("_pos").alias("first"), F.min(where).alias("at"),
+        F.min_by(F.struct("_problem", "_row"), where).alias("found"),
+    )
+    earlier = Window.partitionBy("_file").orderBy("_split").rowsBetween(Window.unboundedPreceding, -1)
+    numbered = splits.withColumn("before", F.coalesce(F.sum("lines").over(earlier), F.lit(0)))
+    return numbered.where("at IS NOT NULL").select(
+        F.col("_file").alias("file"), (F.col("before") + F.col("at") - F.col("first") + 1).alias("line"),
+        F.col("found._problem").alias("problem"), F.col("found._row").alias("row"),
+    )
+
+
+def _checked(spark: SparkSession, path: str, schema: str, rules: dict[str, Column]) -> DataFrame:
+    """The records under `path`, or a ValueError that names file, line and rule of the first broken line.
+
+    The files are read once for the check, when this is called. The rules ride on the rows that are
+    returned too, so a file that changes in between cannot bring broken rows.
+    """
+    first = broken_lines(spark, path, schema, rules).orderBy("file", "line").first()
+    if first is not None:
+        raise ValueError(f"{first['file']}:{first['line']}: {first['problem']}: {first['row'][:ROW_SHOWN]}")
+    return strict(spark.read.schema(schema).option("mode", "FAILFAST").json(path), rules)
+
+
 def _given(*names: str) -> dict[str, Column]:
     return {f"{n} is missing or empty": F.coalesce(F.col(n), F.lit("")) != "" for n in names}
 
 
+PAIR_SCHEMA = "id string, kind string, q1 string, q2 string, note string"
+
+
 def scan_pairs(spark: SparkSession, path: str) -> DataFrame:
-    """Question pairs; fails on a missing field, an unknown kind or a broken line."""
-    df = spark.read.schema("id string, kind string, q1 string, q2 string, note string").option(
-        "mode", "FAILFAST"
-    ).json(path)
-    return strict(df, {**_given("id", "kind", "q1", "q2"), "unknown kind": F.col("kind").isin(*PAIR_KINDS)})
+    """Question pairs; fails on a missing field, an unknown kind or a broken line, whose file and number the error names."""
+    rules = {**_given("id", "kind", "q1", "q2"), "unknown kind": F.col("kind").isin(*PAIR_KINDS)}
+    return _checked(spark, path, PAIR_SCHEMA, rules)
 
 
 CASE_SCHEMA = (
@@ -84,8 +130,7 @@ CASE_SCHEMA = (
 
 
 def scan_cases(spark: SparkSession, path: str) -> DataFrame:
-    """Retrieval cases; fails on missing fields, an unknown category or an empty question."""
-    df = spark.read.schema(CASE_SCHEMA).option("mode", "FAILFAST").json(path)
+    """Retrieval cases; fails on missing fields, an unknown category or an empty question, by file and line."""
     rules = {
         **_given("id", "question"),
         "unknown category": F.col("category").isin(*CASE_CATEGORIES),
@@ -93,7 +138,7 @@ def scan_cases(spark: SparkSession, path: str) -> DataFrame:
         "forbidden_doc_keys is missing": F.col("forbidden_doc_keys").isNotNull(),
         "access is missing": F.col("access").isNotNull(),
     }
-    return strict(df, rules).withColumns(
+    return _checked(spark, path, CASE_SCHEMA, rules).withColumns(
         {
             "expected_substrings": F.coalesce("expected_substrings", F.array().cast("array<string>")),
             "note": F.coalesce("note", F.lit("")),

@@ -144,6 +144,29 @@ def test_strict_scans_fail_on_the_first_broken_row(spark):
             jsonl.scan_cases(spark, lines(spark, "c", [json.dumps({**case, **change})])).collect()
 
 
+def test_strict_scans_name_file_and_line_over_splits(spark, tmp_path):
+    good = {"id": "1", "kind": "same_intent", "q1": "a question", "q2": "another"}
+    rows = [json.dumps({**good, "id": str(i)}) if i % 7 else "  " for i in range(200)]
+    for name, bad in (("a", None), ("b", 150), ("c", 3)):
+        broken = rows if bad is None else [*rows[: bad - 1], '{"id": "x", "kind": "other", "q1": "a", "q2": "b"}', *rows[bad:], "{oops"]
+        (tmp_path / f"{name}.jsonl").write_text("\n".join(broken) + "\n")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", 700)
+    try:
+        with pytest.raises(ValueError, match=r"b\.jsonl:150: unknown kind: .*\"x\""):
+            jsonl.scan_pairs(spark, str(tmp_path))
+        with pytest.raises(ValueError, match=r"c\.jsonl:3: unknown kind"):
+            jsonl.scan_pairs(spark, str(tmp_path / "c.jsonl"))
+        rules = {"unknown kind": jsonl.F.col("kind").isin(*jsonl.PAIR_KINDS)}
+        found = jsonl.broken_lines(spark, str(tmp_path), jsonl.PAIR_SCHEMA, rules).collect()
+        assert {(r["file"][-7:], r["line"], r["problem"]) for r in found} == {
+            ("b.jsonl", 150, "unknown kind"), ("b.jsonl", 201, "not a JSON record"),
+            ("c.jsonl", 3, "unknown kind"), ("c.jsonl", 201, "not a JSON record"),
+        }
+        assert jsonl.scan_pairs(spark, str(tmp_path / "a.jsonl")).count() == sum(r.strip() != "" for r in rows)
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
 def test_event_files_named_by_event(spark, tmp_path):
     (tmp_path / "chat.jsonl").write_text('{"total_ms": 5, "flag_ms": true, "text_ms": "7", "n": 1}\n\n{"total_ms": 7.5}\n{"tot')
     (tmp_path / "ingestion.jsonl").write_text('{"read_ms": null, "result": "FAILED"}\n')

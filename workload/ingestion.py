@@ -33,14 +33,15 @@ def chunk_replace(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def vector_upsert(spark: SparkSession, sf: str) -> DataFrame:
-    """Vectors of the second half replace those of the first, several versions per id; then
-    every eleventh id is deleted."""
+    """Vectors of even ids replace those of full tens, several versions per id; then every eleventh id
+    is deleted. Both read and write the buckets of their own ids only."""
     v = b.table(spark, sf, "embeddings").select("vec_id", V.as_double(F.col("embedding")).alias("vector"), "label")
     old = v.where("vec_id % 3 <> 0 OR vec_id % 2 = 1").select(F.col("vec_id").alias("id"), "vector")
     new = v.where("vec_id % 2 = 0").select((F.col("vec_id") - F.col("vec_id") % 10).alias("id"), "vector", F.col("vec_id").alias("version"))
-    merged = ingest.upsert_latest(old, new, "id", "version")
     gone = v.where("vec_id % 11 = 0").select(F.col("vec_id").alias("id"))
-    return ingest.delete_by_key(merged, gone, "id").select("id", F.round(V.norm(F.col("vector")), 6).alias("norm"), F.round(F.get("vector", F.lit(0)), 6).alias("x0"))
+    table = BucketTable.create(old, scratch_dir(spark, "vector-table"), ["id"], 16)
+    table = table.update(new, lambda kept, rows: ingest.upsert_latest(kept, rows, "id", "version")).delete(gone)
+    return table.read().select("id", F.round(V.norm(F.col("vector")), 6).alias("norm"), F.round(F.get("vector", F.lit(0)), 6).alias("x0"))
 
 
 def context_reuse(spark: SparkSession, sf: str) -> DataFrame:

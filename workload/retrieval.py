@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from groundwell.functions.text import tokenize
-from groundwell.operators import fusion, lexical, vectors
+from groundwell.operators import fusion, lexical, vector_index, vectors
 from groundwell.operators.access import allowed
 from groundwell.session import fits_broadcast, scan_partitions, scratch_dir
 from workload import bindings as b
@@ -190,6 +190,14 @@ def vector_topk(spark: SparkSession, sf: str) -> DataFrame:
     ).select("query_id", F.col("item_id").alias("chunk_id"), F.round("similarity", 6).alias("similarity"), "vector_rank")
 
 
+def vector_topk_indexed(spark: SparkSession, sf: str) -> DataFrame:
+    """The same from a kept table of unit vectors in cells."""
+    rows = b.chunk_vectors(spark, sf).select(F.col("chunk_id").alias("item_id"), F.col("workspace_id").alias("grp"), "vector")
+    index = vector_index.build(rows, scratch_dir(spark, "vector-index"))
+    asked = b.requests(spark, sf).select("query_id", F.col("workspace_id").alias("grp"), "vector")
+    return index.top_k(asked, K).select("query_id", F.col("item_id").alias("chunk_id"), F.round("similarity", 6).alias("similarity"), "vector_rank")
+
+
 def acl_visible_chunks(spark: SparkSession, sf: str) -> DataFrame:
     """Visible chunks per workspace and kind of access right."""
     rights = b.requests(spark, sf).select("workspace_id", "accessible_task_ids", "can_view_restricted").distinct()
@@ -217,6 +225,7 @@ QUERIES = {
     "bm25_corpus_stats": bm25_corpus_stats,
     "tokenize_terms": tokenize_terms,
     "vector_topk": vector_topk,
+    "vector_topk_indexed": vector_topk_indexed,
     "hybrid_rrf": hybrid_rrf,
     "hybrid_rrf_acl": hybrid_rrf_acl,
     "acl_visible_chunks": acl_visible_chunks,
@@ -237,6 +246,7 @@ ORACLE = {
     "bm25_corpus_stats": f"{BASE},{BM25} SELECT workspace_id, term, df, n, round(avgdl, 6) AS avgdl, round(idf, 6) AS idf FROM terms JOIN corpus USING (workspace_id)",
     "tokenize_terms": f"SELECT term, count(*) AS n FROM (SELECT unnest({TOKENS.format('text')}) AS term FROM (SELECT text FROM documents UNION ALL SELECT text FROM conversations)) GROUP BY 1",
     "vector_topk": f"{BASE},{VEC_RANKED} SELECT query_id, chunk_id, round(similarity, 6) AS similarity, vector_rank FROM vec WHERE vector_rank < {K}",
+    "vector_topk_indexed": f"{BASE},{VEC_RANKED} SELECT query_id, chunk_id, round(similarity, 6) AS similarity, vector_rank FROM vec WHERE vector_rank < {K}",
     "hybrid_rrf": f"""{BASE},{BM25_RANKED},{VEC_RANKED},{RRF}
       SELECT query_id, rank, chunk_id, round(s, 6) AS rrf_score, round(vs, 6) AS vector_score FROM (
         SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, vr ASC NULLS LAST, br ASC NULLS LAST) AS rank
