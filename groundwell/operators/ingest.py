@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
+from groundwell.functions.text import replacement_ratio
+
 # Texts per embedding call, estimated tokens per text, warning ratio of bad characters.
 EMBED_BATCH, TOKENS_PER_TEXT, PARSE_WARN_RATIO = 100, 0.2, 0.05
+# The stages of a document's ingest, in their order.
+INGEST_STAGES = ("read", "chunk", "context", "embed", "store")
 
 
 def replace_by_key(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
@@ -132,16 +136,19 @@ def with_metadata(chunks: DataFrame, extra: dict[str, Column]) -> DataFrame:
     return chunks.withColumn("metadata", F.create_map(*entries))
 
 
-def embedding_usage(chunks: DataFrame, provider_tokens: Column, doc: str = "doc_id") -> DataFrame:
-    """Per document: chunks, calls, input characters, estimated and reported tokens.
+def embedding_usage(chunks: DataFrame, provider_tokens: Column, doc: str = "doc_id", counters: dict[str, Column] | None = None) -> DataFrame:
+    """Per document: chunks, calls, input characters, estimated and reported tokens, and sums of
+    `counters` over its chunks.
 
     The texts of a document are sent in calls of EMBED_BATCH; `provider_tokens` is an
     aggregate over the texts of one call. A document with a call that reported nothing
     has no reported total.
     """
     call = F.floor(F.col("chunk_index") / EMBED_BATCH).alias("call")
+    counters = counters or {}
     calls = chunks.groupBy(doc, call).agg(
-        F.count(F.lit(1)).alias("texts"), F.sum(F.length("input")).alias("chars"), provider_tokens.alias("reported")
+        F.count(F.lit(1)).alias("texts"), F.sum(F.length("input")).alias("chars"), provider_tokens.alias("reported"),
+        *(F.sum(c).alias(name) for name, c in counters.items()),
     )
     return calls.groupBy(doc).agg(
         F.sum("texts").alias("chunk_count"),
@@ -149,9 +156,79 @@ def embedding_usage(chunks: DataFrame, provider_tokens: Column, doc: str = "doc_
         F.sum("chars").alias("embedding_input_chars"),
         F.round(F.sum("texts") * TOKENS_PER_TEXT, 1).alias("estimated_tokens"),
         all_or_null(F.col("reported")).alias("provider_tokens"),
+        *(F.sum(name).alias(name) for name in counters),
+    )
+
+
+def stage_times(timings: DataFrame, doc: str = "doc_id") -> DataFrame:
+    """Per document: `<stage>_ms` of every stage, null where it was not entered, and `total_ms`.
+
+    timings: document, stage, ms; a stage entered twice adds up. Other stages count in the total only.
+    """
+    return timings.groupBy(doc).agg(
+        *(F.sum(F.when(F.col("stage") == s, F.col("ms"))).alias(f"{s}_ms") for s in INGEST_STAGES),
+        F.sum("ms").alias("total_ms"),
+    )
+
+
+def document_records(documents: DataFrame, chunks: DataFrame, timings: DataFrame, provider_tokens: Column, limit: float = PARSE_WARN_RATIO) -> DataFrame:
+    """One record per ingested document: sizes, chunks, embedding input and tokens, context counters, stage
+    times, result, failed stage and error.
+
+    documents: doc_id, workspace_id, doc_type, file_bytes, text, failure_stage (one of INGEST_STAGES or null),
+    error_type. chunks: doc_id, chunk_index, input, context, context_calls (0 if none was made),
+    context_reused. timings: as for `stage_times`. provider_tokens: as for `embedding_usage`.
+
+    A record holds what was known when the document failed: no text after a failed reading, no chunks
+    after failed chunking, context counters once contexts are made, input sizes once texts were to be
+    embedded, tokens once they were. The text is measured before anything is joined.
+    """
+    called, given = F.coalesce(F.col("context_calls"), F.lit(0)), F.coalesce(F.col("context"), F.lit("")) != ""
+    reused = F.coalesce(F.col("context_reused"), F.lit(False))
+    usage = embedding_usage(chunks, provider_tokens, "doc_id", {
+        "context_llm_calls": called,
+        "context_failed": F.when(~reused & (called > 0) & ~given, 1).otherwise(0),
+        "context_reused": F.when(reused, 1).otherwise(0),
+        "context_retried": F.greatest(called - 1, F.lit(0)),
+    }).drop("calls", "estimated_tokens")
+    # How many stages were passed; all of them without a failure.
+    passed = F.coalesce(*(F.when(F.col("failure_stage") == s, i) for i, s in enumerate(INGEST_STAGES)), F.lit(len(INGEST_STAGES)))
+    after = {s: passed > i for i, s in enumerate(INGEST_STAGES)}
+    measured = documents.select(
+        "doc_id", "workspace_id", "doc_type", "file_bytes", "failure_stage", "error_type", passed.alias("passed"),
+        F.when(after["read"], F.length("text")).otherwise(0).alias("char_count"),
+        F.when(after["read"], replacement_ratio(F.col("text"))).alias("replacement_ratio"),
+    )
+    joined = measured.join(usage, "doc_id", "left").join(stage_times(timings), "doc_id", "left")
+    reached = {s: F.col("passed") > i for i, s in enumerate(INGEST_STAGES)}
+    none = F.lit(0)
+    count = F.when(reached["chunk"], F.coalesce("chunk_count", none)).otherwise(none)
+    return joined.select(
+        "doc_id", "workspace_id", "doc_type", "file_bytes", "char_count", count.alias("chunk_count"), "replacement_ratio",
+        # The embedding stage was entered when contexts were done.
+        F.when(reached["context"], F.col("embedding_input_chars")).alias("embedding_input_chars"),
+        F.when(reached["embed"], F.col("provider_tokens")).alias("embedding_provider_tokens"),
+        *(
+            F.when(reached["context"], F.coalesce(c, none)).otherwise(none).alias(c)
+            for c in ("context_llm_calls", "context_failed", "context_reused", "context_retried")
+        ),
+        *(f"{s}_ms" for s in INGEST_STAGES), "total_ms",
+        ingest_result(count, F.col("replacement_ratio"), F.col("failure_stage"), limit).alias("result"),
+        "failure_stage", "error_type",
     )
 
 
+def observed_records(records: DataFrame, name: str = "ingest") -> tuple[DataFrame, Observation]:
+    """Records that count themselves while they are written, and the counts: documents, failed, empty, chunks,
+    embedding_input_chars and total_ms of the run, in `Observation.get` after the first action."""
+    seen = Observation(name)
+    return records.observe(
+        seen, F.count(F.lit(1)).alias("documents"), F.count_if(F.col("result") == "FAILED").alias("failed"),
+        F.count_if(F.col("result") == "EMPTY").alias("empty"), F.sum("chunk_count").alias("chunks"),
+        F.sum("embedding_input_chars").alias("embedding_input_chars"), F.sum("total_ms").alias("total_ms"),
+    ), seen
+
+
 def ingest_result(chunk_count: Column, ratio: Column, failure_stage: Column, limit: float = PARSE_WARN_RATIO) -> Column:
     return (
         F.when(failure_stage.isNotNull(), "FAILED")
@@ -165,16 +242,25 @@ def batch_result(failed: Column, total: Column) -> Column:
     return F.when(failed == 0, "COMPLETED").when(failed >= total, "FAILED").otherwise("PARTIAL")
 
 
-def git_batch_summary(commits: DataFrame) -> DataFrame:
-    """Per batch_id: commits, failures, new and skipped chunks, token total, result, first error.
+def git_batch_summary(commits: DataFrame, batches: DataFrame | None = None) -> DataFrame:
+    """Per batch_id: commits, failures, new and skipped chunks, token total, embedding time, analyses asked of a
+    model and those kept from it by the cap, result, first error.
 
-    commits: batch_id, position, new_chunks, skipped_chunks, input_chars, provider_tokens,
-    error_type, failed_stage (`index` or `analysis`). A commit whose indexing failed counts no
-    chunks; one that failed later was indexed before. Skipped commits report 0 tokens.
+    commits: batch_id, position, new_chunks, skipped_chunks, input_chars, provider_tokens, embed_ms,
+    error_type, failed_stage (`index` or `analysis`), analysis (`llm`, `capped`, or null). A commit whose
+    indexing failed counts no chunks, no time and no analysis; one that failed later was indexed before and
+    its analysis was tried. Skipped commits report 0 tokens. `embed_ms` and `analysis` may be left out.
+
+    batches: batch_id, workspace_id, analysis_ms, analysis_concurrency, total_ms, error_type. Its columns
+    come along. A batch with an error of its own failed as a whole: all its commits count as failed, and
+    nothing that was rolled back is counted.
     """
+    for name, kind in (("embed_ms", "double"), ("analysis", "string")):
+        if name not in commits.columns:
+            commits = commits.withColumn(name, F.lit(None).cast(kind))
     failed = F.col("error_type").isNotNull()
     fine = ~failed | F.coalesce(F.col("failed_stage") == "analysis", F.lit(False))
-    return commits.groupBy("batch_id").agg(
+    per = commits.groupBy("batch_id").agg(
         F.count(F.lit(1)).alias("commit_count"),
         F.count_if(failed).alias("failed_commit_count"),
         F.sum(F.when(fine, F.col("new_chunks")).otherwise(0)).alias("new_chunk_count"),
@@ -184,8 +270,27 @@ def git_batch_summary(commits: DataFrame) -> DataFrame:
             F.count_if(fine & F.col("provider_tokens").isNull()) == 0,
             F.coalesce(F.sum(F.when(fine, F.col("provider_tokens"))), F.lit(0)),
         ).alias("embedding_provider_tokens"),
+        F.sum(F.when(fine, F.col("embed_ms")).otherwise(0)).alias("embed_ms"),
+        F.count_if(fine & (F.col("analysis") == "llm")).alias("analysis_llm_count"),
+        F.count_if(fine & (F.col("analysis") == "capped")).alias("analysis_capped_count"),
         F.min_by("error_type", F.when(failed, F.col("position"))).alias("error_type"),
     ).withColumn("result", batch_result(F.col("failed_commit_count"), F.col("commit_count")))
+    if batches is None:
+        return per
+    whole = F.col("batch_error").isNotNull()
+    undone = {c: F.when(~whole, F.col(c)).alias(c) for c in (
+        "new_chunk_count", "skipped_chunk_count", "embedding_input_chars", "embedding_provider_tokens", "embed_ms",
+        "analysis_ms", "analysis_concurrency",
+    )}
+    instead = {
+        "failed_commit_count": F.when(whole, F.col("commit_count")).otherwise(F.col("failed_commit_count")),
+        "analysis_llm_count": F.when(whole, F.lit(0)).otherwise(F.col("analysis_llm_count")),
+        "analysis_capped_count": F.when(whole, F.lit(0)).otherwise(F.col("analysis_capped_count")),
+        "error_type": F.coalesce("batch_error", "error_type"),
+        "result": F.when(whole, "FAILED").otherwise(F.col("result")),
+    }
+    known = per.join(batches.withColumnRenamed("error_type", "batch_error"), "batch_id", "left")
+    return known.select(*(undone.get(c) if c in undone else instead[c].alias(c) if c in instead else F.col(c) for c in known.columns if c != "batch_error"))
 
 
 def register_documents(known: DataFrame, requests: DataFrame, at: Column) -> tuple[DataFrame, DataFrame]:

@@ -140,6 +140,40 @@ def test_batches_count_what_was_indexed_before_a_failure(spark):
     assert (got["failed_commit_count"], got["error_type"], got["result"]) == (2, "E", "PARTIAL")
 
 
+def test_a_batch_that_failed_as_a_whole_counts_nothing(spark):
+    rows = [(b, p, 3, 0, 30, 5, 2.5, None, None, kind) for b in (1, 2) for p, kind in ((1, "llm"), (2, "capped"))]
+    rows += [(1, 3, 9, 9, 90, 7, 9.0, "X", "index", "llm"), (1, 4, 1, 0, 10, 1, 1.0, "Y", "analysis", "llm")]
+    schema = "batch_id long, position long, new_chunks long, skipped_chunks long, input_chars long, provider_tokens long, embed_ms double, error_type string, failed_stage string, analysis string"
+    batches = spark.createDataFrame([(1, "w", 8.0, 4, 20.0, None), (2, "w", 1.0, 4, 5.0, "Down")], "batch_id long, workspace_id string, analysis_ms double, analysis_concurrency int, total_ms double, error_type string")
+    one, two = ingest.git_batch_summary(spark.createDataFrame(rows, schema), batches).orderBy("batch_id").collect()
+    assert (one["new_chunk_count"], one["embed_ms"], one["analysis_llm_count"], one["analysis_capped_count"]) == (7, 6.0, 2, 1)
+    assert (one["failed_commit_count"], one["error_type"], one["result"], one["analysis_ms"]) == (2, "X", "PARTIAL", 8.0)
+    assert (two["new_chunk_count"], two["embed_ms"], two["analysis_ms"], two["embedding_provider_tokens"]) == (None, None, None, None)
+    assert (two["failed_commit_count"], two["error_type"], two["result"], two["total_ms"]) == (2, "Down", "FAILED", 5.0)
+
+
+def test_document_records_hold_what_was_known_when_a_stage_failed(spark):
+    fields = ["read", "chunk", "context", "embed", "store", None]
+    docs = [(i, "w", "md", 10, None if s == "read" else "ab\ufffd\ufffd", s, s and "E") for i, s in enumerate(fields)] + [(9, "w", "md", 0, "", None, None)]
+    documents = spark.createDataFrame(docs, "doc_id long, workspace_id string, doc_type string, file_bytes long, text string, failure_stage string, error_type string")
+    # Called twice and given, called and empty, reused; without contexts in the last place.
+    parts = [(0, "12345", "c", 2, False), (1, "123", None, 1, False), (2, "1", "c", 0, True), (3, "1", None, None, None)]
+    chunks = spark.createDataFrame([(d, *c) for d in range(6) for c in parts], "doc_id long, chunk_index int, input string, context string, context_calls int, context_reused boolean")
+    times = spark.createDataFrame([(5, "read", 1.0), (5, "read", 2.0), (5, "chunk", 4.0), (5, "notify", 8.0), (0, "read", 1.0)], "doc_id long, stage string, ms double")
+    records, seen = ingest.observed_records(ingest.document_records(documents, chunks, times, F.sum(F.length("input"))))
+    got = {r["doc_id"]: r for r in records.collect()}
+    row = lambda i, *names: tuple(got[i][n] for n in names)
+    sizes = ("char_count", "chunk_count", "replacement_ratio", "embedding_input_chars", "embedding_provider_tokens")
+    assert row(0, *sizes) == (0, 0, None, None, None) and row(1, *sizes) == (4, 0, 0.5, None, None)
+    assert row(2, *sizes) == (4, 4, 0.5, None, None) and row(3, *sizes) == (4, 4, 0.5, 10, None)
+    assert row(4, *sizes) == row(5, *sizes) == (4, 4, 0.5, 10, 10) and row(9, *sizes) == (0, 0, 0.0, None, None)
+    context = ("context_llm_calls", "context_failed", "context_reused", "context_retried")
+    assert row(2, *context) == (0, 0, 0, 0) and row(3, *context) == row(5, *context) == (3, 1, 1, 1)
+    assert row(5, "read_ms", "chunk_ms", "context_ms", "total_ms") == (3.0, 4.0, None, 15.0)
+    assert [got[i]["result"] for i in (0, 1, 2, 3, 4, 5, 9)] == ["FAILED"] * 5 + ["PARSE_WARN", "EMPTY"]
+    assert (seen.get["documents"], seen.get["failed"], seen.get["empty"], seen.get["chunks"], seen.get["total_ms"]) == (7, 5, 1, 16, 16.0)
+
+
 @pytest.mark.parametrize("limit,granted", [(0, 4), (-1, 4), (3, 3)])
 def test_daily_budget_without_limit(spark, limit, granted):
     root = scratch_dir(spark, "budget")

@@ -100,17 +100,31 @@ def analysis_upsert(spark: SparkSession, sf: str) -> DataFrame:
     return out.withColumn("analyzed_at", F.date_format("analyzed_at", "yyyy-MM-dd"))
 
 
-def git_batch_summary(spark: SparkSession, sf: str) -> DataFrame:
+def _batch_commits(spark: SparkSession, sf: str) -> DataFrame:
     """Orders of a customer as one batch of commits."""
     k = F.col("o_orderkey")
-    rows = b.table(spark, sf, "orders").select(
+    return b.table(spark, sf, "orders").select(
         F.col("o_custkey").alias("batch_id"), k.alias("position"),
         F.when(k % 5 != 0, k % 4).otherwise(0).alias("new_chunks"), F.when(k % 5 == 0, k % 3).otherwise(0).alias("skipped_chunks"),
         (k % 1000).alias("input_chars"), F.when((F.col("o_custkey") % 2 == 0) | (k % 6 != 0), k % 300).alias("provider_tokens"),
         F.when((F.col("o_custkey") % 5 == 0) | ((F.col("o_custkey") % 5 == 1) & (k % 2 == 0)), F.concat(F.lit("E"), k % 3)).alias("error_type"),
         F.when(k % 7 < 3, "analysis").otherwise("index").alias("failed_stage"),
+        (k % 40).cast("double").alias("embed_ms"), F.when(k % 9 == 0, "capped").when(k % 9 < 6, "llm").alias("analysis"),
+    )
+
+
+def git_batch_summary(spark: SparkSession, sf: str) -> DataFrame:
+    return ingest.git_batch_summary(_batch_commits(spark, sf)).drop("embed_ms", "analysis_llm_count", "analysis_capped_count")
+
+
+def git_batch_records(spark: SparkSession, sf: str) -> DataFrame:
+    """With the batches' own times; every eleventh batch failed as a whole."""
+    c = F.col("c_custkey")
+    batches = b.table(spark, sf, "customer").select(
+        c.alias("batch_id"), F.concat(F.lit("ws"), c % 4).alias("workspace_id"), (c % 60).cast("double").alias("analysis_ms"),
+        (c % 3 + 1).alias("analysis_concurrency"), (c % 900).cast("double").alias("total_ms"), F.when(c % 11 == 0, "Broken").alias("error_type"),
     )
-    return ingest.git_batch_summary(rows)
+    return ingest.git_batch_summary(_batch_commits(spark, sf), batches)
 
 
 def llm_budget_selection(spark: SparkSession, sf: str) -> DataFrame:
@@ -277,7 +291,7 @@ def safe_names(spark: SparkSession, sf: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        chunk_replace, vector_upsert, context_reuse, index_skip, commit_merge, analysis_upsert, git_batch_summary, llm_budget_selection,
+        chunk_replace, vector_upsert, context_reuse, index_skip, commit_merge, analysis_upsert, git_batch_summary, git_batch_records, llm_budget_selection,
         verify_daily_budget, ingest_requests, scan_text_files, scan_events_jsonl, scan_eval_records, scan_cases_strict, scan_manifest, training_export, safe_names,
     )
 }
@@ -336,6 +350,19 @@ ORACLE = {
         sum(CASE WHEN indexed THEN ic ELSE 0 END)::BIGINT AS embedding_input_chars,
         CASE WHEN count(*) FILTER (indexed AND pt IS NULL) = 0 THEN coalesce(sum(pt) FILTER (indexed), 0)::BIGINT END AS embedding_provider_tokens, arg_min(err, k) FILTER (err IS NOT NULL) AS error_type FROM c GROUP BY 1)
       SELECT *, CASE WHEN failed_commit_count = 0 THEN 'COMPLETED' WHEN failed_commit_count >= commit_count THEN 'FAILED' ELSE 'PARTIAL' END AS result FROM s""",
+    "git_batch_records": """WITH c AS (SELECT o_custkey AS batch_id, o_orderkey AS k, CASE WHEN o_orderkey % 5 <> 0 THEN o_orderkey % 4 ELSE 0 END AS nc, CASE WHEN o_orderkey % 5 = 0 THEN o_orderkey % 3 ELSE 0 END AS sc,
+        CASE WHEN o_custkey % 2 = 0 OR o_orderkey % 6 <> 0 THEN o_orderkey % 300 END AS pt, CASE WHEN o_custkey % 5 = 0 OR (o_custkey % 5 = 1 AND o_orderkey % 2 = 0) THEN 'E' || (o_orderkey % 3) END AS err FROM orders),
+      f AS (SELECT *, err IS NULL OR k % 7 < 3 AS fine FROM c),
+      s AS (SELECT batch_id, count(*) AS commit_count, count(err) AS failed, count(*) FILTER (fine AND k % 9 BETWEEN 1 AND 5) AS llm, count(*) FILTER (fine AND k % 9 = 0) AS capped,
+        coalesce(sum(nc) FILTER (fine), 0)::BIGINT AS nc, coalesce(sum(sc) FILTER (fine), 0)::BIGINT AS sc, coalesce(sum(k % 1000) FILTER (fine), 0)::BIGINT AS ic, coalesce(sum(k % 40) FILTER (fine), 0)::DOUBLE AS ms,
+        CASE WHEN count(*) FILTER (fine AND pt IS NULL) = 0 THEN coalesce(sum(pt) FILTER (fine), 0)::BIGINT END AS pt, arg_min(err, k) FILTER (err IS NOT NULL) AS err FROM f GROUP BY 1),
+      w AS (SELECT *, batch_id % 11 = 0 AS whole FROM s)
+      SELECT batch_id, 'ws' || (batch_id % 4) AS workspace_id, commit_count, CASE WHEN whole THEN commit_count ELSE failed END AS failed_commit_count,
+        CASE WHEN NOT whole THEN nc END AS new_chunk_count, CASE WHEN NOT whole THEN sc END AS skipped_chunk_count, CASE WHEN NOT whole THEN ic END AS embedding_input_chars,
+        CASE WHEN NOT whole THEN pt END AS embedding_provider_tokens, CASE WHEN NOT whole THEN ms END AS embed_ms, CASE WHEN whole THEN 0 ELSE llm END AS analysis_llm_count,
+        CASE WHEN whole THEN 0 ELSE capped END AS analysis_capped_count, CASE WHEN whole THEN 'Broken' ELSE err END AS error_type,
+        CASE WHEN whole OR failed >= commit_count THEN 'FAILED' WHEN failed = 0 THEN 'COMPLETED' ELSE 'PARTIAL' END AS result,
+        CASE WHEN NOT whole THEN (batch_id % 60)::DOUBLE END AS analysis_ms, CASE WHEN NOT whole THEN batch_id % 3 + 1 END AS analysis_concurrency, (batch_id % 900)::DOUBLE AS total_ms FROM w""",
     "llm_budget_selection": """SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey % 50 DESC, o_orderkey % 7 DESC, o_orderkey % 900 DESC, o_orderkey) <= 5 AS by_size,
       row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) <= 5 AS by_order FROM orders""",
     "verify_daily_budget": """WITH r AS (SELECT event_id, ts::DATE AS d, row_number() OVER (PARTITION BY ts::DATE ORDER BY ts, event_id) <= 100 AS ok FROM events)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from groundwell.functions import commits, replies, rules, text as t
 from groundwell.operators import analysis, chunking, history
-from groundwell.operators.ingest import embed, embedding_usage, ingest_result, with_metadata
+from groundwell.operators.ingest import INGEST_STAGES, document_records, embed, embedding_usage, ingest_result, with_metadata
 from groundwell.session import spread
 from workload import bindings as b
 
@@ -175,6 +175,31 @@ def embedding_input_usage(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def document_ingest_records(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents as ingest runs that fail at any stage, with contexts made for even ones; the record
+    of each run."""
+    i = F.col("doc_id")
+    stage = F.get(F.array(*map(F.lit, INGEST_STAGES)), (i % 29).cast("int"))
+    runs = b.table(spark, sf, "documents").select(
+        "doc_id", F.concat(F.lit("ws"), i % 4).alias("workspace_id"), F.col("lang").alias("doc_type"), F.octet_length("text").cast("long").alias("file_bytes"),
+        "text", stage.alias("failure_stage"), F.when(stage.isNotNull(), F.concat(F.lit("E"), i % 3)).alias("error_type"),
+    )
+    k = i + F.col("chunk_index")
+    rows = chunking.chunk_rows(_docs(spark, sf), ["doc_id"], 1500, 200).withColumns({
+        "context": F.when((i % 2 == 0) & (k % 3 != 0), F.concat(F.lit("ctx "), i)),
+        "context_calls": F.when((i % 2 == 0) & (k % 5 != 0), k % 4 + 1).otherwise(0), "context_reused": (i % 2 == 0) & (k % 5 == 0),
+    })
+    texts = rows.withColumn("input", t.embedding_input(F.col("context"), F.col("content")))
+    entered = F.transform(
+        F.array(*map(F.lit, INGEST_STAGES)),
+        lambda s, n: F.when((n <= F.coalesce(F.array_position(F.array(*map(F.lit, INGEST_STAGES)), stage), F.lit(9)) - 1) & ((s != "context") | (i % 2 == 0)),
+                            F.struct(s.alias("stage"), ((i + 1) * (n + 1) % 50).cast("double").alias("ms"))),
+    )
+    timings = runs.select("doc_id", F.inline(F.array_compact(entered)))
+    reported = F.when(F.max(i) % 7 != 0, F.sum(F.ceil(F.length("input") / 4.0)).cast("long"))
+    return document_records(runs, texts, timings, reported)
+
+
 def chunk_metadata(spark: SparkSession, sf: str) -> DataFrame:
     rows = chunking.chunk_rows(_docs(spark, sf), ["doc_id", "source", "lang"], 1500, 200)
     extra = {"commit_hash": F.col("source"), "branch_name": F.when(F.col("doc_id") % 2 == 0, F.col("lang")), "char_end": F.lit(-1)}
@@ -469,6 +494,7 @@ QUERIES = {
     "chunk_sql": chunk_sql,
     "chunk_diff": chunk_diff,
     "embedding_input_usage": embedding_input_usage,
+    "document_ingest_records": document_ingest_records,
     "chunk_metadata": chunk_metadata,
     "embed_batches": embed_batches,
     "risk_labels": risk_labels,
@@ -534,6 +560,23 @@ ORACLE = {
       SELECT d.doc_id, length(text) AS char_count, 0.0::DOUBLE AS replacement_ratio, chunk_count, calls, embedding_input_chars, estimated_tokens, provider_tokens,
              CASE WHEN d.doc_id % 97 = 5 THEN 'FAILED' WHEN coalesce(chunk_count, 0) = 0 THEN 'EMPTY' ELSE 'COMPLETED' END AS result
       FROM documents d LEFT JOIN u USING (doc_id)""",
+    "document_ingest_records": """WITH w AS (
+        SELECT doc_id, w, doc_id + w AS k, doc_id % 2 = 0 AS made, length(substring(text, w * 1300 + 1, 1500)) + CASE WHEN doc_id % 2 = 0 AND (doc_id + w) % 3 <> 0 THEN length('ctx ' || doc_id) + 2 ELSE 0 END AS n
+        FROM (SELECT doc_id, text, unnest(range(0, CASE WHEN length(text) = 0 THEN 0 WHEN length(text) <= 1500 THEN 1
+              ELSE 1 + ceil((length(text) - 1500) / 1300)::BIGINT END)) AS w FROM documents)),
+      u AS (SELECT doc_id, count(*) AS c, sum(n)::BIGINT AS n, CASE WHEN doc_id % 7 <> 0 THEN sum(ceil(n / 4.0))::BIGINT END AS pt,
+              coalesce(sum(k % 4 + 1) FILTER (made AND k % 5 <> 0), 0)::BIGINT AS calls, count(*) FILTER (made AND k % 5 = 0) AS reused,
+              count(*) FILTER (made AND k % 5 <> 0 AND k % 3 = 0) AS failed, coalesce(sum(k % 4) FILTER (made AND k % 5 <> 0), 0)::BIGINT AS retried FROM w GROUP BY 1),
+      d AS (SELECT *, least(doc_id % 29, 5) AS p, doc_id % 2 = 0 AS made FROM documents LEFT JOIN u USING (doc_id)),
+      m AS (SELECT *, ((doc_id + 1) % 50)::DOUBLE AS t0, CASE WHEN p >= 1 THEN ((doc_id + 1) * 2 % 50)::DOUBLE END AS t1, CASE WHEN p >= 2 AND made THEN ((doc_id + 1) * 3 % 50)::DOUBLE END AS t2,
+              CASE WHEN p >= 3 THEN ((doc_id + 1) * 4 % 50)::DOUBLE END AS t3, CASE WHEN p >= 4 THEN ((doc_id + 1) * 5 % 50)::DOUBLE END AS t4 FROM d)
+      SELECT doc_id, 'ws' || (doc_id % 4) AS workspace_id, lang AS doc_type, strlen(text) AS file_bytes, CASE WHEN p >= 1 THEN length(text) ELSE 0 END AS char_count,
+        CASE WHEN p >= 2 THEN coalesce(c, 0) ELSE 0 END AS chunk_count, CASE WHEN p >= 1 THEN 0.0::DOUBLE END AS replacement_ratio, CASE WHEN p >= 3 THEN n END AS embedding_input_chars,
+        CASE WHEN p >= 4 THEN pt END AS embedding_provider_tokens, CASE WHEN p >= 3 THEN coalesce(calls, 0) ELSE 0 END AS context_llm_calls, CASE WHEN p >= 3 THEN coalesce(failed, 0) ELSE 0 END AS context_failed,
+        CASE WHEN p >= 3 THEN coalesce(reused, 0) ELSE 0 END AS context_reused, CASE WHEN p >= 3 THEN coalesce(retried, 0) ELSE 0 END AS context_retried,
+        t0 AS read_ms, t1 AS chunk_ms, t2 AS context_ms, t3 AS embed_ms, t4 AS store_ms, t0 + coalesce(t1, 0) + coalesce(t2, 0) + coalesce(t3, 0) + coalesce(t4, 0) AS total_ms,
+        CASE WHEN p < 5 THEN 'FAILED' WHEN coalesce(c, 0) = 0 THEN 'EMPTY' ELSE 'COMPLETED' END AS result,
+        CASE WHEN p < 5 THEN ['read', 'chunk', 'context', 'embed', 'store'][p + 1] END AS failure_stage, CASE WHEN p < 5 THEN 'E' || (doc_id % 3) END AS error_type FROM m""",
     "chunk_metadata": """SELECT doc_id, w AS chunk_index, (w * 1300)::VARCHAR AS m_char_start, '-1' AS m_char_end, sha1(substring(text, w * 1300 + 1, 1500)) AS m_content_sha1,
         source AS m_commit_hash, CASE WHEN doc_id % 2 = 0 THEN lang END AS m_branch_name
       FROM (SELECT *, unnest(range(0, CASE WHEN length(text) = 0 THEN 0 WHEN length(text) <= 1500 THEN 1 ELSE 1 + ceil((length(text) - 1500) / 1300)::BIGINT END)) AS w FROM documents)""",
