@@ -1,12 +1,14 @@
 """Substring dedup: words inside passages that also start earlier are removed.
 
-Levels. First the windows of half the final length are counted by hash. Of these it is enough to
-take one in every final window, the one with the least hash: equal windows choose equally. Only
-windows repeated at that length are candidates; they are extended to twice the length and, first,
-to everything around them that a final window can reach. Candidates with the same surroundings
-agree in all final windows they stand for, so all but the first of them are repeats. What is left,
-first places whose half window also has other surroundings, is extended window by window. No
-place that can hold a repeat is dropped at any level.
+Levels: a quarter, a half and the whole of the final length (5, 10 and 20 words). Of the half windows
+it is enough to take one in every final window, the one with the least hash, and of the quarter windows
+the least in each of those: equal windows choose equally. The quarter windows are counted by hash, and
+only half windows that stand on a repeated one go on. Of these the half windows repeated at that length
+are candidates; they are extended to twice the length and, first, to everything around them that a final
+window can reach. Candidates with the same surroundings agree in all final windows they stand for, so
+all but the first of them are repeats. What is left, first places whose half window also has other
+surroundings, is extended window by window. No place that can hold a repeat is dropped at any level;
+doubling ends at the final length, as longer repeats consist of repeated windows.
 
 Hashes have 64 bits for candidates and 96 where they decide. Counts and first places are
 aggregates combined before the shuffle; a passage in a third of all documents is one hot key of
@@ -40,6 +42,7 @@ class Places:
 
     def __init__(self, batch: pa.RecordBatch, window: int):
         self.half, self.window = window // 2, window
+        self.quarter = min(self.half, max(1, window // 4))
         data, at = w.buffers(batch.column("text"))
         starts, ends, first = w.bounds(data, at)
         self.words, self.first = w.hashes(data, starts, ends), first
@@ -62,6 +65,14 @@ class Places:
         """Chosen half windows, each once. They ascend with the windows."""
         return self.anchor[np.flatnonzero(np.diff(self.anchor, prepend=-1))]
 
+    def seeds(self, anchors: np.ndarray) -> np.ndarray:
+        """The least quarter window inside each chosen half window."""
+        quarters = w.windows(self.words, self.quarter)
+        least = quarters[anchors]
+        for step in range(1, self.half - self.quarter + 1):
+            least = np.minimum(least, quarters[anchors + step])
+        return least
+
     def around(self, anchors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Hashes of all words a window on the anchor can reach, and of where the anchor lies in them."""
         text = self.text[anchors]
@@ -91,11 +102,11 @@ def _short(x: np.ndarray) -> pa.Array:
     return pa.array((x >> np.uint64(32)).astype(np.uint32).view(np.int32))
 
 
-def _halves(window: int):
+def _quarters(window: int):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in w.blocks(batches, "text"):
             places = Places(batch, window)
-            yield pa.RecordBatch.from_arrays([_signed(places.halves[places.anchors()])], ["h"])
+            yield pa.RecordBatch.from_arrays([_signed(places.seeds(places.anchors()))], ["q"])
 
     return run
 
@@ -106,8 +117,9 @@ def _surroundings(window: int):
             places = Places(batch, window)
             anchors = places.anchors()
             c1, c2 = places.around(anchors)
-            found = [_signed(places.halves[anchors]), _signed(c1), _short(c2), *places.named(batch, anchors)]
-            yield pa.RecordBatch.from_arrays(found, ["h", "c1", "c2", "id", "tie", "place"])
+            seeds, halves = _signed(places.seeds(anchors)), _signed(places.halves[anchors])
+            found = [seeds, halves, _signed(c1), _short(c2), *places.named(batch, anchors)]
+            yield pa.RecordBatch.from_arrays(found, ["q", "h", "c1", "c2", "id", "tie", "place"])
 
     return run
 
@@ -179,11 +191,13 @@ def _later(places: DataFrame, first: DataFrame) -> DataFrame:
 def repeats(texts: DataFrame, window: int) -> DataFrame:
     """Per id and tie the half windows whose windows all start earlier elsewhere (`whole`), and single
     windows that do (`single`), as word numbers. texts: id, tie (tells texts of one id apart), text."""
-    halves = texts.select("text").mapInArrow(_halves(window), "h long")
-    known = stored(halves.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h"), "half-windows")
-    around = texts.mapInArrow(_surroundings(window), "h long, c1 long, c2 int, id long, tie int, place int")
-    candidates = stored(around.join(known, "h", "left_semi"), "candidates")
+    twice = lambda df, c: df.groupBy(c).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(c)
+    known = stored(twice(texts.select("text").mapInArrow(_quarters(window), "q long"), "q"), "quarter-windows")
+    around = texts.mapInArrow(_surroundings(window), "q long, h long, c1 long, c2 int, id long, tie int, place int")
+    survivors = stored(around.join(known, "q", "left_semi").drop("q"), "half-windows")
     drop(known)
+    candidates = stored(survivors.join(twice(survivors, "h"), "h", "left_semi"), "candidates")
+    drop(survivors)
     first = stored(_first(candidates), "first-places")
     whole = stored(_later(candidates, first), "whole")
     # First places of different surroundings of one half window.
