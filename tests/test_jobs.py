@@ -279,3 +279,12 @@ def test_file_previews(one):
     assert one(rules.file_preview(F.lit("/a/b.md"), F.lit(None).cast("string"))) == "File was not found at path: /a/b.md"
     assert one(rules.file_preview(F.lit("/a.b/noext"), F.lit("x"))).startswith("Text preview is not available for extension ''")
     assert one(rules.file_preview(F.lit("/a/.md"), F.lit("x"))).startswith("Text preview is not available for extension ''")
+
+
+def test_cache_sizes_count_what_was_there_before_eviction(spark, tmp_path):
+    from workload import answers
+
+    events = spark.createDataFrame([(i, 4 if i < 50 else 1) for i in range(57)], "event_id long, user_id long")
+    events.write.parquet(f"{tmp_path}/events.parquet")
+    got = answers.cache_lru(spark, str(tmp_path)).groupBy("workspace_id", "stored").count().collect()
+    assert sorted(map(tuple, got)) == [("ws0", 50, 40), ("ws1", 7, 7)]
