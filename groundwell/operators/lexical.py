@@ -46,6 +46,8 @@ DELTAS = 8
 BLOCK = 64
 # Pairs of a posting and a query from which on blocks are bounded before they are scored.
 PRUNE_FROM = 20_000_000
+# Pairs of a query and a block that are broadcast at most (about 20 MB).
+BLOCK_PAIRS = 200_000
 
 POSTINGS = "chunk_id {id}, dl INT, term STRING, tf BIGINT, workspace_id STRING, run INT, block INT, part STRING"
 BLOCKS = "workspace_id STRING, run INT, block INT, term STRING, df BIGINT, dl BIGINT, max_tf BIGINT, min_dl INT, part STRING"
@@ -460,11 +462,16 @@ def bounded_blocks(index: LexicalIndex, wanted: DataFrame, small_queries: bool)
     return hits.groupBy("query_id", "workspace_id", "run", "block").agg(F.sum(most).alias("bound"))
 
 
-def _score_blocks(index: LexicalIndex, wanted: DataFrame, blocks: DataFrame) -> DataFrame:
-    """Scores of all chunks of the given (query, block) pairs."""
-    keys = ["workspace_id", "run", "block", "term"]
-    tasks = wanted.drop("df").join(blocks.select("query_id", "block"), "query_id")
-    return _sum(index.postings.drop("part").join(tasks, keys))
+def _score_blocks(index: LexicalIndex, wanted: DataFrame, blocks: DataFrame, small_queries: bool) -> DataFrame:
+    """Scores of all chunks of the given (query_id, workspace_id, block). With a bounded query batch, of which the
+    blocks are few as well, postings stay where they are."""
+    pairs = blocks.select(F.col("query_id").alias("_query"), F.col("workspace_id").alias("_space"), F.col("block").alias("_block"))
+    same = F.col("query_id").eqNullSafe(F.col("_query")) & (F.col("workspace_id") == F.col("_space"))
+    if small_queries:
+        hits = _pairs(index.postings, wanted, ["workspace_id", "run", "term"], "chunk_id", "df", True)
+        return _sum(hits.join(F.broadcast(pairs), same & (F.col("block") == F.col("_block")), "left_semi"))
+    tasks = wanted.drop("df").join(pairs, same).drop("_query", "_space").withColumnRenamed("_block", "block")
+    return _sum(index.postings.drop("part").join(tasks, ["workspace_id", "run", "block", "term"]))
 
 
 def pruned_scores(index: LexicalIndex, wanted: DataFrame, k: int, small_queries: bool) -> DataFrame:
@@ -472,22 +479,26 @@ def pruned_scores(index: LexicalIndex, wanted: DataFrame, k: int, small_queries:
 
     The k blocks of the highest bounds are scored first. Each holds a chunk with a term of the query, so
     the k-th best of their scores is one that the result reaches; blocks with a lower bound are left
-    out. Both steps join postings on their block too, which spreads a frequent term over many tasks.
+    out. Where that leaves too many blocks in, as long queries do, everything is scored in one pass: that
+    moves no postings, while pairs of a block and a query term are far more rows than the index has.
     """
     wanted = materialize(wanted, "query-weights")
     order = Window.partitionBy("query_id").orderBy(F.desc("bound"), "block")
-    bounds = materialize(bounded_blocks(index, wanted, small_queries), "block-bounds").where(F.col("bound") > 0)
-    first = bounds.withColumn("place", F.row_number().over(order)).where(F.col("place") <= k).drop("place")
-    first = materialize(first, "first-blocks")
-    found = materialize(_score_blocks(index, wanted, first), "first-scores")
-    least = _best(found, k).where(F.col("place") == k).select("query_id", F.col("score").alias("least"))
+    bounds = bounded_blocks(index, wanted, small_queries).where(F.col("bound") > 0)
+    bounds = materialize(bounds.withColumn("place", F.row_number().over(order)), "block-bounds")
+    found = materialize(_score_blocks(index, wanted, bounds.where(F.col("place") <= k), small_queries), "first-scores")
+    least = _best(found, k).where(F.col("place") == k).select(F.col("query_id").alias("_query"), F.col("score").alias("least"))
     rest = (
-        bounds.join(first.select("query_id", "block"), ["query_id", "block"], "left_anti")
-        .join(least, "query_id", "left")
+        bounds.where(F.col("place") > k)
+        .join(least, F.col("query_id").eqNullSafe(F.col("_query")), "left")
         # The bound is a sum in another order and scores are rounded.
         .where(F.col("least").isNull() | (F.col("bound") + 1e-6 >= F.col("least")))
     )
-    return found.unionByName(_score_blocks(index, wanted, rest))
+    rest = materialize(rest.select("query_id", "workspace_id", "block"), "blocks-left")
+    few = fits_broadcast(rest, BLOCK_PAIRS) if small_queries else 2 * rest.count() <= bounds.count()
+    if not few:
+        return _score(index, wanted, small_queries)
+    return found.unionByName(_score_blocks(index, wanted, rest, small_queries))
 
 
 def top_k(

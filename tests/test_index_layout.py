@@ -56,6 +56,33 @@ def test_pruned_search_equals_brute_force_and_reads_less(spark, small, monkeypat
     assert read[1] < scored[1] / 2 and read[8] < scored[8] / 2 and all(read[i] <= scored[i] for i in scored)
 
 
+def test_long_queries_move_no_postings(spark, monkeypatch):
+    """Where bounds leave most blocks in, all chunks are scored in place: no rows by block and term."""
+    monkeypatch.setattr(lexical, "BLOCK", 8)
+    monkeypatch.setattr(lexical, "BLOCK_PAIRS", 40)
+    chunks = zipf(1, 600, lambda i: "a")
+    index = lexical.build_index(spark.createDataFrame(chunks, CHUNKS), partitions=4)
+    q = spark.createDataFrame([(i, "a", " ".join(f"w{j}" for j in range(i, 40 + i))) for i in range(3)], QUERIES)
+    wanted = lexical._wanted(index, lexical.query_terms(q))
+    for few in (40, 10_000):
+        monkeypatch.setattr(lexical, "BLOCK_PAIRS", few)
+        plan = lexical.pruned_scores(index, wanted, 5, True)._jdf.queryExecution().executedPlan().toString()
+        assert [x for x in plan.splitlines() if "Exchange hashpartitioning(" in x] == [] and "SortMergeJoin" not in plan
+        got = lexical.top_k(index, q, 5, small_queries=True, prune=True).collect()
+        assert ranked(got) == ranked(lexical.top_k(index, q, 5, prune=False).collect())
+
+
+@pytest.mark.parametrize("small", [True, False])
+def test_pruned_search_of_repeated_and_null_ids(spark, small, monkeypatch):
+    """An id may stand for requests in two workspaces, or be null: the blocks of one are not those of the other."""
+    monkeypatch.setattr(lexical, "BLOCK", 4)
+    index = lexical.build_index(spark.createDataFrame(zipf(3, 400, lambda i: "ab"[i % 2]), CHUNKS), partitions=4)
+    q = spark.createDataFrame([(1, "a", "w3 w9"), (1, "b", "w3 w9"), (None, "a", "w2 w40")], QUERIES)
+    got = [tuple(r) for r in lexical.top_k(index, q, 6, small_queries=small, prune=True).collect()]
+    want = [tuple(r) for r in lexical.top_k(index, q, 6, small_queries=small, prune=False).collect()]
+    assert sorted(got, key=str) == sorted(want, key=str) and len(want) == 12
+
+
 def test_all_weights_negative(spark):
     # Two of three chunks hold every word: the floor of their workspace lies below zero.
     rows = [(1, "a", "x y"), (2, "a", "x y"), (3, "a", "x y z")]
