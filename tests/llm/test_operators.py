@@ -648,3 +648,17 @@ def test_texts_that_share_an_id(spark):
     a, b = (" ".join(f"{c}{k}" for k in range(100)) for c in "ab")
     df = spark.createDataFrame([(2, a), (2, b), (1, a + " tail"), (2, b), (3, b)], "doc_id long, text string")
     assert rows(near_copies.keep_one(df), "doc_id", "text") == [(1, a + " tail"), (2, b)]
+
+
+def test_fingerprints_of_shingles_are_linked_by_trees(spark):
+    """The stage of the pipeline takes SimHash links: copies whose shingles differ little are pairs of the trees already."""
+    rng = random.Random(4)
+    texts = [[f"v{rng.randrange(5000)}" for _ in range(600)] for _ in range(20)]
+    listed = [(k, " ".join(t)) for k, t in enumerate(texts)] + [(100 + k, " ".join([*t[:-1], "other"])) for k, t in enumerate(texts)]
+    found, upto = near_copies.shingles(pa.array([t for _, t in listed]))
+    fps = near_copies.fingerprints(found, upto)
+    close = {k for k in range(20) if (int(fps[k]) ^ int(fps[20 + k])).bit_count() <= 4}
+    df = spark.createDataFrame([(f"{i:03}".encode(), int(f)) for (i, _), f in zip(listed, fps.view("int64"), strict=True)], "copy binary, fp long")
+    pairs = {tuple(sorted((int(r["first"]), int(r["copy"])))) for r in near_copies._near_fingerprints(df).collect()}
+    assert len(close) > 15 and pairs == {(k, 100 + k) for k in close}
+    assert list(near_copies.fingerprints(*near_copies.shingles(pa.array(["", None, " "])))) == [0, 0, 0]
