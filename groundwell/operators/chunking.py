@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -104,29 +103,32 @@ def merge_runs():
     linear here; an `aggregate` expression would copy its growing array at every step.
     """
 
-    @F.pandas_udf("array<struct<first:int,n:int,at:int>>")
-    def runs(texts: pd.Series, segments: pd.Series, sizes: pd.Series) -> pd.Series:
-        out = []
+    @F.arrow_udf("array<struct<first:int,n:int,at:int>>")
+    def runs(texts: pa.Array, segments: pa.Array, sizes: pa.Array) -> pa.Array:
+        # Of a batch, only the texts of one row at a time become Python strings.
+        columns, ends = ([], [], []), [0]
         for text, parts, size in zip(texts, segments, sizes):
-            lengths = np.fromiter((len(p) for p in parts), dtype=np.int64, count=len(parts))
+            text, parts, size = text.as_py(), parts.as_py(), size.as_py()
             small = size * MERGE_SHARE
             found, start, width = [], 0, 0
-            for i, length in enumerate(lengths):
+            for i, length in enumerate(map(len, parts)):
                 joins = i > 0 and min(length, width) < small and width + length + 1 <= size
                 if not joins and i > 0:
                     found.append((start, i))
                 start, width = (start, width + length + 1) if joins else (i, length)
             if len(parts):
                 found.append((start, len(parts)))
-            rows, cursor = [], 0
+            cursor = 0
             for first, stop in found:
                 body = "\n".join(parts[first:stop])
                 at = text.find(body, cursor)
                 at = cursor if at < 0 else at
-                rows.append({"first": first, "n": stop - first, "at": at})
+                for column, value in zip(columns, (first, stop - first, at)):
+                    column.append(value)
                 cursor = at + len(body)
-            out.append(rows)
-        return pd.Series(out)
+            ends.append(len(columns[0]))
+        rows = pa.StructArray.from_arrays([pa.array(c, pa.int32()) for c in columns], ["first", "n", "at"])
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), rows)
 
     return runs
 
