@@ -7,8 +7,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from groundwell.operators import lexical
+from groundwell.session import fits_broadcast, materialize
 from groundwell.sources.bucketed import BucketTable, table_at
-from groundwell.streaming.tables import latest, run_available, write_batch
+from groundwell.streaming.tables import run_available, write_batch
 
 #: What a source is known by.
 SOURCE = ("workspace_id", "source_type", "source_id")
@@ -56,22 +57,26 @@ def run_reindex(sources: DataFrame, path: str, chunk, keys: tuple[str, ...] = SO
 
     def each(df: DataFrame, batch: int) -> None:
         spark, found = df.sparkSession, f"{path}/chunks"
-        # The arriving sources are read several times.
-        write_batch(df, f"{path}/arrived", batch)
-        arrived = spark.read.schema(df.schema).parquet(f"{path}/arrived/batch={batch}")
-        last = latest(arrived, list(keys), "version").dropDuplicates([*keys, "version"])
+        # The texts are moved once, to find the last version of each source, and written as several steps read them.
+        known = df.where(" AND ".join(f"`{c}` IS NOT NULL" for c in (*keys, "version")))
+        row = F.struct(*(F.col(f"`{c}`") for c in df.columns))
+        write_batch(known.groupBy(*keys).agg(F.max_by(row, "version").alias("row")).select("row.*"), f"{path}/arrived", batch)
+        last = spark.read.schema(df.schema).parquet(f"{path}/arrived/batch={batch}")
         table = table_at(spark, found) or BucketTable.create(chunk(last).limit(0), found, list(keys), buckets)
 
         def merge(old: DataFrame, new: DataFrame) -> DataFrame:
+            # Of the sources that were there before, which may be few, both versions.
             versions = new.select(*keys, F.col("version").alias("_version"))
-            both = old.join(versions, list(keys), "left")
+            met = materialize(old.select(*keys, F.col("version").alias("_later")).distinct().join(versions, list(keys)), "met")
+            near = F.broadcast if fits_broadcast(met) else (lambda frame: frame)
+            both = old.join(near(met.select(*keys, "_version").distinct()), list(keys), "left")
             stays = both.where("_version IS NULL OR version > _version").drop("_version")
-            later = old.select(*keys, F.col("version").alias("_later")).distinct()
-            comes = chunk(new.join(later, list(keys), "left").where("_later IS NULL OR _later <= version").drop("_later"))
+            late = near(met.where("_later > _version").select(*keys).distinct())
+            comes = chunk(new.join(late, list(keys), "left_anti"))
             return stays.select(*table.schema.names).unionByName(comes.select(*table.schema.names))
 
         table.update(last, merge).clean()
-        write_batch(arrived.select("workspace_id").distinct(), f"{path}/touched", batch)
+        write_batch(df.select("workspace_id").distinct(), f"{path}/touched", batch)
 
     run_available(sources, f"{path}/checkpoint", each)
 

@@ -38,9 +38,3 @@ def run_available(
     )
     query.awaitTermination()
     return query
-
-
-def latest(df: DataFrame, keys: list[str], version: str) -> DataFrame:
-    """Rows of the last version of every key; all rows of a key share a version."""
-    last = df.groupBy(*keys).agg(F.max(version).alias(version))
-    return df.join(last, [*keys, version], "left_semi")
