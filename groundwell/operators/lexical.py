@@ -18,8 +18,12 @@ from __future__ import annotations
 
 import hashlib
 import uuid
+from collections.abc import Iterator
 from dataclasses import dataclass, replace
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -44,6 +48,8 @@ SEGMENTS = 32
 DELTAS = 8
 # Chunks a block holds about.
 BLOCK = 64
+# Chunks whose terms are counted at a time.
+ROWS = 1_000
 # Pairs of a posting and a query from which on blocks are bounded before they are scored.
 PRUNE_FROM = 20_000_000
 # Pairs of a query and a block that are broadcast at most (about 20 MB).
@@ -158,7 +164,8 @@ def _corpus(counts: DataFrame) -> DataFrame:
 
 
 def _postings(chunks: DataFrame, sizes: DataFrame, tokenizer: Tokenizer, context: str | None, buckets: int) -> DataFrame:
-    """Postings of `chunks`, dealt to blocks; `sizes` (workspace_id, chunks) has the chunks of each workspace."""
+    """Postings of `chunks`, dealt to blocks; `sizes` (workspace_id, chunks, copies) has the chunks of each workspace
+    and the most rows that a chunk id has in it."""
     text: Column = F.col("content")
     if context is not None:
         text = F.when(
@@ -178,8 +185,14 @@ def _postings(chunks: DataFrame, sizes: DataFrame, tokenizer: Tokenizer, context
         "workspace_id", "block", "chunk_id", tokenizer(F.col("content")).alias("tokens")
     ).withColumn("dl", F.size("tokens"))
     # Each chunk also gets one posting without a term, which carries its length into the
-    # one pass over the postings that counts terms. An outer explode, as the plain one
-    # would infer a filter that tokenizes every text a second time.
+    # one pass over the postings that counts terms.
+    if sizes.where(F.col("copies") > 1).isEmpty():
+        id_type = chunks.schema["chunk_id"].dataType.simpleString()
+        return tokens.mapInArrow(
+            _counted, f"workspace_id string, block int, chunk_id {id_type}, dl int, term string, tf bigint"
+        )
+    # Rows of one chunk id count as one chunk if they are equally long. An outer explode, as the
+    # plain one would infer a filter that tokenizes every text a second time.
     return (
         tokens.select(
             "workspace_id",
@@ -193,6 +206,35 @@ def _postings(chunks: DataFrame, sizes: DataFrame, tokenizer: Tokenizer, context
     )
 
 
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Postings of rows that are a chunk each, a bounded number of rows at a time, by workspace and term: of
+    such runs, the sort before they are written has little left to do."""
+    names = ["workspace_id", "block", "chunk_id", "dl"]
+    for batch in batches:
+        for start in range(0, batch.num_rows, ROWS):
+            rows = batch.slice(start, ROWS)
+            n, tokens = rows.num_rows, rows.column("tokens")
+            words = pc.list_flatten(tokens).dictionary_encode()
+            spaces = pc.rank(rows.column("workspace_id"), tiebreaker="dense")
+            owners = _numbers(pc.list_parent_indices(tokens))
+            # Places of terms in their order; place 0 is the posting without a term.
+            order = pc.sort_indices(words.dictionary)
+            width, place = len(order) + 1, np.zeros(len(order) + 1, np.int64)
+            place[_numbers(order)] = np.arange(1, width)
+            places = np.concatenate([place[_numbers(pc.fill_null(words.indices, -1))], np.zeros(n, np.int64)])
+            owners = np.concatenate([owners, np.arange(n, dtype=np.int64)])
+            keys = (_numbers(spaces)[owners] * width + places) * n + owners
+            keys, tf = np.unique(keys, return_counts=True)
+            places = keys // n % width
+            term = words.dictionary.take(order).take(pa.array(places - 1, mask=places == 0))
+            found = rows.select(names).take(pa.array(keys % n))
+            yield pa.RecordBatch.from_arrays([*found.columns, term, pa.array(tf, pa.int64())], [*names, "term", "tf"])
+
+
+def _numbers(values: pa.Array) -> np.ndarray:
+    return values.to_numpy(zero_copy_only=False).astype(np.int64)
+
+
 def _append(rows: DataFrame, path: str) -> None:
     rows.write.mode("append").partitionBy("part").parquet(path)
 
@@ -238,7 +280,9 @@ def _add_run(
 
 
 def _sizes(chunks: DataFrame) -> DataFrame:
-    return materialize(chunks.groupBy("workspace_id").agg(F.count(F.lit(1)).alias("chunks")), "index-sizes")
+    ids = chunks.groupBy("workspace_id", "chunk_id").agg(F.count(F.lit(1)).alias("rows"))
+    sizes = ids.groupBy("workspace_id").agg(F.sum("rows").alias("chunks"), F.max("rows").alias("copies"))
+    return materialize(sizes, "index-sizes")
 
 
 def _large(sizes: DataFrame, total: int, segments: int) -> list[str]:

@@ -6,6 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from groundwell.functions.text import tokenize
 from groundwell.operators import lexical
 from groundwell.session import scratch_dir
 from groundwell.sources import manifest
@@ -56,6 +57,35 @@ def test_pruned_search_equals_brute_force_and_reads_less(spark, small, monkeypat
     assert read[1] < scored[1] / 2 and read[8] < scored[8] / 2 and all(read[i] <= scored[i] for i in scored)
 
 
+ODD = [
+    (1, "a", "Red red blue"), (2, "a", ""), (3, "a", None), (4, "b", "가나다라 가나 red"), (None, "b", "blue"), (5, None, "red"),
+    (6, "a", "one two three"),
+]
+
+
+def counted(spark, rows):
+    frame = spark.createDataFrame(rows, CHUNKS)
+    found = lexical._postings(frame, lexical._sizes(frame), tokenize, None, 3)
+    return found, sorted(map(str, (tuple(r) for r in found.select("workspace_id", "chunk_id", "dl", "term", "tf").collect())))
+
+
+def test_terms_of_single_chunks_are_counted_without_an_aggregate(spark, monkeypatch):
+    monkeypatch.setattr(lexical, "ROWS", 2)
+    found, rows = counted(spark, ODD)
+    assert "Aggregate" not in found._jdf.queryExecution().optimizedPlan().toString()
+    by_hand = {1: ["red", "red", "blue"], 2: [], 4: ["가나다라", "가나", "나다", "다라", "가나", "red"], None: ["blue"], 5: ["red"], 6: ["one", "two", "three"]}
+    spaces = {i: w for i, w, _ in ODD}
+    want = [(spaces[i], i, len(ws), t, ws.count(t) if t else 1) for i, ws in by_hand.items() for t in {*ws, None}]
+    assert rows == sorted(map(str, [*want, ("a", 3, None, None, 1)]))
+    # With rows that share an id, the others stay as they are, and equally long rows of one id count as one chunk.
+    more = [(6, "a", "two two three"), (6, "a", "longer than the others")]
+    found, again = counted(spark, ODD + more)
+    assert [r for r in again if "'a', 6," not in r] == [r for r in rows if "'a', 6," not in r]
+    ours = [("a", 6, 3, "one", 1), ("a", 6, 3, "two", 3), ("a", 6, 3, "three", 2), ("a", 6, 3, None, 2), ("a", 6, 4, None, 1)]
+    ours += [("a", 6, 4, t, 1) for t in ("longer", "than", "the", "others")]
+    assert [r for r in again if "'a', 6," in r] == sorted(map(str, ours))
+
+
 def test_long_queries_move_no_postings(spark, monkeypatch):
     """Where bounds leave most blocks in, all chunks are scored in place: no rows by block and term."""
     monkeypatch.setattr(lexical, "BLOCK", 8)
