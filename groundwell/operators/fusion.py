@@ -70,7 +70,7 @@ def candidates(
     if index is None:
         return vec, None
     # A small batch of requests may still hold long texts, so the terms are counted apart.
-    return vec, lexical.top_k(index, requests, depth, tokenizer, None if small_queries else False)
+    return vec, lexical.top_k(index, requests, depth, tokenizer, False if small_queries is False else None)
 
 
 def hybrid(
