@@ -423,10 +423,12 @@ def query_terms(queries: DataFrame, tokenizer: Tokenizer = tokenize) -> DataFram
     )
 
 
-def _wanted(index: LexicalIndex, asked: DataFrame) -> DataFrame:
-    """What every query term weighs, of the terms that occur in the query's workspace."""
+def _wanted(index: LexicalIndex, asked: DataFrame, small: bool = False) -> DataFrame:
+    """What every query term weighs, of the terms that occur in the query's workspace. The terms of a bounded
+    query batch are broadcast, so that the counts, which grow with the corpus, stay where they are."""
+    terms = asked.join(index.corpus, "workspace_id")
     return (
-        asked.join(index.corpus, "workspace_id")
+        (F.broadcast(terms) if small else terms)
         .join(index.counts.select("workspace_id", "run", "term", "df"), ["workspace_id", "run", "term"])
         .select("query_id", "workspace_id", "run", "term", "avgdl", "df", (F.col("qtf") * idf()).alias("weight"))
     )
@@ -485,7 +487,7 @@ def score(
     if small_queries is None:
         small_queries = fits_broadcast(asked, QUERY_TERMS)
     index = index.asked_by(queries)
-    return _score(index, _wanted(index, asked), small_queries)
+    return _score(index, _wanted(index, asked, small_queries), small_queries)
 
 
 def _score(index: LexicalIndex, wanted: DataFrame, small_queries: bool) -> DataFrame:
@@ -563,11 +565,11 @@ def top_k(
         rows, most = asked.join(index.corpus, "workspace_id", "left").agg(F.count(F.lit(1)), F.sum("n")).first()
         small_queries = rows <= QUERY_TERMS if small_queries is None else small_queries
         # No term lies in more chunks than its workspace has: most batches are known to be light without the counts.
-        prune = (most or 0) >= PRUNE_FROM and _is_heavy(index, asked) if prune is None else prune
-    wanted = _wanted(index, asked)
+        prune = (most or 0) >= PRUNE_FROM and _is_heavy(index, asked, small_queries) if prune is None else prune
+    wanted = _wanted(index, asked, small_queries)
     scores = pruned_scores(index, wanted, k, small_queries) if prune else _score(index, wanted, small_queries)
     return _best(scores, k).select("query_id", "chunk_id", "score", (F.col("place") - 1).alias("bm25_rank"))
 
 
-def _is_heavy(index: LexicalIndex, asked: DataFrame) -> bool:
-    return (_wanted(index, asked).agg(F.sum("df")).first()[0] or 0) >= PRUNE_FROM
+def _is_heavy(index: LexicalIndex, asked: DataFrame, small: bool) -> bool:
+    return (_wanted(index, asked, small).agg(F.sum("df")).first()[0] or 0) >= PRUNE_FROM

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from groundwell.functions.text import tokenize
-from groundwell.operators import lexical
+from groundwell.operators import fusion, lexical
 from groundwell.session import scratch_dir
 from groundwell.sources import manifest
 from tests.test_search import bm25
@@ -102,6 +102,26 @@ def test_long_queries_move_no_postings(spark, monkeypatch):
         assert ranked(got) == ranked(lexical.top_k(index, q, 5, prune=False).collect())
 
 
+@pytest.mark.parametrize("prune", [None, True])
+def test_a_bounded_batch_moves_neither_counts_nor_postings(spark, prune):
+    """However large they are: no join rests on their size. Plain top_k, and the candidates of a batch not yet counted."""
+    chunks = zipf(2, 300, lambda i: "ab"[i % 2])
+    index = lexical.build_index(spark.createDataFrame(chunks, CHUNKS), partitions=4)
+    q = spark.createDataFrame([(i, "ab"[i % 2], "w1 w2 w2 w9", [1.0, float(i)]) for i in range(4)], QUERIES + ", vector array<double>")
+    vecs = spark.createDataFrame([(c[0], c[1], [1.0, float(c[0])]) for c in chunks], "chunk_id long, workspace_id string, vector array<double>")
+    want = ranked(lexical.top_k(index, q, 5, small_queries=False).collect())
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = lexical.top_k(index, q, 5, prune=prune) if prune else fusion.candidates(q, index, vecs, 5)[1]
+        weights = lexical._wanted(index, lexical.query_terms(q), True)
+        for frame in (found, weights):
+            plan = frame._jdf.queryExecution().executedPlan().toString()
+            assert [x for x in plan.splitlines() if "Exchange hashpartitioning(" in x and "run#" in x.partition("hashpartitioning(")[2].partition("),")[0]] == []
+        assert ranked(found.collect()) == want and len(want) == 20
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 @pytest.mark.parametrize("small", [True, False])
 def test_pruned_search_of_repeated_and_null_ids(spark, small, monkeypatch):
     """An id may stand for requests in two workspaces, or be null: the blocks of one are not those of the other."""
