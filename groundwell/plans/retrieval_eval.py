@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from groundwell.session import fits_broadcast
+from groundwell.session import fits_broadcast, materialize
 
 # Categories with special treatment.
 ANCHOR = 5  # words by which passages are looked up at most
@@ -65,7 +65,9 @@ def containing(chunks: DataFrame, passages: DataFrame) -> DataFrame:
         if few:
             runs = [F.filter(r, lambda h: h.isin(wanted)) for r in runs]
         seen = words.select("chunk_id", F.explode(F.array_distinct(F.concat(*runs))).alias("h"))
-        pairs = seen.join(anchors.select("query_id", "h"), "h").select("query_id", "chunk_id").distinct()
+        pairs = materialize(seen.join(anchors.select("query_id", "h"), "h").select("query_id", "chunk_id").distinct(), "candidates")
+        # As many as the chunks that hold an anchor: where they are few, the texts stay where they are.
+        pairs = F.broadcast(pairs) if fits_broadcast(pairs) else pairs
         texts = pairs.join(chunks.select("chunk_id", "content"), "chunk_id").join(passages.select("query_id", "passage"), "query_id")
         found.append(texts.where(F.contains("content", F.col("passage"))).select("query_id", "chunk_id"))
     out = found[0]

@@ -238,3 +238,24 @@ def test_passages_of_any_length(spark):
         found = [(r["query_id"], r["chunk_id"]) for r in retrieval_eval.containing(chunks, asked).collect()]
         retrieval_eval.FEW = before
         assert set(found) == want and len(found) == len(want)
+
+
+@pytest.mark.parametrize("few", [True, False])
+def test_passages_in_few_chunks_move_no_texts(spark, few, monkeypatch):
+    """Only chunks that hold an anchor are compared: where they are few, no join deals texts by chunk."""
+    words = [f"w{i}" for i in range(40)]
+    rows = [(i, " ".join(words[i : i + 12])) for i in range(28)] + [(None, " ".join(words)), (3, " ".join(words[20:]))]
+    chunks = spark.createDataFrame(rows, "chunk_id long, content string")
+    asked = spark.createDataFrame([(q, " ".join(words[q : q + 8])) for q in range(0, 30, 3)], "query_id long, passage string")
+    if not few:
+        monkeypatch.setattr(retrieval_eval, "fits_broadcast", lambda *_: False)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = retrieval_eval.containing(chunks, asked)
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert few == ("hashpartitioning(chunk_id" not in plan)
+        # An id without a value meets nothing, and of the two texts of one id each is compared.
+        want = sorted((q, c) for q in range(0, 30, 3) for c, t in rows if c is not None and " ".join(words[q : q + 8]) in t)
+        assert sorted(tuple(r) for r in found.collect()) == want
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
