@@ -215,15 +215,15 @@ def _items(spark: SparkSession, sf: str, hits: DataFrame) -> DataFrame:
     return items.select("query_id", "rank", "doc_key", F.round("vector_score", 9).alias("similarity"), "substring_hit")
 
 
-def _measured(spark: SparkSession, sf: str, hits: DataFrame) -> DataFrame:
-    expected, forbidden = _truth(spark, sf)
+def _measured(spark: SparkSession, sf: str, hits: DataFrame, truth: tuple[DataFrame, DataFrame]) -> DataFrame:
+    expected, forbidden = truth
     return retrieval_eval.roll_up(
         retrieval_eval.per_request(_cases(spark, sf), expected, forbidden, _items(spark, sf, hits))
     )
 
 
 def retrieval_report(spark: SparkSession, sf: str) -> DataFrame:
-    return rounded(_measured(spark, sf, materialize(hybrid_hits(spark, sf))))
+    return rounded(_measured(spark, sf, materialize(hybrid_hits(spark, sf)), _truth(spark, sf)))
 
 
 def retrieval_eval_diff(spark: SparkSession, sf: str) -> DataFrame:
@@ -236,8 +236,8 @@ def retrieval_eval_diff(spark: SparkSession, sf: str) -> DataFrame:
         .withColumn("rank", F.col("n") + 1 - F.col("rank"))
         .drop("n")
     )
-    other = retrieval_eval.with_source(hits, turned)
-    return rounded(retrieval_eval.difference(_measured(spark, sf, hits), _measured(spark, sf, other)))
+    other, truth = retrieval_eval.with_source(hits, turned), _truth(spark, sf)
+    return rounded(retrieval_eval.difference(_measured(spark, sf, hits, truth), _measured(spark, sf, other, truth)))
 
 
 CASES = f"""
