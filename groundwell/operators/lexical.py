@@ -48,6 +48,10 @@ SEGMENTS = 32
 DELTAS = 8
 # Chunks a block holds about.
 BLOCK = 64
+# Bytes of text that a bucket holds at most, about: the postings of 16 MB take about 200 MB to sort in memory.
+BUCKET_TEXT = 16_000_000
+# Buckets that Spark lets a table have, unless it is told otherwise.
+BUCKETS = 100_000
 # Chunks whose terms are counted at a time.
 ROWS = 1_000
 # Pairs of a posting and a query from which on blocks are bounded before they are scored.
@@ -163,19 +167,22 @@ def _corpus(counts: DataFrame) -> DataFrame:
     )
 
 
+def _text(context: str | None) -> Column:
+    """What is indexed of a chunk."""
+    text = F.col("content")
+    if context is None:
+        return text
+    return F.when(F.coalesce(F.col(context), F.lit("")) != "", F.concat(F.col(context), F.lit("\n"), text)).otherwise(text)
+
+
 def _postings(chunks: DataFrame, sizes: DataFrame, tokenizer: Tokenizer, context: str | None, buckets: int) -> DataFrame:
     """Postings of `chunks`, dealt to blocks; `sizes` (workspace_id, chunks, copies) has the chunks of each workspace
     and the most rows that a chunk id has in it."""
-    text: Column = F.col("content")
-    if context is not None:
-        text = F.when(
-            F.coalesce(F.col(context), F.lit("")) != "", F.concat(F.col(context), F.lit("\n"), text)
-        ).otherwise(text)
     blocks = sizes.where(F.col("chunks") > BLOCK).select(
         "workspace_id", F.ceil(F.col("chunks") / BLOCK).cast("int").alias("blocks")
     )
     texts = (
-        chunks.select("workspace_id", "chunk_id", text.alias("content"))
+        chunks.select("workspace_id", "chunk_id", _text(context).alias("content"))
         .join(F.broadcast(blocks) if fits_broadcast(blocks) else blocks, "workspace_id", "left")
         .withColumn("block", F.pmod(F.xxhash64("chunk_id"), F.coalesce("blocks", F.lit(1))).cast("int"))
         .drop("blocks")
@@ -279,9 +286,13 @@ def _add_run(
     return parts, _corpus(_read(spark, path, "counts").where(here))
 
 
-def _sizes(chunks: DataFrame) -> DataFrame:
-    ids = chunks.groupBy("workspace_id", "chunk_id").agg(F.count(F.lit(1)).alias("rows"))
-    sizes = ids.groupBy("workspace_id").agg(F.sum("rows").alias("chunks"), F.max("rows").alias("copies"))
+def _sizes(chunks: DataFrame, text: Column | None = None) -> DataFrame:
+    """(workspace_id, chunks, copies, bytes): rows, the most rows of a chunk id, and bytes of `text`, if given."""
+    length = F.lit(0) if text is None else F.octet_length(text)
+    ids = chunks.groupBy("workspace_id", "chunk_id").agg(F.count(F.lit(1)).alias("rows"), F.sum(length).alias("bytes"))
+    sizes = ids.groupBy("workspace_id").agg(
+        F.sum("rows").alias("chunks"), F.max("rows").alias("copies"), F.sum("bytes").alias("bytes")
+    )
     return materialize(sizes, "index-sizes")
 
 
@@ -302,16 +313,18 @@ def build_index(
     """Index the chunks that have tokens, at a new `path` (by default in scratch space). With
     `context`, the generated context of a chunk is indexed in front of its text.
 
-    The text is shuffled once, to `partitions` buckets of blocks, before it is tokenized; each task
-    then writes its bucket, a file per segment: no more than 2 * segments * partitions in all,
-    however many workspaces there are. Nothing is kept in memory, and later sessions load the index.
+    The text is shuffled once, to buckets of blocks, before it is tokenized; each task then writes its
+    bucket, a file per segment: no more than 2 * segments * buckets in all, however many workspaces there
+    are. There are `partitions` buckets, and more for texts of more than `BUCKET_TEXT` bytes a bucket, so
+    that a task's postings can be sorted in memory however large the corpus is. Nothing is kept in memory,
+    and later sessions load the index.
     """
     spark = chunks.sparkSession
     path = path or scratch_dir(spark, "index")
-    sizes = _sizes(chunks)
-    total = sizes.agg(F.sum("chunks")).first()[0] or 0
+    sizes = _sizes(chunks, _text(context))
+    total, size = (n or 0 for n in sizes.agg(F.sum("chunks"), F.sum("bytes")).first())
     state = {
-        "buckets": partitions or int(spark.conf.get("spark.sql.shuffle.partitions")),
+        "buckets": max(partitions or int(spark.conf.get("spark.sql.shuffle.partitions")), min(-(-size // BUCKET_TEXT), BUCKETS)),
         "id_type": chunks.schema["chunk_id"].dataType.simpleString(),
         "segments": segments, "own": _large(sizes, total, segments), "run": 0, "parts": [], "corpus": [],
     }

@@ -150,6 +150,35 @@ def test_blocks_are_counted_without_a_shuffle(spark):
     assert "Exchange" not in by_block._jdf.queryExecution().executedPlan().toString()
 
 
+def test_buckets_follow_the_bytes_of_text(spark, monkeypatch):
+    """A task sorts the postings of one bucket: its text is bounded, whatever the number of partitions asked for."""
+    monkeypatch.setattr(lexical, "BUCKET_TEXT", 2_000, raising=False)
+    monkeypatch.setattr(lexical, "BLOCK", 4)
+    rows = [*zipf(4, 400, lambda i: "ab"[i % 2]), (400, "a", None), (None, "b", "w1"), (401, None, "w1 w2")]
+    chunks = spark.createDataFrame(rows, CHUNKS).withColumn("before", F.when(F.col("chunk_id") < 200, F.lit("가나다 w7")))
+    q = spark.createDataFrame([(i, "ab"[i % 2], f"w1 w2 w{i} 가나") for i in range(6)], QUERIES)
+    for context in (None, "before"):
+        size = sum(len((r[2] or "").encode()) for r in rows) + (context is not None) * 200 * (len("가나다 w7".encode()) + 1)
+        path = scratch_dir(spark, "t")
+        index = lexical.build_index(chunks, path=path, partitions=2, context=context)
+        assert index.state["buckets"] == -(-size // 2_000) > 10
+        by_bucket = spark.table(lexical._table_name(path)).where("term IS NOT NULL").groupBy(F.input_file_name().alias("f")).agg(F.sum("tf").alias("n"))
+        found = {}
+        for r in by_bucket.collect():
+            bucket = r["f"].rpartition("_")[2].partition(".")[0]
+            found[bucket] = found.get(bucket, 0) + r["n"]
+        assert len(found) > 8 and max(found.values()) < 0.3 * sum(found.values())
+        # The same results as of a few large buckets; a refresh keeps their number.
+        again = lexical.refresh_index(spark, path, chunks, spark.createDataFrame([("b",)], "workspace_id string"), context=context)
+        assert again.state["buckets"] == index.state["buckets"]
+        with monkeypatch.context() as m:
+            m.setattr(lexical, "BUCKET_TEXT", 10**9)
+            few = lexical.build_index(chunks, partitions=2, context=context)
+        want = ranked(lexical.top_k(few, q, 5).collect())
+        assert few.state["buckets"] == 2 and len(want) == 30
+        assert ranked(lexical.top_k(index, q, 5).collect()) == ranked(lexical.top_k(again, q, 5).collect()) == want
+
+
 def test_files_do_not_grow_with_workspaces(spark):
     path = scratch_dir(spark, "t")
     # A third of all chunks lies in one workspace, the others in ten thousand.
