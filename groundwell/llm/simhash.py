@@ -10,9 +10,10 @@ therefore blocks of bits: of b blocks, 4 differing bits leave b - 4 untouched, s
 whose mask has no difference, whose margin is 0, and which prunes all other branches. With more
 blocks masks get longer and trees more numerous; any number of blocks finds every link.
 
-Only distinct fingerprints are compared, in numpy and by whole shards. A shard hands on a spanning
-forest of its links, never its pairs. A shard above SHARD_ROWS is dealt to cells of two of its
-parts each. Components are found by contracting the links in tables.
+Only distinct fingerprints are compared, in numpy and by whole shards. For components a shard hands on a
+spanning forest of its links, never its pairs (`links`). Who needs the pairs themselves gets them from `stars`,
+all of a small group, and of a large one those with a few of its fingerprints, until asked for the rest. A shard
+above SHARD_ROWS is dealt to cells of two of its parts each. Components are found by contracting the links in tables.
 
 Defined cases: a null text counts as empty; texts without words have fingerprint 0 and are linked
 like any other; null ids are members but never the smallest; repeated rows are copies; an empty
@@ -22,7 +23,7 @@ table gives an empty result.
 from __future__ import annotations
 
 import itertools
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -108,10 +109,9 @@ def _shards_of(trees: list[int], within: int):
             fps = batch.column("fp").to_numpy().view(np.uint64)
             for number, mask in enumerate(trees):
                 row, path = shards(fps, mask, within, 1000 + 2 * number)
-                tree = np.full(len(row), number, np.int32)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(tree), pa.array(path), pa.array(fps[row].view(np.int64))], ["tree", "shard", "fp"]
-                )
+                tree, at = np.full(len(row), number, np.int32), pa.array(row)
+                columns = [pa.array(tree), pa.array(path), *(c.take(at) for c in batch.columns)]
+                yield pa.RecordBatch.from_arrays(columns, ["tree", "shard", *batch.schema.names])
 
     return run
 
@@ -130,57 +130,128 @@ def roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
             up = up[up]
 
 
+def _forest(key: np.ndarray, fps: np.ndarray, radius: int) -> np.ndarray:
+    """For each fingerprint of whole shards a place that stands for its component. Each one is compared with
+    the next one of its shard, the one after that, and so on."""
+    n, shard = len(fps), np.cumsum(np.concatenate([[0], (key[1:] != key[:-1]).any(axis=1)]))
+    a, b, size = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], 0
+    left = np.arange(n)
+    for step in range(1, n):
+        left = left[left < n - step]
+        left = left[shard[left] == shard[left + step]]
+        if not len(left):
+            break
+        near = left[np.bitwise_count(fps[left] ^ fps[left + step]) <= radius]
+        a.append(near)
+        b.append(near + step)
+        size += len(near)
+        if size > PAIRS_AT_ONCE:
+            up = roots(n, np.concatenate(a), np.concatenate(b))
+            a = [np.flatnonzero(up != np.arange(n))]
+            b, size = [up[a[0]]], 0
+    return roots(n, np.concatenate(a), np.concatenate(b))
+
+
+def _whole_shards(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, pa.RecordBatch]]:
+    """Rows in order of shards, cut only between shards, and their keys."""
+    keys, rows = np.zeros((0, 3), np.int64), []
+    for batch in batches:
+        more = np.stack([batch.column(c).to_numpy().astype(np.int64) for c in ("tree", "shard", "cell")], axis=1)
+        # The last shard may go on in the next batch.
+        same = (more == more[-1:]).all(axis=1)
+        upto = int(np.argmax(same)) if len(same) else 0
+        if len(keys) and len(more) and (more[0] != keys[-1]).any():
+            yield keys, pa.concat_batches(rows)
+            keys, rows = keys[:0], []
+        if upto:
+            yield np.concatenate([keys, more[:upto]]), pa.concat_batches([*rows, batch.slice(0, upto)])
+            keys, rows = keys[:0], []
+        keys = np.concatenate([keys, more[upto:]])
+        rows.append(batch.slice(upto))
+    if len(keys):
+        yield keys, pa.concat_batches(rows)
+
+
 def _links_of(radius: int):
-    def of_shards(key: np.ndarray, fps: np.ndarray) -> pa.RecordBatch:
-        """Compare each fingerprint with the next one of its shard, the one after that, and so on."""
-        n, shard = len(fps), np.cumsum(np.concatenate([[0], (key[1:] != key[:-1]).any(axis=1)]))
-        a, b, size = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], 0
-        left = np.arange(n)
-        for step in range(1, n):
-            left = left[left < n - step]
-            left = left[shard[left] == shard[left + step]]
-            if not len(left):
-                break
-            near = left[np.bitwise_count(fps[left] ^ fps[left + step]) <= radius]
-            a.append(near)
-            b.append(near + step)
-            size += len(near)
-            if size > PAIRS_AT_ONCE:
-                up = roots(n, np.concatenate(a), np.concatenate(b))
-                a = [np.flatnonzero(up != np.arange(n))]
-                b, size = [up[a[0]]], 0
-        up = roots(n, np.concatenate(a), np.concatenate(b))
-        low = np.flatnonzero(up != np.arange(n))
-        ends = [pa.array(fps[low].view(np.int64)), pa.array(fps[up[low]].view(np.int64))]
-        return pa.RecordBatch.from_arrays(ends, ["a", "b"])
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for key, rows in _whole_shards(batches):
+            fps = rows.column("fp").to_numpy().view(np.uint64)
+            up = _forest(key, fps, radius)
+            low = np.flatnonzero(up != np.arange(len(fps)))
+            ends = [pa.array(fps[low].view(np.int64)), pa.array(fps[up[low]].view(np.int64))]
+            yield pa.RecordBatch.from_arrays(ends, ["a", "b"])
+
+    return run
+
+
+def _star_pairs(fps: np.ndarray, first: list[bytes | None], n: np.ndarray, radius: int, most: int | None) -> Iterator[tuple]:
+    """Places (i, many j) of one component to be compared, and whether i is a head, which stands for others."""
+    mute = np.array([f is None for f in first])
+    asks, whole = np.flatnonzero(~mute).tolist(), most is None or n.sum() <= most
+    done = np.zeros(len(fps), bool)
+    for i in asks if whole else sorted(asks, key=first.__getitem__):
+        near = np.bitwise_count(fps ^ fps[i]) <= radius
+        near[i] = n[i] > 1
+        if whole:
+            near &= ~done
+            done[i] = True
+        else:
+            # What is near a head stands back, unless it is all that asks for a mute one.
+            if done[i]:
+                near &= mute & ~done
+            done |= near
+        if near.any():
+            yield i, np.flatnonzero(near), not whole
+
+
+def _stars_of(radius: int, most: int | None):
+    def of_shards(key: np.ndarray, rows: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        fps, n = rows.column("fp").to_numpy().view(np.uint64), rows.column("n").to_numpy()
+        up = _forest(key, fps, radius)
+        order = np.argsort(up, kind="stable")
+        begins = np.flatnonzero(np.concatenate([[True], up[order][1:] != up[order][:-1]]))
+        ends = np.append(begins[1:], len(order))
+        some = (ends - begins > 1) | (n[order[begins]] > 1)
+        a, b, heads, size = [], [], [], 0
+        for begin, end in zip(begins[some], ends[some], strict=True):
+            at = order[begin:end]
+            first = rows.column("first").take(pa.array(at)).to_pylist()
+            for i, near, head in _star_pairs(fps[at], first, n[at], radius, most):
+                a.append(np.full(len(near), fps[at[i]]))
+                b.append(fps[at[near]])
+                heads.append(np.full(len(near), head))
+                size += len(near)
+                if size > PAIRS_AT_ONCE:
+                    yield batch(a, b, heads)
+                    a, b, heads, size = [], [], [], 0
+        if size:
+            yield batch(a, b, heads)
+
+    def batch(a: list[np.ndarray], b: list[np.ndarray], heads: list[np.ndarray]) -> pa.RecordBatch:
+        columns = [np.concatenate(a).view(np.int64), np.concatenate(b).view(np.int64), np.concatenate(heads)]
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["a", "b", "head"])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, fps = np.zeros((0, 3), np.int64), np.zeros(0, np.uint64)
-        for batch in batches:
-            more = np.stack([batch.column(c).to_numpy().astype(np.int64) for c in ("tree", "shard", "cell")], axis=1)
-            keys, fps = np.concatenate([keys, more]), np.concatenate([fps, batch.column("fp").to_numpy().view(np.uint64)])
-            # The last shard may go on in the next batch.
-            same = (keys == keys[-1:]).all(axis=1)
-            upto = int(np.argmax(same)) if len(same) else 0
-            if upto:
-                yield of_shards(keys[:upto], fps[:upto])
-                keys, fps = keys[upto:], fps[upto:]
-        if len(fps):
-            yield of_shards(keys, fps)
+        for key, rows in _whole_shards(batches):
+            yield from of_shards(key, rows)
 
     return run
 
 
-def links(distinct: DataFrame, radius: int = 4, blocks: int | None = None) -> DataFrame:
-    """Links (a, b) that connect all fingerprints of at most `radius` differing bits. distinct: fp."""
+def _meeting(distinct: DataFrame, radius: int, blocks: int | None, found: Callable, schema: str) -> DataFrame:
+    """What `found` makes of the rows of `distinct` by whole shards. Where they have a column `first`, shards in
+    which it is null throughout are left out."""
     if blocks is None:
         count = distinct.count()
         blocks = next(b for most, b in BLOCKS if count <= most) + max(0, radius - 4)
     trees = masks(blocks, radius)
-    dealt = distinct.mapInArrow(_shards_of(trees, margin(blocks, radius)), "tree int, shard long, fp long")
-    dealt = stored(dealt, "shards")
-    large = dealt.groupBy("tree", "shard").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > SHARD_ROWS)
-    large = stored(large.select("tree", "shard", F.ceil(F.col("n") / (SHARD_ROWS / 2)).cast("int").alias("parts")), "large-shards")
+    types = "".join(f", {f.name} {f.dataType.simpleString()}" for f in distinct.schema)
+    dealt = stored(distinct.mapInArrow(_shards_of(trees, margin(blocks, radius)), f"tree int, shard long{types}"), "shards")
+    if "first" in distinct.columns and not distinct.where("first IS NULL").isEmpty():
+        asked = dealt.where("first IS NOT NULL").select("tree", "shard").distinct()
+        dealt = dealt.join(asked, ["tree", "shard"], "left_semi")
+    large = dealt.groupBy("tree", "shard").agg(F.count(F.lit(1)).alias("rows")).where(F.col("rows") > SHARD_ROWS)
+    large = stored(large.select("tree", "shard", F.ceil(F.col("rows") / (SHARD_ROWS / 2)).cast("int").alias("parts")), "large-shards")
     if large.isEmpty():
         cells = dealt.withColumn("cell", F.lit(0))
     else:
@@ -192,10 +263,27 @@ def links(distinct: DataFrame, radius: int = 4, blocks: int | None = None) -> Da
             dealt.join(large, ["tree", "shard"], "left")
             .withColumn("part", part)
             .withColumn("cell", F.explode(F.when(F.col("parts").isNull(), F.array(F.lit(0))).otherwise(cell)))
-            .select("tree", "shard", "fp", "cell")
+            .select(*dealt.columns, "cell")
         )
     rows = cells.repartition("tree", "shard", "cell").sortWithinPartitions("tree", "shard", "cell")
-    return rows.select("tree", "shard", "cell", "fp").mapInArrow(_links_of(radius), "a long, b long")
+    return rows.select("tree", "shard", "cell", *distinct.columns).mapInArrow(found, schema)
+
+
+def links(distinct: DataFrame, radius: int = 4, blocks: int | None = None) -> DataFrame:
+    """Links (a, b) that connect all fingerprints of at most `radius` differing bits. distinct: fp."""
+    return _meeting(distinct, radius, blocks, _links_of(radius), "a long, b long")
+
+
+def stars(distinct: DataFrame, radius: int = 4, blocks: int | None = None, *, most: int | None) -> DataFrame:
+    """Pairs (a, b) of fingerprints of at most `radius` differing bits, a = b where it has several members; a pair may
+    come more than once. distinct: fp, first (the least member that asks, null if none does), n (its members).
+
+    Only pairs with a fingerprint that asks. Of a connected group of a shard with at most `most` members (None:
+    of any group) all of them, each in one direction. In a larger one, some fingerprints that ask are heads, taken by
+    `first`, none within `radius` of another; all their pairs (head, b) come, with `head` true, and one such pair for
+    what does not ask and is near no head, but near one that asks.
+    """
+    return _meeting(distinct, radius, blocks, _stars_of(radius, most), "a long, b long, head boolean")
 
 
 def components(edges: DataFrame) -> DataFrame:

@@ -662,3 +662,71 @@ def test_fingerprints_of_shingles_are_linked_by_trees(spark):
     pairs = {tuple(sorted((int(r["first"]), int(r["copy"])))) for r in near_copies._near_fingerprints(df).collect()}
     assert len(close) > 15 and pairs == {(k, 100 + k) for k in close}
     assert list(near_copies.fingerprints(*near_copies.shingles(pa.array(["", None, " "])))) == [0, 0, 0]
+
+
+def near_groups(spark, seed):
+    """Texts whose fingerprints lie close to one of four, in families of near copies: (copy, fp, shingles)."""
+    rng, listed = random.Random(seed), []
+    for size in (1, 3, 6, 150):
+        centre = rng.getrandbits(63)
+        for k in range(size):
+            fp = centre ^ sum(1 << b for b in rng.sample(range(63), rng.choice((0, 0, 1, 2, 3))))
+            family, own = 1000 * rng.randrange(max(1, size // 5)), rng.sample(range(100), rng.randrange(88, 101))
+            listed.append((rng.randbytes(16), fp, [family + w for w in own]))
+    df = spark.createDataFrame(listed, "copy binary, fp long, shingles array<long>")
+    close = {
+        tuple(sorted((a, b))): jaccard(set(s), set(t)) >= 0.8
+        for k, (a, x, s) in enumerate(listed) for b, y, t in listed[:k] if (x ^ y).bit_count() <= 4
+    }
+    return [a for a, _, _ in listed], df, close
+
+
+def test_few_near_fingerprints(spark):
+    """All pairs of a small group, not a tree of links that connects it; texts of one fingerprint with all the others."""
+    listed = [(b"a", 0), (b"b", 1), (b"c", 3), (b"d", 7), (b"e", 7), (b"f", 1 << 40 | 63)]
+    found = near_copies._near_fingerprints(spark.createDataFrame(listed, "copy binary, fp long")).collect()
+    got = sorted((bytes(r["first"]), bytes(r["copy"])) for r in found)
+    assert got == sorted((a, b) for a, x in listed for b, y in listed if a < b and (x ^ y).bit_count() <= 4)
+
+
+def test_all_texts_of_near_fingerprints_are_compared(spark):
+    """Each with each, not along a tree of links or with the first text of a fingerprint only."""
+    _, df, close = near_groups(spark, 3)
+    texts, got = df.select("copy", "fp"), lambda found: {(bytes(r["first"]), bytes(r["copy"])) for r in found.collect()}
+    assert len(close) > 4000 and got(near_copies._near_fingerprints(texts, most=None)) == set(close)
+    ask = {bytes(r["copy"]) for r in texts.where("hash(copy) % 3 = 0").collect()}
+    found = near_copies._near_fingerprints(texts, F.expr("hash(copy) % 3 = 0"), None)
+    assert got(found) == {p for p in close if set(p) & ask}
+    # In small groups at once, in larger ones with heads first.
+    found = near_copies._near_fingerprints(texts)
+    assert got(found) < set(close) and len(got(found.where("head IS NULL"))) >= 3
+
+
+@pytest.mark.parametrize("asks", ["true", "hash(copy) % 3 = 0"])
+def test_near_copies_by_trees(spark, asks):
+    """Heads first: every pair of near copies is linked, or one of the two is to an earlier text."""
+    copies, df, close = near_groups(spark, 4)
+    df = stored(df.withColumn("asks", F.expr(asks)), "texts")
+    ask = {bytes(r["copy"]) for r in df.where("asks").collect()}
+    pairs = near_copies._near_fingerprints(df, F.col("asks"))
+    found, starred = near_copies._tree_links(pairs, df.select("copy", "fp", "asks"), df.select("copy", "shingles"), 0.8)
+    assert starred.count() > 100
+    links = {(bytes(r["first"]), bytes(r["copy"])) for r in found.collect()}
+    near, later = {p for p, is_near in close.items() if is_near}, {b for _, b in links}
+    assert links <= near and links and not later & set(copies) - {b for _, b in near}
+    assert all(p in links or set(p) & later for p in near if set(p) & ask)
+
+
+def test_near_copies_of_one_fingerprint(spark):
+    """A shingle that most of a text consists of makes fingerprints equal; near copies are what the other shingles say."""
+    rng, listed = random.Random(8), []
+    for family in range(6):
+        base = [f"v{family}-{k}" for k in range(90)]
+        for k in range(5):
+            text = list(base)
+            text[rng.randrange(90)] = f"x{family}-{k}"
+            listed.append((5 * family + k, "same " * 150 + " ".join(text)))
+    fps = near_copies.fingerprints(*near_copies.shingles(pa.array([t for _, t in listed])))
+    assert len(set(fps.tolist())) == 1
+    got = near_copies.keep_one(spark.createDataFrame(listed, "doc_id long, text string"))
+    assert sorted(r["doc_id"] for r in got.collect()) == kept_of(listed)
